@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonolake.llm import quality, sharding, simhash
+from sonolake.llm import quality, secrets, sharding, simhash
 from sonolake.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op10_sharding": op10_sharding}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}
