@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonolake.llm import bpe, quality, secrets, sharding, simhash
+from sonolake.llm import bpe, licenses, quality, secrets, sharding, simhash
 from sonolake.llm.common import table
 
 
@@ -30,5 +30,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op8_bpe": op8_bpe, "op10_sharding": op10_sharding}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}
