@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,29 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def join_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites the sets of i[k] and j[k] for all k; parent points to the smallest index of a set."""
+    while len(i):
+        a, b = parent[i], parent[j]
+        open_ = a != b
+        if not open_.any():
+            return
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
+def lookahead(items: Iterator) -> Iterator[tuple[bool, object]]:
+    held, none = None, True
+    for x in items:
+        if not none:
+            yield False, held
+        held, none = x, False
+    if not none:
+        yield True, held

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonolake.llm import bpe, licenses, mixing, quality, secrets, sharding, simhash
+from sonolake.llm import bpe, licenses, mixing, quality, secrets, sharding, simhash, vectors
 from sonolake.llm.common import table
 
 
@@ -38,5 +38,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding}
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.classes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_embeddings": op4_embeddings, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolake.llm.common import components, cut
+from sonolake.llm.common import components, cut, join_labels, lookahead
 
 RADIUS = 2
 PARTS = 6
@@ -103,22 +103,6 @@ def near(query: np.ndarray, block: np.ndarray, sliced: np.ndarray, valid: np.nda
     return task[keep], alive[keep]
 
 
-def join_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Unites the sets of i[k] and j[k] for all k; parent points to the smallest index of a set."""
-    while len(i):
-        a, b = parent[i], parent[j]
-        open_ = a != b
-        if not open_.any():
-            return
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-
-
 def bucket_stars(values: np.ndarray, run: np.ndarray, mask: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links between distinct values of the same run (both sorted by run), as (value, smallest value of its set)."""
     starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
@@ -160,7 +144,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-        for last, part in _lookahead(batches):
+        for last, part in lookahead(batches):
             part = pd.concat([rest, part]) if rest is not None else part
             c, key, fp = (part[x].to_numpy() for x in ("c", "key", "fp"))
             run = np.concatenate(([0], np.cumsum((c[1:] != c[:-1]) | (key[1:] != key[:-1])))) if len(c) else np.zeros(0, int)
@@ -176,16 +160,6 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame
     return keyed.repartition("c", "key").sortWithinPartitions("c", "key").mapInPandas(compare, "a long, b long")
 
 
-def _lookahead(items: Iterator) -> Iterator[tuple[bool, object]]:
-    held, none = None, True
-    for x in items:
-        if not none:
-            yield False, held
-        held, none = x, False
-    if not none:
-        yield True, held
-
-
 def classes(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     own = cut(fingerprints(docs), "fingerprints")
