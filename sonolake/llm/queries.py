@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonolake.llm import bpe, fmindex, licenses, mixing, quality, secrets, sharding, simhash, vectors
+from sonolake.llm import bpe, fmindex, licenses, mixing, quality, secrets, sharding, simhash, suffixes, vectors
 from sonolake.llm.common import table
 
 
@@ -46,5 +46,9 @@ def op5_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_embeddings": op4_embeddings, "op5_fmindex": op5_fmindex, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding}
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_embeddings": op4_embeddings, "op5_fmindex": op5_fmindex, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}
