@@ -1,6 +1,566 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries over whole tables, and SQL for those that SQL expresses in reasonable time."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sonolake.functions import text as t
+from sonolake.operators import curate, errorrate, lm, report, sampling, segments, signal, timing
+from sonolake.plans import views
+from sonolake.streaming import fusion, windows
+from sonolake.tables import indexed, ranked, seeded, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+CHARSET = " '" + "abcdefghijklmnopqrstuvwxyz"
+# views in SQL, for the oracles
+MANIFEST = "select source || '/' || lang || '/' || doc_id || '.flac' as fname, text as transcript, n_chars / 15.0::double as duration, cast(floor(n_chars / 15.0::double * 16000) as bigint) as num_samples, source as manifest, doc_id as utt from documents"
+WORDS = r"list_filter(string_split_regex({c}, '[ \n\t\r]+'), lambda x: x <> '')"
+TURNS = "select * from (select conv_id, turn, role, text as ref, lead(text) over w as hyp, lead(role) over w as nxt from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nxt = 'assistant'"
+CTM = f"select file, i - 1 as seq, (i - 1) * 0.3::double as start, w[i] as word from (select doc_id as file, {WORDS.format(c='text')} as w from documents) x, unnest(range(1, len(w) + 1)) as u(i)"
+LATE = "('0x' || substr(md5(file || '|' || seq), 1, 1))::int"
+RESPONSES = "select user_id as session, event_id as seq, epoch_us(ts) / 1e6::double as ts, case when event_type in ('view', 'click') then 'partial' when event_type = 'purchase' then 'final' when event_type = 'signup' then 'session_start' else 'session_end' end as kind, json_extract_string(props, '$.k') as text from events"
+KEYWORDS = "select phrase, max(weight) as weight from (select x[1] || ' ' || x[2] as phrase, (item_id % 5 + 1)::double as weight from (select item_id, string_split_regex(lower(text), '[^a-z]+') as x from benchmark)) group by phrase"
+VALUES = "select vec_id, label, i - 1 as dim, e[i]::double as x from (select vec_id, label, embedding as e from embeddings) y, unnest(range(1, len(e) + 1)) as u(i)"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# error rates
+
+
+@query()
+def wer_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    # one file is one task; the distance is quadratic in a document's words, so rows are spread first
+    return errorrate.error_rate(views.pairs(spark, sf).repartition("utt"), ["source"])
+
+
+def _turn_tokens(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    split = errorrate.TOKENS[kind]
+    return views.turn_pairs(spark, sf).select("conv_id", "turn", split(F.col("ref")).alias("ref_words"), split(F.col("hyp")).alias("hyp_words"))
+
+
+def _distance_sql(split: str) -> str:
+    return f"""with recursive p as (select conv_id, turn, {split.format(c='ref')} as r, {split.format(c='hyp')} as h from ({TURNS})),
+    dp(conv_id, turn, i, row_, r, h) as (select conv_id, turn, 0::bigint, range(0, len(h) + 1), r, h from p
+      union all select conv_id, turn, i + 1, list_reduce(range(1, len(h) + 1), lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, row_[j + 1] + 1, row_[j] + (case when r[i + 1] = h[j] then 0 else 1 end))), [i + 1]), r, h from dp where i < len(r))
+    select {{cols}} from (select conv_id, turn, len(r) as n, row_[len(h) + 1] as e from dp where i = len(r)) {{rest}}"""
+
+
+_SPLIT = r"list_filter(string_split_regex(trim({c}), '\s+'), lambda x: x <> '')"
+
+
+@query(_distance_sql(_SPLIT).format(cols="conv_id, sum(e)::bigint as errors, sum(n)::bigint as words, round(case when sum(n) > 0 then sum(e)::double / sum(n) else 'inf'::double end, 8) as rate", rest="group by conv_id"))
+def wer_by_conversation(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.error_rate(_turn_tokens(spark, sf, "wer"), ["conv_id"])
+
+
+@query()
+def cer_by_conversation(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.error_rate(_turn_tokens(spark, sf, "cer"), ["conv_id"])
+
+
+@query(_distance_sql(_SPLIT).format(cols="sum(e)::bigint as errors, sum(n)::bigint as words, round(sum(e)::double / sum(n), 8) as rate", rest=""))
+def mer_total(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.error_rate(_turn_tokens(spark, sf, "mer"), [])
+
+
+@query()
+def wer_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.breakdown(views.turn_pairs(spark, sf))
+
+
+@query(_distance_sql(_SPLIT).format(cols="conv_id, turn, e as errors, n as words, round(case when n > 0 then e::double / n else 'inf'::double end, 8) as rate", rest=""))
+def wer_reports(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.reports(_turn_tokens(spark, sf, "wer")).select("conv_id", "turn", F.col("errors").cast("long").alias("errors"), "words", "rate")
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    norm = lambda c: t.normalise_punctuation(F.col(c))
+    return errorrate.mark_operations(views.turn_pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), norm("ref").alias("ref"), norm("hyp").alias("hyp")))
+
+
+@query()
+def punct_error_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.punctuation_error_rate(_marked(spark, sf))
+
+
+@query()
+def punct_mark_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.mark_rates(_marked(spark, sf))
+
+
+@query()
+def punct_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return _marked(spark, sf).where("hyp_mark is not null").groupBy("mark", "hyp_mark").agg(F.count("*").alias("n"))
+
+
+# curation
+
+
+def _filter(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: curate.by_length(views.manifest(spark, sf), mode, 200.0, 2500, 2.0).select("utt", "fname", F.round("duration", 8).alias("duration"))
+
+
+for _mode, _rule in (("manifest", "duration <= 200 and duration > 2 and length(transcript) < 2500"), ("shard", "duration <= 200 and duration >= 2 and length(transcript) <= 2500"), ("hub", "duration < 200 and duration > 2 and length(transcript) < 2500")):
+    QUERIES[f"manifest_filter_{_mode}"] = _filter(_mode)
+    ORACLE_SQL[f"manifest_filter_{_mode}"] = f"select utt, fname, round(duration, 8) as duration from ({MANIFEST}) where {_rule}"
+
+
+@query(f"""with m as ({MANIFEST}), f as (select fname, case when utt % 11 = 0 then duration + 1 else duration end as d, case when utt % 13 = 0 then num_samples + 1 else num_samples end as n from m where utt % 17 <> 0)
+    select coalesce(reason, 'valid') as reason, count(*) as n from (select case when f.fname is null then 'missing file' when trim(transcript) = '' then 'empty transcript' when duration <> d then 'duration differs' when num_samples <> f.n then 'samples differ' when count(*) over (partition by m.fname) > 1 then 'duplicate file' end as reason from m left join f using (fname)) group by 1""")
+def manifest_validate(spark: SparkSession, sf: str) -> DataFrame:
+    m = views.manifest(spark, sf)
+    files = m.where("utt % 17 <> 0").select("fname", F.expr("if(utt % 11 = 0, duration + 1, duration)").alias("duration"), F.expr("if(utt % 13 = 0, num_samples + 1, num_samples)").alias("num_samples"))
+    return curate.validated(m, files).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("select text, count(*) as n from documents group by text having count(*) > 1")
+def manifest_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return curate.duplicates(table(spark, sf, "documents"), "text")
+
+
+@query("select manifest, n, duration, round(duration / n, 6) as mean from (select source as manifest, count(*) as n, round(sum(n_chars / 15.0::double), 4) as duration from documents group by source)")
+def manifest_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.manifest_sizes(views.manifest(spark, sf)).select("manifest", "n", F.round("duration", 4).alias("duration")).withColumn("mean", F.round(F.col("duration") / F.col("n"), 6))
+
+
+@query(f"select round(avg(duration), 8) as mean, count(*) as n from ({MANIFEST}) where duration <= 200")
+def mean_duration(spark: SparkSession, sf: str) -> DataFrame:
+    return views.manifest(spark, sf).where("duration <= 200").agg(F.round(F.avg("duration"), 8).alias("mean"), F.count("*").alias("n"))
+
+
+@query(f"select max(duration) as longest, max(duration) * 64 as product, max(duration) * 64 <= 1.5e5 as fits from ({MANIFEST})")
+def batch_guard(spark: SparkSession, sf: str) -> DataFrame:
+    return curate.batch_guard(views.manifest(spark, sf), 64)
+
+
+@query(f"select utt, fname, row_number() over (order by manifest, utt) - 1 as label from ({MANIFEST}) where duration > 2")
+def label_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return curate.labelled(views.manifest(spark, sf).where("duration > 2"), ["manifest", "utt"]).select("utt", "fname", "label")
+
+
+@query(f"select utt, fname from (select *, row_number() over (partition by manifest order by md5('1|' || fname), fname) as r, count(*) over (partition by manifest) as n from ({MANIFEST})) where r <= floor(n * 0.25::double)")
+def subset_exact_n(spark: SparkSession, sf: str) -> DataFrame:
+    return curate.subset(views.manifest(spark, sf), 0.25).select("utt", "fname")
+
+
+@query("select d.doc_id, d.lang, l.quality from documents d join labels l using (doc_id)")
+def pair_inner(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("select doc_id, 'left' as side from (select doc_id from documents except select doc_id from labels) union all select doc_id, 'right' as side from (select doc_id from labels except select doc_id from documents)")
+def pair_missing(spark: SparkSession, sf: str) -> DataFrame:
+    return curate.unmatched(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("select text, source, doc_id from (select *, row_number() over (partition by text order by source desc, doc_id desc) as r from documents) where r = 1")
+def union_later_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return curate.later_wins(table(spark, sf, "documents").select("text", "source", "doc_id"), "text", ["source", "doc_id"])
+
+
+# mixing and order
+
+_SIZES = "select source as manifest, count(*) as n, sum(n_chars / 15.0::double) as duration from documents group by source"
+_RATIO = "(cast(substr(manifest, 4) as int) % 3 + 1)"
+_FRACS = {"none": "n::double", "relative": f"({_RATIO} * n)::double", "absolute": f"{_RATIO}::double", "canary": "n / duration * pow(duration / sum(duration) over (), 0.5::double)"}
+
+
+def _fractions(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    sizes = sampling.manifest_sizes(views.manifest(spark, sf))
+    ratio = F.expr("cast(substring(manifest, 4) as int) % 3 + 1")
+    return sampling.fractions(sizes, mode, ratio, 0.5)
+
+
+def _mix(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: sampling.epoch_sizes(_fractions(spark, sf, mode), 4).select("manifest", "n", F.round("frac", 8).alias("frac"), "utts", "repetition")
+
+
+def _epoch_sql(mode: str) -> str:
+    return f"""select manifest, n, frac, utts, case when utts > 0 then ceil(n / utts::double)::bigint end as repetition from (select manifest, n, round(frac, 8) as frac, cast(floor(floor(target * min(n / target) over () + 1e-9) / 4) * 4 as bigint) as utts
+    from (select *, frac / sum(frac) over () as target from (select *, {_FRACS[mode]} as frac from ({_SIZES}))))"""
+
+
+for _mode in _FRACS:
+    QUERIES[f"mix_{_mode}"] = _mix(_mode)
+    ORACLE_SQL[f"mix_{_mode}"] = _epoch_sql(_mode)
+
+
+@query(f"""with e as ({_epoch_sql('relative')}), m as (select manifest, fname, row_number() over (partition by manifest order by md5('1|' || fname), fname) - 1 as r from ({MANIFEST})),
+    p as (select manifest, fname, r + c * n as place, utts from m join e using (manifest), unnest(range(0, floor((3 * utts - 1) / n::double)::bigint + 1)) as u(c) where utts > 0)
+    select cast(place // utts as int) as epoch, manifest, fname from p where place < 3 * utts""")
+def epoch_plan(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = sampling.epoch_sizes(_fractions(spark, sf, "relative"), 4)
+    return sampling.epochs(views.manifest(spark, sf), sizes.select("manifest", "n", "utts"), 3).select("epoch", "manifest", "fname")
+
+
+@query(f"""with m as ({MANIFEST}), o as (select fname, duration, row_number() over (order by duration, md5('1|' || fname), fname) - 1 as rn, ceil(ceil(count(*) over () / 6.0) / 8)::bigint * 8 as size from m),
+    b as (select fname, rn // size as bucket, row_number() over (partition by rn // size order by md5('2|' || fname), fname) - 1 as k from o)
+    select fname, bucket, k // 8 as batch, md5('3|' || bucket || '|' || (k // 8)) as batch_order from b""")
+def bucket_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.bucketed(views.manifest(spark, sf), 6, 8).select("fname", "bucket", "batch", "batch_order")
+
+
+@query(f"select fname, place, (place % 4)::int as worker from (select fname, row_number() over (order by duration desc, fname) - 1 as place from ({MANIFEST}))")
+def rank_stride(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.striped(views.manifest(spark, sf), 4).select("fname", "place", "worker")
+
+
+def _ordered(spark: SparkSession, sf: str) -> DataFrame:
+    return indexed(views.manifest(spark, sf).withColumn("k", seeded(5, "fname")), ["k", "fname"], "place").select("fname", "num_samples", F.col("num_samples").alias("duration"), "place")
+
+
+_ORDERED = f"select fname, num_samples, row_number() over (order by md5('5|' || fname), fname) - 1 as place from ({MANIFEST})"
+
+
+@query(f"""with o as ({_ORDERED}), c as (select place // 16 as chunk, sum(num_samples) as s from o group by 1), b as (select chunk as best from c order by s desc, chunk limit 1)
+    select fname, case when place // 16 = best then place - best * 16 when place // 16 = 0 then place + best * 16 else place end as place from o, b""")
+def safety_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.longest_first(_ordered(spark, sf), 16).select("fname", "place")
+
+
+@query(f"select fname, place, ((place // 8) % 4)::int as worker, (place // 32) * 8 + place % 8 as turn from ({_ORDERED}) where (place // 32) * 8 + place % 8 >= 16")
+def shard_resume(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.resumed(_ordered(spark, sf), 4, 8, 2).select("fname", "place", "worker", "turn")
+
+
+@query(f"select fname, num_samples from ({MANIFEST}) order by duration desc, fname limit 25")
+def longest_utterances(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.longest(views.manifest(spark, sf), 25).select("fname", "num_samples")
+
+
+@query("""select event_id, round(20 + (0 - 20) * f, 6) as low, round(20 + (10 - 20) * f, 6) as high, round(0.2 + 0.8 * f, 6) as blend from (select event_id, greatest(0.0::double, least(1.0::double, (event_id - 2000) / 5000.0::double)) as f from events)""")
+def step_schedules(spark: SparkSession, sf: str) -> DataFrame:
+    low, high = sampling.snr_schedule(F.col("event_id"), 2000, 5000, 20.0, 0.0, 10.0)
+    blend = sampling.blend_schedule(F.col("event_id"), 2000, 5000, 0.2)
+    return table(spark, sf, "events").select("event_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(blend, 6).alias("blend"))
+
+
+# text
+
+
+def _text(name: str, rule: Callable, sql: str, source: str = "documents", key: str = "doc_id") -> None:
+    QUERIES[name] = lambda spark, sf: table(spark, sf, source).select(*key.split(", "), rule(F.col("text")).alias("text"))
+    ORACLE_SQL[name] = f"select {key}, {sql} as text from {source}"
+
+
+def _fold_sql(sql: str, rules: list[tuple[str, str]], flags: str = "g") -> str:
+    for a, b in rules:
+        q = lambda s: s.replace("'", "''")
+        sql = f"regexp_replace({sql}, '{q(a)}', '{q(b)}', '{flags}')"
+    return sql
+
+
+_text("text_punct_norm", t.normalise_punctuation, "translate(replace(text, '\"', ''), ';:!-', ',.. ')")
+_text("text_tags", t.remove_tags, r"regexp_replace(text, '<[a-zA-Z_]+>', '', 'g')")
+_text("text_scrub", lambda c: t.scrub(F.lower(c), CHARSET), r"regexp_replace(lower(text), '[^ ''a-z]', '', 'g')")
+_text("text_abbreviations", t.expand_abbreviations, _fold_sql("text", [(rf"(^|[^\p{{L}}\p{{N}}_]){a}\.", rf"\1{b}") for a, b in t.ABBREVIATIONS], "gi"))
+_text("text_symbols", lambda c: t.collapse(t.expand_symbols(c)), r"regexp_replace(replace(replace(replace(replace(replace(text, '&', ' and '), '+', ' plus '), '%', ' percent '), '@', ' at '), ':', ' '), '[ \t\n\x0B\f\r]+', ' ', 'g')")
+_text("text_by_line", t.by_line, r"array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')")
+_text("text_sentence_ends", lambda c: t.sentence_ends(c)[0], r"regexp_replace(text, '([.?!]+)[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r])', '\1 <EOS> \2', 'g')")
+
+
+@query()
+def text_standardise(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", t.standardise(F.col("text"), {"normalise": "normalize", "centralised": "centralized"}).alias("text"))
+
+
+@query()
+def text_lowercase(spark: SparkSession, sf: str) -> DataFrame:
+    return t.normalise(table(spark, sf, "documents").select("doc_id", "text"), "text", "lowercase", CHARSET)
+
+
+@query("select ch as char, count(*) as n, contains(' ''abcdefghijklmnopqrstuvwxyz', ch) as covered from (select unnest(string_split(text, '')) as ch from documents) where ch <> '' group by ch")
+def charset_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.charset_coverage(table(spark, sf, "documents"), CHARSET)
+
+
+@query(r"select lang, count(*) as n, count(*) filter (where regexp_matches(text, '[^\x00-\x7F]')) as odd from documents group by lang")
+def non_ascii_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(t.non_ascii(F.col("text"))).alias("odd"))
+
+
+# timing
+
+_LINES = "select event_id as line, user_id % 3 as file, event_type as word, row_number() over (order by event_id) - row_number() over (partition by user_id % 3 order by event_id) as g from events"
+
+
+@query(f"""with l as ({_LINES}), last as (select file, max(line) as m from l group by file), k as (select l.file, l.g from l join last on l.file = last.file and l.line = last.m)
+    select l.file, string_agg(word, ' ' order by line) as transcript, count(*) as n_words from l join k on l.file = k.file and l.g = k.g group by l.file""")
+def ctm_islands(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "events").select(F.col("event_id").alias("line"), F.expr("user_id % 3").alias("file"), F.col("event_type").alias("word"))
+    return timing.transcripts(lines)
+
+
+@query(f"select file, array_to_string({WORDS.format(c='text')}, ' ') as transcript, len({WORDS.format(c='text')}) as n_words from (select doc_id as file, text from documents) where len({WORDS.format(c='text')}) > 0")
+def ctm_transcript(spark: SparkSession, sf: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("seq", "word")))
+    return views.ref_ctm(spark, sf).groupBy("file").agg(F.array_join(F.transform(rows, lambda r: r["word"]), " ").alias("transcript"), F.count("*").alias("n_words"))
+
+
+_DELTAS = f"select file, seq, length(word) % 4 as kind, round(0.05::double + {LATE} / 100.0::double, 6) as x from ({CTM})"
+
+
+def _deltas(spark: SparkSession, sf: str) -> DataFrame:
+    r, h = views.ref_ctm(spark, sf), views.hyp_ctm(spark, sf).select("file", "seq", F.col("start").alias("h"))
+    return r.join(h, ["file", "seq"]).select("file", "seq", (F.char_length("word") % 4).alias("kind"), F.round(F.col("h") - F.col("start"), 6).alias("latency"))
+
+
+@query(f"""with d as ({_DELTAS}), s as (select kind, count(*) as n, round(avg(y), 6) as mean, round(stddev_pop(y), 6) as stdev, round(median(y), 6) as median from (select kind, round(x - 0.03, 6) as y from d) group by kind),
+    o as (select kind, round(x - 0.03, 6) as y, row_number() over (partition by kind order by x) - 1 as r from d)
+    select s.kind, n, mean, stdev, median, max(case when r = floor(n * 90 / 100)::bigint then y end) as p90, max(case when r = floor(n * 99 / 100)::bigint then y end) as p99 from s join o using (kind) group by all""")
+def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return timing.latency_summary(_deltas(spark, sf), ["kind"], 0.06)
+
+
+@query(f"""with d as ({_DELTAS}), m as (select kind, median(x) as h from d group by kind)
+    select kind, round(avg(abs(x)), 6) as raw_shift, round(avg(abs(x - 0.1)), 6) as fixed_shift, round(avg(abs(x - h)), 6) as corrected_shift, round(max(h), 6) as head_offset, round(max(h), 6) as tail_offset from d join m using (kind) group by kind""")
+def timestamp_shift(spark: SparkSession, sf: str) -> DataFrame:
+    d = _deltas(spark, sf).select("kind", F.col("latency").alias("head"), F.col("latency").alias("tail"))
+    return timing.timestamp_shift(d, ["kind"], 0.1, 0.1)
+
+
+@query()
+def word_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = views.turn_pairs(spark, sf)
+    side = lambda c: pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("file"), F.posexplode(errorrate.word_list(F.col(c))).alias("seq", "word"))
+    return timing.aligned_words(side("ref"), side("hyp"))
+
+
+@query(f"""with p as (select doc_id as utt, i - 1 as pos, substr(text, i, 1) as piece, i * 3 as frame from (select doc_id, replace(text, chr(10), ' ') as text from documents) d, unnest(range(1, length(text) + 1)) as u(i)),
+    w as (select *, sum(case when piece = ' ' or pos = 0 then 1 else 0 end) over (partition by utt order by pos) - 1 as word_no from p)
+    select lang, count(*) as n_words, sum(stop - start)::bigint as span from (select utt, word_no, min(frame) as start, max(frame) as stop from w group by all) join documents on doc_id = utt group by lang""")
+def token_words(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.posexplode(F.array_remove(F.split(F.translate("text", "\n", " "), ""), "")).alias("pos", "piece"))
+    w = timing.token_words(d.withColumn("frame", (F.col("pos") + 1) * 3))
+    return w.join(table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), "lang"), "utt").groupBy("lang").agg(F.count("*").alias("n_words"), F.sum(F.col("end") - F.col("start")).cast("long").alias("span"))
+
+
+_TERM = f"""select session, case when e is not null and (s is null or e <= s) then 'EOS' when s is not null then 'Silence' else 'Never' end as kind, round(case when e is not null and (s is null or e <= s) then e else s end, 6) as final_time
+    from (select session, min(case when nx - ts > 86400 then ts + 86400 end) as s, min(case when kind = 'session_end' then ts end) as e from (select *, lead(ts) over (partition by session order by ts, seq) as nx from ({RESPONSES})) group by session)"""
+
+
+@query(_TERM)
+def terminations(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.terminations(views.responses(spark, sf), "session", 86400.0)
+
+
+@query(f"select round(avg((kind = 'EOS')::int::double), 8) as eos, round(avg((kind = 'Silence')::int::double), 8) as silence, round(avg((kind = 'Never')::int::double), 8) as never, count(*) as n from ({_TERM})")
+def endpoint_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return timing.endpoint_shares(windows.terminations(views.responses(spark, sf), "session", 86400.0))
+
+
+# streams, in their batch form
+
+
+@query(f"select session, n, a = 'session_start' and z = 'session_end' as valid from (select session, count(*) as n, arg_min(kind, seq) as a, arg_max(kind, seq) as z from ({RESPONSES}) group by session)")
+def session_valid(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.session_validity(views.responses(spark, sf), "session", "seq")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, min(ts) as start, max(ts) + interval 6 hour as stop, count(*) as n from s group by user_id, k""")
+def session_windows(spark: SparkSession, sf: str) -> DataFrame:
+    s = windows.sessions(table(spark, sf, "events"), "user_id", "6 hours")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+@query("""select s as start, s + interval 15 minute as stop, count(*) as n, round(sum(value), 6) as total from (select value, make_timestamp((epoch_us(ts) // 720000000 - k) * 720000000) as s, ts from events, unnest(range(0, 2)) as u(k)) where ts < s + interval 15 minute group by s""")
+def sliding_segments(spark: SparkSession, sf: str) -> DataFrame:
+    s = windows.sliding(table(spark, sf, "events"), "15 minutes", "12 minutes")
+    return s.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "total")
+
+
+@query("select time_bucket(interval 1 day, ts) as start, count(*) as n, round(avg(value), 6) as mean from events group by 1")
+def latency_windows(spark: SparkSession, sf: str) -> DataFrame:
+    w = windows.latency_windows(table(spark, sf, "events"), "1 day")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean")
+
+
+@query(f"select session, round(max(ts - (t0 + i * 3600)), 6) as worst, count(*) filter (where ts - (t0 + i * 3600) > 0) as late from (select session, ts, row_number() over (partition by session order by ts, seq) - 1 as i, min(ts) over (partition by session) as t0 from ({RESPONSES})) group by session")
+def lateness(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.lateness(views.responses(spark, sf), "session", 3600.0)
+
+
+@query()
+def fuse_words(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.words(views.responses(spark, sf))
+
+
+@query(f"select session, string_agg(text, '' order by ts, seq) as text from ({RESPONSES}) where kind = 'final' group by session")
+def final_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.finals(views.responses(spark, sf))
+
+
+# segments
+
+
+@query("select doc_id as utt, k as seg, k * 400 as first, least(k * 400 + 500, n) as last from (select doc_id, n_chars as n, case when n_chars < 500 then 1 else (n_chars - 100) // 400 + case when (n_chars - 100) % 400 > 0 then 1 else 0 end end as c from documents), unnest(range(0, c)) as u(k)")
+def segment_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.segments(table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.col("n_chars").alias("n")), 500, 100)
+
+
+@query()
+def overlap_merge(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.transform(views.split_words(F.col("text")), lambda w: F.char_length(w)).alias("w"))
+    plan = segments.segments(d.select("utt", F.size("w").alias("n")), 60, 12)
+    s = plan.join(d, "utt").select("utt", "seg", F.expr("slice(w, first + 1, last - first)").alias("tokens"), F.expr("transform(sequence(0, greatest(last - first, 1) - 1), i -> i)").alias("timestamps"))
+    return segments.merged(s.where("size(tokens) > 0"), 12, 1).select("utt", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("fingerprint"))
+
+
+@query("""with g as (select user_id as utt, ts, event_id, epoch_us(ts) // 1000000 as t, lag(epoch_us(ts) // 1000000) over w as p, row_number() over w - 1 as pos from events window w as (partition by user_id order by event_id)), f as (select utt, min(pos) as first, arg_min(p, pos) as last from g where t - p > 43200 group by utt)
+    select utt, count(*) as n, max(round((last + 1 + 43200) * 1.0::double, 6)) as final_time from g left join f using (utt) where first is null or pos < first group by utt""")
+def silence_cut(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("utt"), F.col("event_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    tokens = ranked(e, ["utt"], ["event_id"], "pos")
+    return segments.silence_cut(tokens, 43200.0, 1.0).groupBy("utt").agg(F.count("*").alias("n"), F.max("final_time").alias("final_time"))
+
+
+# language models and keywords
+
+
+@query(f"select gram, count(*) as c from (select array_to_string(w[i:i + 2], ' ') as gram from (select {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w) - 1)) as u(i)) group by gram")
+def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.ngrams(table(spark, sf, "documents").select(views.split_words(F.col("text")).alias("words")), 3)
+
+
+def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return lm.bigram_model(table(spark, sf, "documents").select(views.split_words(F.col("text")).alias("words")))
+
+
+@query(f"""with g as (select w[i] as context, w[i + 1] as word, count(*) as c from (select {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w))) as u(i) group by all),
+    k as (select count(*) filter (where c = 1) as n1, count(*) filter (where c = 2) as n2, count(*) filter (where c = 3) as n3, count(*) filter (where c = 4) as n4 from g),
+    d as (select 1 - 2 * y * n2 / n1::double as d1, 2 - 3 * y * n3 / n2::double as d2, 3 - 4 * y * n4 / n3::double as d3 from (select *, n1 / (n1 + 2 * n2)::double as y from k)),
+    b as (select context, word, c, case when c = 1 then d1 when c = 2 then d2 else d3 end as cut from g, d), t as (select context, sum(c) as total, sum(cut) as saved from b group by context), u as (select word, count(*) / (select count(*) from g)::double as q from g group by word)
+    select context, word, round((c - cut) / total + saved / total * q, 8) as p from b join t using (context) join u using (word) union all select null as context, word, round(q, 8) as p from u""")
+def ngram_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _model(spark, sf)[0].select("context", "word", F.round("p", 8).alias("p"))
+
+
+@query()
+def ngram_score(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), views.split_words(F.col("text")).alias("words"))
+    return lm.scored(words, *_model(spark, sf), "utt")
+
+
+@query()
+def subword_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.subwords(table(spark, sf, "documents").select(views.split_words(F.lower("text")).alias("words")), 500)
+
+
+@query(f"""with k as ({KEYWORDS}), t as (select doc_id, lower(text) as x from documents),
+    p as (select doc_id, x, phrase, weight, length(phrase) as n from t, k)
+    select doc_id, round(sum(weight * (n * (case when contains(x, phrase) then len(list_filter(range(1, length(x) - n + 2), lambda i: x[i:i + n - 1] = phrase)) else 0 end) + list_sum(list_transform(range(1, n), lambda i: case when ends_with(x, phrase[1:i]) then i else 0 end)))), 6) as score from p group by doc_id""")
+def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return lm.keyword_scores(d, views.keywords(spark, sf), "doc_id")
+
+
+_NBEST = "select label as utt, 't' || (vec_id % 17) as text, (vec_id % 5 + 1)::bigint as n_tokens, round(-10 * (1 + embedding[1]::double), 6) as score from embeddings"
+
+
+def _nbest(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("embedding").cast("array<double>")
+    return table(spark, sf, "embeddings").select(F.col("label").alias("utt"), F.concat(F.lit("t"), (F.col("vec_id") % 17).cast("string")).alias("text"), (F.col("vec_id") % 5 + 1).alias("n_tokens"), F.round(-10 * (1 + F.get(e, F.lit(0))), 6).alias("score"))
+
+
+@query(f"select utt, text, round(m + ln(sum(exp(score - m))), 6) as score from (select *, max(score) over (partition by utt, text) as m from ({_NBEST})) group by utt, text, m")
+def nbest_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.merged_hypotheses(_nbest(spark, sf))
+
+
+@query(f"select utt, rank, text, score from (select *, row_number() over (partition by utt order by score desc, text, n_tokens) as rank from (select *, max(score / n_tokens) over (partition by utt) as b from ({_NBEST})) where score / n_tokens >= b - 1.5) where rank <= 8")
+def nbest_prune(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.pruned(_nbest(spark, sf), 1.5, 8).select("utt", F.col("rank").cast("long").alias("rank"), "text", "score")
+
+
+@query()
+def nbest_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("utt"), F.split("text", "").alias("tokens"))
+    return lm.common_prefix(d)
+
+
+# signals
+
+
+@query(f"select dim, count(*) as n, round(avg(x), 8) as mean, round(var_pop(x), 8) as var from ({VALUES}) group by dim")
+def feature_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return signal.feature_stats(views.frames(spark, sf))
+
+
+@query(f"with v as ({VALUES}), s as (select dim, round(avg(x), 8) as mean, round(var_pop(x), 8) as var from v group by dim) select vec_id as frame, v.dim, round((x - mean) / sqrt(var), 6) as value from v join s on v.dim = s.dim")
+def feature_norm(spark: SparkSession, sf: str) -> DataFrame:
+    f = views.frames(spark, sf)
+    return signal.normalised(f, signal.feature_stats(f)).select("frame", "dim", "value")
+
+
+@query("select utt, frame, v0, v1, v2 from (select label as utt, vec_id as frame, embedding[1]::double as v0, coalesce(lead(embedding[1]::double, 1) over w, 0) as v1, coalesce(lead(embedding[1]::double, 2) over w, 0) as v2 from embeddings window w as (partition by label order by vec_id)) where frame % 2 = 0")
+def frame_stack(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.stacked(views.frames(spark, sf).select("utt", "frame", F.get("features", F.lit(0)).alias("value")), 3, 2)
+
+
+@query("""with p as (select a.vec_id, list_transform(a.embedding, lambda x: x::double) as s, list_transform(b.embedding, lambda x: x::double) as n from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+    g as (select vec_id, s, n, list_sum(list_transform(s, lambda x: x * x)) / len(s) as ps, list_sum(list_transform(n, lambda x: x * x)) / len(n) as pn from p), m as (select *, list_transform(range(1, len(s) + 1), lambda i: s[i] + sqrt(ps / (pn * pow(10.0::double, 1.0::double))) * n[i]) as x from g)
+    select vec_id, round(x[1] * sqrt(ps / (list_sum(list_transform(x, lambda v: v * v)) / len(x))), 5) as first, round(list_sum(x) * sqrt(ps / (list_sum(list_transform(x, lambda v: v * v)) / len(x))), 5) as total from m""")
+def snr_mix(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
+    noise = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("n"))
+    mixed = e.join(noise, "vec_id").select("vec_id", signal.snr_mix(F.col("s"), F.col("n"), F.lit(10.0)).alias("x"))
+    return mixed.select("vec_id", F.round(F.get("x", F.lit(0)), 5).alias("first"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
+@query()
+def babble_mix(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("batch_no"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("signal"))
+    return signal.babble(s, 16, 15.0).select("batch_no", "pos", F.round(F.get("mixed", F.lit(0)), 5).alias("first"))
+
+
+@query(f"""with v as (select vec_id as id, dim as pos, x, dim // 16 as p, dim % 4 as l from ({VALUES})), k as (select id, pos, x, row_number() over (partition by id, p, l order by x desc, pos) = 1 as top from v)
+    select id, pos, case when top then x else min(case when top then x end) over (partition by id) end as value from k""")
+def fuzzy_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return signal.fuzzy_top(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("values")), 4, 16)
+
+
+@query(f"select label, dim, round(avg(x), 6) as x from ({VALUES}) group by all")
+def snapshot_average(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return signal.snapshot_average(d, "label", "v").select("label", F.posexplode("v").alias("dim", "x")).select("label", "dim", F.round("x", 6).alias("x"))
+
+
+# reports
+
+
+@query("select key, k // 100 as interval, round(avg(value), 8) as mean, max(value) as max, min(value) as min from (select event_type as key, value, row_number() over (partition by event_type order by event_id) - 1 as k from events) group by all having count(*) = 100")
+def metric_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return report.intervals(table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("step"), "value"), 100)
+
+
+@query("select event_type, n, round(s, 6) as seconds, round(case when s > 0 then n / s end, 8) as per_second from (select event_type, count(*) as n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::double as s from events group by event_type)")
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return report.throughput(e, ["event_type"])
+
+
+@query("select event_type, param, rate from (select event_type, user_id % 50 as param, value as rate, row_number() over (partition by event_type order by value, event_id) as r from events) where r = 1")
+def best_of_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return report.best_of(table(spark, sf, "events").select("event_type", F.expr("user_id % 50").alias("param"), F.col("value").alias("rate"), F.col("event_id").alias("order")), ["event_type"])
+
+
+@query("""with m as (select lang as dataset, count(*)::double as n, avg(n_chars) as mean, max(n_chars)::double as longest from documents group by lang), l as (unpivot m on n, mean, longest into name metric value value)
+    select metric, round(max(case when dataset = 'de' then value end), 4) as de, round(max(case when dataset = 'en' then value end), 4) as en, round(max(case when dataset = 'es' then value end), 4) as es, round(max(case when dataset = 'fr' then value end), 4) as fr from l group by metric""")
+def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.count("*").cast("double").alias("n"), F.avg("n_chars").alias("mean"), F.max("n_chars").cast("double").alias("longest"))
+    return report.crosstab(m, ["n", "mean", "longest"], ["de", "en", "es", "fr"])
