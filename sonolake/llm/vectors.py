@@ -107,8 +107,8 @@ def _pairs_of(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def compare(part: pd.DataFrame, run: np.ndarray, least: float) -> pd.DataFrame:
     """node, root, links of the rows with links: rows of a run meet, but those of one piece only where the run is that piece."""
-    x = unit(np.stack(part["vec"].to_numpy()).astype(float)) if len(part) else np.zeros((0, 1))
-    code = np.stack(part["codes"].to_numpy()) if len(part) else np.zeros((0, 1), np.int64)
+    x = unit(np.stack(part["vec"].to_numpy()).astype(float))
+    code = np.stack(part["codes"].to_numpy())
     node, copies, piece, cross, table, own = (part[c].to_numpy() for c in ("node", "copies", "piece", "cross", "t", "code"))
     names, at = np.unique(node, return_inverse=True)
     parent, links = np.arange(len(names)), np.zeros(len(names), np.int64)
@@ -153,8 +153,9 @@ def links(vectors: DataFrame, least: float = COSINE) -> DataFrame:
             run = np.cumsum(new)
             done = len(part) if last else int(np.searchsorted(run, run[-1])) if len(part) else 0
             rest = part.iloc[done:]
-            if done:
-                yield compare(part.iloc[:done], run[:done], least)
+            ready, dims = part.iloc[:done], part["dim"].to_numpy()[:done]
+            for d in np.unique(dims):
+                yield compare(ready[dims == d], run[:done][dims == d], least)
 
     return full.repartition(*cols).sortWithinPartitions(*cols).mapInPandas(meet, "node long, root long, links long")
 
