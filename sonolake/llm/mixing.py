@@ -46,11 +46,10 @@ def weights(sources: DataFrame, budget_share: float = BUDGET_SHARE, entropy_shar
     """source, source_tokens, exponent, weight, quota from source, source_tokens (> 0)."""
     one = sources.agg(F.array_sort(F.collect_list(F.struct("source_tokens", "source"))).alias("s"), F.sum("source_tokens").alias("total"))
     one = one.select("s", "total", F.expr("transform(s, x -> x.source_tokens / total)").alias("p"))
-    norm = "aggregate(p, 0D, (c, x) -> c + pow(x, {a}))"
-    z = norm.format(a="{a}")
-    entropy = f"aggregate(p, 0D, (c, x) -> c - pow(x, {{a}}) / {z} * ln(pow(x, {{a}}) / {z}))"
-    # the most repeated source is the one with the largest weight to share, that is the smallest share while the exponent is below 1
-    repeat = f"array_max(transform(p, x -> pow(x, {{a}}) / {z} / x)) * {budget_share}"
+    z = "aggregate(p, 0D, (c, x) -> c + pow(x, {a}))"
+    entropy = f"(ln({z}) - {{a}} / {z} * aggregate(p, 0D, (c, x) -> c + pow(x, {{a}}) * ln(x)))"
+    # how often the most repeated source is repeated: its weight by its share
+    repeat = f"(array_max(transform(p, x -> pow(x, {{a}} - 1))) / {z} * {budget_share})"
     mid = "((b.lo + b.hi) / 2)"
     step = "named_struct('lo', if({ok}, {m}, b.lo), 'hi', if({ok}, b.hi, {m}))"
     search = f"aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), (b, i) -> {{step}}, b -> {{end}})"
@@ -62,7 +61,7 @@ def weights(sources: DataFrame, budget_share: float = BUDGET_SHARE, entropy_shar
     free = f"if({repeat.format(a='0D')} <= {max_repeat}, 0D, {by_repeat})"
     full = f"if({entropy.format(a='1D')} >= {entropy_share} * ln(size(p)), 1D, {by_entropy})"
     a = one.select("s", "total", "p", F.expr(f"round(greatest({full}, {free}), 6)").alias("exponent"))
-    w = a.select("s", "total", "exponent", F.expr(f"transform(p, x -> round(pow(x, exponent) / {z.format(a='exponent')}, 9))").alias("w"))
+    w = a.select("s", "total", "exponent", F.expr(f"transform(array({z.format(a='exponent')}), z -> transform(p, x -> round(pow(x, exponent) / z, 9)))[0]").alias("w"))
     e = w.select("total", "exponent", F.explode(F.arrays_zip("s", "w")).alias("x"))
     quota = F.floor(F.col("x.w") * F.col("total") * budget_share).cast("long")
     return e.select(F.col("x.s.source").alias("source"), F.col("x.s.source_tokens").alias("source_tokens"), "exponent", F.col("x.w").alias("weight"), quota.alias("quota"))
