@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,12 +27,16 @@ def power(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once per row: an expression used inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def snr_mix(signal: Column, noise: Column, snr_db: Column) -> Column:
     """signal plus noise (of its length) at a signal-to-noise ratio in dB, scaled back to the signal's power."""
     gain = F.sqrt(power(signal) / (power(noise) * F.pow(F.lit(10.0), snr_db / 10)))
-    mixed = F.zip_with(signal, noise, lambda s, n: s + gain * n)
-    scale = F.sqrt(power(signal) / power(mixed))
-    return F.transform(mixed, lambda v: v * scale)
+    mixed = let(gain, lambda g: F.zip_with(signal, noise, lambda s, n: s + g * n))
+    return let(mixed, lambda m: let(F.sqrt(power(signal) / power(m)), lambda c: F.transform(m, lambda v: v * c)))
 
 
 def babble(signals: DataFrame, batch: int, snr_db: float) -> DataFrame:
@@ -60,7 +66,7 @@ def snapshot_average(rows: DataFrame, key: str, column: str) -> DataFrame:
 def trim_silence(x: Column, threshold_db: float) -> Column:
     """x from its first to its last value above a threshold in dB of its greatest value."""
     least = F.array_max(F.transform(x, F.abs)) * 10 ** (threshold_db / 20)
-    loud = F.filter(F.transform(x, lambda v, i: F.when(F.abs(v) > least, i)), lambda i: i.isNotNull())
+    loud = let(least, lambda m: F.filter(F.transform(x, lambda v, i: F.when(F.abs(v) > m, i)), lambda i: i.isNotNull()))
     return F.when(F.size(loud) > 0, F.slice(x, F.array_min(loud) + 1, F.array_max(loud) - F.array_min(loud) + 1)).otherwise(F.slice(x, 1, 0))
 
 
@@ -72,7 +78,8 @@ def band_masked(x: Column, seed: Column, width: int) -> Column:
     """x with a band of at most width places set to zero; the seed column fixes where."""
     n = F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(width + 1))
     start = F.pmod(F.xxhash64(seed, F.lit(2)), F.greatest(F.size(x) - n + 1, F.lit(1)))
-    return F.transform(x, lambda v, i: F.when((i >= start) & (i < start + n), F.lit(0.0)).otherwise(v))
+    band = F.struct(start.alias("lo"), (start + n).alias("hi"))
+    return let(band, lambda b: F.transform(x, lambda v, i: F.when((i >= b["lo"]) & (i < b["hi"]), F.lit(0.0)).otherwise(v)))
 
 
 def tiled(overlap: int, growth: float = 0.6):
