@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonolake.functions import numbers
 
@@ -82,7 +83,7 @@ def normalise_punctuation(text: Column) -> Column:
     return F.translate(F.replace(text, F.lit('"'), F.lit("")), ";:!-", ",.. ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(text: pd.Series) -> pd.Series:
     table = str.maketrans(dict(LETTERS))
     return text.map(lambda s: unicodedata.normalize("NFKD", s.translate(table)).encode("ascii", "ignore").decode(), na_action="ignore")
@@ -93,7 +94,7 @@ def ascii_fold(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _fold(text)).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_symbols(text: pd.Series) -> pd.Series:
     table = dict(LETTERS)
 
@@ -137,21 +138,25 @@ def standardise(text: Column, spelling: dict[str, str] | None = None) -> Column:
     return collapse(s)
 
 
-def lower_pipeline(text: Column, charset: str) -> Column:
-    """ASCII, lower case, numbers as words, abbreviations, punctuation, symbols, single spaces; then the charset alone."""
+def lower_pipeline(text: Column, charset: str, strict: bool = True) -> Column:
+    """ASCII, lower case, numbers as words, abbreviations, symbols, single spaces; if strict, punctuation becomes spaces and only the
+    charset stays."""
     s = F.lower(ascii_fold(text))
     s = F.when(s.rlike("[0-9]"), numbers.spoken("-" in charset)(s)).otherwise(s)
-    s = expand_symbols(drop_punctuation(expand_abbreviations(s), charset))
-    return scrub(F.trim(collapse(s)), charset)
+    s = expand_abbreviations(s)
+    s = expand_symbols(drop_punctuation(s, charset) if strict else s)
+    s = F.trim(collapse(s))
+    return scrub(s, charset) if strict else s
 
 
-def normalise(df: DataFrame, column: str, level: str, charset: str, replacements: list[tuple[str, str]] | None = None, keep_tags: bool = False) -> DataFrame:
+def normalise(df: DataFrame, column: str, level: str, charset: str, replacements: list[tuple[str, str]] | None = None, keep_tags: bool = False, english: bool = False, spelling: dict[str, str] | None = None) -> DataFrame:
     """df with column at one of five levels: identity, scrub, ascii, digit_to_word, lowercase. Later steps are replacements, tags and
-    the charset; with tags kept, <, > and _ count as its members."""
+    the charset; with tags kept, <, > and _ count as its members. english: lowercase text is standardised as well."""
     allowed = charset + ("<>_" if keep_tags else "")
     s = F.col(column)
     if level == "lowercase":
-        s = lower_pipeline(s, allowed)
+        s = lower_pipeline(s, charset, strict=False)
+        s = standardise(s, spelling) if english else s
     elif level in ("ascii", "digit_to_word"):
         s = ascii_fold(s)
         if level == "digit_to_word":

@@ -51,6 +51,10 @@ class Session:
         return done
 
 
+def frame(session: int, found: list[tuple[str, float]]) -> pd.DataFrame:
+    return pd.DataFrame({"session": pd.Series([session] * len(found), dtype="int64"), "word": pd.Series([w for w, _ in found], dtype="str"), "ts": pd.Series([t for _, t in found], dtype="float64")})
+
+
 def words(responses: DataFrame) -> DataFrame:
     """session, word, ts from responses (session, seq, ts, kind: partial or final, text). A session is one dialogue: it fits a task."""
 
@@ -60,7 +64,7 @@ def words(responses: DataFrame) -> DataFrame:
             out += s.take(r.kind, r.text or "", r.ts)
         if s.word:
             out.append(s.close())
-        return pd.DataFrame({"session": [rows["session"].iloc[0]] * len(out), "word": [w for w, _ in out], "ts": [t for _, t in out]})
+        return frame(rows["session"].iloc[0], out)
 
     return responses.select("session", "seq", "ts", "kind", "text").groupBy("session").applyInPandas(run, WORDS)
 
@@ -83,7 +87,7 @@ def words_stream(responses: DataFrame, idle: str = "30 seconds", late: str = "10
             state.update(([t for t, _ in s.partials], [t for _, t in s.partials], s.word, s.ts))
             last = int(rows["event_time"].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + gap)
-        yield pd.DataFrame({"session": [key[0]] * len(out), "word": [w for w, _ in out], "ts": [t for _, t in out]})
+        yield frame(key[0], out)
 
     rows = responses.withWatermark("event_time", late).select("session", "seq", "ts", "kind", "text", "event_time")
     return rows.groupBy("session").applyInPandasWithState(step, WORDS, "texts array<string>, times array<double>, word string, ts double", "append", GroupStateTimeout.EventTimeTimeout)
