@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +26,12 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonolake.llm.common import cut
-
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK_BYTES = 24_000_000
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
@@ -65,7 +65,11 @@ def gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: object) -> bytes:
-    return zlib.compress(pickle.dumps(x, 5), 1)
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(x, 5))
+
+
+def _unpack(x: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -129,7 +133,7 @@ def encode_words(chunks: DataFrame, path: str) -> DataFrame:
             for own, words in zip(b["bucket"], b["words"], strict=True):
                 if own != bucket:
                     bucket, known = own, {}
-                number, listed = pickle.loads(zlib.decompress(words))
+                number, listed = _unpack(words)
                 ids = []
                 for w in listed:
                     if (x := known.get(w)) is None:
@@ -146,7 +150,11 @@ def encode_words(chunks: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, path: str, buckets: int | None = None, digests: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens and ids (array), or with digests ids_sha256 and, from the ids decoded again, decoded_sha256."""
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = cut(chunk_table(docs, buckets, chunk_bytes), "chunks")
+    spark = docs.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    # bucketed by chunk: the documents stay where they are when their words' ids come back
+    chunk_table(docs, buckets, chunk_bytes).write.format("parquet").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
+    chunks = spark.table(name)
     words = encode_words(chunks, path).groupBy("chunk").agg(F.collect_list("ids").alias("ids"))
     joined = chunks.where("bucket = -1").select("chunk", "docs").join(words, "chunk", "left").select("docs", "ids")
 
@@ -154,9 +162,9 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None, digests: bool
         flat_bytes, byte_at = token_bytes(path) if digests else (None, None)
         for b in batches:
             for doc, parts in zip(b.column(0), b.column(1), strict=True):
-                ids, counts, planes = pickle.loads(zlib.decompress(doc.as_py()))
+                ids, counts, planes = _unpack(doc.as_py())
                 places = sum((np.frombuffer(p, np.uint8).astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes)), np.zeros(len(planes[0]), np.uint32))
-                found = [pickle.loads(zlib.decompress(p.as_py())) for p in parts.values] if parts.is_valid else []
+                found = [_unpack(p.as_py()) for p in parts.values] if parts.is_valid else []
                 number = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint32)
                 lens = np.concatenate([x[1] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
                 flat = np.concatenate([x[2].astype(np.uint32) for x in found]) if found else np.zeros(0, np.uint32)
