@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sonolake.llm import bpe, fmindex, licenses, mixing, quality, secrets, sharding, simhash, suffixes, vectors
 from sonolake.llm.common import table
+from sonolake.llm.oracles import ORACLES
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +52,4 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_embeddings": op4_embeddings, "op5_fmindex": op5_fmindex, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(ORACLES)
