@@ -54,4 +54,52 @@ m as (select doc_id, i, min(doc_id) over (partition by h) as first from x), c as
 g as (select doc_id, count(*) as n, list(p) as ps from c group by doc_id), kept as (select d.doc_id, string_agg(w[p], ' ' order by p) as t from d, unnest(range(1, len(w) + 1)) as u(p) where not exists (select 1 from c where c.doc_id = d.doc_id and c.p = u.p) group by d.doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join g using (doc_id) left join kept using (doc_id)"""
 
-ORACLES = {"op2_quality": QUALITY, "op3_secrets": SECRETS, "op4_embeddings": EMBEDDINGS, "op5_fmindex": WORD_PASSAGES}
+BYTE_PASSAGES = """with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents), n as (select *, length(x) // 2 as n from d),
+w as (select r, i, md5(substr(x, 2 * i - 1, 400)) as h from n, unnest(range(1, n - 198)) as u(i)), m as (select r, i from (select r, i, count(*) over (partition by h) as c from w) where c > 1),
+g as (select r, i, lag(i) over (partition by r order by i) as p from m), s as (select r, i, sum(case when p is null or i > p + 200 then 1 else 0 end) over (partition by r order by i) as k from g),
+z as (select r, k, min(i) as a, max(i) + 200 as b from s group by r, k), o as (select *, lead(a) over (partition by r order by k) as nx, row_number() over (partition by r order by k) as f from z),
+q as (select n.r, doc_id, n, coalesce(sum(b - a), 0)::bigint as gone, count(a) as spans, coalesce(string_agg(case when f = 1 then substr(x, 1, 2 * (a - 1)) else '' end || substr(x, 2 * b - 1, 2 * (coalesce(nx, n + 1) - b)), '' order by k), any_value(x)) as kept from n left join o on o.r = n.r group by n.r, doc_id, n)
+select doc_id, n as n_bytes, gone as n_removed, spans as n_spans, sha256(unhex(kept)) as kept_sha256 from q"""
+
+
+def _bisect(name: str, test: str) -> str:
+    """A recursive table whose row STEPS has the bounds; where test holds at the middle, lo moves up."""
+    z, t = "list_sum(list_transform(p, lambda x: pow(x, m)))", "list_sum(list_transform(p, lambda x: pow(x, m) * ln(x)))"
+    moved = test.format(z=z, s=t, top="list_max(list_transform(p, lambda x: pow(x, m - 1)))")
+    return f"{name}(i, lo, hi) as (select 0, 0.0::double, 1.0::double union all select i + 1, case when ok then m else lo end, case when ok then hi else m end from (select *, {moved} as ok from (select b.*, (lo + hi) / 2 as m, p from {name} b, o where i < {mixing.STEPS})))"
+
+
+_AT = "list_sum(list_transform(p, lambda x: pow(x, {a})))"
+_ENTROPY = f"(ln({_AT}) - {{a}} / {_AT} * list_sum(list_transform(p, lambda x: pow(x, {{a}}) * ln(x))))"
+_REPEAT = f"list_max(list_transform(p, lambda x: pow(x, {{a}} - 1))) / {_AT}"
+
+MIXING = f"""with recursive c as (select doc_id, source, len({_WORDS})::bigint as tokens, coalesce(doc_id::varchar, 'null') as name, ('0x' || substr(md5('block|' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint % {mixing.BLOCKS} as block from documents),
+k as (select source, block, sum(tokens)::bigint as block_tokens from c group by source, block), t as (select source, sum(block_tokens)::bigint as st from k group by source having sum(block_tokens) > 0),
+o as (select list(st / total::double order by st, source) as p, list(source order by st, source) as names, any_value(total)::bigint as total from t, (select sum(st) as total from t) x),
+{_bisect('be', f"ln({{z}}) - m / {{z}} * {{s}} >= {mixing.ENTROPY_SHARE}::double * ln(len(p))")},
+{_bisect('br', f"{{top}} / {{z}} * {mixing.BUDGET_SHARE}::double > {mixing.MAX_REPEAT}::double")},
+e as (select p, names, total, round(greatest(case when {_ENTROPY.format(a='1.0::double')} >= {mixing.ENTROPY_SHARE}::double * ln(len(p)) then 1.0::double else (select lo from be where i = {mixing.STEPS}) end,
+    case when {_REPEAT.format(a='0.0::double')} * {mixing.BUDGET_SHARE}::double <= {mixing.MAX_REPEAT}::double then 0.0::double else (select hi from br where i = {mixing.STEPS}) end), 6) as exponent from o),
+w as (select names[i] as source, exponent, total, round(pow(p[i], exponent) / {_AT.format(a='exponent')}, 9) as weight from e, unnest(range(1, len(p) + 1)) as u(i)),
+q as (select source, exponent, weight, floor(weight * total * {mixing.BUDGET_SHARE}::double)::bigint // st as full_, floor(weight * total * {mixing.BUDGET_SHARE}::double)::bigint % st as rest from w join t using (source)),
+r as (select source, block, block_tokens, weight, exponent, full_, rest - coalesce(sum(block_tokens) over (partition by source order by md5(full_ || '|block|' || block), block rows between unbounded preceding and 1 preceding), 0) as room from k join q using (source)),
+j as (select c.*, block_tokens, weight, exponent, full_, room, sum(tokens) over (partition by source, block order by md5(full_ || '|' || name), doc_id, tokens rows unbounded preceding) as run from c join r using (source, block)),
+n as (select *, full_ + case when room > 0 and room < block_tokens then (run <= room)::int else (room >= greatest(block_tokens, 1))::int end as copies from j), x as (select *, epoch::int as ep from n, unnest(range(0, copies)) as u(epoch))
+select doc_id, source, tokens, ep as epoch, block, md5(ep || '|block|' || block) as block_key, row_number() over (partition by source, block, ep order by md5(ep || '|' || name), doc_id, tokens) - 1 as place, weight, exponent from x"""
+
+_POSTINGS = ", ".join(f"('{w}', {t}, {q})" for w, t, q in licenses.postings())
+_TEMPLATES = ", ".join(f"({t}, '{label}', ' {phrase} ', {min(licenses.TOP_WORDS, sum(p[1] == t for p in licenses.postings()))})" for t, (label, phrase, _) in enumerate(licenses.TEMPLATES))
+_BASE = ", ".join(f"('{label}', {len(phrase.split())}, '{phrase}')" for phrase, label in licenses.BASE)
+
+LICENSES = f"""with post(word, template, q) as (values {_POSTINGS}), tmpl(template, label, phrase, n) as (values {_TEMPLATES}), bases(label, n, phrase) as (values {_BASE}),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') as w from documents), l as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as line from d),
+b as (select doc_id, label, i - 1 as pos from l, bases, unnest(range(1, len(w) + 1)) as u(i) where contains(line, ' ' || phrase || ' ') and array_to_string(w[i:i + n - 1], ' ') = phrase),
+bb as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels from b group by doc_id), ok as (select doc_id, template, label, n from l, tmpl where contains(line, phrase)),
+a as (select doc_id, i - 1 as p, w[i] as word from l, unnest(range(1, len(w) + 1)) as u(i) where doc_id in (select doc_id from ok)), h as (select a.* from a where word in (select word from post)), df as (select word, count(distinct doc_id) as df from h group by word),
+v as (select h.doc_id, post.template, p - q as shift, q, dense_rank() over (partition by h.doc_id, post.template order by df, h.word) as rank from h join post using (word) join df using (word) join ok on ok.doc_id = h.doc_id and ok.template = post.template),
+c as (select doc_id, template, shift, count(distinct q) as votes from v where rank <= {licenses.TOP_WORDS} group by all), m as (select c.doc_id, ok.label, least(1.0::double, max(votes) / ok.n::double) as share from c join ok using (doc_id, template) group by c.doc_id, template, ok.label, ok.n),
+f as (select doc_id, list(distinct label) filter (where share >= {licenses.MIN_COVERAGE}::double) as labels, max(share) as score from m group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(array_to_string(list_sort(bb.labels), ','), '') as base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(f.labels, [])))), ',') as labels, case when n_base > 0 then 1.0::double else coalesce(score, 0.0::double) end as score from d left join bb using (doc_id) left join f using (doc_id)"""
+
+ORACLES = {"op2_quality": QUALITY, "op3_secrets": SECRETS, "op4_embeddings": EMBEDDINGS, "op5_fmindex": WORD_PASSAGES, "op6_mixing": MIXING, "op7_suffixes": BYTE_PASSAGES, "op9_licenses": LICENSES}
