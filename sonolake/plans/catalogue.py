@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.functions import text as t
+from sonolake.functions import tokens
 from sonolake.operators import curate, errorrate, lm, report, sampling, segments, signal, timing
 from sonolake.plans import views
+from sonolake.sources import readers, writers
 from sonolake.streaming import fusion, windows
 from sonolake.tables import indexed, ranked, seeded, table
 
@@ -564,3 +566,62 @@ def best_of_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.count("*").cast("double").alias("n"), F.avg("n_chars").alias("mean"), F.max("n_chars").cast("double").alias("longest"))
     return report.crosstab(m, ["n", "mean", "longest"], ["de", "en", "es", "fr"])
+
+
+# tokens, joins and sinks
+
+
+@query()
+def subword_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", views.split_words(F.lower("text")).alias("words"))
+    return tokens.tokenised(d, subword_vocabulary(spark, sf), "doc_id").select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("fingerprint"))
+
+
+@query()
+def oov_audit(spark: SparkSession, sf: str) -> DataFrame:
+    # the vocabulary covers documents; conversations may hold characters that it does not
+    d = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), views.split_words(F.lower("text")).alias("words"))
+    ids = tokens.tokenised(d, subword_vocabulary(spark, sf), "utt")
+    return ids.agg(F.count("*").alias("n"), F.count_if(F.array_contains("ids", 0)).alias("unknown"))
+
+
+@query(f"select file, line from (select file, seq, file || ' 1 ' || format('{{:.3f}}', start) || ' 0.250 ' || word as line from ({CTM}))")
+def ctm_lines(spark: SparkSession, sf: str) -> DataFrame:
+    c = views.ref_ctm(spark, sf)
+    return writers.ctm_lines(c.withColumn("file", F.col("file").cast("string"))).select(F.element_at(F.split("value", " "), 1).cast("long").alias("file"), F.col("value").alias("line"))
+
+
+@query("select 'hub/' || (i // 100) || '/' || ((i // 10) % 10) || '/' || i || '.flac' as fname, doc_id, i // 250 as chunk from (select doc_id, row_number() over (order by doc_id) - 1 as i from documents)")
+def hub_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.hub_manifest(table(spark, sf, "documents"), "text", "hub", 10, 10, 250, ["doc_id"]).select("fname", "doc_id", "chunk")
+
+
+@query("select user_id, count(*) as n, count(*) filter (where event_type = 'purchase') as processed, max_by(event_type, event_id) as last from events group by user_id")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("processed"), F.max_by("event_type", "event_id").alias("last"))
+
+
+@query("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
+def pending_work(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+@query(f"select n.utt, n.text, round(n.score + 0.3 * coalesce(e.score, 0), 6) as score from ({_NBEST}) n left join (select utt, text, max(score) as score from ({_NBEST}) group by utt, text) e using (utt, text)")
+def nbest_rescore(spark: SparkSession, sf: str) -> DataFrame:
+    n = _nbest(spark, sf)
+    return lm.rescored(n, n.groupBy("utt", "text").agg(F.max("score").alias("score")), 0.3).select("utt", "text", "score")
+
+
+@query()
+def noise_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    utts = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"))
+    noises = indexed(table(spark, sf, "embeddings").select("vec_id"), ["vec_id"], "noise_id")
+    return signal.noise_assignment(utts, noises, 3, 0.0, 30.0).select("utt", "noise_id", F.round("snr", 6).alias("snr"), F.round("start", 6).alias("start"))
+
+
+@query(f"select session, string_agg(text, '' order by ts, seq) filter (where kind = 'final') as finals, arg_max(text, ts) filter (where kind = 'partial') as last_partial from ({RESPONSES}) where kind in ('partial', 'final') group by session having count(*) filter (where kind = 'partial') > 0 and count(*) filter (where kind = 'final') > 0")
+def display_state(spark: SparkSession, sf: str) -> DataFrame:
+    r = views.responses(spark, sf).where("kind in ('partial', 'final')")
+    done = F.array_sort(F.collect_list(F.when(F.col("kind") == "final", F.struct("ts", "seq", "text"))))
+    g = r.groupBy("session").agg(F.array_join(F.transform(done, lambda x: x["text"]), "").alias("finals"), F.max_by(F.when(F.col("kind") == "partial", F.col("text")), F.when(F.col("kind") == "partial", F.struct("ts", "seq"))).alias("last_partial"), F.count_if(F.col("kind") == "partial").alias("p"), F.count_if(F.col("kind") == "final").alias("f"))
+    return g.where("p > 0 and f > 0").select("session", "finals", "last_partial")

@@ -304,6 +304,35 @@ def test_text_sources(spark, tmp_path):
         readers.mix_table(spark, {"a": {"manifest": "m", "weight": -1}})
 
 
+def test_tokens_round_trip(spark):
+    from sonolake.functions import tokens
+
+    v = spark.createDataFrame([("ba", -1.0), ("na", -1.0), ("b", -3.0), ("a", -3.0), ("n", -3.0)], "piece string, score double")
+    d = spark.createDataFrame([(1, ["banana", "ban"]), (2, ["bxa"])], "k long, words array<string>")
+    ids = tokens.tokenised(d, v, "k")
+    assert {r.k: r.ids for r in ids.collect()} == {1: [1, 2, 2, 1, 5], 2: [4, 0, 3]}
+    assert [r.k for r in tokens.known(ids).collect()] == [1]
+    p = spark.createDataFrame([(["▁he", "llo", "<unk>", "▁you"],)], "p array<string>")
+    assert p.select(tokens.piece_text(F.col("p")).alias("x")).first().x == "hello ⁇  you"
+
+
+def test_audio_features(spark):
+    import numpy as np
+
+    from sonolake.operators import audio
+
+    tone = (np.sin(np.arange(16000) * 2 * np.pi * 1000 / 16000) * 20000).astype("<i2").tobytes()
+    raw = wav(16000)[:44] + tone
+    d = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b"no header"))], "utt long, content binary")
+    got = audio.features(d, 40).orderBy("frame").collect()
+    assert [r.utt for r in got] == [1] * 98 and len(got[0].features) == 40
+    peak = int(np.argmax(got[5].features))
+    bank = audio.mel_bank(40, 512, 16000)
+    assert bank[peak, 32] > 0, "the loudest band holds 1 kHz"
+    x, rate = audio.samples_of(raw)
+    assert len(audio.resampled(x, 1.25)) == 12800 and np.abs(audio.narrow_band(x, rate, 1000)).max() < 0.05
+
+
 def test_nothing_outside_imports_the_training_data_operators():
     from pathlib import Path
 
