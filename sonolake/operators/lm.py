@@ -147,7 +147,7 @@ def pruned(nbest: DataFrame, beam: float, k: int) -> DataFrame:
 def rescored(nbest: DataFrame, extra: DataFrame, weight: float) -> DataFrame:
     """nbest with score + weight * extra's score of the same (utt, text)."""
     e = extra.select("utt", "text", F.col("score").alias("_e"))
-    return nbest.join(e, ["utt", "text"], "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("_e", F.lit(0.0)), 6)).drop("_e")
+    return nbest.join(e, ["utt", "text"], "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("_e", F.lit(0.0)), 8)).drop("_e")
 
 
 def common_prefix(nbest: DataFrame) -> DataFrame:

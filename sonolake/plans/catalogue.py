@@ -606,10 +606,10 @@ def pending_work(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
-@query(f"select n.utt, n.text, round(n.score + 0.3 * coalesce(e.score, 0), 6) as score from ({_NBEST}) n left join (select utt, text, max(score) as score from ({_NBEST}) group by utt, text) e using (utt, text)")
+@query(f"select n.utt, n.text, round(n.score + 0.25 * coalesce(e.score, 0), 8) as score from ({_NBEST}) n left join (select utt, text, max(score) as score from ({_NBEST}) group by utt, text) e using (utt, text)")
 def nbest_rescore(spark: SparkSession, sf: str) -> DataFrame:
     n = _nbest(spark, sf)
-    return lm.rescored(n, n.groupBy("utt", "text").agg(F.max("score").alias("score")), 0.3).select("utt", "text", "score")
+    return lm.rescored(n, n.groupBy("utt", "text").agg(F.max("score").alias("score")), 0.25).select("utt", "text", "score")
 
 
 @query()
