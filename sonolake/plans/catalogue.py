@@ -13,7 +13,7 @@ from sonolake.operators import curate, errorrate, lm, report, sampling, segments
 from sonolake.plans import views
 from sonolake.sources import readers, writers
 from sonolake.streaming import fusion, windows
-from sonolake.tables import indexed, ranked, seeded, table
+from sonolake.tables import indexed, ranked, seeded, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,8 +45,7 @@ def query(sql: str | None = None) -> Callable:
 
 @query()
 def wer_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    # one file is one task; the distance is quadratic in a document's words, so rows are spread first
-    return errorrate.error_rate(views.pairs(spark, sf).repartition("utt"), ["source"])
+    return errorrate.error_rate(views.pairs(spark, sf), ["source"])
 
 
 def _turn_tokens(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -255,7 +254,7 @@ def step_schedules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _text(name: str, rule: Callable, sql: str, source: str = "documents", key: str = "doc_id") -> None:
-    QUERIES[name] = lambda spark, sf: table(spark, sf, source).select(*key.split(", "), rule(F.col("text")).alias("text"))
+    QUERIES[name] = lambda spark, sf: spread(table(spark, sf, source)).select(*key.split(", "), rule(F.col("text")).alias("text"))
     ORACLE_SQL[name] = f"select {key}, {sql} as text from {source}"
 
 
@@ -277,12 +276,12 @@ _text("text_sentence_ends", lambda c: t.sentence_ends(c)[0], r"regexp_replace(te
 
 @query()
 def text_standardise(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", t.standardise(F.col("text"), {"normalise": "normalize", "centralised": "centralized"}).alias("text"))
+    return spread(table(spark, sf, "conversations")).select("conv_id", "turn", t.standardise(F.col("text"), {"normalise": "normalize", "centralised": "centralized"}).alias("text"))
 
 
 @query()
 def text_lowercase(spark: SparkSession, sf: str) -> DataFrame:
-    return t.normalise(table(spark, sf, "documents").select("doc_id", "text"), "text", "lowercase", CHARSET)
+    return t.normalise(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", "lowercase", CHARSET)
 
 
 @query("select ch as char, count(*) as n, contains(' ''abcdefghijklmnopqrstuvwxyz', ch) as covered from (select unnest(string_split(text, '')) as ch from documents) where ch <> '' group by ch")
@@ -436,11 +435,11 @@ def silence_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select gram, count(*) as c from (select array_to_string(w[i:i + 2], ' ') as gram from (select {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w) - 1)) as u(i)) group by gram")
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return lm.ngrams(table(spark, sf, "documents").select(views.split_words(F.col("text")).alias("words")), 3)
+    return lm.ngrams(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")), 3)
 
 
 def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return lm.bigram_model(table(spark, sf, "documents").select(views.split_words(F.col("text")).alias("words")))
+    return lm.bigram_model(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")))
 
 
 @query(f"""with g as (select w[i] as context, w[i + 1] as word, count(*) as c from (select {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w))) as u(i) group by all),
@@ -460,14 +459,14 @@ def ngram_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def subword_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return lm.subwords(table(spark, sf, "documents").select(views.split_words(F.lower("text")).alias("words")), 500)
+    return lm.subwords(spread(table(spark, sf, "documents")).select(views.split_words(F.lower("text")).alias("words")), 500)
 
 
 @query(f"""with k as ({KEYWORDS}), t as (select doc_id, lower(text) as x from documents),
     p as (select doc_id, x, phrase, weight, length(phrase) as n from t, k)
     select doc_id, round(sum(weight * (n * (case when contains(x, phrase) then len(list_filter(range(1, length(x) - n + 2), lambda i: x[i:i + n - 1] = phrase)) else 0 end) + list_sum(list_transform(range(1, n), lambda i: case when ends_with(x, phrase[1:i]) then i else 0 end)))), 6) as score from p group by doc_id""")
 def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.lower("text").alias("text"))
     return lm.keyword_scores(d, views.keywords(spark, sf), "doc_id")
 
 
@@ -573,7 +572,7 @@ def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def subword_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", views.split_words(F.lower("text")).alias("words"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", views.split_words(F.lower("text")).alias("words"))
     return tokens.tokenised(d, subword_vocabulary(spark, sf), "doc_id").select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("fingerprint"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sonolake.tables import table
+from sonolake.tables import spread, table
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def split_words(text: Column) -> Column:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utt, lang, source, ref_words, hyp_words: in the hypothesis every 7th word is replaced, every 10th dropped, every 13th doubled."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt"), "lang", "source", split_words(F.col("text")).alias("ref_words"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("utt"), "lang", "source", split_words(F.col("text")).alias("ref_words"))
     place = lambda i: i + 1
     heard = F.flatten(F.transform("ref_words", lambda x, i: F.when(place(i) % 10 == 0, F.array().cast("array<string>")).when(place(i) % 7 == 0, F.array(F.lit("zz"))).when(place(i) % 13 == 0, F.array(x, x)).otherwise(F.array(x))))
     return d.withColumn("hyp_words", heard)
@@ -43,7 +43,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ref_ctm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, seq, start, duration, word: words of all documents, 0.3 s apart."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(split_words(F.col("text"))).alias("seq", "word"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file"), F.posexplode(split_words(F.col("text"))).alias("seq", "word"))
     return d.select("file", "seq", (F.col("seq") * 0.3).alias("start"), F.lit(0.25).alias("duration"), "word")
 
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer splits than cores is dealt out before work that is heavy per row; a large one stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df through a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
     spark = df.sparkSession
