@@ -43,14 +43,16 @@ def percentile_row(p: int) -> str:
 
 
 def latency_summary(latencies: DataFrame, by: list[str], frame_width: float = 0.0) -> DataFrame:
-    """by, n, mean, stdev (population), median, p90, p99 of latency less half a frame. Percentiles are single values, picked by
-    place from a histogram of distinct values, so that no task sorts all rows of a group."""
+    """by, n, mean, stdev (population), median, p90, p99 of latency less half a frame. All come from a histogram of distinct values;
+    percentiles are single values, picked by place, so that no task holds all rows of a group."""
     d = latencies.select(*by, F.round(F.col("latency") - 0.5 * frame_width, 6).alias("x"))
-    stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("stdev"), F.round(F.median("x"), 6).alias("median"))
     seen = d.groupBy(*by, "x").agg(F.count("*").alias("c"))
-    upto = seen.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).join(stats.select(*by, "n"), by)
-    pick = upto.groupBy(*by).agg(*[F.min(F.when(F.expr(f"upto > {percentile_row(p)}"), F.col("x"))).alias(f"p{p}") for p in (90, 99)])
-    return stats.join(pick, by)
+    total = seen.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_mean"))
+    upto = seen.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).join(total, by)
+    at = lambda place: F.min(F.when(F.expr(f"upto > {place}"), F.col("x")))
+    spread = F.sqrt(F.sum(F.col("c") * F.pow(F.col("x") - F.col("_mean"), 2)) / F.sum("c"))
+    median = (at("floor((n - 1) / 2)") + at("floor(n / 2)")) / 2
+    return upto.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max("_mean"), 6).alias("mean"), F.round(spread, 6).alias("stdev"), F.round(median, 6).alias("median"), *[at(percentile_row(p)).alias(f"p{p}") for p in (90, 99)])
 
 
 def timestamp_shift(deltas: DataFrame, by: list[str], head_offset: float, tail_offset: float) -> DataFrame:
