@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency (native).
 
-Base rules look at one text. The method looks across documents: short lines are normalised (lower case, single spaces) and hashed,
+Base rules look at one text. The method looks across documents: lines are normalised (lower case, single spaces) and hashed,
 distinct documents are counted per host (the source column), lines above the host's limit are removed except in the host's first
 document that has them, and a document that is depleted by that is rejected. Documents with equal texts count once, so that a
 group of copies does not make its own lines look like boilerplate.
@@ -21,7 +21,7 @@ WINDOW = 5
 #: A line is above the limit if more than LIMIT_DOCS distinct documents and more than LIMIT_SHARE of the host's have it.
 LIMIT_DOCS = 20
 LIMIT_SHARE = 0.02
-#: Longer lines are prose, the business of deduplication.
+#: Only the SQL leaves out longer lines; the query counts lines of any length, as only their hashes are dealt out.
 LINE_WORDS = 30
 #: What is left must have that many words, and that share of the document's words.
 LEFT_WORDS = 10
@@ -66,10 +66,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
 
-def short_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, host, line (hash), line_words: the distinct short lines of each row; line_words counts all its repeats."""
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, host, line (hash), line_words: the lines of each row that have a word, repeats too."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("source").alias("host"), F.explode(F.split("text", "\n", -1)).alias("l"))
-    lines = lines.withColumn("w", F.size(words(F.col("l")))).where(f"w between 1 and {LINE_WORDS}")
+    lines = lines.withColumn("w", F.size(words(F.col("l")))).where("w > 0")
     return lines.select("doc_id", "key", "host", F.xxhash64(normalised(F.col("l"))).alias("line"), F.col("w").cast("long").alias("line_words"))
 
 
@@ -82,7 +82,7 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, limit_docs: int = LIMIT_DO
 
 def removals(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, key, removed_words, removed_lines (hashes) of the rows that lose lines."""
-    lines = short_lines(docs)
+    lines = hashed_lines(docs)
     often = frequent_lines(lines, docs, **limits)
     often = often.withColumnsRenamed({"host": "_host", "line": "_line"})
     hit = lines.join(often, F.expr("host <=> _host and line = _line and not doc_id <=> carrier")).select("doc_id", "key", "host", "line", "line_words")

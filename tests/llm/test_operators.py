@@ -134,6 +134,18 @@ def test_quality_lines(spark):
     assert kept[200] == prose[0], "long lines are left to deduplication"
 
 
+def test_quality_long_lines(spark):
+    from sonolake.llm import quality
+
+    notice = " ".join(f"clause{i}" for i in range(45))
+    prose = [" ".join(f"word{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(i, p + "\n" + notice) for i, p in enumerate(prose)] + [(100 + i, notice.upper() + f"\nonly {i}") for i in range(3)]
+    d = spark.createDataFrame([(i, t, "en", "host", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.removed_words, r.kept) for r in quality.digest(d).collect()}
+    assert got == {0: (0, True)} | {i: (45, True) for i in range(1, 30)} | {100 + i: (45, False) for i in range(3)}
+    assert {r.doc_id: r.text for r in quality.clean(d).collect()} == {0: rows[0][1]} | {i: prose[i] for i in range(1, 30)}
+
+
 RULES = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
 
 
