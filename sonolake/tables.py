@@ -20,14 +20,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df through a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; in local mode (tests) a temporary one may stand in for it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sonolake-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df through a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
