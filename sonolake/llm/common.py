@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolake.tables import shared_dir
+
 #: Java's and SQL's class of the white space that splits words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -18,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sonolake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -35,6 +27,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs as one struct column named row, and copies of the key columns: what is added beside them cannot clash with docs' own names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+
+
+def with_text(row: Column, text: Column, changed: Column, n_chars: str | None) -> Column:
+    """The struct row with another text where changed; its field n_chars follows, if it has one (its type is given)."""
+    new = row.withField("text", text)
+    new = new.withField("n_chars", F.char_length(text).cast(n_chars)) if n_chars else new
+    return F.when(changed, new).otherwise(row)
+
+
+def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """key, hot (true) of the keys that hold more than one in share of all rows: fewer than share keys, whatever the table, so that they
+    can be broadcast."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    return counts.join(F.broadcast(total), F.col("n") * share > F.col("total")).select(key, F.lit(True).alias("hot"))
+
+
+def spread_salts(values: DataFrame, hot: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """values, a row per salt (from 0) for hot keys, for joins with rows whose hot keys have salts at random."""
+    each = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return values.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(each)).drop("hot")
+
+
 def words(text: Column) -> Column:
     """The maximal runs without ASCII white space, as an array; null text has none."""
     return F.coalesce(F.array_remove(F.split(text, SPACE), ""), F.array().cast("array<string>"))

@@ -1,31 +1,43 @@
 """Quality rules with cross-document line frequency (native).
 
 Base rules look at one text. The method looks across documents: lines are normalised (lower case, single spaces) and hashed,
-distinct documents are counted per host (the source column), lines above the host's limit are removed except in the host's first
-document that has them, and a document that is depleted by that is rejected. Documents with equal texts count once, so that a
-group of copies does not make its own lines look like boilerplate.
+distinct documents are counted per host (the source column), lines above the host's limit are removed, and a document that is
+depleted by that is rejected. Documents with equal texts count once, so that a group of copies does not make its own lines look
+like boilerplate. Lines of any length count: only their hashes are dealt out. With carrier, the host's first document that has a
+line keeps it.
 
 Nulls: a null text has no words and fails the base rules; a null source is a host of its own; null doc_ids never carry a line.
 Rows are matched by (doc_id, text hash), null-safe, so repeated rows get equal verdicts. Empty tables give empty results; other
-columns are carried on. Windows of one text are compared by 64-bit hashes inside that text only.
+columns are carried on by clean(), whatever their names. Windows of one text are compared by 64-bit hashes inside that text only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolake.llm.common import SPACE, cut, words
+from sonolake.llm.common import SPACE, cut, whole, with_text, words
 
 WINDOW = 5
-#: A line is above the limit if more than LIMIT_DOCS distinct documents and more than LIMIT_SHARE of the host's have it.
-LIMIT_DOCS = 20
-LIMIT_SHARE = 0.02
-#: Only the SQL leaves out longer lines; the query counts lines of any length, as only their hashes are dealt out.
-LINE_WORDS = 30
-#: What is left must have that many words, and that share of the document's words.
-LEFT_WORDS = 10
-LEFT_SHARE = 0.2
+
+
+@dataclass(frozen=True)
+class Limits:
+    """A line is above its host's limit if more than docs_floor distinct documents of the host have it, and more than share of the
+    host's distinct documents or more than docs_most of them. A document that lost lines is depleted if fewer than left_words words, or
+    less than left_share of its words, are left. carrier: the host's first document keeps its lines."""
+
+    docs_floor: int = 5
+    share: float = 0.02
+    docs_most: int = 1000
+    left_words: int = 10
+    left_share: float = 0.2
+    carrier: bool = False
+
+
+LIMITS = Limits()
 
 
 def window_hashes(w: str) -> Column:
@@ -73,50 +85,50 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "key", "host", F.xxhash64(normalised(F.col("l"))).alias("line"), F.col("w").cast("long").alias("line_words"))
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
+def frequent_lines(lines: DataFrame, docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """host, line, carrier for each line above its host's limit; carrier is the host's first document that has it."""
-    seen = lines.groupBy("host", "line", "key").agg(F.min("doc_id").alias("first")).groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("carrier")).where(F.col("n_docs") > limit_docs)
+    seen = lines.groupBy("host", "line", "key").agg(F.min("doc_id").alias("first")).groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("carrier")).where(F.col("n_docs") > limits.docs_floor)
     hosts = docs.groupBy(F.col("source").alias("host"), text_key(F.col("text")).alias("key")).count().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return seen.join(hosts.withColumnRenamed("host", "_host"), F.expr("host <=> _host")).where(F.col("n_docs") > limit_share * F.col("host_docs")).select("host", "line", "carrier")
+    above = (F.col("n_docs") > limits.share * F.col("host_docs")) | (F.col("n_docs") > limits.docs_most)
+    return seen.join(hosts.withColumnRenamed("host", "_host"), F.expr("host <=> _host")).where(above).select("host", "line", "carrier")
 
 
-def removals(docs: DataFrame, **limits: float) -> DataFrame:
+def removals(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, key, removed_words, removed_lines (hashes) of the rows that lose lines."""
     lines = hashed_lines(docs)
-    often = frequent_lines(lines, docs, **limits)
-    often = often.withColumnsRenamed({"host": "_host", "line": "_line"})
-    hit = lines.join(often, F.expr("host <=> _host and line = _line and not doc_id <=> carrier")).select("doc_id", "key", "host", "line", "line_words")
+    often = frequent_lines(lines, docs, limits).withColumnsRenamed({"host": "_host", "line": "_line"})
+    lost = "host <=> _host and line = _line" + (" and not doc_id <=> carrier" if limits.carrier else "")
+    hit = lines.join(often, F.expr(lost)).select("doc_id", "key", "host", "line", "line_words")
     # repeated rows bring the same lines again: a line's words per row are its total over the number of such rows
     rows = docs.groupBy(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"), F.col("source").alias("_host")).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     per = hit.groupBy("doc_id", "key", "host").agg(F.sum("line_words").alias("words"), F.collect_set("line").alias("lines"))
     return per.join(rows, F.expr("doc_id <=> _id and key = _key and host <=> _host"), "left").select("doc_id", "key", "host", (F.col("words") / F.coalesce("n_rows", F.lit(1))).cast("long").alias("removed_words"), F.col("lines").alias("removed_lines"))
 
 
-def verdicts(base: DataFrame, lost: DataFrame) -> DataFrame:
+def verdicts(base: DataFrame, lost: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """base (doc_id, key, source, n_words, base_failed, ...) with removed_words, removed_lines and kept."""
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("host").alias("_host"), "removed_words", "removed_lines")
     removed = F.coalesce("removed_words", F.lit(0).cast("long"))
     left = F.col("n_words") - removed
-    depleted = (removed > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
+    depleted = (removed > 0) & ((left < limits.left_words) | (left < limits.left_share * F.col("n_words")))
     joined = base.join(lost, F.expr("doc_id <=> _id and key = _key and source <=> _host"), "left")
     return joined.select(*base.columns, removed.alias("removed_words"), "removed_lines", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    base = base_columns(docs.select("doc_id", "source", "text")).withColumn("key", text_key(F.col("text"))).drop("text")
-    return verdicts(base, removals(docs.select("doc_id", "source", "text"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+def digest(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    narrow = docs.select("doc_id", "source", "text")
+    base = base_columns(narrow).withColumn("key", text_key(F.col("text"))).drop("text")
+    return verdicts(base, removals(narrow, limits), limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """The kept rows with docs' own columns; lines above their host's limit are taken out of the text, n_chars follows."""
     narrow = docs.select("doc_id", "source", "text")
     base = base_columns(narrow).withColumn("key", text_key(F.col("text"))).drop("text")
     # written before the filter: pushed below the projections, it would repeat their array expressions inside each other
-    flags = cut(verdicts(base, removals(narrow)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_host"), "removed_lines", "kept"), "verdicts")
-    kept = flags.where("kept").dropDuplicates(["_id", "_key", "_host"])
-    d = docs.withColumn("_k", text_key(F.col("text"))).join(kept, F.expr("doc_id <=> _id and _k = _key and source <=> _host"))
+    flags = cut(verdicts(base, removals(narrow, limits), limits).select("doc_id", "key", F.col("source").alias("host"), "removed_lines", "kept"), "verdicts")
+    kept = flags.where("kept").dropDuplicates(["doc_id", "key", "host"]).withColumnsRenamed({"doc_id": "_id", "key": "_key", "host": "_host"})
+    d = whole(docs, "doc_id", "source", "text").withColumn("key", text_key(F.col("text"))).join(kept, F.expr("doc_id <=> _id and key = _key and source <=> _host"))
     left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(normalised(x))))
-    d = d.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
-    return d.select(*docs.columns)
+    row = with_text(F.col("row"), F.array_join(left, "\n"), F.col("removed_lines").isNotNull(), dict(docs.dtypes).get("n_chars"))
+    return d.select(row.alias("row")).select("row.*")
