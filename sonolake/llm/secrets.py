@@ -1,22 +1,31 @@
 """Secret scans over an incremental blob ledger (native).
 
-Every version of every path is content-addressed by SHA-256. A ledger holds the (blob, rule version) pairs scanned so far; only
-unseen pairs are scanned, each once however many paths hold the blob, and findings are joined back to all paths. Scan and ledger
-are plain tables: a later run passes the earlier ledger and findings and scans only what is new.
+Every version of every path is content-addressed by SHA-256. The ledger is a pair of Parquet tables in a folder: the (blob, rule
+version) pairs scanned so far, and the findings of blobs that have any. A batch of versions scans its unseen pairs only, each once
+however many paths hold the blob, and adds to both tables; findings are joined back to all paths of all batches. The folder may be
+that of earlier runs: then only what is new is scanned. A batch adds findings before pairs, so that one that failed between the two
+is scanned again, and findings are read without repeats.
 
-Places of matches: Java's split gives the text between matches and regexp_extract_all the matches; running lengths (in code
-points) give starts and ends. Base kinds are fixed; the method adds key blocks and tokens of known issuers.
+The query takes documents as paths in two batches by the middle of their ids, as they would arrive, into a ledger of its own.
 
-Nulls: a null text is empty and has no findings; null ids are kept. Repeated rows are separate paths of one blob. Empty tables give
-empty results; other columns are ignored, or carried on by redact(). Overlaps of different kinds are all reported.
+Places of matches: Java's split gives the text between matches and regexp_extract_all the matches; running sums of their lengths
+(in code points) give starts and ends. Base kinds are fixed; the method adds key blocks and tokens of known issuers.
+
+Nulls: a null text is empty and has no findings; null ids are kept (they come in the first batch). Repeated rows are separate paths
+of one blob. Empty tables give empty results; other columns are ignored, or carried on by redact(), whatever their names. Overlaps
+of different kinds are all reported. A blob that many paths share is joined back by salts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sonolake.llm.common import cut, sha_hex
+from sonolake.llm.common import cut, hot_keys, sha_hex, spread_salts, whole, with_text
+from sonolake.tables import shared_dir
 
 RULE_VERSION = 1
 # Kind, pattern, the group that is measured, least length of that group. The first three are the base kinds.
@@ -30,61 +39,87 @@ RULES = (
 )
 BASE = 3
 MARK = "[SECRET]"
+#: A blob that holds more than a thousandth of all rows is joined back in so many parts.
+SALTS = 64
 
 
 def blob_id(text: Column) -> Column:
     return sha_hex(F.coalesce(text, F.lit("")))
 
 
-def rule_spans(text: str, at: int) -> str:
-    """SQL: an array of (start, end, rank) for the matches of RULES[at] in a column."""
-    _, pattern, group, least = RULES[at]
+def rule_hits(text: str, at: int) -> str:
+    """SQL: an array of (rank, i, gap, hit, part) for the matches of RULES[at] in a column: lengths of the text before, the match and its
+    measured group."""
+    _, pattern, group, _ = RULES[at]
     quoted = "r'" + pattern.replace("'", "\\x27") + "'"
     between, found, measured = f"split({text}, {quoted}, -1)", f"regexp_extract_all({text}, {quoted}, 0)", f"regexp_extract_all({text}, {quoted}, {group})"
-    # one fold over the matches: pos is the end of the last match
-    step = "named_struct('pos', a.pos + char_length(x.gap) + char_length(x.hit), 'out', concat(a.out, if(char_length(x.part) >= %d, array(named_struct('start', a.pos + char_length(x.gap), 'rank', %d, 'end', a.pos + char_length(x.gap) + char_length(x.hit))), slice(a.out, 1, 0))))" % (least, at)
-    rows = f"zip_with(slice({between}, 1, size({found})), zip_with({found}, {measured}, (h, p) -> named_struct('hit', h, 'part', p)), (g, h) -> named_struct('gap', g, 'hit', h.hit, 'part', h.part))"
-    empty = "cast(array() as array<struct<start: int, rank: int, end: int>>)"
-    return f"aggregate({rows}, named_struct('pos', 0, 'out', {empty}), (a, x) -> {step}, a -> a.out)"
+    pairs = f"zip_with({found}, {measured}, (h, p) -> named_struct('hit', char_length(h), 'part', char_length(p)))"
+    return f"transform(zip_with(slice({between}, 1, size({found})), {pairs}, (g, h) -> named_struct('gap', char_length(g), 'hit', h.hit, 'part', h.part)), (x, i) -> named_struct('rank', {at}, 'i', i, 'gap', x.gap, 'hit', x.hit, 'part', x.part))"
 
 
 def scan(blobs: DataFrame) -> DataFrame:
-    """blobs (blob, text) with spans: array of (start, rank, end) by start, then kind as listed. Texts that a rule cannot match
-    skip its fold; a rule's pattern is searched once to tell."""
+    """blob, spans (array of (start, rank, end) by start, then kind as listed) of the blobs (blob, text) that have any. Texts that a
+    rule cannot match skip its lists; a rule's pattern is searched once to tell."""
     d = blobs
     for at, (_, pattern, _, _) in enumerate(RULES):
         d = d.withColumn(f"_h{at}", F.col("text").rlike(pattern))
-    empty = "cast(array() as array<struct<start: int, rank: int, end: int>>)"
-    parts = ", ".join(f"if(_h{at}, {rule_spans('text', at)}, {empty})" for at in range(len(RULES)))
-    return d.select("blob", F.expr(f"array_sort(concat({parts}))").alias("spans"))
+    none = "cast(array() as array<struct<rank: int, i: int, gap: int, hit: int, part: int>>)"
+    parts = ", ".join(f"if(_h{at}, {rule_hits('text', at)}, {none})" for at in range(len(RULES)))
+    hits = d.where(" or ".join(f"_h{at}" for at in range(len(RULES)))).select("blob", F.explode(F.expr(f"concat({parts})")).alias("x")).select("blob", "x.*")
+    end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    least = F.get(F.array(*[F.lit(n) for *_, n in RULES]), F.col("rank"))
+    spans = hits.withColumn("end", end).where(F.col("part") >= least).select("blob", F.struct((F.col("end") - F.col("hit")).alias("start"), "rank", "end").alias("s"))
+    return spans.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+
+
+LEDGER, FINDINGS = "blob string, rule_version int", "blob string, rule_version int, spans array<struct<start: int, rank: int, end: int>>"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # so that there is a table to read
+    return spark.read.schema(schema).parquet(path)
+
 
+def findings(spark: SparkSession, ledger: str) -> DataFrame:
+    """blob, spans found under RULE_VERSION so far by the ledger in that folder."""
+    return _read(spark, f"{ledger}/findings", FINDINGS).where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]).select("blob", "spans")
 
-def ledger_scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The new ledger (blob, rule_version) and the findings (blob, rule_version, spans) of all blobs that have any.
 
-    versions: path, blob, text. ledger and findings are those of earlier runs, or None."""
+def scan_batch(versions: DataFrame, ledger: str) -> int:
+    """Scans the unseen blobs of versions (blob, text) and adds them to the ledger in that folder; returns how many there were."""
+    spark = versions.sparkSession
     version = F.lit(RULE_VERSION).alias("rule_version")
-    unseen = versions.groupBy("blob").agg(F.min("path").alias("_path")).withColumnRenamed("blob", "_blob")
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION), F.col("_blob") == F.col("blob"), "left_anti")
-    text = versions.select("path", "blob", "text").where("text <> ''").join(unseen, F.expr("blob = _blob and path <=> _path"), "left_semi")
-    # one path speaks for a blob; written, for the folds must not be moved into each other by filters on them
-    found = cut(scan(text), "findings").where(F.size("spans") > 0).dropDuplicates(["blob"]).select("blob", version, "spans")
-    seen = unseen.select(F.col("_blob").alias("blob"), version)
-    if ledger is not None:
-        seen = ledger.unionByName(seen)
-    if findings is not None:
-        found = findings.unionByName(found)
-    return seen, found
-
-
-def spans_of(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep and spans of every row of docs (doc_id, text)."""
-    versions = docs.select(F.col("doc_id").alias("path"), blob_id(F.col("text")).alias("blob"), "text")
-    _, found = ledger_scan(versions)
-    own = docs.select(*keep, blob_id(F.col("text")).alias("blob"))
+    seen = _read(spark, f"{ledger}/pairs", LEDGER).where(F.col("rule_version") == RULE_VERSION).select("blob")
+    fresh = cut(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen-blobs")
+    # equal blobs have equal texts: the first one met speaks for them, combined before the shuffle
+    texts = versions.where("text <> ''").join(fresh, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    scan(texts).select("blob", version, "spans").write.mode("append").parquet(f"{ledger}/findings")
+    fresh.select("blob", version).write.mode("append").parquet(f"{ledger}/pairs")
+    return fresh.count()
+
+
+def ledger_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+
+
+def scan_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """blob, spans for the texts of docs (doc_id, text) that have any, through the ledger in that folder (a new one by default). Two
+    batches, by the middle of the ids; rows without an id come with the first."""
+    ledger = ledger or ledger_folder(docs.sparkSession)
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("m")).first().m
+    versions = docs.select("doc_id", blob_id(F.col("text")).alias("blob"), "text")
+    late = F.coalesce(F.col("doc_id") > middle, F.lit(False)) if middle is not None else F.lit(False)
+    for batch in (~late, late):
+        scan_batch(versions.where(batch).select("blob", "text"), ledger)
+    return findings(docs.sparkSession, ledger)
+
+
+def joined_back(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (with blob) with spans, empty for blobs without any. Hot blobs are dealt out by salts."""
+    hot = cut(hot_keys(rows.select("blob"), "blob"), "hot-blobs")
+    each = rows.join(F.broadcast(hot), "blob", "left").withColumn("salt", F.when(F.col("hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0)).drop("hot")
     empty = F.expr("cast(array() as array<struct<start: int, rank: int, end: int>>)")
-    return own.join(found.select("blob", "spans"), "blob", "left").select(*keep, F.coalesce("spans", empty).alias("spans"))
+    return each.join(spread_salts(found, hot, "blob", SALTS), ["blob", "salt"], "left").drop("salt").withColumn("spans", F.coalesce("spans", empty))
 
 
 def listed(spans: Column) -> Column:
@@ -92,19 +127,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     base = listed(F.filter("spans", lambda s: s["rank"] < BASE))
-    return spans_of(docs, "doc_id").select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), sha_hex(base).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    rows = joined_back(docs.select("doc_id", blob_id(F.col("text")).alias("blob")), scan_documents(docs, ledger))
+    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), sha_hex(base).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """docs with every found span replaced by MARK (overlapping spans by one), n_chars following where there is such a column."""
-    step = f"""if(s.start >= a.pos,
-        named_struct('pos', s.end, 'out', concat(a.out, substring(text, a.pos + 1, s.start - a.pos), '{MARK}')),
-        named_struct('pos', greatest(a.pos, s.end), 'out', a.out))"""
-    text = f"aggregate(spans, named_struct('pos', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(text, a.pos + 1)))"
-    d = spans_of(docs, *docs.columns).withColumn("text", F.when(F.size("spans") > 0, F.expr(text)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    # spans that overlap become one; then the texts between them and the marks are joined
+    merged = """aggregate(spans, cast(array() as array<struct<start: int, end: int>>), (a, s) -> if(size(a) > 0 and s.start < element_at(a, -1).end,
+        concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(named_struct('start', s.start, 'end', s.end)))))"""
+    text = f"array_join(transform(sequence(0, size(m)), i -> substring(text, coalesce(get(m, i - 1).end, 0) + 1, coalesce(get(m, i).start, char_length(text)) - coalesce(get(m, i - 1).end, 0))), '{MARK}')"
+    rows = whole(docs, "text").withColumn("blob", blob_id(F.col("text")))
+    d = joined_back(rows, scan_documents(docs, ledger)).withColumn("m", F.expr(merged))
+    row = with_text(F.col("row"), F.expr(text), F.size("m") > 0, dict(docs.dtypes).get("n_chars"))
+    return d.select(row.alias("row")).select("row.*")
