@@ -3,15 +3,16 @@
 A text's fingerprint has a bit set where over half of the XXH64 values (seed 42) of its three-word shingles have it. Distinct
 fingerprints within RADIUS bits are linked; a document's class is its fingerprint's connected component.
 
-Candidates: the 64 bits are cut into six parts; two fingerprints within two bits agree on at least four parts, so each one goes to
-15 buckets, one per choice of four parts. A bucket's fingerprints agree on 42 bits or more and are distinct, so no bucket can
-outgrow 2**22 eight-byte values, whatever the corpus. Inside a bucket, blocks of 64 fingerprints are stored as vertical bit
-planes; one step compares a fingerprint with 64 others, counts differences in carry-save bit counters and abandons a block once
+Candidates: the 64 bits are cut into eight parts; two fingerprints within two bits agree on at least six parts, so each one goes to
+28 buckets, one per choice of six parts. A bucket's fingerprints agree on 48 bits and are distinct: no bucket can outgrow 65,536
+eight-byte values, whatever the corpus and however it is skewed. Inside a bucket, blocks of 64 fingerprints are stored as vertical
+bit planes; one step compares a fingerprint with 64 others, counts differences in carry-save bit counters and abandons a block once
 all its members are beyond the radius. A bucket returns its links as stars: at most one row per member, never all pairs.
 
 Nulls and empty texts have no words and fingerprint zero, linked like any other. Rows with a null doc_id get a fingerprint and a
 class, but never name one unless the whole class lacks ids (then null). Equal rows stay separate rows. Empty tables give empty
-results; other columns are ignored. Very long texts are hashed in blocks of shingles, so memory does not grow with them squared.
+results; other columns are ignored,. Very long texts are hashed in blocks of shingles, so memory does
+not grow with them squared.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sonolake.llm.common import components, cut, join_labels, lookahead
 
 RADIUS = 2
-PARTS = 6
+PARTS = 8
 SHINGLE = 3
 _BLOCK = 64
 _TASKS = 1 << 16
@@ -160,20 +161,19 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame
     return keyed.repartition("c", "key").sortWithinPartitions("c", "key").mapInPandas(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    own = cut(fingerprints(docs), "fingerprints")
+def named(own: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """fp, root (a fingerprint of its class), component_id of the distinct fingerprints of own (doc_id, fp)."""
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("fp"), radius, parts)).withColumnsRenamed({"node": "fp"})
-    named = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    found = components(links(distinct.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """The rows whose doc_id names their class; a class without ids and rows with a null id stay as they are."""
-    gone = classes(docs, radius, parts).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def classes(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    own = cut(fingerprints(docs), "fingerprints")
+    return own.join(named(own, radius, parts).drop("root"), "fp")
 
 
 def digest(docs: DataFrame) -> DataFrame:
