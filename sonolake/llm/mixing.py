@@ -7,7 +7,7 @@ blocks are permuted by a hash of (epoch, block) and documents in a block by a ha
 while the budget lasts; the last epoch ends inside one block, found from running sums over the table of blocks, so that no source,
 however large, is ordered as a whole.
 
-Tokens are words. Sources are few (one row holds an entry per source: that is what the bisection folds). Nulls: a null source is a
+Tokens are words. One row holds an entry per source while the exponent is bisected, MAX_SOURCES at most. Nulls: a null source is a
 source of its own, a null text has no tokens; sources without tokens are left out. Rows with equal doc_id and tokens are
 interchangeable. An empty table gives an empty result; other columns are ignored, or carried by mix().
 """
@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sonolake.llm.common import SPACE, cut
+from sonolake.llm.common import SPACE, cut, whole
 
 BUDGET_SHARE = 1.0
 ENTROPY_SHARE = 0.97
 MAX_REPEAT = 4.0
 BLOCKS = 1024
 STEPS = 40
+#: The bisection folds one row with an entry per source: beyond so many it is an error, not a silent memory hog.
+MAX_SOURCES = 100_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -35,6 +37,10 @@ def order_key(epoch: Column, what: Column) -> Column:
     return F.md5(F.concat_ws("|", epoch.cast("string"), what).cast("binary"))
 
 
+def block_key(epoch: Column, block: Column) -> Column:
+    return order_key(epoch, F.concat(F.lit("block|"), block.cast("string")))
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, source, tokens, name (doc_id as text), block."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -45,6 +51,7 @@ def counted(docs: DataFrame) -> DataFrame:
 def weights(sources: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """source, source_tokens, exponent, weight, quota from source, source_tokens (> 0)."""
     one = sources.agg(F.array_sort(F.collect_list(F.struct("source_tokens", "source"))).alias("s"), F.sum("source_tokens").alias("total"))
+    one = one.select(F.when(F.size("s") <= MAX_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))).alias("s"), "total")
     one = one.select("s", "total", F.expr("transform(s, x -> x.source_tokens / total)").alias("p"))
     z = "aggregate(p, 0D, (c, x) -> c + pow(x, {a}))"
     entropy = f"(ln({z}) - {{a}} / {z} * aggregate(p, 0D, (c, x) -> c + pow(x, {{a}}) * ln(x)))"
@@ -73,7 +80,7 @@ def plan(rows: DataFrame, **options: float) -> DataFrame:
     totals = blocks.groupBy("source").agg(F.sum("block_tokens").alias("source_tokens")).where("source_tokens > 0")
     w = weights(totals, **options).withColumns({"full": F.expr("quota div source_tokens"), "rest": F.expr("quota % source_tokens")}).withColumnRenamed("source", "_s")
     j = blocks.join(w, F.expr("source <=> _s"))
-    order = Window.partitionBy("source").orderBy(order_key(F.col("full"), F.concat(F.lit("block|"), F.col("block").cast("string"))), "block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy(block_key(F.col("full"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("block_tokens").over(order), F.lit(0))
     return j.select("source", "block", "block_tokens", "weight", "exponent", "full", (F.col("rest") - before).alias("room"))
 
@@ -81,7 +88,12 @@ def plan(rows: DataFrame, **options: float) -> DataFrame:
 def selection(docs: DataFrame, **options: float) -> DataFrame:
     """doc_id, source, tokens, block, weight, exponent, full, last: the last epoch has the row; a row's copies are full + last."""
     rows = cut(counted(docs), "counted")
-    p = cut(plan(rows, **options), "plan").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "block_tokens", "weight", "exponent", "full", "room")
+    return chosen(rows, cut(plan(rows, **options), "plan"))
+
+
+def chosen(rows: DataFrame, p: DataFrame) -> DataFrame:
+    """selection() of counted rows by a plan."""
+    p = p.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "block_tokens", "weight", "exponent", "full", "room")
     j = rows.join(p, F.expr("source <=> _s and block = _b")).drop("_s", "_b")
     split = (F.col("room") > 0) & (F.col("room") < F.col("block_tokens"))
     inside = Window.partitionBy("source", "block").orderBy(order_key(F.col("full"), F.col("name")), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
@@ -91,22 +103,34 @@ def selection(docs: DataFrame, **options: float) -> DataFrame:
     return whole.unionByName(part)
 
 
+def turns(p: DataFrame) -> DataFrame:
+    """source, block, epoch, turn (from 0): a block's place in its source's permutation of an epoch, over the table of blocks."""
+    e = p.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("full").cast("int"))).alias("epoch"))
+    order = Window.partitionBy("source", "epoch").orderBy(block_key(F.col("epoch"), F.col("block")), "block")
+    return e.withColumn("turn", (F.row_number().over(order) - 1).cast("long"))
+
+
 def schedule(docs: DataFrame, **options: float) -> DataFrame:
-    """A row per copy: doc_id, source, tokens, epoch, block, block_key, place (from 0, inside the block's turn in the epoch), weight, exponent."""
-    s = selection(docs, **options)
+    """A row per copy: doc_id, source, tokens, epoch, block, turn (of the block in the epoch), block_key (which orders the turns), place
+    (from 0, inside the block's turn), weight, exponent."""
+    rows = cut(counted(docs), "counted")
+    p = cut(plan(rows, **options), "plan")
+    s = chosen(rows, p)
     epochs = F.expr("if(full + int(last) > 0, sequence(0, full + int(last) - 1), slice(array(0L), 1, 0))")
     e = s.withColumn("epoch", F.explode(epochs.cast("array<int>")))
     inside = Window.partitionBy("source", "block", "epoch").orderBy(order_key(F.col("epoch"), F.col("name")), "doc_id", "tokens")
-    return e.select("doc_id", "source", "tokens", "epoch", "block", order_key(F.col("epoch"), F.concat(F.lit("block|"), F.col("block").cast("string"))).alias("block_key"), (F.row_number().over(inside) - 1).cast("long").alias("place"), "weight", "exponent")
+    t = turns(p).select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("epoch").alias("_e"), "turn")
+    placed = e.withColumn("place", (F.row_number().over(inside) - 1).cast("long")).join(t, F.expr("source <=> _s and block = _b and epoch = _e"))
+    return placed.select("doc_id", "source", "tokens", "epoch", "block", "turn", block_key(F.col("epoch"), F.col("block")).alias("block_key"), "place", "weight", "exponent")
 
 
 def mix(docs: DataFrame, **options: float) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    copies = selection(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("tokens").alias("_t"), F.expr("full + int(last)").alias("_n"))
+    """docs with each row as often as the mix takes it; docs' other columns are carried on, whatever their names."""
+    copies = selection(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("tokens").alias("_t"), F.expr("full + int(last)").alias("n"))
     # rows that share doc_id, source and tokens are interchangeable: they share the sum of their copies
-    copies = copies.groupBy("_id", "_s", "_t").agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"))
-    order = Window.partitionBy("doc_id", "source", "_k").orderBy(F.lit(0))
-    d = docs.withColumn("_k", n_tokens(F.col("text"))).join(copies, F.expr("doc_id <=> _id and source <=> _s and _k = _t"))
-    one = d.where("_rows = 1")
-    more = d.where("_rows > 1").withColumn("_r", F.row_number().over(order)).withColumn("_n", F.expr("_n div _rows + int(_r <= _n % _rows)")).drop("_r")
-    return one.unionByName(more).where("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    copies = copies.groupBy("_id", "_s", "_t").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    order = Window.partitionBy("doc_id", "source", "tokens").orderBy(F.lit(0))
+    d = whole(docs, "doc_id", "source", n_tokens(F.col("text")).alias("tokens")).join(copies, F.expr("doc_id <=> _id and source <=> _s and tokens = _t"))
+    one = d.where("rows = 1").select("row", "n")
+    more = d.where("rows > 1").withColumn("at", F.row_number().over(order)).select("row", F.expr("n div rows + int(at <= n % rows)").alias("n"))
+    return one.unionByName(more).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

@@ -22,11 +22,10 @@ r as (select doc_id, sum(case when p is null then 5 else least(5, i - p) end) as
 l as (select doc_id, unnest(string_split(t, chr(10))) as l from d), f as (select doc_id, count(*) - count(distinct l) as n from l where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by doc_id),
 b as (select doc_id, source, t, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(f.n, 0)::bigint as n_dup_lines, coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words from d left join f using (doc_id) left join r using (doc_id)),
 s as (select doc_id, t, source, trim(regexp_replace(lower(l), '{_SPACE}', ' ', 'g'), ' ') as line, len(list_filter(string_split_regex(l, '{_SPACE}'), lambda x: x <> '')) as n from (select doc_id, t, source, unnest(string_split(t, chr(10))) as l from d)),
-k as (select * from s where n between 1 and {quality.LINE_WORDS}), h as (select source, count(distinct t) as docs from d group by source),
-o as (select source, line, min(doc_id) as carrier from k group by source, line having count(distinct t) > {quality.LIMIT_DOCS}),
-o2 as (select o.* from o join h using (source) join (select source, line, count(distinct t) as n from k group by source, line) m using (source, line) where m.n > {quality.LIMIT_SHARE}::double * docs),
-x as (select k.doc_id, sum(n) as removed from k join o2 on k.source = o2.source and k.line = o2.line and k.doc_id <> carrier group by k.doc_id)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, not failed and not (removed > 0 and (n_words - removed < {quality.LEFT_WORDS} or n_words - removed < {quality.LEFT_SHARE}::double * n_words)) as kept, removed as removed_words
+k as (select * from s where n > 0), h as (select source, count(distinct t) as docs from d group by source),
+o as (select source, line from (select source, line, count(distinct t) as n from k group by source, line) join h using (source) where n > {quality.LIMITS.docs_floor} and (n > {quality.LIMITS.share}::double * docs or n > {quality.LIMITS.docs_most})),
+x as (select k.doc_id, sum(n) as removed from k join o on k.source = o.source and k.line = o.line group by k.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, not failed and not (removed > 0 and (n_words - removed < {quality.LIMITS.left_words} or n_words - removed < {quality.LIMITS.left_share}::double * n_words)) as kept, removed as removed_words
 from (select b.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as failed, coalesce(removed, 0)::bigint as removed from b left join x using (doc_id))"""
 
 
@@ -84,8 +83,9 @@ w as (select names[i] as source, exponent, total, round(pow(p[i], exponent) / {_
 q as (select source, exponent, weight, floor(weight * total * {mixing.BUDGET_SHARE}::double)::bigint // st as full_, floor(weight * total * {mixing.BUDGET_SHARE}::double)::bigint % st as rest from w join t using (source)),
 r as (select source, block, block_tokens, weight, exponent, full_, rest - coalesce(sum(block_tokens) over (partition by source order by md5(full_ || '|block|' || block), block rows between unbounded preceding and 1 preceding), 0) as room from k join q using (source)),
 j as (select c.*, block_tokens, weight, exponent, full_, room, sum(tokens) over (partition by source, block order by md5(full_ || '|' || name), doc_id, tokens rows unbounded preceding) as run from c join r using (source, block)),
-n as (select *, full_ + case when room > 0 and room < block_tokens then (run <= room)::int else (room >= greatest(block_tokens, 1))::int end as copies from j), x as (select *, epoch::int as ep from n, unnest(range(0, copies)) as u(epoch))
-select doc_id, source, tokens, ep as epoch, block, md5(ep || '|block|' || block) as block_key, row_number() over (partition by source, block, ep order by md5(ep || '|' || name), doc_id, tokens) - 1 as place, weight, exponent from x"""
+n as (select *, full_ + case when room > 0 and room < block_tokens then (run <= room)::int else (room >= greatest(block_tokens, 1))::int end as copies from j), x as (select *, epoch::int as ep from n, unnest(range(0, copies)) as u(epoch)),
+y as (select source, block, epoch::int as ep, row_number() over (partition by source, epoch order by md5(epoch || '|block|' || block), block) - 1 as turn from r, unnest(range(0, full_ + 1)) as u(epoch))
+select doc_id, source, tokens, ep as epoch, block, turn, md5(ep || '|block|' || block) as block_key, row_number() over (partition by source, block, ep order by md5(ep || '|' || name), doc_id, tokens) - 1 as place, weight, exponent from x join y using (source, block, ep)"""
 
 _POSTINGS = ", ".join(f"('{w}', {t}, {q})" for w, t, q in licenses.postings())
 _TEMPLATES = ", ".join(f"({t}, '{label}', ' {phrase} ', {min(licenses.TOP_WORDS, sum(p[1] == t for p in licenses.postings()))})" for t, (label, phrase, _) in enumerate(licenses.TEMPLATES))

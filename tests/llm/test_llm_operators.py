@@ -65,9 +65,13 @@ def test_simhash(docs, none):
     want = ordered((d, f"{fps[i]:016x}", least[find(i)]) for i, (d, _) in enumerate(TEXTS))
     assert pulled(simhash.digest(docs), "doc_id", "fingerprint", "component_id") == want
     assert simhash.digest(none).count() == 0
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {None} | {v for v in least.values() if v is not None}
+
+
+def test_no_simhash_bucket_can_grow_beyond_16_free_bits():
+    from sonolake.llm import simhash
+
+    free = [64 - (m & (1 << 64) - 1).bit_count() for m in simhash.masks()]
+    assert len(free) == 28 and max(free) == 16
 
 
 def test_simhash_dense_buckets():
@@ -127,11 +131,24 @@ def test_quality_lines(spark):
     menu = "Home | About | Contact us today\nImprint and privacy of this site"
     rows = [(i, p + "\n" + menu.upper()) for i, p in enumerate(prose)] + [(100 + i, menu + f"\nonly {i}") for i in range(3)] + [(200, prose[0])]
     d = spark.createDataFrame([(i, t, "en", "host", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.digest(d).collect()}
+    assert {i for i, r in got.items() if not r.base_failed and not r.kept} == {100, 101, 102}, "documents of menus only are depleted"
     kept = {r.doc_id: r.text for r in quality.clean(d).collect()}
-    assert set(kept) == set(range(30)) | {200}, "documents of menus only are depleted"
-    assert kept[0] == rows[0][1], "the first document carries the lines"
-    assert all(kept[i] == prose[i] for i in range(1, 30))
-    assert kept[200] == prose[0], "long lines are left to deduplication"
+    assert kept == {i: p for i, p in enumerate(prose)} | {200: prose[0]}
+    kept = {r.doc_id: r.text for r in quality.clean(d, quality.Limits(carrier=True)).collect()}
+    assert kept == {0: rows[0][1], 200: prose[0]} | {i: prose[i] for i in range(1, 30)}, "the first document carries the lines"
+
+
+def test_quality_limits(spark):
+    from sonolake.llm import quality
+
+    prose = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    rows = [(i, "big", prose(i) + ("\nseen often here" if i < 7 else "") + ("\nseen at times" if i < 5 else "")) for i in range(200)] + [(1000 + i, None, prose(i) + "\nseen often here") for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    lost = lambda limits: {r.doc_id for r in quality.digest(d, limits).where("removed_words > 0").collect()}
+    assert lost(quality.LIMITS) == set(range(7)) | set(range(1000, 1006)), "over 5 documents and over 2 % of the host's; a null host is one"
+    assert lost(quality.Limits(share=0.05)) == set(range(1000, 1006))
+    assert lost(quality.Limits(share=0.05, docs_most=6)) == set(range(7)) | set(range(1000, 1006)), "a count of its own, whatever the host's size"
 
 
 def test_quality_long_lines(spark):
@@ -142,8 +159,30 @@ def test_quality_long_lines(spark):
     rows = [(i, p + "\n" + notice) for i, p in enumerate(prose)] + [(100 + i, notice.upper() + f"\nonly {i}") for i in range(3)]
     d = spark.createDataFrame([(i, t, "en", "host", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.removed_words, r.kept) for r in quality.digest(d).collect()}
-    assert got == {0: (0, True)} | {i: (45, True) for i in range(1, 30)} | {100 + i: (45, False) for i in range(3)}
-    assert {r.doc_id: r.text for r in quality.clean(d).collect()} == {0: rows[0][1]} | {i: prose[i] for i in range(1, 30)}
+    assert got == {i: (45, True) for i in range(30)} | {100 + i: (45, False) for i in range(3)}
+    assert {r.doc_id: r.text for r in quality.clean(d).collect()} == {i: prose[i] for i in range(30)}
+
+
+CLASH = ["_id", "_key", "_host", "_k", "key", "host", "row", "removed_lines", "kept", "blob", "spans", "path", "_s", "_n", "_t", "_c", "node", "root", "tokens", "copies", "line", "size"]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns with the operators' own names, null ids, repeated rows and nulls come out of each stage as they went in."""
+    import corpus_pipeline
+
+    prose = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, prose(i) + " token=abcdefgh12", "en", "s", 1, *[f"{c}{i}" for c in CLASH]) for i in range(12)]
+    rows += [(3, prose(40), "en", None, None, *[None] * len(CLASH)), (None, prose(41), None, "s", 5, *CLASH), rows[0]]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in CLASH)
+    d = spark.createDataFrame(rows, schema).repartition(3)
+    other = lambda r: tuple(r)[5:]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (d, d.limit(0)):
+            out = stage(spark, table, "")
+            assert out.dtypes == d.dtypes, name
+            got = out.collect()
+            assert {other(r) for r in got} <= {other(r) for r in rows}, name
+            assert (len(got) >= (5 if name.startswith("mixing") else 14)) == (table is d), name
 
 
 RULES = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
@@ -168,15 +207,35 @@ def test_secrets(docs, none, spark):
     assert [r.text for r in secrets.redact(d).orderBy("doc_id").collect()] == ["é [SECRET]", "password:token:abcdefghij", "[SECRET][SECRET]", "[SECRET]' [SECRET]"]
 
 
-def test_secret_ledger_skips_what_it_has_seen(spark):
+def test_secret_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
     from sonolake.llm import secrets
 
-    versions = lambda rows: spark.createDataFrame(rows, "path long, text string").withColumn("blob", secrets.blob_id(__import__("pyspark").sql.functions.col("text")))
-    ledger, found = secrets.ledger_scan(versions([(1, "token=abcdefgh12"), (2, "clean"), (3, "token=abcdefgh12")]))
-    assert (ledger.count(), found.count()) == (2, 1)
-    # a seen blob is not scanned again, even though its finding is withheld here
-    ledger2, found2 = secrets.ledger_scan(versions([(4, "token=abcdefgh12"), (5, "secret: zzzzzzzz")]), ledger)
-    assert (ledger2.count(), found2.count()) == (3, 1)
+    path = str(tmp_path / "ledger")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    versions = lambda rows: docs(rows).select(secrets.blob_id(F.col("text")).alias("blob"), "text")
+    first = [(1, "token=abcdefgh12"), (2, "clean"), (3, "token=abcdefgh12"), (4, None)]
+    assert secrets.scan_batch(versions(first), path) == 3
+    assert secrets.scan_batch(versions([(5, "token=abcdefgh12"), (6, "secret: zzzzzzzz"), (7, "")]), path) == 1
+    assert secrets.findings(spark, path).count() == 2
+    spans = lambda rows: {r.doc_id: r.spans for r in secrets.digest(docs(rows), path).collect()}
+    want = {8: "assign:0:16", 9: "assign:0:16", 10: "", 11: "assign:1:17"}
+    assert spans([(8, "token=abcdefgh12"), (9, "token=abcdefgh12"), (10, "clean"), (11, " secret: zzzzzzzz")]) == want, "findings of earlier runs reach new paths"
+    monkeypatch.setattr(secrets, "scan", lambda blobs: blobs.select("blob", F.assert_true(F.lit(False), "scanned again").cast("string"), F.expr("cast(null as array<struct<start: int, rank: int, end: int>>)").alias("spans")))
+    assert spans([(8, "token=abcdefgh12"), (11, " secret: zzzzzzzz")]) == {8: want[8], 11: want[11]}, "nothing is scanned twice: the scan sees no row"
+    monkeypatch.undo()
+    monkeypatch.setattr(secrets, "RULE_VERSION", 2)
+    assert secrets.scan_batch(versions(first), path) == 3, "other rules see all blobs anew"
+
+
+def test_a_hot_blob_is_joined_back_to_all_paths(spark):
+    from sonolake.llm import secrets
+
+    d = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'api_key=hot1hot1hot1', concat('text ', id)) as text")
+    got = secrets.digest(d).groupBy("spans").count().collect()
+    assert {r.spans: r["count"] for r in got} == {"assign:0:20": 1000, "": 2000}
+    assert secrets.redact(d).where("text = '[SECRET]'").count() == 1000
 
 
 @pytest.mark.parametrize("piece", [2, 1024])
@@ -205,19 +264,61 @@ def test_fm_index_against_plain_search():
     from sonolake.llm.fmindex import FMIndex
 
     rng = np.random.default_rng(5)
-    text = np.append(rng.integers(1, 4, 400), 0)
-    index = FMIndex(text, window=6)
+    texts = [rng.integers(1, 4, n) for n in (150, 1, 90, 160)]
+    text = np.concatenate([np.append(x, 0) for x in texts])
+    index = FMIndex(text, np.repeat([3, 0, 2, 1], [len(x) + 1 for x in texts]), window=6)
     pattern = rng.integers(1, 5, 200)
     pattern[pattern == 4] = -1
-    length, row = index.matching_statistics(pattern, np.array([0, 120]), np.array([120, 200]))
-    grams = {tuple(text[i : i + n].tolist()) for n in range(1, 7) for i in range(len(text) - n)}
+    length, least = index.matching_statistics(pattern, np.array([0, 120]), np.array([120, 200]))
+    grams = {}
+    for document, x in zip([3, 0, 2, 1], texts, strict=True):
+        for n in range(1, 7):
+            for i in range(len(x) - n + 1):
+                grams.setdefault(tuple(x[i : i + n].tolist()), []).append(document)
+    whole = 0
     for i in range(200):
         stop = 120 if i < 120 else 200
         want = next((n for n in range(min(6, stop - i), 0, -1) if tuple(pattern[i : i + n].tolist()) in grams), 0)
         assert length[i] == want
-        if want:
-            at = index.suffixes[row[i]]
-            assert text[at : at + want].tolist() == pattern[i : i + want].tolist()
+        assert least[i] == (min(grams[tuple(pattern[i : i + 6].tolist())]) if want == 6 else -1)
+        whole += want == 6
+    assert 5 < whole < 195
+
+
+def test_min_tree():
+    from sonolake.llm.fmindex import MinTree
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 100, 128):
+        v = rng.integers(1, 9, n).astype(np.uint8)
+        v[0] = v[-1] = 0
+        tree = MinTree(v)
+        lo = rng.integers(0, n, 300)
+        hi = np.array([rng.integers(x, n) + 1 for x in lo])
+        assert tree.least(lo, hi).tolist() == [v[a:b].min() for a, b in zip(lo, hi, strict=True)]
+        under = rng.integers(1, 9, 300)
+        assert tree.before(lo, under).tolist() == [max(i for i in range(x + 1) if v[i] < u) for x, u in zip(lo, under, strict=True)]
+        assert tree.after(lo, under).tolist() == [min(i for i in range(x, n) if v[i] < u) for x, u in zip(lo, under, strict=True)]
+
+
+def test_backward_search_decides_what_is_a_repeat(monkeypatch):
+    from sonolake.llm import fmindex
+
+    rng = np.random.default_rng(9)
+    shared = [b"s%d" % i for i in range(80)]
+    own = lambda n: [b"o%d" % x for x in rng.integers(0, 10**9, n)]
+    split = [own(20) + shared + own(30), own(5) + shared[10:75] + own(60), own(70), shared[:49] + own(30), own(9) + shared]
+    args = [b" ".join(x) for x in split], np.array([1, 1, 1, 1, 2]), np.array([4, 9, 6, 8, 2]), np.array([1, 1, 2, 1, 1])
+    brute = []
+    for i, x in enumerate(split):
+        again = np.array([any(j != i and args[2][j] < args[2][i] and args[1][j] == args[1][i] and any(y[b : b + 50] == x[a : a + 50] for b in range(len(y) - 49)) for j, y in enumerate(split)) for a in range(len(x) - 49)])
+        runs = fmindex.flag_runs(again).ravel().tolist()
+        brute.append([int(args[2][i]), len(x) - 49, *runs] if runs or args[3][i] > 1 else None)
+    plain = lambda got: [None if x is None else x.tolist() for x in got]
+    assert plain(fmindex.repeated_windows(*args)) == brute
+    assert brute[1] == [9, 81, 5, 21]
+    monkeypatch.setattr(fmindex.WaveletMatrix, "rank", lambda self, symbol, at: np.zeros(len(at), np.int64))
+    assert plain(fmindex.repeated_windows(*args)) != brute, "without the search nothing is found"
 
 
 def test_word_passages(docs, none):
