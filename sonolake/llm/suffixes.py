@@ -1,9 +1,13 @@
 """Substring dedup over bytes with a hash-compared suffix sort.
 
 In a shard (see passages) the suffixes at the windows of all pieces are sorted by mergesort. Two suffixes are compared through
-prefix polynomial hashes: binary search over lengths finds their common extension in a few steps, the next byte decides. Equal
-windows agree on their mark and on its place in the window, so suffixes are merged inside buckets of (mark, place). Neighbours that
-agree on a whole window are verified byte by byte, so that a hash collision can neither remove nor keep anything.
+prefix polynomial hashes: whole windows first, then binary search over lengths finds their common extension in a few steps and the
+next byte decides. Equal windows agree on their mark and on its place in the window, so suffixes are merged inside buckets of (mark,
+place); two suffixes alone in a bucket need one comparison and no sort.
+
+Collisions: neighbours of the sorted order are compared byte by byte. Windows count as equal by their bytes only, and where a
+neighbour does not come after the one before it, a hash lied: that bucket is sorted anew by its bytes. Different hashes prove
+different bytes. So no collision can remove or keep anything.
 
 Result of a text: its bytes covered by strings of WINDOW bytes that also start anywhere else, in the same document or another.
 Equal texts are each other's repeats, and so are repeated rows; matches never cross documents; a null text is empty. Null ids are
@@ -35,18 +39,24 @@ class HashedText:
         self.text, self.window = text, window
         self.prefix = prefix(text.astype(np.uint64))
         self.back = powers(len(text) + 1)[1]
+        self._views: np.ndarray | None = None
+
+    def _same(self, s: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+        """Whether the hashes of n bytes at s and t agree; no n bytes are left near the end."""
+        size = len(self.text)
+        e, f = np.minimum(s + n, size), np.minimum(t + n, size)
+        return (self.prefix[e] - self.prefix[s]) * self.back[s] == (self.prefix[f] - self.prefix[t]) * self.back[t]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common extensions of suffixes a and b, at most a window, by binary search over lengths."""
-        length = np.zeros(len(a), np.int64)
+        """Lengths of the common extensions of suffixes a and b, at most a window: whole windows first, then binary search over lengths."""
+        length = np.where(self._same(a, b, self.window), self.window, 0)
+        part = np.flatnonzero(length == 0)
+        s, t, found = a[part], b[part], np.zeros(len(part), np.int64)
         step = 1 << (self.window.bit_length() - 1)
-        while step:
-            s, t = a + length, b + length
-            fits = length + step <= self.window
-            e, f = np.minimum(s + step, len(self.text)), np.minimum(t + step, len(self.text))
-            same = fits & ((self.prefix[e] - self.prefix[s]) * self.back[s] == (self.prefix[f] - self.prefix[t]) * self.back[t])
-            length += step * same
+        while step and len(part):
+            found += step * ((found + step <= self.window) & self._same(s + found, t + found, step))
             step //= 2
+        length[part] = found
         return length
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
@@ -56,15 +66,31 @@ class HashedText:
         x, y = (self.text[np.minimum(i + n, len(self.text) - 1)] for i in (a, b))
         return np.where(ends, ties, x < y)
 
+    def _eights(self, at: np.ndarray) -> np.ndarray:
+        """The windows at some places, eight bytes to a number (big end first), as rows; the last number overlaps the one before."""
+        steps = np.append(np.arange(0, self.window - 8, 8), self.window - 8)
+        if self._views is None:
+            self._views = np.ndarray((max(0, len(self.text) - 7),), ">u8", self.text.tobytes(), strides=(1,))
+        return self._views[at[:, None] + steps]
+
     def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether whole windows are equal: by hash, then byte by byte."""
-        same = self.common(a, b) >= self.window
-        at = np.arange(self.window)
+        same = self._same(a, b, self.window)
         for lo in range(0, len(a), 8192):
             i = lo + np.flatnonzero(same[lo : lo + 8192])
-            same[i] = (self.text[a[i][:, None] + at] == self.text[b[i][:, None] + at]).all(axis=1)
+            same[i] = (self._eights(a[i]) == self._eights(b[i])).all(axis=1)
         return same
 
+    def order(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as window a is less than, equal to or greater than window b, by their bytes."""
+        out = np.zeros(len(a), np.int8)
+        for lo in range(0, len(a), 8192):
+            x, y = (self._eights(i[lo : lo + 8192]) for i in (a, b))
+            row, first = np.arange(len(x)), (x != y).argmax(axis=1)
+            x, y = x[row, first], y[row, first]
+            out[lo : lo + 8192] = (x > y).astype(np.int8) - (x < y)
+        return out
+
 
 def merge_sort(text: HashedText, suffixes: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Suffixes sorted inside each bucket; start has the buckets' first places. All buckets' runs of a length merge together: each
@@ -86,7 +112,7 @@ def merge_sort(text: HashedText, suffixes: np.ndarray, start: np.ndarray) -> np.
             lo[open_], hi[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, hi[open_], mid)
             open_ = open_[lo[open_] < hi[open_]]
         inside = (number & ~1) * run + inside - number * run + (lo - first)
-        out = np.empty_like(suffixes)
+        out = suffixes.copy()
         out[base + inside] = suffixes
         suffixes = out
         inside = np.arange(len(suffixes)) - base
@@ -94,6 +120,40 @@ def merge_sort(text: HashedText, suffixes: np.ndarray, start: np.ndarray) -> np.
     return suffixes
 
 
+def sorted_groups(text: HashedText, suffixes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of each bucket (of two or more) in order, and which of them begin a group of equal windows."""
+    size = np.diff(np.append(start, len(suffixes)))
+    new = np.zeros(len(suffixes), bool)
+    new[start] = True
+    two = start[size == 2]
+    new[two + 1] = ~text.equal(suffixes[two], suffixes[two + 1])  # no sort needed
+    more = np.repeat(size > 2, size)
+    if more.any():
+        sizes = size[size > 2]
+        begin = np.cumsum(sizes) - sizes
+        placed = merge_sort(text, suffixes[more], begin)
+        lost = np.zeros(len(sizes), bool)
+        if not np.array_equal(np.sort(placed), np.sort(suffixes[more])):  # hashes that contradict each other
+            lost[:] = [set(placed[i : i + n].tolist()) != set(suffixes[more][i : i + n].tolist()) for i, n in zip(begin, sizes, strict=True)]
+            for k in np.flatnonzero(lost):
+                placed[begin[k] : begin[k] + sizes[k]] = suffixes[more][begin[k] : begin[k] + sizes[k]]
+        inner = np.ones(len(placed), bool)
+        inner[begin] = False
+        at = np.flatnonzero(inner)
+        order = text.order(placed[at - 1], placed[at])
+        lost[np.searchsorted(begin, at[order > 0], "right") - 1] = True
+        for k in np.flatnonzero(lost):  # a hash collision: by bytes instead
+            i, e = begin[k], begin[k] + sizes[k]
+            placed[i:e] = sorted(placed[i:e], key=lambda x: text.text[x : x + text.window].tobytes())
+            own = (at > i) & (at < e)
+            order[own] = text.order(placed[at[own] - 1], placed[at[own]])
+        first = np.ones(len(placed), bool)
+        first[at] = order != 0
+        suffixes = suffixes.copy()
+        suffixes[more], new[more] = placed, first
+    return suffixes, new
+
+
 def repeated_windows(texts: list[bytes], mark: np.ndarray, first: np.ndarray, copies: np.ndarray) -> list[np.ndarray | None]:
     """Per piece, its windows that start twice or more as (start, stop, ...); None where there are none."""
     lens = np.array([len(x) for x in texts])
@@ -125,21 +185,17 @@ def repeated_windows(texts: list[bytes], mark: np.ndarray, first: np.ndarray, co
             text = HashedText(buf)
             by_place = np.full(len(buf), -1, np.int64)
             by_place[at[order]] = order
-            placed = merge_sort(text, at[order], begin)
+            placed, new = sorted_groups(text, at[order], begin)
             order = by_place[placed]
-            new = np.zeros(len(order), bool)
-            new[begin] = True
-            inner = np.flatnonzero(~new)
-            new[inner] = ~text.equal(placed[inner - 1], placed[inner])
             runs = np.flatnonzero(new)
             times = np.add.reduceat(copies[piece[order]], runs)
             flags[order] |= np.repeat(times > 1, np.diff(np.append(runs, len(order))))
-    out: list[np.ndarray | None] = []
     ends = np.cumsum(windows)
-    for s, e in zip(ends - windows, ends, strict=True):
-        found = flag_runs(flags[s:e])
-        out.append(found.ravel() if len(found) else None)
-    return out
+    found = flag_runs(np.concatenate(([False], np.insert(flags, ends[:-1], False)))) - 1  # pieces kept apart, so that no run crosses
+    owner = np.searchsorted(ends + np.arange(len(ends)), found[:, 0], "right")
+    found -= (ends - windows + np.arange(len(ends)))[owner][:, None]
+    cuts = np.searchsorted(owner, np.arange(len(ends) + 1))
+    return [found[i:j].ravel() if j > i else None for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def intervals(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
