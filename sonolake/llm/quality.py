@@ -32,7 +32,7 @@ class Limits:
     docs_floor: int = 5
     share: float = 0.02
     docs_most: int = 1000
-    left_words: int = 10
+    left_words: int = 15
     left_share: float = 0.2
     carrier: bool = False
 
@@ -70,6 +70,12 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return d.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
+def based(narrow: DataFrame) -> DataFrame:
+    """doc_id, source, key and the base columns, written: a filter pushed below the projections would repeat their array expressions
+    inside each other."""
+    return cut(base_columns(narrow).withColumn("key", text_key(F.col("text"))).drop("text"), "quality-base")
+
+
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
@@ -117,16 +123,14 @@ def verdicts(base: DataFrame, lost: DataFrame, limits: Limits = LIMITS) -> DataF
 
 def digest(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     narrow = docs.select("doc_id", "source", "text")
-    base = base_columns(narrow).withColumn("key", text_key(F.col("text"))).drop("text")
+    base = based(narrow)
     return verdicts(base, removals(narrow, limits), limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 def clean(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """The kept rows with docs' own columns; lines above their host's limit are taken out of the text, n_chars follows."""
     narrow = docs.select("doc_id", "source", "text")
-    base = base_columns(narrow).withColumn("key", text_key(F.col("text"))).drop("text")
-    # written before the filter: pushed below the projections, it would repeat their array expressions inside each other
-    flags = cut(verdicts(base, removals(narrow, limits), limits).select("doc_id", "key", F.col("source").alias("host"), "removed_lines", "kept"), "verdicts")
+    flags = cut(verdicts(based(narrow), removals(narrow, limits), limits).select("doc_id", "key", F.col("source").alias("host"), "removed_lines", "kept"), "verdicts")
     kept = flags.where("kept").dropDuplicates(["doc_id", "key", "host"]).withColumnsRenamed({"doc_id": "_id", "key": "_key", "host": "_host"})
     d = whole(docs, "doc_id", "source", "text").withColumn("key", text_key(F.col("text"))).join(kept, F.expr("doc_id <=> _id and key = _key and source <=> _host"))
     left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(normalised(x))))
