@@ -1,14 +1,17 @@
 """Byte-level BPE encoding and decoding through a global distinct-word shuffle.
 
-Texts are split into pre-tokens. Rather than one row per pre-token of the corpus, a chunk of documents (CHUNK_BYTES of text, or one
+Texts are split into pre-tokens. Rather than one row per pre-token of the corpus, a chunk of documents (CHUNK_BYTES of UTF-8 text, or one
 longer document) is pre-aggregated: it keeps one row with each pre-token's place as the number of its word in the chunk, and sends
 each of its distinct words once to the word's bucket. A bucket gets its words from all chunks, encodes each distinct word once,
-and sends the ids back to the chunks that asked. There the documents are put together again by position. Decoding looks ids up in
-the token-byte table, which has as many rows as the vocabulary.
+and sends the ids back to the chunks that asked. There the documents are put together again by position.
+
+Decoding joins the token-byte table (id, bytes), which has a row per token of the vocabulary: as one row of all of them, so that a
+document's ids are looked up in place and no token is shuffled. Ids outside the table give no bytes.
 
 The rank file's path is a parameter; special tokens are never produced. A null text is empty: no tokens, and digests of nothing.
-Null ids and repeated rows are kept as they are; other columns are ignored; an empty table gives an empty result. A chunk's rows
-are bounded by CHUNK_BYTES and the longest document, a bucket is streamed in batches.
+Null ids and repeated rows are kept as they are; other columns are ignored by encode() and carried on by decode(); an empty table gives
+an empty result. A chunk's rows are bounded by CHUNK_BYTES and the longest document, a bucket is streamed in batches and remembers
+KNOWN_WORDS words at most (beyond, a word may be encoded again).
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK_BYTES = 24_000_000
+KNOWN_WORDS = 2_000_000
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -46,13 +49,9 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The token-byte table: all tokens' bytes one after another, and the offset of each id."""
-    found = ranks(path)
-    rows = [b""] * (max(found.values()) + 1)
-    for token, i in found.items():
-        rows[i] = token
-    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """id, bytes: the token-byte table."""
+    return spark.createDataFrame([(i, bytearray(token)) for token, i in ranks(path).items()], "id int, bytes binary")
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,17 +108,18 @@ def chunk_table(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTES) -
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_chunk(f"{part}-{n}", ids, texts, buckets), strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, x, size in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 ids.append(i)
-                texts.append(x or "")
-                held += len(texts[-1])
+                texts.append(x)
+                held += size
                 if held >= chunk_bytes:
                     yield flush()
                     ids, texts, held, n = [], [], 0, n + 1
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "chunk string, bucket int, docs binary, words binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("size")).mapInArrow(scan, "chunk string, bucket int, docs binary, words binary")
 
 
 def encode_words(chunks: DataFrame, path: str) -> DataFrame:
@@ -131,7 +131,7 @@ def encode_words(chunks: DataFrame, path: str) -> DataFrame:
         for b in batches:
             packed = []
             for own, words in zip(b["bucket"], b["words"], strict=True):
-                if own != bucket:
+                if own != bucket or len(known) > KNOWN_WORDS:
                     bucket, known = own, {}
                 number, listed = _unpack(words)
                 ids = []
@@ -147,8 +147,8 @@ def encode_words(chunks: DataFrame, path: str) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(encode, "chunk string, ids binary")
 
 
-def encode(docs: DataFrame, path: str, buckets: int | None = None, digests: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_tokens and ids (array), or with digests ids_sha256 and, from the ids decoded again, decoded_sha256."""
+def encode(docs: DataFrame, path: str, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, ids (array), ids_sha256 (of the ids as little-endian unsigned 32-bit integers) of every row."""
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
@@ -159,7 +159,6 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None, digests: bool
     joined = chunks.where("bucket = -1").select("chunk", "docs").join(words, "chunk", "left").select("docs", "ids")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat_bytes, byte_at = token_bytes(path) if digests else (None, None)
         for b in batches:
             for doc, parts in zip(b.column(0), b.column(1), strict=True):
                 ids, counts, planes = _unpack(doc.as_py())
@@ -175,30 +174,22 @@ def encode(docs: DataFrame, path: str, buckets: int | None = None, digests: bool
                 end = np.concatenate(([0], np.cumsum(counts)))
                 for lo in range(0, len(ids), 64):
                     rows = [gather(own, offsets, places[end[i] : end[i + 1]].astype(np.int64)) for i in range(lo, min(lo + 64, len(ids)))]
-                    n = pa.array([len(x) for x in rows], pa.int64())
-                    doc_ids = pa.array(ids[lo : lo + 64], pa.int64())
-                    if digests:
-                        a = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]
-                        d = [hashlib.sha256(gather(flat_bytes, byte_at, x.astype(np.int64)).tobytes()).hexdigest() for x in rows]
-                        yield pa.RecordBatch.from_arrays([doc_ids, n, pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([doc_ids, n, pa.array([x.astype(np.int32) for x in rows], pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+                    sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]
+                    cells = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rows]))), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 64], pa.int64()), cells, pa.array(sha, pa.string())], ["doc_id", "ids", "ids_sha256"])
 
-    return joined.mapInArrow(restore, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
+    return joined.mapInArrow(restore, "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """tokens (ids: array<int>, other columns) with text, by the token-byte table; null ids give a null text."""
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, at = token_bytes(path)
-        for b in batches:
-            texts = [None if x is None else gather(flat, at, np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
-
-    other = tokens.drop("text")
-    return other.mapInArrow(look_up, T.StructType([*other.schema.fields, T.StructField("text", T.StringType())]))
+    """tokens (ids: array<int>, other columns) with bytes, by a join with the token-byte table; null ids give null bytes."""
+    listed = F.array_sort(F.collect_list(F.struct("id", F.hex("bytes").alias("hex"))))
+    # an array by id; a subquery of one row, bounded by the vocabulary, is this join's other side
+    table = token_table(tokens.sparkSession, path).agg(listed.alias("t")).select(F.expr("transform(sequence(0, element_at(t, -1).id), i -> if(t[i].id = i, t[i].hex, element_at(filter(t, x -> x.id = i), 1).hex))").alias("t"))
+    joined = tokens.select(F.struct(*[F.col(f"`{c}`") for c in tokens.columns]).alias("row"), F.col("ids"), table.scalar().alias("t"))
+    return joined.select("row", F.unhex(F.array_join(F.transform("ids", lambda i: F.get("t", i)), "")).alias("bytes")).select("row.*", "bytes")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return encode(docs, path or public_tokenizers.path(RANKS), digests=True)
+    path = path or public_tokenizers.path(RANKS)
+    return decode(encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
