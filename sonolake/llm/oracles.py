@@ -88,17 +88,22 @@ y as (select source, block, epoch::int as ep, row_number() over (partition by so
 select doc_id, source, tokens, ep as epoch, block, turn, md5(ep || '|block|' || block) as block_key, row_number() over (partition by source, block, ep order by md5(ep || '|' || name), doc_id, tokens) - 1 as place, weight, exponent from x join y using (source, block, ep)"""
 
 _POSTINGS = ", ".join(f"('{w}', {t}, {q})" for w, t, q in licenses.postings())
-_TEMPLATES = ", ".join(f"({t}, '{label}', ' {phrase} ', {min(licenses.TOP_WORDS, sum(p[1] == t for p in licenses.postings()))})" for t, (label, phrase, _) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"({t}, '{label}', ' {phrase} ', {len(words)})" for t, ((label, phrase, _), words) in enumerate(zip(licenses.TEMPLATES, licenses.template_words(), strict=True)))
 _BASE = ", ".join(f"('{label}', {len(phrase.split())}, '{phrase}')" for phrase, label in licenses.BASE)
 
 LICENSES = f"""with post(word, template, q) as (values {_POSTINGS}), tmpl(template, label, phrase, n) as (values {_TEMPLATES}), bases(label, n, phrase) as (values {_BASE}),
 d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') as w from documents), l as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as line from d),
 b as (select doc_id, label, i - 1 as pos from l, bases, unnest(range(1, len(w) + 1)) as u(i) where contains(line, ' ' || phrase || ' ') and array_to_string(w[i:i + n - 1], ' ') = phrase),
-bb as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels from b group by doc_id), ok as (select doc_id, template, label, n from l, tmpl where contains(line, phrase)),
-a as (select doc_id, i - 1 as p, w[i] as word from l, unnest(range(1, len(w) + 1)) as u(i) where doc_id in (select doc_id from ok)), h as (select a.* from a where word in (select word from post)), df as (select word, count(distinct doc_id) as df from h group by word),
-v as (select h.doc_id, post.template, p - q as shift, q, dense_rank() over (partition by h.doc_id, post.template order by df, h.word) as rank from h join post using (word) join df using (word) join ok on ok.doc_id = h.doc_id and ok.template = post.template),
-c as (select doc_id, template, shift, count(distinct q) as votes from v where rank <= {licenses.TOP_WORDS} group by all), m as (select c.doc_id, ok.label, least(1.0::double, max(votes) / ok.n::double) as share from c join ok using (doc_id, template) group by c.doc_id, template, ok.label, ok.n),
-f as (select doc_id, list(distinct label) filter (where share >= {licenses.MIN_COVERAGE}::double) as labels, max(share) as score from m group by doc_id)
+bb as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels from b group by doc_id),
+h as (select doc_id, i - 1 as p, w[i] as word from l, unnest(range(1, len(w) + 1)) as u(i) where w[i] in (select word from post)), hits as (select distinct doc_id, word from h),
+rare as (select word, count(*) as df from hits group by word having count(*) <= {licenses.RARE_SHARE}::double * (select count(*) from documents) + {licenses.RARE_DOCS}), ok as (select doc_id from hits group by doc_id having count(*) >= {licenses.MIN_VOTES}),
+looked as (select distinct doc_id, word from (select doc_id, hits.word, row_number() over (partition by doc_id, template order by df, hits.word) as rank from hits join rare using (word) join (select distinct word, template from post) k on k.word = hits.word where doc_id in (select doc_id from ok)) where rank <= {licenses.TOP_WORDS}),
+ix as (select post.*, least({licenses.MIN_VOTES}, count(*) over (partition by template)) as needed from post where word in (select word from rare)),
+v as (select doc_id, template, p - q as shift, count(distinct q) as votes, any_value(needed) as needed from h join looked using (doc_id, word) join ix using (word) group by all),
+best as (select doc_id, template, shift from (select *, row_number() over (partition by doc_id, template order by votes desc, shift) as r from v where votes >= needed) where r = 1),
+c as (select best.doc_id, best.template, label, n, count(distinct post.q) as met from best join tmpl using (template) join l on l.doc_id = best.doc_id and contains(line, phrase) join post on post.template = best.template
+    join h on h.doc_id = best.doc_id and h.word = post.word and h.p between best.shift + post.q - {licenses.SLACK} and best.shift + post.q + {licenses.SLACK} group by all),
+f as (select doc_id, list(distinct label) filter (where met / n::double >= {licenses.MIN_COVERAGE}::double) as labels, max(met / n::double) as score from c group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(array_to_string(list_sort(bb.labels), ','), '') as base_labels,
     array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(f.labels, [])))), ',') as labels, case when n_base > 0 then 1.0::double else coalesce(score, 0.0::double) end as score from d left join bb using (doc_id) left join f using (doc_id)"""
 

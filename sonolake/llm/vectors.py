@@ -3,8 +3,8 @@
 Vectors with equal labels are compared. Equal vectors collapse first. Each distinct one is rotated pseudo-randomly (three rounds of
 random signs and a fast Hadamard transform, padded to a power of two) and hashed to its nearest vertex of the cross-polytope;
 HASHES such hashes name a bucket of one table, and a second probe per table flips the least certain hash to its runner-up. Pairs
-that share a bucket in one of TABLES tables are verified by their cosine in double precision. Measured against brute force, these
-settings find all but a few in ten thousand pairs at 0.98 or more.
+that share a bucket in one of TABLES tables are verified by their cosine in double precision. Of random pairs at exactly 0.98, the
+hardest case, these settings find 0.9995 at 64 dimensions, 0.997 at 256 and 0.9955 at 768 (tests/llm measures it again).
 
 A bucket is split into hashed pieces of about PIECE vectors, and pairs of pieces are compared as matrices, so that no task holds a
 large bucket; a pair found in several buckets counts in the first only. Links leave a task as counts and stars, not as pairs.
