@@ -396,11 +396,30 @@ def lateness(spark: SparkSession, sf: str) -> DataFrame:
     return windows.lateness(views.responses(spark, sf), "session", 3600.0)
 
 
-@query()
+_PLACED = """r as ({responses}), o as (select *, coalesce(sum(case when kind = 'final' then length(text) else 0 end) over w, 0) as place, coalesce(sum(case when kind = 'final' then length(text) - length(replace(text, ' ', '')) else 0 end) over w, 0) as spaces
+        from r window w as (partition by session order by ts, rank rows between unbounded preceding and 1 preceding)),
+    c as (select session, kind, ts, rank, place + i - 1 as spot, i - 1 as i, text[i] as ch, spaces + length(text[1:i]) - length(replace(text[1:i], ' ', '')) as number, tokens from o, unnest(range(1, length(text) + 1)) as u(i)),
+    m as (select f.session, f.spot, p.ts as pts, max(p.ch <> f.ch) over (partition by f.session, f.spot order by p.ts desc, p.rank desc rows unbounded preceding) as other, p.rank as prank
+        from c f join c p on f.kind = 'final' and p.kind = 'partial' and p.session = f.session and p.spot = f.spot and (p.ts, p.rank) < (f.ts, f.rank)),
+    s as (select session, spot, arg_min(pts, (pts, prank)) as since from m where not other group by session, spot)"""
+
+
+@query(f"""with {_PLACED.format(responses=f"select session, ts, seq as rank, kind, coalesce(text, '') as text, null as tokens from ({RESPONSES}) where kind in ('partial', 'final')")}
+    select session, string_agg(ch, '' order by c.spot) as word, greatest(0.0::double, max(coalesce(since, ts))) as ts from c left join s using (session, spot) where kind = 'final' and ch <> ' ' group by session, number""")
 def fuse_words(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.words(views.responses(spark, sf))
 
 
+_FRAMES = f"select session, seq as ts, (kind = 'partial')::int as rank, kind, [coalesce(text, ''), left(kind, 1 + (seq % 3)::int)] as tokens, coalesce(text, '') || left(kind, 1 + (seq % 3)::int) as text from ({RESPONSES}) where kind in ('partial', 'final')"
+
+
+@query(f"""with {_PLACED.format(responses=_FRAMES)}, t as (select c.session, c.ts as frame, case when c.i < length(tokens[1]) then 0 else 1 end as pos, tokens, coalesce(since, c.ts) as since from c left join s using (session, spot) where kind = 'final')
+    select session, frame, pos, tokens[pos + 1] as token, max(since) as since from t group by session, frame, pos, tokens""")
+def fuse_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    r = views.responses(spark, sf).where("kind in ('partial', 'final')")
+    return fusion.tokens(r.select("session", F.col("seq").alias("frame"), "kind", F.expr("array(coalesce(text, ''), left(kind, int(1 + seq % 3)))").alias("tokens")))
+
+
 @query(f"select session, string_agg(text, '' order by ts, seq) as text from ({RESPONSES}) where kind = 'final' group by session")
 def final_texts(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.finals(views.responses(spark, sf))
@@ -618,9 +637,7 @@ def noise_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return signal.noise_assignment(utts, noises, 3, 0.0, 30.0).select("utt", "noise_id", F.round("snr", 6).alias("snr"), F.round("start", 6).alias("start"))
 
 
-@query(f"select session, string_agg(text, '' order by ts, seq) filter (where kind = 'final') as finals, arg_max(text, ts) filter (where kind = 'partial') as last_partial from ({RESPONSES}) where kind in ('partial', 'final') group by session having count(*) filter (where kind = 'partial') > 0 and count(*) filter (where kind = 'final') > 0")
+@query(f"""with r as (select * from ({RESPONSES}) where kind in ('partial', 'final')), g as (select session, coalesce(string_agg(text, '' order by ts, seq) filter (where kind = 'final'), '') as finals, max((ts, seq)) filter (where kind = 'final') as last, max((ts, seq)) filter (where kind = 'partial') as p, arg_max(text, (ts, seq)) filter (where kind = 'partial') as open from r group by session)
+    select session, finals, finals || case when p is not null and (last is null or p > last) then coalesce(open, '') else '' end as shown from g""")
 def display_state(spark: SparkSession, sf: str) -> DataFrame:
-    r = views.responses(spark, sf).where("kind in ('partial', 'final')")
-    done = F.array_sort(F.collect_list(F.when(F.col("kind") == "final", F.struct("ts", "seq", "text"))))
-    g = r.groupBy("session").agg(F.array_join(F.transform(done, lambda x: x["text"]), "").alias("finals"), F.max_by(F.when(F.col("kind") == "partial", F.col("text")), F.when(F.col("kind") == "partial", F.struct("ts", "seq"))).alias("last_partial"), F.count_if(F.col("kind") == "partial").alias("p"), F.count_if(F.col("kind") == "final").alias("f"))
-    return g.where("p > 0 and f > 0").select("session", "finals", "last_partial")
+    return fusion.display(views.responses(spark, sf))

@@ -59,6 +59,22 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], name: str
     return all_.join(first, group).withColumn(name, F.col("_idx") - F.col("_first")).drop("_idx", "_first")
 
 
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with a column for each of sums (name: SQL of a bigint): its total over the earlier rows of the group, the row itself left
+    out. However large a group is, it is summed in ranges, whose totals are added up."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns({f"_x_{k}": F.expr(v).cast("long") for k, v in sums.items()}).repartitionByRange(n, *group, *order)
+    kept = written(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    key = ["_part", *group]
+    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = kept.groupBy(*key).agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
+    offset = total.select(*key, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    local = kept.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_x_{k}").over(inside), F.lit(0)) for k in sums})
+    joined = local.join(offset, key).withColumns({k: F.col(f"_i_{k}") + F.col(f"_o_{k}") for k in sums})
+    return joined.select(*df.columns, *sums)
+
+
 def seeded(seed: int, *parts: str | Column) -> Column:
     """A hexadecimal order key that any engine with MD5 reproduces."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]).cast("binary"))

@@ -188,29 +188,105 @@ def test_end_marks(spark):
 )
 def test_fusion(spark, responses, want):
     d = spark.createDataFrame([(1, i, ts, k, x) for i, (k, x, ts) in enumerate(responses)], "session long, seq long, ts double, kind string, text string")
-    assert [(r.word, r.ts) for r in fusion.words(d).collect()] == want
+    assert sorted((r.word, r.ts) for r in fusion.words(d).collect()) == want
 
 
-def test_fusion_on_a_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(4)
-    rows, clock = [], 0
-    for session in range(12):
+def final(frame, tokens):
+    return ("final", frame, tokens)
+
+
+def partial(frame, tokens):
+    return ("partial", frame, tokens)
+
+
+@pytest.mark.parametrize(
+    ("responses", "want"),
+    [
+        ([partial(0, "a"), partial(1, "ab"), partial(2, "abc"), partial(5, "abde"), final(9, "abdf")], [0, 1, 5, 9]),
+        ([partial(1, ["a", "b"]), final(2, ["ab"])], [1]),
+        ([partial(1, "ab"), partial(2, "bbd"), final(4, "cd")], [4, 4]),
+        ([partial(1, ["a", "b"]), partial(2, ["b", "b", "c"]), final(4, ["bb", "c"])], [2, 2]),
+        ([partial(0, "a"), partial(1, "abc"), final(4, "a"), final(5, "bc")], [0, 1, 1]),
+        ([final(i, "zz") for i in range(3)], [0, 0, 1, 1, 2, 2]),
+        ([final(3, "a"), partial(3, "b"), final(7, "b")], [3, 3]),
+    ],
+)
+def test_token_fusion(spark, responses, want):
+    d = spark.createDataFrame([(1, f, k, list(t)) for k, f, t in responses], "session long, frame long, kind string, tokens array<string>")
+    assert [r.since for r in fusion.tokens(d).orderBy("frame", "pos").collect()] == want
+
+
+def sessions_of_responses(rng, sessions, finals):
+    rows = []
+    for session in range(sessions):
         said, seq = "", 0
-        for _ in range(6):
-            word = "".join(rng.choices("abc", k=3)) + " "
-            for end in (1, 3):
-                rows.append((session, seq, clock + seq * 0.1, "partial", word[:end]))
+        for _ in range(finals):
+            word = "".join(rng.choices("ab", k=rng.randrange(1, 4))) + rng.choice([" ", " ", ""])
+            for _ in range(rng.randrange(4)):
+                shown = word[: rng.randrange(len(word) + 1)] + "".join(rng.choices("ab ", k=rng.randrange(4)))
+                rows.append((session, seq, seq * 0.25 + session / 64, "partial", shown))
                 seq += 1
-            rows.append((session, seq, clock + seq * 0.1, "final", word))
+            rows.append((session, seq, seq * 0.25 + session / 64, "final", word))
             said, seq = said + word, seq + 1
+    return rows
+
+
+def words_by_character(rows):
+    """The rule, literally: what the screen showed at a place, response by response."""
+    out = []
+    for session in sorted({r[0] for r in rows}):
+        place, shown, word, ts = 0, [], "", 0.0
+        for _, _, t, kind, text in sorted((r for r in rows if r[0] == session), key=lambda r: (r[2], r[1])):
+            if kind == "partial":
+                shown.append((place, text, t))
+                continue
+            for i, c in enumerate(text, place):
+                at = [(x[i - p], u) for p, x, u in shown if p <= i < p + len(x)]
+                same = len(at)
+                while same and at[same - 1][0] == c:
+                    same -= 1
+                seen = at[same][1] if same < len(at) else t
+                if c != " ":
+                    word, ts = word + c, max(ts, seen)
+                elif word:
+                    out.append((session, word, ts))
+                    word = ""
+                if c == " ":
+                    ts = 0.0
+            place += len(text)
+        if word:
+            out.append((session, word, ts))
+    return sorted(out)
+
+
+def test_fusion_of_random_sessions(spark):
+    rows = sessions_of_responses(random.Random(3), 40, 8)
+    d = spark.createDataFrame(rows, "session long, seq long, ts double, kind string, text string").repartition(5)
+    assert sorted(map(tuple, fusion.words(d).collect())) == words_by_character(rows)
+
+
+def test_fusion_on_a_stream_with_late_rows_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sessions_of_responses(rng, 12, 6)
+    last = max(r[2] for r in rows)
+    # rows come up to 5 s late, well inside the watermark's 10 s, a few to a file; one row far ahead lets the watermark pass all
+    come = [*sorted(rows, key=lambda r: r[2] + rng.random() * 5), (99, 0, last + 500, "partial", "")]
     schema = "session long, seq long, ts double, kind string, text string"
-    batch = spark.createDataFrame(rows, schema).withColumn("event_time", (F.lit(1_700_000_000) + F.col("ts")).cast("timestamp"))
-    batch.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    stamped = lambda x: spark.createDataFrame(x, schema).withColumn("event_time", (F.lit(1_700_000_000) + F.col("ts")).cast("timestamp"))
+    for i in range(0, len(come), 60):
+        stamped(come[i : i + 60]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(stamped(come[:1]).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
     q = fusion.words_stream(stream).writeStream.format("memory").queryName("fused").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(240)
     got = sorted((r.session, r.word, round(r.ts, 6)) for r in spark.table("fused").collect())
-    assert got == sorted((r.session, r.word, round(r.ts, 6)) for r in fusion.words(batch).collect()) and len(got) == 72
+    want = [(s, w, round(t, 6)) for s, w, t in words_by_character(rows)]
+    assert got == want and len(got) > 40
+    assert [(r.session, r.word, round(r.ts, 6)) for r in fusion.words(stamped(rows)).orderBy("session", "ts").collect()] != [] and sorted((r.session, r.word, round(r.ts, 6)) for r in fusion.words(stamped(rows)).collect()) == want
+
+
+def test_display(spark):
+    d = spark.createDataFrame([(1, 0, 1.0, "partial", "he"), (1, 1, 2.0, "final", "hello "), (1, 2, 3.0, "partial", "wor"), (2, 0, 1.0, "partial", "x"), (2, 1, 2.0, "final", "y")], "session long, seq long, ts double, kind string, text string")
+    assert sorted(map(tuple, fusion.display(d).collect())) == [(1, "hello ", "hello wor"), (2, "y", "y")]
 
 
 def test_session_windows_on_a_stream_equal_closed_batch_windows(spark, tmp_path):
