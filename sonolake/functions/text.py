@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import unicodedata
 
 import pandas as pd
@@ -23,10 +25,10 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Letters that decomposition leaves whole.
 LETTERS = (("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss"), ("ẞ", "SS"), ("đ", "d"), ("Đ", "D"), ("ð", "d"), ("Ð", "D"), ("þ", "th"), ("Þ", "th"), ("ł", "l"), ("Ł", "L"))
 # Standardisation of English, patterns and replacements in the order in which they apply.
-FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um)\b"
+FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um|mmhmm|uhhuh|huh)\b"
 CONTRACTIONS = (
-    (r"\bwon't\b", "will not"), (r"\bcan't\b", "can not"), (r"\blet's\b", "let us"), (r"\bain't\b", "aint"), (r"\by'all\b", "you all"),
-    (r"\bwanna\b", "want to"), (r"\bgotta\b", "got to"), (r"\bgonna\b", "going to"), (r"\bi'ma\b", "i am going to"), (r"\bimma\b", "i am going to"),
+    (r"\bwon't\b", "will not"), (r"\bcan't\b", "can not"), (r"\blet's\b", "let us"), (r"\blemme\b", "let me"), (r"\bdunno\b", "do not know"), (r"\bain't\b", "aint"), (r"\by'all\b", "you all"),
+    (r"\bwanna\b", "want to"), (r"\bkinda\b", "kind of"), (r"\bgotta\b", "got to"), (r"\blotta\b", "lot of"), (r"\bsorta\b", "sort of"), (r"\bgonna\b", "going to"), (r"\bi'ma\b", "i am going to"), (r"\bimma\b", "i am going to"),
     (r"\bwoulda\b", "would have"), (r"\bcoulda\b", "could have"), (r"\bshoulda\b", "should have"), (r"\bma'am\b", "madam"), (r"\balright\b", "all right"),
     (r"\bmr\b", "mister "), (r"\bmrs\b", "missus "), (r"\bst\b", "saint "), (r"\bdr\b", "doctor "), (r"\bprof\b", "professor "), (r"\bcapt\b", "captain "),
     (r"\bgov\b", "governor "), (r"\bald\b", "alderman "), (r"\bgen\b", "general "), (r"\bsen\b", "senator "), (r"\brep\b", "representative "),
@@ -126,10 +128,10 @@ def standardise(text: Column, spelling: dict[str, str] | None = None) -> Column:
     """The English standardiser: brackets, fillers, contractions, numbers' commas, symbols, spelling."""
     s = F.lower(text)
     s = F.regexp_replace(s, r"[<\[][^>\]]*[>\]]", "")
-    s = F.regexp_replace(s, FILLERS, "")
+    s = F.regexp_replace(s, "(?U)" + FILLERS, "")
     s = F.regexp_replace(s, r"\s+'", "'")
     for pattern, new in CONTRACTIONS:
-        s = F.regexp_replace(s, pattern, new)
+        s = F.regexp_replace(s, "(?U)" + pattern, new)
     s = F.regexp_replace(s, r"(\d),(\d)", "$1$2")
     s = F.regexp_replace(s, r"\.([^0-9]|$)", " $1")
     s = american(strip_symbols(s), spelling or {})
@@ -138,6 +140,11 @@ def standardise(text: Column, spelling: dict[str, str] | None = None) -> Column:
     return collapse(s)
 
 
+def wer_standard(spelling: dict[str, str] | None = None) -> Callable[[Column], Column]:
+    """The standardiser of error rates: the lower-case pipeline with letters, apostrophe and tag brackets, then standardise()."""
+    return lambda text: standardise(lower_pipeline(text, " '<>abcdefghijklmnopqrstuvwxyz"), spelling)
+
+
 def lower_pipeline(text: Column, charset: str, strict: bool = True) -> Column:
     """ASCII, lower case, numbers as words, abbreviations, symbols, single spaces; if strict, punctuation becomes spaces and only the
     charset stays."""
@@ -183,8 +190,32 @@ def _mask(i: int) -> str:
     return "q" + "".join(chr(98 + (i // 20**k) % 20) for k in range(4)) + "zqxjzqxjzqxjzqx"
 
 
-def by_line(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), F.trim), " ")
+def by_line(text: Column, rule: Callable[[Column], Column] = F.trim) -> Column:
+    """The lines, each by a rule of its own, joined by spaces."""
+    return F.array_join(F.transform(F.split(text, "\n"), rule), " ")
+
+
+def merged_splits(parts: Column) -> Column:
+    """Segments of a text with those that were parted inside a word put together: where neither side has a space at the seam."""
+    seam = lambda a, x: F.element_at(a, -1).endswith(" ") | x.startswith(" ")
+    start = F.slice(parts, 1, 1)
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.aggregate(rest, start, lambda a, x: F.when(seam(a, x), F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), x)))))
+
+
+CLEANERS: dict[str, Callable[[Column], Column]] = {"collapse": collapse, "lower": F.lower, "abbreviations": expand_abbreviations, "symbols": expand_symbols, "trim": F.trim, "punctuation": lambda c: normalise_punctuation(c), "tags": lambda c: remove_tags(c)}
+
+
+def cleaned(text: Column, names: list[str]) -> Column:
+    """The text through cleaners chosen by name, in that order; an unknown name is an error."""
+    for name in names:
+        text = CLEANERS[name](text)
+    return text
+
+
+def is_tag(word: Column) -> Column:
+    """Whether a word is nothing but tags."""
+    return (F.trim(remove_tags(word)) == "") & (F.trim(word) != "")
 
 
 def sentence_ends(text: Column, mark: str = "<EOS>") -> tuple[Column, Column]:

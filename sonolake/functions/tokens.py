@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,3 +46,30 @@ def known(tokens: DataFrame, handling: str = "warn") -> DataFrame:
 def piece_text(pieces: Column) -> Column:
     """The text of pieces with word marks; the unknown piece shows as two question marks."""
     return F.trim(F.replace(F.array_join(F.transform(pieces, lambda p: F.when(p == "<unk>", " ⁇ ").otherwise(p)), ""), F.lit("▁"), F.lit(" ")))
+
+
+def user_token(tokens: dict[str, str], name: str) -> str:
+    """A user's special token by name; an unknown name is an error that lists those there are."""
+    if name not in tokens:
+        raise ValueError(f"no user token {name!r}, there are {sorted(tokens)}")
+    return tokens[name]
+
+
+def check_user_tokens(vocabulary: DataFrame, tokens: dict[str, str]) -> None:
+    """Raises an error if the vocabulary (piece) lacks a user token."""
+    there = {r.piece for r in vocabulary.where(F.col("piece").isin(*tokens.values())).collect()} if tokens else set()
+    if missing := sorted(set(tokens.values()) - there):
+        raise ValueError(f"user tokens that are no pieces: {missing}")
+
+
+def lm_lines(texts: DataFrame, vocabulary: DataFrame, key: str, rule: Callable[[Column], Column], user_tokens: dict[str, str] | None = None, column: str = "text") -> DataFrame:
+    """key, line: each text without user tokens, by a rule, as its pieces between spaces; texts with a character that no piece has are
+    left out, empty ones too. Each distinct word is split once."""
+    text = F.col(column)
+    for token in (user_tokens or {}).values():
+        text = F.replace(text, F.lit(token), F.lit(""))
+    words = F.array_remove(F.split(rule(text), r"\s+"), "")
+    ids = known(tokenised(texts.select(key, words.alias("words")), vocabulary, key))
+    rows = vocabulary.orderBy(F.desc("score"), "piece").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "piece")).alias("r"))
+    pieces = rows.select(F.transform(F.array_sort("r"), lambda x: x["piece"]).alias("pieces"))
+    return ids.withColumn("_p", pieces.scalar()).select(key, F.array_join(F.transform("ids", lambda i: F.get("_p", i - 1)), " ").alias("line"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sonolake.tables import indexed, ranked, seeded
@@ -20,12 +23,64 @@ def by_length(df: DataFrame, mode: str, max_duration: float, max_chars: int, min
     return df.where(rules[mode])
 
 
+def _lacking(df: DataFrame) -> str:
+    """SQL: whether a column of a row is null, or a field of the first struct of an array of structs."""
+    parts = []
+    for f in df.schema.fields:
+        parts.append(f"`{f.name}` is null")
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            parts += [f"get(`{f.name}`, 0).`{x.name}` is null" for x in f.dataType.elementType.fields]
+    return " or ".join(parts)
+
+
 def complete(df: DataFrame) -> DataFrame:
-    return df.dropna("any")
+    """Rows without nulls, those inside the first of their files included."""
+    return df.where(f"not ({_lacking(df)})")
 
 
 def incomplete(df: DataFrame) -> DataFrame:
-    return df.where(" or ".join(f"`{c}` is null" for c in df.columns))
+    return df.where(_lacking(df))
+
+
+def with_text(df: DataFrame, work: Callable[[DataFrame], DataFrame], column: str = "transcript") -> DataFrame:
+    """df with work done on the rows that have a transcript; those with white space or nothing pass by."""
+    blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    done = work(df.where(~blank))
+    return done.unionByName(df.where(blank), allowMissingColumns=True)
+
+
+def merged(manifests: list[DataFrame], key: str = "fname") -> DataFrame:
+    """The union of manifests, in which a file may stand once: rows of repeated files are an error."""
+    every = manifests[0]
+    for more in manifests[1:]:
+        every = every.unionByName(more)
+    times = F.count("*").over(Window.partitionBy(key))
+    checked = F.when(times > 1, F.raise_error(F.concat(F.lit("a file comes twice: "), F.col(key)))).otherwise(F.col(key))
+    return every.withColumn("_k", checked).withColumn(key, F.col("_k")).drop("_k")
+
+
+def file_names(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """labels (label, ...) with the file name of each; a label that the manifest (label, fname) lacks has none."""
+    return labels.join(manifest.select("label", "fname"), "label", "left")
+
+
+def coverage(expected: DataFrame, processed: DataFrame, key: str, words: str) -> DataFrame:
+    """total_utts, processed_utts, processed_words; an error where nothing was processed. processed: key, words (array)."""
+    done = processed.groupBy(key).agg(F.first(F.size(words)).alias("_n"))
+    g = expected.select(key).distinct().join(done, key, "left").agg(F.count("*").alias("total_utts"), F.count("_n").alias("processed_utts"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("processed_words"))
+    some = F.when(F.col("processed_utts") == 0, F.raise_error(F.lit("nothing was processed"))).otherwise(F.col("processed_utts"))
+    return g.select("total_utts", some.cast("long").alias("processed_utts"), "processed_words")
+
+
+def pending(work: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """work without what is done, the first limit by key if there is a limit."""
+    left = work.join(done.select(key), key, "left_anti")
+    return left if limit is None else left.orderBy(key).limit(limit)
+
+
+def repeated_like(values: Column, parts: Column) -> Column:
+    """Each value as often as the part (an array) beside it has elements, in one array."""
+    return F.flatten(F.zip_with(values, parts, lambda v, p: F.array_repeat(v, F.size(p))))
 
 
 def validated(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The blocks of code points whose names begin with "CJK ", ideographs and their compatibility forms.
 CJK = "⺀-⿟㇀-㇯㐀-䶿一-鿿豈-﫿︰-﹏\U00020000-\U0002FA1F\U00030000-\U000323AF"
@@ -30,14 +34,61 @@ def mixture_list(text: Column) -> Column:
 TOKENS: dict[str, Callable[[Column], Column]] = {"wer": word_list, "cer": char_list, "mer": mixture_list}
 
 
+#: Rows of the distance table that one pass keeps as bits of a number; longer references take several passes.
+STRIP = 1 << 13
+
+
+def distance(ref: list[int], hyp: list[int]) -> int:
+    """The edit distance of two sequences, by bit-parallel columns: differences of neighbouring cells are bits of whole numbers (Myers;
+    Hyyro for strips of rows, which hand their lower edge's differences on to the next)."""
+    while ref and hyp and ref[-1] == hyp[-1]:
+        ref, hyp = ref[:-1], hyp[:-1]
+    same = next((i for i, (x, y) in enumerate(zip(ref, hyp, strict=False)) if x != y), min(len(ref), len(hyp)))
+    ref, hyp = ref[same:], hyp[same:]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    edge = [1] * len(hyp)  # differences along the row above, from cell to cell
+    for lo in range(0, len(ref), STRIP):
+        strip = ref[lo : lo + STRIP]
+        places: dict[int, int] = {}
+        for i, x in enumerate(strip):
+            places[x] = places.get(x, 0) | 1 << i
+        every, last = (1 << len(strip)) - 1, len(strip) - 1
+        up, down = every, 0  # where a cell is one more, or one less, than the cell above it
+        for j, y in enumerate(hyp):
+            match = places.get(y, 0)
+            above = edge[j]
+            start = match | 1 if above < 0 else match
+            diagonal = (((start & up) + up) ^ up) | start
+            right, left = (down | ~(diagonal | up)) & every, up & diagonal
+            edge[j] = (right >> last & 1) - (left >> last & 1)
+            right, left = right << 1 | (above > 0), left << 1 | (above < 0)
+            match |= down
+            up, down = (left | ~(match | right)) & every, right & match & every
+    return len(ref) + sum(edge)
+
+
 def with_distance(df: DataFrame, ref: str, hyp: str, name: str = "errors") -> DataFrame:
-    """df with the edit distance of two array columns. A pair's distinct tokens become one character each, so that the built-in
-    character distance counts tokens. Up to 35,000 distinct tokens fit the characters used; pairs beyond get an error."""
-    numbered = f"map_from_arrays(array_distinct(concat({ref}, {hyp})), sequence(1, size(array_distinct(concat({ref}, {hyp})))))"
-    d = df.withColumn("_v", F.expr(f"if(size({ref}) + size({hyp}) = 0, map(), {numbered})"))
-    d = d.withColumn("_ok", F.when(F.size("_v") > 35_000, F.raise_error(F.lit("a pair has over 35,000 distinct tokens"))).otherwise(F.lit(True)))
-    coded = lambda c: F.expr(f"decode(unhex(array_join(transform({c}, x -> hex(19968 + _v[x])), '')), 'UTF-16BE')")
-    return d.withColumn(name, F.when(F.col("_ok"), F.levenshtein(coded(ref), coded(hyp)))).drop("_v", "_ok")
+    """df with the edit distance of two array columns (null where one is null). Tokens are numbered inside a batch; a pair's memory is its
+    tokens and a strip of bits."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b.column(b.schema.get_field_index(c)) for c in (ref, hyp)]
+            tokens = [np.asarray(x) for x in (pa.concat_arrays([s.flatten() for s in sides]).dictionary_encode().indices,)][0].tolist()
+            ends, out, base = [], [], 0
+            for s in sides:
+                lens = np.where(np.asarray(s.is_valid()), np.asarray(pc.fill_null(pc.list_value_length(s), 0)), 0)
+                stop = base + np.cumsum(lens)
+                ends.append((stop - lens, stop))
+                base = int(stop[-1]) if len(stop) else base
+            for k in range(b.num_rows):
+                pair = [tokens[x[k] : y[k]] for x, y in ends]
+                out.append(distance(*pair) if all(s[k].is_valid for s in sides) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, schema)
 
 
 def rate(errors: Column, words: Column) -> Column:
@@ -46,19 +97,47 @@ def rate(errors: Column, words: Column) -> Column:
 
 
 def error_rate(pairs: DataFrame, by: list[str], ref: str = "ref_words", hyp: str = "hyp_words") -> DataFrame:
-    d = with_distance(pairs, ref, hyp)
+    d = with_distance(pairs.select(*by, ref, hyp), ref, hyp)
     n = F.size(ref)
     return d.groupBy(*by).agg(F.sum("errors").cast("long").alias("errors"), F.sum(n).cast("long").alias("words"), F.round(rate(F.col("errors"), n), 8).alias("rate"))
 
 
-def breakdown(pairs: DataFrame, marks: tuple[str, ...] = (".", ",", "?", "-")) -> DataFrame:
-    """variant, errors, words, rate, improvement (percent against 'none'): error rates with case, each mark or all of them ignored."""
-    drop = lambda c, chars: F.translate(c, chars, "")
-    variants = [("none", lambda c: c), ("case", F.lower), *((f"mark {m}", lambda c, m=m: drop(c, m)) for m in marks), ("marks", lambda c: drop(c, "".join(marks))), ("all", lambda c: F.lower(drop(c, "".join(marks))))]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), f(F.col("ref")).alias("r"), f(F.col("hyp")).alias("h")) for n, f in variants]))
-    d = pairs.select(each.alias("x")).select("x.variant", word_list(F.col("x.r")).alias("ref_words"), word_list(F.col("x.h")).alias("hyp_words"))
+def text_error_rate(pairs: DataFrame, by: list[str], kind: str = "wer", standard: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Error rates of texts (ref, hyp): standardised if a standardiser is given, then split into the tokens of a kind."""
+    side = lambda c: TOKENS[kind]((standard or (lambda x: x))(F.col(c)))
+    return error_rate(pairs.select(*by, side("ref").alias("ref_words"), side("hyp").alias("hyp_words")), by)
+
+
+def worker_mean(losses: DataFrame, worker: str = "worker", loss: str = "loss") -> DataFrame:
+    """mean: the mean of the workers' mean losses, each worker counting once however many losses it has."""
+    return losses.groupBy(worker).agg(F.avg(loss).alias("m")).agg(F.round(F.avg("m"), 8).alias("mean"))
+
+
+def ctm_words(text: Column) -> Column:
+    """A standardised transcript's words: trimmed, split at each single space; an empty transcript is one empty word."""
+    return F.split(F.trim(text), " ", -1)
+
+
+def ctm_error_rate(ref: DataFrame, hyp: DataFrame, standard: Callable[[Column], Column], key: str = "file") -> DataFrame:
+    """percent (4 digits), errors, words over the files that both have; ref and hyp: a row per file with its transcript."""
+    side = lambda df, name: df.select(key, ctm_words(standard(F.coalesce("transcript", F.lit("")))).alias(name))
+    d = with_distance(side(ref, "ref_words").join(side(hyp, "hyp_words"), key), "ref_words", "hyp_words")
+    words = F.size("ref_words")
+    return d.agg(F.round(100 * rate(F.col("errors"), words), 4).alias("percent"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("words"))
+
+
+def variants(marks: str) -> list[tuple[str, Callable[[Column], Column]]]:
+    """The transformations of a breakdown: none, case, each character of marks, all of them."""
+    drop = lambda chars: lambda c: F.translate(c, chars, "")
+    return [("none", lambda c: c), ("case", F.lower), *((f"mark {m}", drop(m)) for m in marks), ("marks", drop(marks))]
+
+
+def breakdown(pairs: DataFrame, transforms: list[tuple[str, Callable[[Column], Column]]], kind: str = "wer") -> DataFrame:
+    """variant, errors, words, rate, improvement (percent against the first variant) of texts (ref, hyp) under each transformation."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), f(F.col("ref")).alias("r"), f(F.col("hyp")).alias("h")) for n, f in transforms]))
+    d = pairs.select(each.alias("x")).select("x.variant", TOKENS[kind](F.col("x.r")).alias("ref_words"), TOKENS[kind](F.col("x.h")).alias("hyp_words"))
     rates = error_rate(d, ["variant"])
-    base = rates.where("variant = 'none'").select(F.col("rate").alias("_base"))
+    base = rates.where(F.col("variant") == transforms[0][0]).select(F.col("rate").alias("_base"))
     return rates.join(F.broadcast(base)).withColumn("improvement", F.round(F.when(F.col("_base") != 0, (F.col("_base") - F.col("rate")) / F.col("_base") * 100).otherwise(F.lit(0.0)), 6)).drop("_base")
 
 

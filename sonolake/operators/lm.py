@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sonolake.tables import written
 
@@ -33,34 +37,54 @@ def discounts(grams: DataFrame, fallback: tuple[float, float, float] = (0.5, 1.0
 
 
 def split_gram(gram: str = "gram") -> tuple[Column, Column]:
-    """The context and the last word of a gram."""
-    return F.regexp_replace(gram, r" [^ ]*$", ""), F.element_at(F.split(gram, " "), -1)
+    """The context and the last word of a gram; a single word has no context."""
+    return F.when(F.contains(gram, F.lit(" ")), F.regexp_replace(gram, r" [^ ]*$", "")), F.element_at(F.split(gram, " "), -1)
 
 
-def bigram_model(words: DataFrame, column: str = "words") -> tuple[DataFrame, DataFrame]:
-    """(context, word, p) and (context, backoff): an interpolated bigram model over continuation unigrams, as tables."""
-    pairs = written(ngrams(words, 2, column), "bigrams")
-    d1, d2, d3 = discounts(pairs)
+def shorter(gram: str) -> Column:
+    """A gram without its first word."""
+    return F.regexp_replace(gram, r"^[^ ]* ", "")
+
+
+def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple[DataFrame, DataFrame]:
+    """n, context, word, p and context, backoff of an interpolated Kneser-Ney model with three discounts per order, as tables.
+
+    The highest order has its counts; a lower order counts in how many different grams of the next order it comes last. Single words
+    (null context) are not discounted. A context's backoff is what its discounts saved."""
+    kinds = {n: written(ngrams(words, n, column), f"grams-{n}") for n in range(2, order + 1)}
+    counts = {order: kinds[order]} | {n - 1: written(kinds[n].groupBy(shorter("gram").alias("gram")).agg(F.count("*").alias("c")), f"grams-{n - 1}-before") for n in range(2, order + 1)}
+    every = counts[1].agg(F.sum("c").alias("all"))
+    lower = counts[1].join(F.broadcast(every)).select("gram", (F.col("c") / F.col("all")).alias("p"))
     context, word = split_gram()
-    b = pairs.select(context.alias("context"), word.alias("word"), "c")
-    cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    totals = b.groupBy("context").agg(F.sum("c").alias("total"), F.sum(cut).alias("saved"))
-    left = b.groupBy("word").agg(F.count("*").alias("k"))  # continuation counts
-    every = left.agg(F.sum("k").alias("all"))
-    uni = left.join(F.broadcast(every)).select("word", (F.col("k") / F.col("all")).alias("q"))
-    p = b.join(totals, "context").join(uni, "word").select("context", "word", ((F.col("c") - cut) / F.col("total") + F.col("saved") / F.col("total") * F.col("q")).alias("p"))
-    backoff = totals.select("context", (F.col("saved") / F.col("total")).alias("backoff"))
-    return p.unionByName(uni.select(F.lit(None).cast("string").alias("context"), "word", F.col("q").alias("p"))), backoff
-
-
-def scored(words: DataFrame, model: DataFrame, backoff: DataFrame, key: str, column: str = "words", floor: float = 1e-7) -> DataFrame:
-    """key, n, log_prob (natural): a word after its context, else the context's backoff times the word alone, else a floor."""
-    d = words.select(key, F.posexplode(column).alias("pos", "word"), F.col(column).alias("_w")).select(key, "word", F.when(F.col("pos") > 0, F.get("_w", F.col("pos") - 1)).alias("context"))
-    pair = model.where("context is not null").select(F.col("context").alias("_c"), F.col("word").alias("_v"), "p")
-    uni = model.where("context is null").select(F.col("word").alias("_u"), F.col("p").alias("q"))
-    grams = d.groupBy(key, "context", "word").agg(F.count("*").alias("times"))
-    j = grams.join(pair, F.expr("context = _c and word = _v"), "left").join(uni, F.col("word") == F.col("_u"), "left").join(backoff.select(F.col("context").alias("_b"), "backoff"), F.expr("context = _b"), "left")
-    p = F.coalesce("p", F.coalesce("backoff", F.lit(1.0)) * F.coalesce("q", F.lit(floor)))
+    model, saved = lower.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), F.col("gram").alias("word"), "p"), []
+    for n in range(2, order + 1):
+        d1, d2, d3 = discounts(counts[n])
+        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        g = counts[n].select("gram", "c", context.alias("context"), word.alias("word"), shorter("gram").alias("tail"))
+        totals = written(g.groupBy("context").agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("backoff")), f"contexts-{n}")
+        low = lower.select(F.col("gram").alias("tail"), F.col("p").alias("q"))
+        own = written(g.join(totals, "context").join(low, "tail").select("gram", "context", "word", ((F.col("c") - off) / F.col("total") + F.col("backoff") * F.col("q")).alias("p")), f"model-{n}")
+        model = model.unionByName(own.select(F.lit(n).alias("n"), "context", "word", "p"))
+        saved.append(totals.select("context", "backoff"))
+        lower = own.select("gram", "p")
+    backoff = saved[0]
+    for more in saved[1:]:
+        backoff = backoff.unionByName(more)
+    return model, backoff
+
+
+def scored(words: DataFrame, model: DataFrame, backoff: DataFrame, key: str, order: int = 4, column: str = "words", floor: float = 1e-7) -> DataFrame:
+    """key, n, log_prob (natural): each word after the longest context that the model has with it; each context that it gives up on the way
+    costs its backoff (1 if it is unknown), a word that the model lacks the floor."""
+    context = lambda n: F.when(F.col("pos") >= n - 1, F.array_join(F.slice(F.col("_w"), F.col("pos") - (n - 2), n - 1), " ")).alias(f"c{n}")
+    d = words.select(key, F.posexplode(column).alias("pos", "word"), F.col(column).alias("_w")).select(key, "word", *[context(n) for n in range(2, order + 1)])
+    grams = d.groupBy(key, "word", *[f"c{n}" for n in range(2, order + 1)]).agg(F.count("*").alias("times"))
+    p = F.coalesce("p1", F.lit(floor))
+    j = grams.join(model.where("n = 1").select(F.col("word").alias("_w1"), F.col("p").alias("p1")), F.expr("word = _w1"), "left")
+    for n in range(2, order + 1):
+        j = j.join(model.where(F.col("n") == n).select(F.col("context").alias(f"_c{n}"), F.col("word").alias(f"_w{n}"), F.col("p").alias(f"p{n}")), F.expr(f"c{n} = _c{n} and word = _w{n}"), "left")
+        j = j.join(backoff.select(F.col("context").alias(f"_b{n}"), F.col("backoff").alias(f"b{n}")), F.expr(f"c{n} = _b{n}"), "left")
+        p = F.coalesce(f"p{n}", F.coalesce(f"b{n}", F.lit(1.0)) * p)
     return j.groupBy(key).agg(F.sum("times").alias("n"), F.round(F.sum(F.log(p) * F.col("times")), 6).alias("log_prob"))
 
 
@@ -116,17 +140,30 @@ def charset_coverage(texts: DataFrame, charset: str, column: str = "text") -> Da
     return chars.withColumn("covered", F.array_contains(F.array(*[F.lit(c) for c in charset]), F.col("char")))
 
 
-def keyword_scores(texts: DataFrame, keywords: DataFrame, key: str, column: str = "text") -> DataFrame:
+def keyword_scores(texts: DataFrame, keywords: DataFrame, key: str, column: str = "text", most: int = 1_000_000) -> DataFrame:
     """key, score: for each keyword its weight times (its length by the overlapping places it has in the text, plus the lengths of its
-    proper prefixes that the text ends with). The keyword list is one row (a user's list, checked to be under max_keywords), so a
-    text meets it in place; texts are neither moved nor multiplied."""
-    max_keywords = 10_000
-    one = keywords.agg(F.collect_list(F.struct("phrase", "weight")).alias("_k"))
-    one = one.withColumn("_k", F.when(F.size("_k") <= max_keywords, F.col("_k")).otherwise(F.raise_error(F.lit(f"over {max_keywords} keywords"))))
-    places = f"char_length(k.phrase) * if(contains({column}, k.phrase), regexp_count({column}, concat('(?=\\\\Q', k.phrase, '\\\\E)')), 0)"
-    ends = f"aggregate(sequence(1, greatest(char_length(k.phrase) - 1, 1)), 0, (n, i) -> n + if(i < char_length(k.phrase) and endswith({column}, left(k.phrase, i)), i, 0))"
-    score = F.expr(f"aggregate(_k, 0D, (a, k) -> a + k.weight * ({places} + {ends}))")
-    return texts.join(F.broadcast(one)).select(key, F.round(score, 6).alias("score"))
+    proper prefixes that the text ends with). The keywords (phrase, weight), a user's list of most at the utmost, become one automaton
+    that passes over each text once. A null text has no score."""
+    rows = keywords.where("phrase <> ''").groupBy("phrase").agg(F.sum("weight").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} keywords")
+    listed = texts.sparkSession.sparkContext.broadcast([(r.phrase, r.weight) for r in rows])
+    kind = texts.select(key).schema.fields[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, heads = ahocorasick.Automaton(), {}
+        for phrase, weight in listed.value:
+            found.add_word(phrase, weight * len(phrase))
+            for i in range(1, len(phrase)):
+                heads[phrase[:i]] = heads.get(phrase[:i], 0.0) + weight * i
+        longest = max(map(len, heads), default=0)
+        if len(found):
+            found.make_automaton()
+        for b in batches:
+            scores = [None if x is None else (sum(w for _, w in found.iter(x)) if len(found) else 0.0) + sum(heads.get(x[-i:], 0.0) for i in range(1, min(longest, len(x)) + 1)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v is None else round(v, 6) for v in scores], pa.float64())], names=[key, "score"])
+
+    return texts.select(key, F.col(column).alias("_text")).mapInArrow(run, T.StructType([kind, T.StructField("score", T.DoubleType())]))
 
 
 def merged_hypotheses(nbest: DataFrame) -> DataFrame:
@@ -135,6 +172,11 @@ def merged_hypotheses(nbest: DataFrame) -> DataFrame:
     return nbest.join(top, ["utt", "text"]).groupBy("utt", "text", "_m").agg(F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_s")).select("utt", "text", F.round(F.col("_m") + F.log("_s"), 6).alias("score"))
 
 
+def first_hypotheses(nbest: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """nbest's first k rows of each utterance in a user's order, with their rank from 1."""
+    return nbest.withColumn("rank", F.row_number().over(Window.partitionBy("utt").orderBy(*order))).where(F.col("rank") <= k)
+
+
 def pruned(nbest: DataFrame, beam: float, k: int) -> DataFrame:
     """Hypotheses within beam of the best score per token, at most k by score, with their rank from 1."""
     per = F.col("score") / F.greatest(F.col("n_tokens"), F.lit(1))
@@ -144,12 +186,42 @@ def pruned(nbest: DataFrame, beam: float, k: int) -> DataFrame:
     return listed.select("utt", F.posexplode("_h").alias("rank", "h")).select("utt", (F.col("rank") + 1).alias("rank"), "h.text", (-F.col("h._neg")).alias("score"))
 
 
+def keyword_rescored(nbest: DataFrame, keywords: DataFrame, weight: float = 1.0) -> DataFrame:
+    """nbest (utt, text, score) with each hypothesis' keyword score added."""
+    found = keyword_scores(nbest.select("text").distinct(), keywords, "text")
+    return nbest.join(found.select("text", F.col("score").alias("_k")), "text").withColumn("score", F.round(F.col("score") + weight * F.col("_k"), 8)).drop("_k")
+
+
+def running_scores(texts: DataFrame, keywords: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """key, pos, delta, total: a text's keyword score character by character. The score of a text so far is that of keyword_scores();
+    delta is how much a character changes it. Prefixes are scored once each."""
+    at = texts.select(key, F.explode(F.sequence(F.lit(0), F.char_length(column))).alias("pos"), F.col(column).alias("_t")).select(key, "pos", F.expr("left(_t, pos)").alias("head"))
+    scores = keyword_scores(at.select("head").distinct(), keywords, "head", "head").select("head", F.col("score").alias("total"))
+    w = Window.partitionBy(key).orderBy("pos")
+    return at.join(scores, "head").select(key, "pos", F.round(F.col("total") - F.lag("total").over(w), 6).alias("delta"), "total").where("pos > 0")
+
+
 def rescored(nbest: DataFrame, extra: DataFrame, weight: float) -> DataFrame:
     """nbest with score + weight * extra's score of the same (utt, text)."""
     e = extra.select("utt", "text", F.col("score").alias("_e"))
     return nbest.join(e, ["utt", "text"], "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("_e", F.lit(0.0)), 8)).drop("_e")
 
 
+def forced_prefix(nbest: DataFrame, limit: float) -> DataFrame:
+    """utt, n_kept, n_prefix, prefix: where an utterance has waited for a final for more than limit seconds, its worst hypotheses are dropped
+    until those left begin alike; else all stay. nbest: utt, tokens, score, waited (s)."""
+    best = nbest.groupBy("utt").agg(F.max_by("tokens", F.struct("score", "tokens")).alias("_best"))
+    least = F.least(F.size("tokens"), F.size("_best"))
+    alike = F.expr("array_min(filter(sequence(0, least(size(tokens), size(_best))), i -> i >= least(size(tokens), size(_best)) or not get(tokens, i) <=> get(_best, i)))")
+    r = nbest.join(best, "utt").withColumn("_n", F.when(least == 0, 0).otherwise(alike))
+    worse = Window.partitionBy("utt").orderBy(F.desc("score"), F.desc("tokens")).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumns({"_rank": F.row_number().over(worse), "_common": F.min("_n").over(worse)})
+    all_ = Window.partitionBy("utt")
+    kept = r.withColumn("_of", F.count("*").over(all_)).where((F.col("waited") > limit) & (F.col("_common") > 0) | (F.col("waited") <= limit) & (F.col("_rank") == F.col("_of")) | (F.col("_rank") == 1))
+    last = kept.groupBy("utt").agg(F.max(F.struct("_rank", "_common", "_best")).alias("x"))
+    return last.select("utt", F.col("x._rank").alias("n_kept"), F.col("x._common").alias("n_prefix"), F.slice("x._best", 1, F.col("x._common")).alias("prefix"))
+
+
 def common_prefix(nbest: DataFrame) -> DataFrame:
     """utt, n_prefix, prefix: the tokens that all of an utterance's hypotheses (tokens) begin with: those of the least and the greatest."""
     ends = nbest.groupBy("utt").agg(F.min("tokens").alias("_a"), F.max("tokens").alias("_z"))

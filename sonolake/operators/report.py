@@ -25,6 +25,20 @@ def best_of(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.min(F.struct("rate", "order", "param")).alias("_b")).select(*by, "_b.param", "_b.rate")
 
 
+#: The metrics of a validation report and those that default to 0 instead of not a number.
+METRICS = ("wer", "errors", "words", "latency_mean", "latency_50", "latency_90", "latency_99", "eos_share", "sil_share")
+SHARES = ("eos_share", "sil_share")
+
+
+def validation_report(rows: DataFrame, datasets: list[str]) -> DataFrame:
+    """metric and a column per data set for METRICS, from rows (dataset, metric, value): four decimals; what is absent is not a number, or 0
+    for shares. Every metric has a row."""
+    every = rows.sparkSession.createDataFrame([(m,) for m in METRICS], "metric string")
+    wide = rows.where(F.col("metric").isin(*METRICS)).groupBy("metric").pivot("dataset", datasets).agg(F.round(F.first("value"), 4))
+    absent = F.when(F.col("metric").isin(*SHARES), F.lit(0.0)).otherwise(F.lit(float("nan")))
+    return F.broadcast(every).join(wide, "metric", "left").select("metric", *[F.coalesce(F.col(f"`{d}`"), absent).alias(d) for d in datasets])
+
+
 def crosstab(rows: DataFrame, metrics: list[str], datasets: list[str]) -> DataFrame:
     """A row per metric, a column per dataset: rows (dataset, metrics...) unpivoted and pivoted, four decimals."""
     long = rows.unpivot(["dataset"], metrics, "metric", "value")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sonolake.tables import indexed, ranked, seeded
+from sonolake.tables import indexed, ranked, seeded, written
 
 
 def manifest_sizes(df: DataFrame) -> DataFrame:
@@ -68,6 +69,49 @@ def longest_first(ordered: DataFrame, width: int) -> DataFrame:
     return ordered.join(F.broadcast(best)).withColumn("place", moved).drop("_best")
 
 
+def pessimistic(ordered: DataFrame, widths: tuple[int, int, int], tie: str = "fname") -> DataFrame:
+    """ordered (place from 0, duration, ...) with the longest work first: the chunk with most audio is swapped to the front at three
+    widths (a step of all workers, of one machine, of one batch), then the longest utterances are spread over the first step, one to
+    a batch, each in exchange for the batch's longest. An order of no more than the first width stays as it is.
+
+    The last step moves as many rows as the first width at most: their places are worked out on the driver, whatever the table's size."""
+    n, (step, _, batch) = ordered.count(), widths
+    if n <= step:
+        return ordered
+    for width in widths:
+        ordered = longest_first(ordered, width) if n > width else ordered
+    ordered = written(ordered, "pessimistic")
+    top = [(r.place, r.duration) for r in ordered.orderBy(F.desc("duration"), "place").limit(step // batch).select("place", "duration").collect()]
+    length = {r.place: r.duration for r in ordered.where(F.col("place") < step).select("place", "duration").collect()} | dict(top)
+    holds = {p: p for p in length}  # which row stands at a place
+    for i, (far, _) in enumerate(top):
+        near = max(range(i * batch, (i + 1) * batch), key=lambda p: length[holds[p]])
+        holds[near], holds[far] = holds[far], holds[near]
+    moves = [(row, p) for p, row in holds.items() if row != p]
+    if not moves:
+        return ordered
+    table = ordered.sparkSession.createDataFrame(moves, "place long, _to long")
+    return ordered.join(F.broadcast(table), "place", "left").withColumn("place", F.coalesce("_to", "place")).drop("_to").select(*ordered.columns)
+
+
+def in_buffers(ordered: DataFrame, buffer: int, key: list[Column]) -> DataFrame:
+    """ordered (place, ...) with places dealt anew inside each buffer of so many consecutive ones, by a key: a seeded hash shuffles a stream
+    of shards as far as its buffer reaches, a duration sorts it before batches are cut."""
+    chunk = F.expr(f"place div {buffer}")
+    inside = F.row_number().over(Window.partitionBy("_buffer").orderBy(*key, "place")) - 1
+    return ordered.withColumn("_buffer", chunk).withColumn("place", (F.col("_buffer") * buffer + inside).cast("long")).drop("_buffer")
+
+
+def nth_batch(ordered: DataFrame, batch: int, n: int) -> DataFrame:
+    """The rows of one batch of ordered (place, ...)."""
+    return ordered.where(F.expr(f"place div {batch}") == n)
+
+
+def first_n(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)
+
+
 def resumed(ordered: DataFrame, world: int, batch: int, step: int) -> DataFrame:
     """Each worker's share of ordered (place, ...), batches dealt in turn, less the step * batch utterances it has done."""
     b = F.expr(f"place div {batch}")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stacked(frames: DataFrame, depth: int, step: int, value: str = "value") -> DataFrame:
-    """Every step-th frame with the values of the next depth - 1 frames, zero past the end. frames: utt, frame (from 0), value."""
-    w = Window.partitionBy("utt").orderBy("frame")
+def stacked(frames: DataFrame, depth: int, step: int, value: str = "value", by: tuple[str, ...] = ("utt",)) -> DataFrame:
+    """Every step-th frame with the values of the next depth - 1 frames, zero past the end. frames: by, frame (from 0), value; by may name a
+    dimension beside the utterance."""
+    w = Window.partitionBy(*by).orderBy("frame")
     ahead = [F.lead(value, k, 0.0).over(w).alias(f"v{k}") for k in range(depth)]
-    return frames.select("utt", "frame", *ahead).where(F.col("frame") % step == 0)
+    return frames.select(*by, "frame", *ahead).where(F.col("frame") % step == 0)
 
 
 def segments(utts: DataFrame, size: int, overlap: int, pad: bool = True) -> DataFrame:

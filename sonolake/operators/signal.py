@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +24,25 @@ def normalised(frames: DataFrame, stats: DataFrame) -> DataFrame:
     return d.join(F.broadcast(stats.select("dim", "mean", "var")), "dim").select("utt", "frame", "dim", F.round((F.col("x") - F.col("mean")) / F.sqrt("var"), 6).alias("value"))
 
 
+def utterance_stats(frames: DataFrame) -> DataFrame:
+    """utt, dim, n, mean, var of each utterance's own frames."""
+    return feature_stats(frames, ["utt"])
+
+
+def blended(frames: DataFrame, stats: DataFrame, share: float) -> DataFrame:
+    """utt, frame, dim, value: features normalised by the data set's statistics (stats, by share) and by their utterance's own (by the rest);
+    share 0 is the utterance mode. A dimension that does not vary is only centred."""
+    own = utterance_stats(frames).select("utt", "dim", F.col("mean").alias("_m"), F.col("var").alias("_v"))
+    d = frames.select("utt", "frame", F.posexplode("features").alias("dim", "x")).join(own, ["utt", "dim"]).join(F.broadcast(stats.select("dim", "mean", "var")), "dim")
+    scaled = lambda m, v: (F.col("x") - F.col(m)) / F.when(F.col(v) > 0, F.sqrt(v)).otherwise(F.lit(1.0))
+    return d.select("utt", "frame", "dim", F.round(share * scaled("mean", "var") + (1 - share) * scaled("_m", "_v"), 6).alias("value"))
+
+
+def stat_preconditions(config: dict[str, object]) -> dict[str, object]:
+    """A feature job's settings for a run that gathers statistics: no augmentation, noise, dither or normalisation."""
+    return config | {"normalise": False, "dither": 0.0, "speed": False, "noise": False, "babble": False, "narrow_band": False, "masks": False}
+
+
 def power(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
 
@@ -39,6 +59,17 @@ def snr_mix(signal: Column, noise: Column, snr_db: Column) -> Column:
     return let(mixed, lambda m: let(F.sqrt(power(signal) / power(m)), lambda c: F.transform(m, lambda v: v * c)))
 
 
+def cropped(noise: Column, length: Column, ratio: Column) -> Column:
+    """A stretch of the noise of a length; ratio (0 to 1) says how much of what is left over lies before it."""
+    return F.slice(noise, F.floor((F.size(noise) - length) * ratio).cast("int") + 1, length)
+
+
+def noise_mixed(signal: Column, noise: Column, snr_db: Column, ratio: Column) -> Column:
+    """snr_mix() with the part of a longer noise that the ratio points to; a shorter noise is an error (tile it before)."""
+    enough = F.when(F.size(noise) >= F.size(signal), noise).otherwise(F.raise_error(F.lit("the noise is shorter than the signal")))
+    return snr_mix(signal, cropped(enough, F.size(signal), ratio), snr_db)
+
+
 def babble(signals: DataFrame, batch: int, snr_db: float) -> DataFrame:
     """Each signal (batch_no, pos, signal) mixed with the next of its batch, the last with the first."""
     w = Window.partitionBy("batch_no").orderBy("pos")
@@ -74,29 +105,63 @@ def padded(x: Column, before: int, after: int) -> Column:
     return F.concat(F.array_repeat(F.lit(0.0), before), x, F.array_repeat(F.lit(0.0), after))
 
 
-def band_masked(x: Column, seed: Column, width: int) -> Column:
-    """x with a band of at most width places set to zero; the seed column fixes where."""
-    n = F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(width + 1))
-    start = F.pmod(F.xxhash64(seed, F.lit(2)), F.greatest(F.size(x) - n + 1, F.lit(1)))
-    band = F.struct(start.alias("lo"), (start + n).alias("hi"))
-    return let(band, lambda b: F.transform(x, lambda v, i: F.when((i >= b["lo"]) & (i < b["hi"]), F.lit(0.0)).otherwise(v)))
+def mask_spans(n: Column, masks: Column | int, least: int, most: Column | int, seed: Column, kind: str) -> Column:
+    """array of (lo, hi): so many masks of least to most places among n, where a hash of the seed puts them."""
+    draw = lambda i, k, below: F.pmod(F.xxhash64(seed, F.lit(kind), i, F.lit(k)), F.greatest(below, F.lit(1)))
+
+    def span(i: Column) -> Column:
+        width = F.lit(least) + draw(i, 1, F.lit(most) - least + 1)
+        return let(width, lambda w: let(draw(i, 2, n - w + 1), lambda lo: F.struct(lo.alias("lo"), (lo + w).alias("hi"))))
+
+    count = F.lit(masks).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), span)).otherwise(F.array().cast("array<struct<lo: bigint, hi: bigint>>"))
+
+
+def share_of(value: float, n: Column) -> Column:
+    """A number as it is, or below 1 as a share of n, rounded."""
+    return F.bround(n * value).cast("int") if 0 < value < 1 else F.lit(int(value))
+
+
+def spec_masked(x: Column, seed: Column, freq: tuple[int, int, int] = (0, 0, 10), time: tuple[float, int, float] = (0, 0, 10), noise: float = 0.0) -> Column:
+    """Features x (an array of frames, each an array) with bands of dimensions and stretches of frames masked. freq and time: how many
+    masks, least and most width; below 1, the number and the most width of time masks are shares of the frames. Masked places are 0, or
+    with noise a normal draw about the dimension's mean, by noise times its deviation. All is fixed by the seed."""
+    frames, dims = F.size(x), F.size(F.get(x, F.lit(0)))
+    bands = mask_spans(dims, freq[0], freq[1], freq[2], seed, "f")
+    gaps = mask_spans(frames, share_of(time[0], frames), time[1], share_of(time[2], frames), seed, "t")
+    hit = lambda spans, i: F.exists(spans, lambda s: (i >= s["lo"]) & (i < s["hi"]))
+    unit = lambda t, d, k: (F.pmod(F.xxhash64(seed, t, d, F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    total = lambda f: F.aggregate(x, F.array_repeat(F.lit(0.0), dims), lambda a, row: F.zip_with(a, row, lambda p, v: p + f(v)))
+
+    def masked(cells: Column) -> Column:
+        mean = lambda d: F.get(cells["sum"], d) / frames
+        deviation = lambda d: F.sqrt(F.greatest((F.get(cells["squares"], d) - frames * mean(d) * mean(d)) / F.greatest(frames - 1, F.lit(1)), F.lit(0.0)))
+        fill = lambda t, d: mean(d) + noise * deviation(d) * F.sqrt(-2 * F.log(unit(t, d, 3))) * F.cos(2 * math.pi * unit(t, d, 4)) if noise else F.lit(0.0)
+        return F.transform(x, lambda row, t: F.transform(row, lambda v, d: F.when(hit(cells["gaps"], t) | hit(cells["bands"], d), fill(t, d)).otherwise(v)))
+
+    return let(F.struct(bands.alias("bands"), gaps.alias("gaps"), total(lambda v: v).alias("sum"), total(lambda v: v * v).alias("squares")), masked)
+
 
+def tiled(overlap: int = 3200, growth: float = 0.6):
+    """A function of (signal, length): the signal joined to itself until it is longer than the length. Each seam fades from one copy to
+    the other along quarter cosines over overlap samples, or fewer where a round would then grow the signal by less than growth."""
+    fall = np.cos(np.linspace(0, np.pi / 2, overlap))
 
-def tiled(overlap: int, growth: float = 0.6):
-    """A function of (signal, length): the signal repeated with cosine cross-fades until it has the length."""
+    def doubled(x: np.ndarray) -> np.ndarray:
+        step = max(len(x) - overlap, int(growth * len(x)), 1) if len(x) - overlap < growth * len(x) else len(x) - overlap
+        seam = len(x) - step
+        faded = x[step:] * fall[:seam] + x[:seam] * fall[::-1][:seam]
+        return np.concatenate([x[:step], faded, x[seam:]])
 
     @F.pandas_udf("array<double>")
     def run(signal: pd.Series, length: pd.Series) -> pd.Series:
-        def one(x: np.ndarray, n: int) -> np.ndarray:
+        out = []
+        for x, n in zip(signal, length, strict=True):
             x = np.asarray(x, float)
-            lap = min(overlap, int(len(x) * (1 - growth)))
-            fade = 0.5 - 0.5 * np.cos(np.pi * (np.arange(lap) + 0.5) / max(lap, 1))
-            out = x
-            while len(x) and len(out) < n:
-                out = np.concatenate([out[: len(out) - lap], out[len(out) - lap :] * (1 - fade) + x[:lap] * fade, x[lap:]])
-            return out[:n]
-
-        return pd.Series([one(x, n) for x, n in zip(signal, length, strict=True)])
+            while 0 < len(x) <= n:
+                x = doubled(x)
+            out.append(x)
+        return pd.Series(out)
 
     return run
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sonolake.functions.text import is_tag
+
 
 def islands(ctm: DataFrame, key: str = "file", order: str = "line") -> DataFrame:
     """ctm with island: the number of the run of consecutive lines with one file that a row lies in, per source table.
@@ -55,31 +57,79 @@ def latency_summary(latencies: DataFrame, by: list[str], frame_width: float = 0.
     return upto.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max("_mean"), 6).alias("mean"), F.round(spread, 6).alias("stdev"), F.round(median, 6).alias("median"), *[at(percentile_row(p)).alias(f"p{p}") for p in (90, 99)])
 
 
+def medians(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by and the median of each column, from histograms of distinct values (rounded to 6 digits), so that no task holds a group."""
+    each = values.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.col(c), 6).alias("x")) for c in columns])).alias("v")).select(*by, "v.*")
+    seen = each.groupBy(*by, "name", "x").agg(F.count("*").alias("c"))
+    n = seen.groupBy(*by, "name").agg(F.sum("c").alias("n"))
+    upto = seen.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).join(n, [*by, "name"])
+    at = lambda place: F.min(F.when(F.expr(f"upto > {place}"), F.col("x")))
+    found = upto.groupBy(*by, "name").agg(((at("floor((n - 1) / 2)") + at("floor(n / 2)")) / 2).alias("m"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(c) for c in columns])
+
+
 def timestamp_shift(deltas: DataFrame, by: list[str], head_offset: float, tail_offset: float) -> DataFrame:
     """by and the mean absolute shift of word starts (head) and ends (tail): raw, with fixed offsets, and with the medians taken off."""
-    m = deltas.groupBy(*by).agg(F.median("head").alias("_h"), F.median("tail").alias("_t"))
+    m = medians(deltas, by, ["head", "tail"]).withColumnsRenamed({"head": "_h", "tail": "_t"})
     mean = lambda h, t: F.round((F.avg(F.abs(F.col("head") - h)) + F.avg(F.abs(F.col("tail") - t))) / 2, 6)
     return deltas.join(m, by).groupBy(*by).agg(mean(F.lit(0.0), F.lit(0.0)).alias("raw_shift"), mean(F.lit(head_offset), F.lit(tail_offset)).alias("fixed_shift"), mean(F.col("_h"), F.col("_t")).alias("corrected_shift"), F.round(F.max("_h"), 6).alias("head_offset"), F.round(F.max("_t"), 6).alias("tail_offset"))
 
 
-def aligned_words(ref: DataFrame, hyp: DataFrame, key: str = "file") -> DataFrame:
-    """key, ref_seq, hyp_seq, word: longest matching blocks of a file's two word sequences; replaced stretches of equal length pair up
-    as well (word null). ref, hyp: key, seq, word. A file is one utterance: its words fit a task."""
+def spoken_words(ctm: DataFrame, norm: Callable[[Column], Column]) -> DataFrame:
+    """ctm (word, ...) without words that are only tags, the others normalised."""
+    return ctm.where(~is_tag(F.col("word"))).withColumn("word", norm(F.col("word")))
+
+
+def aligned_words(ref: DataFrame, hyp: DataFrame, key: str = "file", substitutions: bool = True) -> DataFrame:
+    """key, ref_seq, hyp_seq, word: longest matching blocks of a file's two word sequences; with substitutions, replaced stretches of equal
+    length pair up as well (word null). ref, hyp: key, seq, word. A file is one utterance: its words fit a task."""
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        cells = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pd.DataFrame({c: pd.Series(x, dtype=k) for c, x, k in zip((key, "ref_seq", "hyp_seq", "word"), cells, ("int64", "int64", "int64", "str"), strict=True)})
 
     def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({key: [], "ref_seq": [], "hyp_seq": [], "word": []})
+            return framed([])
         a, b = a.sort_values("seq"), b.sort_values("seq")
         x, y, p, q = a["word"].tolist(), b["word"].tolist(), a["seq"].tolist(), b["seq"].tolist()
         rows = []
         for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal" or (op == "replace" and j - i == m - k):
+            if op == "equal" or (substitutions and op == "replace" and j - i == m - k):
                 rows += [(a[key].iloc[0], p[i + d], q[k + d], x[i + d] if op == "equal" else None) for d in range(j - i)]
-        return pd.DataFrame(rows, columns=[key, "ref_seq", "hyp_seq", "word"])
+        return framed(rows)
 
     return ref.select(key, "seq", "word").groupBy(key).cogroup(hyp.select(key, "seq", "word").groupBy(key)).applyInPandas(align, f"{key} long, ref_seq long, hyp_seq long, word string")
 
 
+def last_words(ref: DataFrame, hyp: DataFrame, norm: Callable[[Column], Column], key: str = "file") -> DataFrame:
+    """key, agree, ref_end for each file that both have: whether their last words (tags apart, normalised) are equal, and when the
+    reference's ends (0 where it has no word). ref: key, seq, word, start, duration; hyp: key, seq, word."""
+    tail = lambda df, name, *more: spoken_words(df, norm).groupBy(key).agg(F.max_by("word", "seq").alias(name), *more)
+    both = ref.select(key).distinct().join(hyp.select(key).distinct(), key)
+    r = tail(ref, "_r", F.max_by(F.col("start") + F.col("duration"), "seq").alias("_end"))
+    d = both.join(r, key, "left").join(tail(hyp, "_h"), key, "left")
+    none = F.lit("")
+    return d.select(key, (F.coalesce("_r", none) == F.coalesce("_h", none)).alias("agree"), F.coalesce("_end", F.lit(0.0)).alias("ref_end"))
+
+
+def usage_rates(aligned: DataFrame, ref: DataFrame, hyp: DataFrame, norm: Callable[[Column], Column], key: str = "file") -> DataFrame:
+    """token_usage: aligned words by reference words of the files that both have; terminal_usage: files whose last words agree by all of
+    them. Both 0 without reference words."""
+    last = last_words(ref, hyp, norm, key).agg(F.count("*").alias("files"), F.count_if("agree").alias("ends"))
+    words = spoken_words(ref, norm).join(hyp.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("words"))
+    share = lambda a, b: F.round(F.when(F.col("words") > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)), 8)
+    return aligned.agg(F.count("*").alias("pairs")).join(words).join(last).select(share("pairs", "words").alias("token_usage"), share("ends", "files").alias("terminal_usage"))
+
+
+def endpoint_latencies(last: DataFrame, terminations: DataFrame, key: str = "file") -> DataFrame:
+    """key, kind, latency of the files of last_words() whose last words agree and that ended by an end mark or silence. Such a file
+    without a termination (key, kind, final_time) is an error."""
+    t = terminations.select(key, F.col("kind").alias("_kind"), "final_time")
+    d = last.join(t, key, "left").withColumn("kind", F.when(F.col("_kind").isNull(), F.raise_error(F.lit("a file has no termination"))).otherwise(F.col("_kind")))
+    return d.where("agree and kind in ('EOS', 'Silence')").select(key, "kind", F.round(F.col("final_time") - F.col("ref_end"), 6).alias("latency"))
+
+
 def token_words(tokens: DataFrame) -> DataFrame:
     """utt, word_no, word, start, end of tokens (utt, pos, piece, frame): a piece that begins with a space opens a word."""
     opens = F.when(F.col("piece").startswith(" ") | (F.col("pos") == 0), 1).otherwise(0)

