@@ -139,6 +139,18 @@ def token_words(tokens: DataFrame) -> DataFrame:
     return d.groupBy("utt", "word_no").agg(text.alias("word"), F.min("frame").alias("start"), F.max("frame").alias("end"))
 
 
+def piece_words(pieces: DataFrame, words: DataFrame, mark: str = "▁") -> DataFrame:
+    """utt, seq, word, start, end (frames) of words (utt, seq, word) by the pieces (utt, pos, piece, frame) that spell them: pieces are used
+    up, word marks and spaces apart, until they make up the next word. Pieces and words of an utterance must spell the same text."""
+    upto = lambda key: Window.partitionBy("utt").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    p = pieces.withColumn("_n", F.char_length(F.replace(F.replace("piece", F.lit(mark), F.lit("")), F.lit(" "), F.lit("")))).where("_n > 0")
+    p = p.withColumn("_at", F.coalesce(F.sum("_n").over(upto("pos")), F.lit(0)))
+    w = words.withColumn("_w", F.coalesce(F.sum(F.char_length("word")).over(upto("seq")), F.lit(0)))
+    # a piece begins at one character of one word: characters are the join's key
+    spelt = w.select("utt", "seq", "word", F.posexplode(F.sequence(F.lit(1), F.greatest(F.char_length("word"), F.lit(1)))).alias("_i", "_one"), "_w").withColumn("_at", F.col("_w") + F.col("_i"))
+    return spelt.join(p.select("utt", "_at", "frame"), ["utt", "_at"]).groupBy("utt", "seq", "word").agg(F.min("frame").alias("start"), F.max("frame").alias("end"))
+
+
 def seconds(start: Column, end: Column, width: float, head: float = 0.0, tail: float = 0.0) -> tuple[Column, Column]:
     return start * width - head, start * width + (end - start + 1) * width - tail
 

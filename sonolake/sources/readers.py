@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 import tarfile
 import zipfile
@@ -45,22 +46,39 @@ def directory_pairs(spark: SparkSession, audio: str, text: str, audio_glob: str
     return a.join(t, "stem", "full_outer").withColumn("side", side)
 
 
+#: A binary value of a row holds no more; larger shards must be cut, as one task takes a shard.
+SHARD_BYTES = 2_000_000_000
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.when(F.col("length") <= SHARD_BYTES, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("a shard over 2 GB: "), F.col("path")))).alias("content"))
+
+
 def archive_members(spark: SparkSession, path: str, only: tuple[str, ...] = ()) -> DataFrame:
     """shard, pos, key, ext, content of the members of tar and zip shards; a stem's periods become underscores; content of members
-    outside only (extensions, if any are given) is left out."""
+    outside only (extensions, if any are given) is left out. A task holds one shard (over 2 GB is an error) and one member's content."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for shard, raw in zip(b["path"], b["content"], strict=True):
-                rows = []
                 for pos, (name, read) in enumerate(_open(raw)):
                     head, _, ext = name.rpartition("/")[2].rpartition(".")
-                    wanted = not only or ext in only
-                    rows.append((shard, pos, head.replace(".", "_"), ext, read() if wanted else None))
-                yield pd.DataFrame(rows, columns=["shard", "pos", "key", "ext", "content"])
+                    yield pd.DataFrame([(shard, pos, head.replace(".", "_"), ext, read() if not only or ext in only else None)], columns=["shard", "pos", "key", "ext", "content"])
+
+    return _shards(spark, path).mapInPandas(members, "shard string, pos int, key string, ext string, content binary")
+
+
+def archive_names(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
+    """shard, pos, name of the members with these extensions, in the order of each shard (pos counts them alone)."""
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(members, "shard string, pos int, key string, ext string, content binary")
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, raw in zip(b["path"], b["content"], strict=True):
+                found = [n for n, _ in _open(raw) if n.rpartition(".")[2] in extensions]
+                yield pd.DataFrame({"shard": pd.Series([shard] * len(found), dtype="str"), "pos": pd.Series(range(len(found)), dtype="int32"), "name": pd.Series(found, dtype="str")})
+
+    return _shards(spark, path).mapInPandas(names, "shard string, pos int, name string")
 
 
 def _open(raw: bytes) -> Iterator[tuple]:
@@ -139,11 +157,12 @@ def ctm(spark: SparkSession, paths: str | list[str], strict: bool = False) -> Da
 
 
 def session_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, kind, ts, seconds since the session's start, text of session logs: kind;time;payload;tail, the payload a list of texts."""
+    """file, kind, ts, seconds since the session's start, text of session logs: kind;time;payload;tail. The payload is a list of objects
+    with a text, or of texts; its first counts."""
     cells = F.split("value", ";")
     d = spark.read.text(paths).where("value <> ''").select(F.input_file_name().alias("file"), F.get(cells, F.lit(0)).alias("kind"), F.try_to_timestamp(F.get(cells, F.lit(1)), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"), F.get(cells, F.lit(2)).alias("payload"))
     start = d.where("kind = 'session_start'").groupBy("file").agg(F.min("ts").alias("_t0"))
-    text = F.get(F.from_json("payload", "array<string>"), F.lit(0))
+    text = F.coalesce(F.get(F.from_json("payload", "array<struct<text: string>>"), F.lit(0))["text"], F.get(F.from_json("payload", "array<string>"), F.lit(0)))
     return d.join(start, "file", "left").select("file", "kind", "ts", ((F.unix_micros("ts") - F.unix_micros("_t0")) / 1e6).alias("seconds"), text.alias("text"))
 
 
@@ -156,7 +175,7 @@ def server_responses(messages: DataFrame, column: str = "value") -> DataFrame:
 
 def keyword_file(spark: SparkSession, path: str) -> DataFrame:
     """phrase, weight of a JSON object of phrases; weights that are no numbers are an error; spaces become word marks."""
-    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, double>")).alias("phrase", "weight"))
+    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, string>")).alias("phrase", "raw")).withColumn("weight", F.col("raw").try_cast("double"))
     checked = F.when(F.col("weight").isNull(), F.raise_error(F.lit("a keyword's weight must be a number"))).otherwise(F.col("weight"))
     return d.select(F.replace("phrase", F.lit(" "), F.lit("▁")).alias("phrase"), checked.alias("weight"))
 
@@ -169,6 +188,25 @@ def mix_table(spark: SparkSession, config: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, manifest string, weight double")
 
 
+def mix_file(spark: SparkSession, path: str) -> DataFrame:
+    """mix_table() of a configuration file under the key datasets: JSON, or YAML where a parser for it is installed."""
+    raw = spark.read.option("wholetext", True).text(path).first().value
+    try:
+        config = json.loads(raw)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ModuleNotFoundError as error:
+            raise ValueError(f"{path} is no JSON, and no YAML parser is installed") from error
+        config = yaml.safe_load(raw)
+    return mix_table(spark, config["datasets"])
+
+
+def shifted(ts: Column, seconds: Column) -> Column:
+    """A time some seconds (to the microsecond) later."""
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(seconds * 1_000_000).cast("long"))
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("piece string, score double").option("sep", "\t").option("quote", "").csv(path)
 

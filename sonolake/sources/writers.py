@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The columns of the benchmark table.
-BENCHMARK = ("run", "timestamp", "total_utts", "processed_utts", "latency_mean", "latency_50", "latency_90", "latency_99", "wer", "words", "errors", "provider")
+# The columns of the benchmark table and their names in the file.
+BENCHMARK = {
+    "run": "Run name", "timestamp": "Timestamp", "total_utts": "Total utts", "processed_utts": "Processed utts", "latency_mean": "Mean Latency", "latency_50": "50th Percentile Latency", "latency_90": "90th Percentile Latency",
+    "latency_99": "99th Percentile Latency", "wer": "WER %", "words": "Total words", "errors": "Errors", "provider": "Provider",
+}
+
+
+def write_manifest(df: DataFrame, path: str, arrays: bool = False) -> None:
+    """JSON lines; or, for readers of whole files, each part file as one JSON array."""
+    if arrays:
+        json_arrays(df).write.mode("overwrite").text(path)
+    else:
+        df.write.mode("overwrite").json(path)
+
+
+def json_arrays(df: DataFrame) -> DataFrame:
+    """value: the lines of one JSON array per partition, an indented object per row. A partition streams through."""
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = False
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                out = [("  " if i or opened else "[\n  ") + x + ("," if i + 1 < len(rows) else "") for i, x in enumerate(rows)]
+                out = [",", *out] if opened else out
+                opened = True
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if opened:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    return df.select(F.to_json(F.struct(*df.columns)).alias("row")).mapInArrow(lines, "value string")
 
 
 def ctm_lines(df: DataFrame, scored: bool = False) -> DataFrame:
@@ -29,7 +58,21 @@ def write_sentences(df: DataFrame, column: str, path: str) -> None:
 
 
 def append_benchmark(df: DataFrame, path: str) -> None:
-    df.select(*BENCHMARK).write.mode("append").option("header", True).csv(path)
+    """Adds runs (a few rows) to a CSV table with the file's column names; only its first part has a header."""
+    spark = df.sparkSession
+    try:
+        there = bool(spark.read.text(path).take(1))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = False
+    df.select(*[F.col(c).alias(name) for c, name in BENCHMARK.items()]).coalesce(1).write.mode("append").option("header", not there).csv(path)
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of a benchmark table; its header line is left out."""
+    d = spark.read.schema(", ".join(f"{c} string" for c in BENCHMARK)).csv(path)
+    return d.where(F.col("run") != BENCHMARK["run"])
 
 
 def write_report(df: DataFrame, path: str) -> None:

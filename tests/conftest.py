@@ -4,7 +4,10 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+# workers import the library and the tests' helpers, whatever the working directory
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (os.path.dirname(HERE), HERE, os.environ.get("PYTHONPATH")) if x)
 
 
 @pytest.fixture(scope="session")

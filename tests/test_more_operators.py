@@ -1,8 +1,12 @@
 """Operators of speech corpora against plain programs and golden cases."""
 
 import difflib
+import hashlib
+import io
+import json
 import math
 import random
+import tarfile
 
 import numpy as np
 import pytest
@@ -14,7 +18,8 @@ from pyspark.sql import functions as F
 from sonolake.functions import numbers
 from sonolake.functions import text as t
 from sonolake.functions import tokens
-from sonolake.operators import curate, errorrate, lm, report, sampling, segments, signal, timing
+from sonolake.operators import audio, curate, errorrate, lm, report, sampling, segments, signal, timing
+from sonolake.sources import iterated, readers, writers
 from sonolake.tables import running
 
 
@@ -302,3 +307,136 @@ def test_aligned_words_as_difflib(spark):
     side = lambda x: spark.createDataFrame([(1, i, w) for i, w in enumerate(x)], "file long, seq long, word string")
     want = [(i + k, j + k) for i, j, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(n)]
     assert sorted((r.ref_seq, r.hyp_seq) for r in timing.aligned_words(side(a), side(b), substitutions=False).collect()) == want
+
+
+def test_pieces_make_up_words(spark):
+    pieces = spark.createDataFrame([(1, 0, "▁he", 2), (1, 1, "llo", 5), (1, 2, "▁", 6), (1, 3, "w", 8), (1, 4, "orld", 9), (2, 0, "a", 1)], "utt long, pos long, piece string, frame long")
+    words = spark.createDataFrame([(1, 0, "hello"), (1, 1, "world"), (2, 0, "a")], "utt long, seq long, word string")
+    assert sorted(map(tuple, timing.piece_words(pieces, words).collect())) == [(1, 0, "hello", 2, 5), (1, 1, "world", 8, 9), (2, 0, "a", 1, 1)]
+
+
+def test_manifest_sinks(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"t{i}") for i in range(25)], "id long, text string").repartition(3)
+    writers.write_manifest(d, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 25
+    writers.write_manifest(d, str(tmp_path / "arrays"), arrays=True)
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "arrays").glob("part-*") if f.stat().st_size]
+    assert sorted(r["id"] for p in parts for r in p) == list(range(25))
+    assert spark.read.option("multiLine", True).json(str(tmp_path / "arrays")).count() == 25
+
+
+def test_benchmark_table(spark, tmp_path):
+    run = lambda n: spark.createDataFrame([tuple(f"{n}-{c}" for c in writers.BENCHMARK)], ", ".join(f"{c} string" for c in writers.BENCHMARK))
+    path = str(tmp_path / "runs")
+    for n in ("one", "two", "three"):
+        writers.append_benchmark(run(n), path)
+    text = "".join(f.read_text() for f in (tmp_path / "runs").glob("part-*"))
+    assert text.count("Run name") == 1 and text.count("-provider") == 3
+    assert {r.run for r in writers.read_benchmark(spark, path).collect()} == {"one-run", "two-run", "three-run"}
+
+
+def test_reports_and_latency_sink(spark, tmp_path):
+    d = spark.createDataFrame([("h", "r", 0.5, "f")], "hyp string, ref string, rate double, fname string")
+    writers.write_report(d, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().wer == 0.5
+    r = writers.latency_report(spark.createDataFrame([(0.1,), (0.1,), (0.25,)], "latency double"), spark.createDataFrame([("EOS",), ("Silence",), ("Never",), ("EOS",)], "kind string")).first()
+    assert (r.sil_share, r.eos_share, [tuple(x) for x in r.latencies]) == (0.25, 0.5, [(0.1, 2), (0.25, 1)])
+
+
+def test_directories_archives_and_checksums(spark, tmp_path):
+    for name, text in (("a/x/one.wav", "sound"), ("a/two.wav", "sound"), ("t/one.txt", "first text"), ("t/three.txt", "third")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.stem: (r.transcript, r.side) for r in readers.directory_pairs(spark, str(tmp_path / "a"), str(tmp_path / "t")).collect()}
+    assert got == {"one": ("first text", None), "two": (None, "text"), "three": ("third", "audio")}
+    (tmp_path / "s").mkdir()
+    with tarfile.open(tmp_path / "s" / "shard.tar", "w") as tar:
+        for name in ("b.1.flac", "b.1.txt", "a.wav"):
+            info = tarfile.TarInfo(name)
+            info.size = 2
+            tar.addfile(info, io.BytesIO(b"xy"))
+    assert [(r.pos, r.name) for r in readers.archive_names(spark, str(tmp_path / "s")).orderBy("pos").collect()] == [(0, "b.1.flac"), (1, "a.wav")]
+    assert sorted((r.key, r.ext, r.content) for r in readers.archive_members(spark, str(tmp_path / "s"), ("txt",)).collect()) == [("a", "wav", None), ("b_1", "flac", None), ("b_1", "txt", bytearray(b"xy"))]
+    md5 = lambda x: hashlib.md5(x).hexdigest()
+    expected = spark.createDataFrame([("one.txt", md5(b"first text")), ("three.txt", md5(b"other")), ("none.txt", "")], "name string, md5 string")
+    assert {r.name: r.ok for r in readers.checksums(spark, str(tmp_path / "t"), expected).collect()} == {"one.txt": True, "three.txt": False, "none.txt": False}
+
+
+def test_logs_responses_keywords_and_mixes(spark, tmp_path):
+    (tmp_path / "log").write_text("session_start;2024-01-01 00:00:00.000000;[];x\npartial;2024-01-01 00:00:01.500000;[{'text': 'hi there'}];x\nfinal;2024-01-01 00:00:02.000000;[\"plain\"];x\n")
+    got = [(r.kind, r.seconds, r.text) for r in readers.session_log(spark, str(tmp_path / "log")).orderBy("seconds").collect()]
+    assert got == [("session_start", 0.0, None), ("partial", 1.5, "hi there"), ("final", 2.0, "plain")]
+    message = json.dumps({"start": 0.0, "end": 1.5, "is_provisional": True, "alternatives": [{"transcript": "hey", "confidence": 1.0}]})
+    empty = message.replace("hey", "")
+    r = readers.server_responses(spark.createDataFrame([(message,), (empty,)], "value string")).collect()
+    assert [(x.text, x.ts, x.kind) for x in r] == [("hey", 1.5, "partial")]
+    (tmp_path / "keywords.json").write_text('{"new york": 2, "bay": 1.5}')
+    assert {r.phrase: r.weight for r in readers.keyword_file(spark, str(tmp_path / "keywords.json")).collect()} == {"new▁york": 2.0, "bay": 1.5}
+    (tmp_path / "bad.json").write_text('{"x": "heavy"}')
+    with pytest.raises(PySparkException):
+        readers.keyword_file(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "mix.json").write_text('{"datasets": {"a": {"manifest": "a.json", "other": 1}, "b": {"manifest": "b.json", "weight": 3}}}')
+    assert sorted(map(tuple, readers.mix_file(spark, str(tmp_path / "mix.json")).collect())) == [("a", "a.json", 1.0), ("b", "b.json", 3.0)]
+    with pytest.raises(ValueError, match="negative"):
+        readers.mix_table(spark, {"a": {"manifest": "m", "weight": -1}})
+    paths = spark.createDataFrame([("/m/a.json",), ("/m/b.json",)], "path string")
+    timings = spark.createDataFrame([("/m/a.ctm",)], "path string")
+    assert sorted((r.path, r.ctm) for r in readers.reference_timings(paths, timings).collect()) == [("/m/a.json", "/m/a.ctm"), ("/m/b.json", None)]
+    late = spark.sql("select timestamp'2024-01-01 00:00:00' as t").select(readers.shifted(F.col("t"), F.lit(1.25)).alias("x")).first().x
+    assert late.microsecond == 250_000 and late.second == 1
+
+
+def test_an_iterator_as_a_source(spark):
+    iterated.register(spark)
+    d = spark.read.format("iterated").schema("part long, total long").option("factory", "iterated_factory:numbers").option("partitions", "3").load()
+    assert sorted(map(tuple, d.collect())) == [(i, 3) for i in range(3) for _ in range(2)]
+    with pytest.raises(PySparkException, match="schema"):
+        spark.read.format("iterated").option("factory", "x:y").load().collect()
+
+
+def test_audio_augmentation(spark):
+    tone = np.sin(np.arange(4000) * 2 * np.pi * 3000 / 16000) + np.sin(np.arange(4000) * 2 * np.pi * 200 / 16000)
+    d = spark.createDataFrame([(i, 16000, tone.tolist()) for i in range(40)], "utt long, rate long, signal array<double>")
+    rows = audio.augmented(d, 5, speed_share=0.5, narrow_share=0.5, limit=4000).collect()
+    fast, narrow = [r for r in rows if r.speed != 1], [r for r in rows if r.narrow and r.speed == 1]
+    assert 8 < len(fast) < 32 and len(narrow) > 2 and all(0.85 <= r.speed < 1.15 for r in fast)
+    assert all(len(r.signal) == int(4000 / r.speed) for r in rows)
+    spectrum = np.abs(np.fft.rfft(narrow[0].signal))
+    assert spectrum[750] < 1e-6 < spectrum[50]
+    assert all(r.signal == tone.tolist() for r in rows if r.speed == 1 and not r.narrow)
+    x = np.zeros(800)
+    assert not np.array_equal(audio.log_mel(x, 16000, 8, dither=1e-3, seed=1), audio.log_mel(x, 16000, 8)) and np.array_equal(audio.log_mel(x, 16000, 8, dither=1e-3, seed=1), audio.log_mel(x, 16000, 8, dither=1e-3, seed=1))
+
+
+@pytest.mark.parametrize("kind", ["cer", "mer"])
+def test_character_and_mixture_rates_as_plain_programs(spark, kind):
+    rng = random.Random(6)
+    texts = [("".join(rng.choices("ab 一二", k=20)), "".join(rng.choices("ab 一二", k=20))) for _ in range(30)]
+    split = {"cer": lambda x: [c for c in x if not c.isspace()], "mer": lambda x: "".join(f" {c} " if c in "一二" else c for c in x).split()}[kind]
+    want = sum(plain_distance(split(a), split(b)) for a, b in texts), sum(len(split(a)) for a, _ in texts)
+    r = errorrate.text_error_rate(spark.createDataFrame(texts, "ref string, hyp string"), [], kind).first()
+    assert (r.errors, r.words) == want
+
+
+def test_noises_and_babble(spark):
+    noises = spark.createDataFrame([(i,) for i in range(5)], "noise_id long")
+    rows = signal.noise_assignment(spark.range(200).toDF("utt"), noises, 3, 5.0, 15.0).collect()
+    assert len(rows) == 200 and {r.noise_id for r in rows} == set(range(5)) and all(5 <= r.snr < 15 and 0 <= r.start < 1 for r in rows)
+    d = spark.createDataFrame([(0, i, [float(i + 1), 1.0]) for i in range(3)] + [(1, 0, [1.0, 2.0])], "batch_no long, pos long, signal array<double>")
+    got = {(r.batch_no, r.pos): r.mixed for r in signal.babble(d, 3, 0.0).collect()}
+    assert got.keys() == {(0, 0), (0, 1), (0, 2)}, "a signal alone in its batch has no neighbour"
+    s, n = np.array([3.0, 1.0]), np.array([1.0, 1.0])
+    mixed = s + n * math.sqrt((s**2).mean() / (n**2).mean())
+    assert np.allclose(got[0, 2], mixed * math.sqrt((s**2).mean() / (mixed**2).mean()))
+
+
+def test_orders_of_first_epochs(spark):
+    d = spark.createDataFrame([(e, f"f{i}", float(9 - i)) for e in range(3) for i in range(9)], "epoch int, fname string, duration double")
+    rows = sampling.shuffled_prefix(d, 1).orderBy("epoch", "order_key").collect()
+    by_epoch = [[r.duration for r in rows if r.epoch == e] for e in range(3)]
+    assert by_epoch[1] == by_epoch[2] == sorted(by_epoch[1]) != by_epoch[0]
+
+
+def test_common_prefix(spark):
+    d = spark.createDataFrame([(1, list("abc")), (1, list("abd")), (2, list("x")), (3, []), (3, ["a"])], "utt long, tokens array<string>")
+    assert {r.utt: (r.n_prefix, r.prefix) for r in lm.common_prefix(d).collect()} == {1: (2, ["a", "b"]), 2: (1, ["x"]), 3: (0, [])}
