@@ -88,17 +88,23 @@ def scored(words: DataFrame, model: DataFrame, backoff: DataFrame, key: str, ord
     return j.groupBy(key).agg(F.sum("times").alias("n"), F.round(F.sum(F.log(p) * F.col("times")), 6).alias("log_prob"))
 
 
-def subwords(words: DataFrame, size: int, rounds: int = 3, longest: int = 8, column: str = "words") -> DataFrame:
-    """piece, score: a unigram vocabulary of about size pieces that covers every character. Distinct words are counted once; the
-    expectation step runs over them with the current pieces (at most 8 * size, broadcast), the maximisation is a sum per piece."""
-    distinct = written(words.select(F.explode(column).alias("w")).groupBy("w").agg(F.count("*").alias("c")), "words")
+def subwords(words: DataFrame, size: int, rounds: int = 3, longest: int = 8, column: str = "words", symbols: tuple[str, ...] = ()) -> DataFrame:
+    """piece, score: a unigram vocabulary of size pieces, the characters of the corpus and user symbols (score 0) among them.
+
+    Distinct words are counted once. Expectation runs over them with the current pieces (at most 8 * size, broadcast) and gives each piece
+    its expected count over all ways to split a word; maximisation is a sum per piece. After a round the pieces go whose loss the
+    likelihood feels least: their count by what their own best other split would cost. Single characters stay."""
+    distinct = written(words.select(F.explode(column).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c")), "words")
     seeds = distinct.select("c", F.explode(F.expr(f"flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, least({longest}, length(w) - i + 1)), n -> substring(w, i, n))))")).alias("piece")).groupBy("piece").agg(F.sum("c").alias("c"))
-    chars = {r["piece"] for r in seeds.where("length(piece) = 1").select("piece").collect()}
-    top = seeds.where("length(piece) = 1").unionByName(seeds.where("length(piece) > 1").orderBy(F.desc(F.col("c") * F.length("piece")), "piece").limit(8 * size))
+    alphabet = seeds.where("length(piece) = 1").limit(ALPHABET + 1)
+    top = alphabet.unionByName(seeds.where("length(piece) > 1").orderBy(F.desc(F.col("c") * F.length("piece")), "piece").limit(8 * size))
     now = {r["piece"]: float(r["c"]) for r in top.collect()}
+    chars = {p for p in now if len(p) == 1}
+    if len(chars) > ALPHABET:
+        raise ValueError(f"over {ALPHABET} different characters")
     for step in range(rounds):
         total = sum(now.values())
-        score = {p: math.log(c / total) for p, c in now.items()}
+        score = {p: math.log(c / total) for p, c in now.items() if c > 0}
         use = distinct.sparkSession.sparkContext.broadcast(score)
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,19 +112,56 @@ def subwords(words: DataFrame, size: int, rounds: int = 3, longest: int = 8, col
             for b in batches:
                 sums: dict[str, float] = {}
                 for w, c in zip(b["w"], b["c"], strict=True):
-                    for p in best_split(w, table, longest):
-                        sums[p] = sums.get(p, 0.0) + c
-                yield pd.DataFrame({"piece": list(sums), "c": list(sums.values())})
+                    for p, share in expected_pieces(w, table, longest):
+                        sums[p] = sums.get(p, 0.0) + c * share
+                yield pd.DataFrame({"piece": pd.Series(list(sums), dtype="str"), "c": pd.Series(list(sums.values()), dtype="float64")})
 
-        keep = max(size, int(len(now) * 0.5)) if step < rounds - 1 else size
-        found = distinct.mapInPandas(expect, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "piece").limit(keep)
-        now = {r["piece"]: r["c"] for r in found.collect()} | {p: 1.0 for p in chars}
+        found = distinct.mapInPandas(expect, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("c"))
+        counts = {r["piece"]: r["c"] for r in found.collect()}
         use.unpersist()
+        keep = size if step == rounds - 1 else max(size, len(now) // 2)
+        loss = {p: c * (score[p] - sum(score.get(x, -1e6) for x in best_split(p, Without(score, p), longest))) for p, c in counts.items() if len(p) > 1}
+        stay = sorted(loss, key=lambda p: (-loss[p], p))[: max(0, keep - len(chars))]
+        now = {p: max(counts.get(p, 0.0), 1e-3) for p in [*chars, *stay]}
     total = sum(now.values())
-    rows = sorted(((p, math.log(c / total)) for p, c in now.items()), key=lambda r: (-r[1], r[0]))
+    rows = [(p, 0.0) for p in symbols] + sorted(((p, math.log(c / total)) for p, c in now.items()), key=lambda r: (-r[1], r[0]))
     return words.sparkSession.createDataFrame(rows, "piece string, score double")
 
 
+#: Characters that a vocabulary may cover.
+ALPHABET = 200_000
+
+
+class Without(dict):
+    """A table of scores that hides one piece."""
+
+    def __init__(self, table: dict[str, float], piece: str) -> None:
+        self.table, self.piece = table, piece
+
+    def get(self, key: str, default: float = 0.0) -> float:
+        return default if key == self.piece else self.table.get(key, default)
+
+
+def expected_pieces(word: str, score: dict[str, float], longest: int) -> Iterator[tuple[str, float]]:
+    """How often each piece is expected in a word, over all splits by their probability; a character without a piece counts as one of
+    log probability -30."""
+    n = len(word)
+    edges = [[(i, score.get(word[j:i], -30.0 if i - j == 1 else None)) for i in range(j + 1, min(n, j + longest) + 1)] for j in range(n)]
+    total = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs)) if xs else -math.inf
+    back = [0.0] * (n + 1)  # the mass of what is left from a place on
+    for j in range(n - 1, -1, -1):
+        back[j] = total([s + back[i] for i, s in edges[j] if s is not None])
+    ahead = [-math.inf] * (n + 1)
+    ahead[0] = 0.0
+    for j in range(n):
+        for i, s in edges[j]:
+            if s is not None:
+                share = math.exp(ahead[j] + s + back[i] - back[0])
+                yield word[j:i], share
+                high, low = max(ahead[i], ahead[j] + s), min(ahead[i], ahead[j] + s)
+                ahead[i] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+
+
 def best_split(word: str, score: dict[str, float], longest: int) -> list[str]:
     """The pieces of a word with the best total score; characters without a piece stand alone."""
     best, back = [0.0], [0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,6 +109,11 @@ def nth_batch(ordered: DataFrame, batch: int, n: int) -> DataFrame:
     return ordered.where(F.expr(f"place div {batch}") == n)
 
 
+def ordered_by(df: DataFrame, hook: Callable[[DataFrame], list[Column]], tie: str = "fname") -> DataFrame:
+    """df with place in the order that a user's hook gives as columns, ties by a column."""
+    return indexed(df, [*hook(df), F.col(tie)], "place")
+
+
 def first_n(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
     """The first n rows in an order."""
     return df.orderBy(*order).limit(n)

@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sonolake.functions.text import is_tag
+from sonolake.tables import indexed, running, written
 
 
 def islands(ctm: DataFrame, key: str = "file", order: str = "line") -> DataFrame:
-    """ctm with island: the number of the run of consecutive lines with one file that a row lies in, per source table.
-
-    A line whose predecessor by number has another file starts a run; a file's runs are numbered by counting its own starts."""
-    prev = ctm.select((F.col(order) + 1).alias(order), F.col(key).alias("_prev"))
-    started = ctm.join(prev, order, "left").withColumn("_new", F.when(F.col("_prev").eqNullSafe(F.col(key)), 0).otherwise(1))
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return started.withColumn("island", F.sum("_new").over(w)).drop("_prev", "_new")
+    """ctm with island: the number (from 1) of the run of neighbouring lines with one file that a row lies in. Lines are numbered anew in
+    ranges and a file's starts are added up in ranges: no task holds a file, however many lines it has, and gaps in order mean nothing."""
+    lines = indexed(ctm, [order], "_line")
+    before = lines.select((F.col("_line") + 1).alias("_line"), F.col(key).alias("_prev"), F.lit(True).alias("_some"))
+    started = lines.join(before, "_line", "left").withColumn("_new", F.when(F.col("_some") & F.col("_prev").eqNullSafe(F.col(key)), 0).otherwise(1))
+    return running(started, [key], ["_line"], {"island": "_new"}).withColumn("island", F.col("island") + F.col("_new")).drop("_line", "_prev", "_some", "_new")
 
 
 def last_island(ctm: DataFrame, key: str = "file", order: str = "line") -> DataFrame:
     """The rows of each file's last run: a later run replaces an earlier one."""
-    w = Window.partitionBy(key)
-    return islands(ctm, key, order).withColumn("_last", F.max("island").over(w)).where("island = _last").drop("_last", "island")
+    runs = written(islands(ctm, key, order), "islands")
+    last = runs.groupBy(key).agg(F.max("island").alias("island"))
+    return runs.join(last, [key, "island"]).drop("island")
 
 
 def transcripts(ctm: DataFrame, key: str = "file", order: str = "line") -> DataFrame:

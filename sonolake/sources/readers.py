@@ -20,10 +20,12 @@ MANIFEST = """transcript string,
 ALTERNATIVES = "struct<start: double, end: double, is_provisional: boolean, alternatives: array<struct<transcript: string, confidence: double>>>"
 
 
-def manifests(spark: SparkSession, paths: str | list[str], root: str = "") -> DataFrame:
-    """Utterances of JSON manifests (whole-file arrays), with manifest (path), fname (of the last file, under root unless absolute), duration."""
+def manifests(spark: SparkSession, paths: str | list[str], root: str = "", only: Column | None = None) -> DataFrame:
+    """Utterances of JSON manifests (whole-file arrays), with manifest (path), fname (of the last file, under root unless absolute), duration;
+    those that a user's predicate holds for."""
     d = spark.read.schema(MANIFEST).option("multiLine", True).json(paths).withColumn("manifest", F.input_file_name())
     fname = F.element_at("files", -1)["fname"]
+    d = d.where(only) if only is not None else d
     return d.withColumns({"fname": F.when(fname.startswith("/") | F.lit(not root), fname).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), fname)), "duration": F.col("original_duration")})
 
 
@@ -102,6 +104,27 @@ def samples(members: DataFrame, audio: tuple[str, ...] = ("wav", "flac")) -> Dat
     return members.groupBy("shard", "key").agg(text.alias("transcript"), sound.alias("audio"), there.alias("complete"), F.bool_and(F.col("ext").isin("txt", *audio)).alias("known"))
 
 
+def known_samples(found: DataFrame) -> DataFrame:
+    """samples() of shards whose members all have known extensions; any other member is an error."""
+    checked = F.when(F.col("known"), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("a member of an unknown kind: "), F.col("key"))))
+    return found.withColumn("key", checked)
+
+
+def rejected_samples(found: DataFrame) -> DataFrame:
+    """shard, key, reason of the samples that known_samples() or a pairing would stop at."""
+    reason = F.when(~F.col("known"), "unknown kind").when(~F.col("complete"), "one side missing")
+    return found.withColumn("reason", reason).where("reason is not null").select("shard", "key", "reason")
+
+
+def model_file(spark: SparkSession, folder: str) -> str:
+    """The path of a folder's n-gram model: the binary one before the text form; none is an error."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{binary,arpa}").load(folder).select("path")
+    found = d.orderBy(F.desc(F.col("path").endswith(".binary")), "path").first()
+    if found is None:
+        raise FileNotFoundError(f"no n-gram model in {folder}")
+    return found.path
+
+
 def wav_header(raw: bytes) -> tuple[int, int, int, int] | None:
     """channels, rate, bits, samples of a RIFF file, or None."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":

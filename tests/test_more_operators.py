@@ -440,3 +440,60 @@ def test_orders_of_first_epochs(spark):
 def test_common_prefix(spark):
     d = spark.createDataFrame([(1, list("abc")), (1, list("abd")), (2, list("x")), (3, []), (3, ["a"])], "utt long, tokens array<string>")
     assert {r.utt: (r.n_prefix, r.prefix) for r in lm.common_prefix(d).collect()} == {1: (2, ["a", "b"]), 2: (1, ["x"]), 3: (0, [])}
+
+
+def test_islands_of_a_file_that_fills_the_table(spark):
+    rng = random.Random(8)
+    files = ["big"] * 300 + ["small"] * 3
+    lines = [(10 * i + rng.randrange(10), rng.choice(files), f"w{i}") for i in range(400)]
+    d = spark.createDataFrame(lines, "line long, file string, word string").repartition(5)
+    runs, starts, last = {}, {}, None
+    for line, file, word in lines:
+        starts[file] = starts.get(file, 0) + (file != last)
+        runs[line], last = (file, starts[file]), file
+    assert {r.line: (r.file, r.island) for r in timing.islands(d).collect()} == runs
+    want = {f: " ".join(w for n, g, w in lines if g == f and runs[n][1] == starts[f]) for f in starts}
+    assert {r.file: r.transcript for r in timing.transcripts(d).collect()} == want
+
+
+def test_expected_pieces_against_all_splits():
+    score = {"a": -1.0, "b": -2.0, "ab": -1.5, "ba": -2.5, "aba": -3.0}
+
+    def splits(w):
+        if not w:
+            yield ()
+        for i in range(1, min(3, len(w)) + 1):
+            if w[:i] in score or i == 1:
+                yield from ((w[:i], *rest) for rest in splits(w[i:]))
+
+    for word in ("a", "ababa", "axb"):
+        weigh = {s: math.exp(sum(score.get(p, -30.0) for p in s)) for s in splits(word)}
+        want = {}
+        for s, x in weigh.items():
+            for p in s:
+                want[p] = want.get(p, 0.0) + x / sum(weigh.values())
+        got = {}
+        for p, x in lm.expected_pieces(word, score, 3):
+            got[p] = got.get(p, 0.0) + x
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_vocabulary_size_and_symbols(spark):
+    d = spark.createDataFrame([(["banana", "bandana", "ananas", "band"],)] * 9, "words array<string>")
+    rows = lm.subwords(d, 9, symbols=("<EOS>",)).collect()
+    assert len(rows) == 10 and rows[0].piece == "<EOS>" and set("bands") <= {r.piece for r in rows} and any(len(r.piece) > 2 and r.piece != "<EOS>" for r in rows)
+
+
+def test_hooks_models_and_rejects(spark, tmp_path):
+    d = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 2.0)], "fname string, duration double")
+    assert [r.fname for r in sampling.ordered_by(d, lambda df: [F.desc("duration")]).orderBy("place").collect()] == ["a", "c", "b"]
+    with pytest.raises(FileNotFoundError):
+        readers.model_file(spark, str(tmp_path))
+    (tmp_path / "m.arpa").write_text("x")
+    assert readers.model_file(spark, str(tmp_path)).endswith("m.arpa")
+    (tmp_path / "z.binary").write_text("x")
+    assert readers.model_file(spark, str(tmp_path)).endswith("z.binary")
+    found = spark.createDataFrame([("s", "a", True, True), ("s", "b", False, True), ("s", "c", True, False)], "shard string, key string, complete boolean, known boolean")
+    assert sorted((r.key, r.reason) for r in readers.rejected_samples(found).collect()) == [("b", "one side missing"), ("c", "unknown kind")]
+    with pytest.raises(PySparkException, match="unknown kind"):
+        readers.known_samples(found).collect()
