@@ -572,19 +572,26 @@ def _order_sql(n: int, counts: str) -> str:
     p{n} as (select b.context, b.word, b.context || ' ' || b.word as gram, (c - off) / total + backoff * l.p as p from b{n} b join t{n} using (context) join p{n - 1} l on l.gram = b.tail)"""
 
 
-@query(f"""with w as (select doc_id, i, w[i] as w from (select doc_id, {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w) + 1)) as u(i)),
+_MODEL = f"""w as (select doc_id, i, w[i] as w from (select doc_id, {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w) + 1)) as u(i)),
     n as (select w as a, lead(w, 1) over o as b, lead(w, 2) over o as c, lead(w, 3) over o as d from w window o as (partition by doc_id order by i)),
     g4 as (select a || ' ' || b || ' ' || c as context, d as word, b || ' ' || c || ' ' || d as tail, count(*) as c from n where d is not null group by a, b, n.c, d),
     x3 as (select distinct a, b, c from n where c is not null), x2 as (select distinct a, b from n where b is not null),
     g3 as (select split_part(tail, ' ', 1) || ' ' || split_part(tail, ' ', 2) as context, split_part(tail, ' ', 3) as word, split_part(tail, ' ', 2) || ' ' || split_part(tail, ' ', 3) as tail, count(*) as c from g4 group by g4.tail),
     g2 as (select b as context, x3.c as word, x3.c as tail, count(*) as c from x3 group by b, x3.c), g1 as (select b as word, count(*) as c from x2 group by b),
-    p1 as (select null as context, word, word as gram, c / (select sum(c) from g1)::double as p from g1), {_order_sql(2, 'g2')}, {_order_sql(3, 'g3')}, {_order_sql(4, 'g4')}
+    p1 as (select null as context, word, word as gram, c / (select sum(c) from g1)::double as p from g1), {_order_sql(2, 'g2')}, {_order_sql(3, 'g3')}, {_order_sql(4, 'g4')}"""
+
+
+@query(f"""with {_MODEL}
     select 1 as n, null as context, word, round(p, 8) as p from p1 union all select 2, context, word, round(p, 8) from p2 union all select 3, context, word, round(p, 8) from p3 union all select 4, context, word, round(p, 8) from p4""")
 def ngram_model(spark: SparkSession, sf: str) -> DataFrame:
     return _model(spark, sf)[0].select("n", "context", "word", F.round("p", 8).alias("p"))
 
 
-@query()
+@query(f"""with {_MODEL}, s as (select utt, w[i] as word, case when i > 1 then w[i - 1] end as c2, case when i > 2 then w[i - 2] || ' ' || w[i - 1] end as c3, case when i > 3 then w[i - 3] || ' ' || w[i - 2] || ' ' || w[i - 1] end as c4
+        from (select conv_id * 1000 + turn as utt, {WORDS.format(c='text')} as w from conversations) x, unnest(range(1, len(w) + 1)) as u(i)),
+    j as (select utt, coalesce(p4.p, coalesce(t4.backoff, 1) * coalesce(p3.p, coalesce(t3.backoff, 1) * coalesce(p2.p, coalesce(t2.backoff, 1) * coalesce(p1.p, 1e-7)))) as p from s left join p1 on p1.word = s.word
+        left join p2 on p2.context = c2 and p2.word = s.word left join t2 on t2.context = c2 left join p3 on p3.context = c3 and p3.word = s.word left join t3 on t3.context = c3 left join p4 on p4.context = c4 and p4.word = s.word left join t4 on t4.context = c4)
+    select utt, count(*) as n, round(sum(ln(p)), 6) as log_prob from j group by utt""")
 def ngram_score(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), views.split_words(F.col("text")).alias("words"))
     return lm.scored(words, *_model(spark, sf), "utt")
@@ -639,9 +646,10 @@ def nbest_prune(spark: SparkSession, sf: str) -> DataFrame:
     return lm.pruned(_nbest(spark, sf), 1.5, 8).select("utt", F.col("rank").cast("long").alias("rank"), "text", "score")
 
 
-@query()
+@query("""with t as (select conv_id as utt, list_filter(string_split(text, ''), lambda x: x <> '') as k from conversations), e as (select utt, min(k) as a, max(k) as z from t group by utt),
+    n as (select utt, a, len(list_filter(range(1, least(len(a), len(z)) + 1), lambda i: a[1:i] = z[1:i])) as n_prefix from e) select utt, n_prefix, a[1:n_prefix] as prefix from n""")
 def nbest_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("utt"), F.split("text", "").alias("tokens"))
+    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("utt"), fusion.characters(F.col("text")).alias("tokens"))
     return lm.common_prefix(d)
 
 
@@ -701,7 +709,9 @@ def snr_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("vec_id", F.round(F.get("x", F.lit(0)), 5).alias("first"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-@query()
+@query("""with e as (select vec_id // 16 as batch_no, vec_id as pos, list_transform(embedding, lambda x: x::double) as s from embeddings), b as (select *, coalesce(lead(s) over w, first_value(s) over w) as n, count(*) over (partition by batch_no) as k from e window w as (partition by batch_no order by pos)),
+    g as (select *, list_sum(list_transform(s, lambda x: x * x)) / len(s) as ps, list_sum(list_transform(n, lambda x: x * x)) / len(n) as pn from b where k > 1), m as (select *, list_transform(range(1, len(s) + 1), lambda i: s[i] + sqrt(ps / (pn * pow(10.0::double, 1.5::double))) * n[i]) as x from g)
+    select batch_no, pos, round(x[1] * sqrt(ps / (list_sum(list_transform(x, lambda v: v * v)) / len(x))), 5) as first from m""")
 def babble_mix(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("batch_no"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("signal"))
     return signal.babble(s, 16, 15.0).select("batch_no", "pos", F.round(F.get("mixed", F.lit(0)), 5).alias("first"))
