@@ -120,6 +120,9 @@ def american(text: Column, spelling: dict[str, str]) -> Column:
     """Words by a user's spelling table."""
     if not spelling:
         return F.array_join(F.array_remove(F.split(text, r"\s+"), ""), " ")
+    if len(spelling) > 64:  # a map column is searched from end to end
+        look_up = F.pandas_udf(lambda s: s.map(lambda x: " ".join(spelling.get(w, w) for w in x.split()), na_action="ignore"), T.StringType())
+        return look_up(text)
     table = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
     return F.array_join(F.transform(F.array_remove(F.split(text, r"\s+"), ""), lambda w: F.coalesce(F.element_at(table, w), w)), " ")
 

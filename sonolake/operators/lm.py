@@ -22,6 +22,13 @@ def ngrams(words: DataFrame, n: int, column: str = "words") -> DataFrame:
     return words.select(F.explode(F.expr(f"transform({at}, i -> array_join(slice({column}, i, {n}), ' '))")).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
 
 
+def grams_upto(words: DataFrame, order: int, column: str = "words") -> DataFrame:
+    """n, gram, c for every n-gram from 2 to order words, from one pass over the texts."""
+    at = f"if(size({column}) >= n, sequence(1, size({column}) - n + 1), slice(array(0), 1, 0))"
+    every = F.expr(f"flatten(transform(sequence(2, {order}), n -> transform({at}, i -> struct(n as n, array_join(slice({column}, i, n), ' ') as gram))))")
+    return words.select(F.explode(every).alias("x")).groupBy("x.n", "x.gram").agg(F.count("*").alias("c"))
+
+
 def counts_of_counts(grams: DataFrame) -> DataFrame:
     return grams.where("c <= 4").groupBy("c").agg(F.count("*").alias("n"))
 
@@ -51,7 +58,8 @@ def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple
 
     The highest order has its counts; a lower order counts in how many different grams of the next order it comes last. Single words
     (null context) are not discounted. A context's backoff is what its discounts saved."""
-    kinds = {n: written(ngrams(words, n, column), f"grams-{n}") for n in range(2, order + 1)}
+    every_gram = written(grams_upto(words, order, column), "grams")
+    kinds = {n: every_gram.where(F.col("n") == n).select("gram", "c") for n in range(2, order + 1)}
     counts = {order: kinds[order]} | {n - 1: written(kinds[n].groupBy(shorter("gram").alias("gram")).agg(F.count("*").alias("c")), f"grams-{n - 1}-before") for n in range(2, order + 1)}
     every = counts[1].agg(F.sum("c").alias("all"))
     lower = counts[1].join(F.broadcast(every)).select("gram", (F.col("c") / F.col("all")).alias("p"))

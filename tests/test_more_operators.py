@@ -497,3 +497,9 @@ def test_hooks_models_and_rejects(spark, tmp_path):
     assert sorted((r.key, r.reason) for r in readers.rejected_samples(found).collect()) == [("b", "one side missing"), ("c", "unknown kind")]
     with pytest.raises(PySparkException, match="unknown kind"):
         readers.known_samples(found).collect()
+
+
+def test_large_spelling_tables(spark):
+    table = {f"colour{i}": f"color{i}" for i in range(100)}
+    d = spark.createDataFrame([("a colour7  b",), (None,), ("colour70",)], "x string")
+    assert [r.y for r in d.select(t.american(F.col("x"), table).alias("y")).collect()] == ["a color7 b", None, "color70"]
