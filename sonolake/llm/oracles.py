@@ -98,8 +98,8 @@ bb as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as la
 h as (select doc_id, i - 1 as p, w[i] as word from l, unnest(range(1, len(w) + 1)) as u(i) where w[i] in (select word from post)), hits as (select distinct doc_id, word from h),
 rare as (select word, count(*) as df from hits group by word having count(*) <= {licenses.RARE_SHARE}::double * (select count(*) from documents) + {licenses.RARE_DOCS}), ok as (select doc_id from hits group by doc_id having count(*) >= {licenses.MIN_VOTES}),
 looked as (select distinct doc_id, word from (select doc_id, hits.word, row_number() over (partition by doc_id, template order by df, hits.word) as rank from hits join rare using (word) join (select distinct word, template from post) k on k.word = hits.word where doc_id in (select doc_id from ok)) where rank <= {licenses.TOP_WORDS}),
-ix as (select post.*, least({licenses.MIN_VOTES}, count(*) over (partition by template)) as needed from post where word in (select word from rare)),
-v as (select doc_id, template, p - q as shift, count(distinct q) as votes, any_value(needed) as needed from h join looked using (doc_id, word) join ix using (word) group by all),
+ix as (select post.*, needed from post join (select template, least({licenses.MIN_VOTES}, count(distinct word)) as needed from post where word in (select word from rare) group by template) using (template) where word in (select word from rare)),
+v as (select doc_id, template, p - q as shift, count(distinct word) as votes, any_value(needed) as needed from h join looked using (doc_id, word) join ix using (word) group by all),
 best as (select doc_id, template, shift from (select *, row_number() over (partition by doc_id, template order by votes desc, shift) as r from v where votes >= needed) where r = 1),
 c as (select best.doc_id, best.template, label, n, count(distinct post.q) as met from best join tmpl using (template) join l on l.doc_id = best.doc_id and contains(line, phrase) join post on post.template = best.template
     join h on h.doc_id = best.doc_id and h.word = post.word and h.p between best.shift + post.q - {licenses.SLACK} and best.shift + post.q + {licenses.SLACK} group by all),
