@@ -35,6 +35,15 @@ def epoch_sizes(fracs: DataFrame, batch: int) -> DataFrame:
     return sized.withColumn("repetition", F.when(F.col("utts") > 0, F.ceil(F.col("n") / F.col("utts")))).drop("_tot", "_target", "_len")
 
 
+def epoch_report(sizes: DataFrame, total: int) -> DataFrame:
+    """sizes (of epoch_sizes) with share (of an epoch), and the same on each row: epochs (until total utterances are drawn) and
+    repetition_epochs (until all manifests are used up). A manifest without a whole batch in an epoch, or with more than it has, is an error."""
+    one = sizes.agg(F.sum("utts").alias("_sum"), F.max("repetition").alias("repetition_epochs"))
+    fits = F.when((F.col("utts") > 0) & (F.col("utts") <= F.col("n")), F.col("utts")).otherwise(F.raise_error(F.concat(F.lit("no whole batch from manifest "), F.col("manifest"))))
+    d = sizes.join(F.broadcast(one)).withColumn("utts", fits)
+    return d.withColumns({"share": F.round(F.col("utts") / F.col("_sum"), 8), "epochs": F.ceil(F.lit(total) / F.col("_sum"))}).drop("_sum")
+
+
 def epochs(df: DataFrame, sizes: DataFrame, n_epochs: int, seed: int = 1) -> DataFrame:
     """epoch, manifest, fname, duration: manifests are cycled; epoch e takes the next utts of each one's seeded order. Each utterance
     finds its own epochs by arithmetic, so that no epoch table is multiplied by the manifest."""

@@ -141,17 +141,25 @@ def wav_header(raw: bytes) -> tuple[int, int, int, int] | None:
     return None
 
 
-def audio_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """fname, channels, sample_rate, bitdepth, num_samples, duration of WAV files, from their headers; null where there is none."""
+def flac_header(raw: bytes) -> tuple[int, int, int, int] | None:
+    """channels, rate, bits, samples of a FLAC file, from the stream information that its first block holds, or None."""
+    if raw[:4] != b"fLaC" or len(raw) < 26 or raw[4] & 127:
+        return None
+    packed = int.from_bytes(raw[18:26], "big")  # 20 bits rate, 3 channels - 1, 5 bits - 1, 36 samples
+    return (packed >> 41 & 7) + 1, packed >> 44, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
+
+
+def audio_metadata(spark: SparkSession, path: str, glob: str = "*.{wav,flac}") -> DataFrame:
+    """fname, channels, sample_rate, bitdepth, num_samples, duration of WAV and FLAC files, from their headers; null where there is none."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [wav_header(x) or (None,) * 4 for x in b["content"]]
+            found = [wav_header(x) or flac_header(x) or (None,) * 4 for x in b["content"]]
             d = pd.DataFrame(found, columns=["channels", "sample_rate", "bitdepth", "num_samples"]).astype("Int64")
             d.insert(0, "fname", b["path"].to_numpy())
             yield d
 
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
     d = d.mapInPandas(read, "fname string, channels long, sample_rate long, bitdepth long, num_samples long")
     return d.withColumn("duration", F.col("num_samples") / F.col("sample_rate"))
 

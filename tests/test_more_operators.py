@@ -503,3 +503,19 @@ def test_large_spelling_tables(spark):
     table = {f"colour{i}": f"color{i}" for i in range(100)}
     d = spark.createDataFrame([("a colour7  b",), (None,), ("colour70",)], "x string")
     assert [r.y for r in d.select(t.american(F.col("x"), table).alias("y")).collect()] == ["a color7 b", None, "color70"]
+
+
+def test_epoch_report(spark):
+    sizes = spark.createDataFrame([("a", 10, 8, 2), ("b", 30, 16, 2), ("c", 9, 8, 2)], "manifest string, n long, utts long, repetition long")
+    rows = {r.manifest: r for r in sampling.epoch_report(sizes, 100).collect()}
+    assert {r.epochs for r in rows.values()} == {4} and {r.repetition_epochs for r in rows.values()} == {2} and rows["b"].share == 0.5
+    with pytest.raises(PySparkException, match="no whole batch"):
+        sampling.epoch_report(sizes.union(spark.createDataFrame([("d", 3, 0, None)], sizes.schema)), 100).collect()
+
+
+def test_flac_headers(spark, tmp_path):
+    packed = 44100 << 44 | 1 << 41 | 15 << 36 | 88200
+    (tmp_path / "a.flac").write_bytes(b"fLaC" + bytes([0, 0, 0, 34]) + bytes(10) + packed.to_bytes(8, "big") + bytes(16))
+    (tmp_path / "b.flac").write_bytes(b"nothing")
+    got = {r.fname[-6:]: (r.channels, r.sample_rate, r.bitdepth, r.num_samples, r.duration) for r in readers.audio_metadata(spark, str(tmp_path)).collect()}
+    assert got == {"a.flac": (2, 44100, 16, 88200, 2.0), "b.flac": (None,) * 5}
