@@ -6,8 +6,9 @@ HASHES such hashes name a bucket of one table, and a second probe per table flip
 that share a bucket in one of TABLES tables are verified by their cosine in double precision. Of random pairs at exactly 0.98, the
 hardest case, these settings find 0.9995 at 64 dimensions, 0.997 at 256 and 0.9955 at 768 (tests/llm measures it again).
 
-A bucket is split into hashed pieces of about PIECE vectors, and pairs of pieces are compared as matrices, so that no task holds a
-large bucket; a pair found in several buckets counts in the first only. Links leave a task as counts and stars, not as pairs.
+A bucket is split into hashed pieces of about PIECE vectors, and pairs of pieces are compared as matrix products, so that no task holds
+a large bucket: a bucket of n vectors is dealt out as n * n / PIECE rows, since all its links must be counted. A pair found in several
+buckets counts in the first only. Links leave a task as counts and stars, not as pairs.
 
 Null, empty or zero vectors and those with null or non-finite components link with nothing, nor do rows with a null label or
 vectors of different lengths. Equal rows are separate vectors that link with each other. A class's id is its smallest vec_id;
@@ -30,7 +31,9 @@ COSINE = 0.98
 HASHES = 3
 TABLES = 6
 PROBES = 2
-PIECE = 1024
+PIECE = 4096
+#: Runs over so many members are compared as matrix products.
+DENSE = 48
 _PAIRS = 1 << 18
 
 
@@ -105,6 +108,25 @@ def _pairs_of(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         done = to
 
 
+def _close_in(x: np.ndarray, run: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run (equal, sorted numbers) whose cosine may be least or more, as index arrays of bounded length: all pairs of
+    small runs; of large ones those that a matrix product finds, with room for its rounding."""
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(run)))
+    large = np.repeat(sizes > DENSE, sizes)
+    small = np.flatnonzero(~large)
+    for a, b in _pairs_of(run[small]):
+        yield small[a], small[b]
+    for start, size in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist(), strict=True):
+        own, step = x[start : start + size], max(1, (1 << 22) // size)
+        for lo in range(0, size, step):
+            a, b = np.nonzero(own[lo : lo + step] @ own[lo:].T >= least - 1e-9)
+            later = a < b
+            a, b = start + lo + a[later], start + lo + b[later]
+            for i in range(0, len(a), _PAIRS):
+                yield a[i : i + _PAIRS], b[i : i + _PAIRS]
+
+
 def compare(part: pd.DataFrame, run: np.ndarray, least: float) -> pd.DataFrame:
     """node, root, links of the rows with links: rows of a run meet, but those of one piece only where the run is that piece."""
     x = unit(np.stack(part["vec"].to_numpy()).astype(float))
@@ -112,7 +134,7 @@ def compare(part: pd.DataFrame, run: np.ndarray, least: float) -> pd.DataFrame:
     node, copies, piece, cross, table, own = (part[c].to_numpy() for c in ("node", "copies", "piece", "cross", "t", "code"))
     names, at = np.unique(node, return_inverse=True)
     parent, links = np.arange(len(names)), np.zeros(len(names), np.int64)
-    for a, b in _pairs_of(run):
+    for a, b in _close_in(x, run, least):
         fit = ~cross[a] | (piece[a] != piece[b])
         a, b = a[fit], b[fit]
         if not len(a):

@@ -238,11 +238,24 @@ def test_a_hot_blob_is_joined_back_to_all_paths(spark):
     assert secrets.redact(d).where("text = '[SECRET]'").count() == 1000
 
 
-@pytest.mark.parametrize("piece", [2, 1024])
-def test_embeddings(spark, monkeypatch, piece):
+def test_close_pairs_of_dense_and_small_runs():
+    from sonolake.llm import vectors
+
+    rng = np.random.default_rng(3)
+    run = np.repeat(np.arange(6), [1, 3, 200, 47, 1, 90])
+    x = rng.normal(size=(6, 16))[run] + rng.normal(size=(len(run), 16)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(int(i), int(j)) for a, b in vectors._close_in(x, run, 0.98) for i, j in zip(a, b, strict=True) if x[i] @ x[j] >= 0.98}
+    want = {(i, j) for i in range(len(run)) for j in range(i + 1, len(run)) if run[i] == run[j] and x[i] @ x[j] >= 0.98}
+    assert got == want and 100 < len(want) < 20_000
+
+
+@pytest.mark.parametrize(("piece", "dense"), [(2, 48), (4096, 48), (4096, 1)])
+def test_embeddings(spark, monkeypatch, piece, dense):
     from sonolake.llm import vectors
 
     monkeypatch.setattr(vectors, "PIECE", piece)
+    monkeypatch.setattr(vectors, "DENSE", dense)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 64))
     rows = [(i, (base[i % 6] + rng.normal(size=64) * 0.1).tolist(), i % 2) for i in range(60)]
