@@ -91,8 +91,8 @@ def scan_batch(versions: DataFrame, ledger: str) -> int:
     version = F.lit(RULE_VERSION).alias("rule_version")
     seen = _read(spark, f"{ledger}/pairs", LEDGER).where(F.col("rule_version") == RULE_VERSION).select("blob")
     fresh = cut(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen-blobs")
-    # equal blobs have equal texts: the first one met speaks for them, combined before the shuffle
-    texts = versions.where("text <> ''").join(fresh, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    # equal blobs have equal texts: the first one met speaks for them, combined before the shuffle, so that no task gets all copies of a text
+    texts = versions.where("text <> ''").groupBy("blob").agg(F.first("text").alias("text")).join(fresh, "blob", "left_semi")
     scan(texts).select("blob", version, "spans").write.mode("append").parquet(f"{ledger}/findings")
     fresh.select("blob", version).write.mode("append").parquet(f"{ledger}/pairs")
     return fresh.count()
