@@ -1,6 +1,6 @@
 """SQL (DuckDB) for the queries of training-data operators that SQL expresses.
 
-XXH64, CRC-32 and BPE have no SQL form, so op1, op8, op10 and the pipeline are tested against brute force instead."""
+XXH64, CRC-32 and the tokenizers have no SQL form, so op1, op8, op10, op11, op12 and the pipeline are tested against brute force instead."""
 
 from __future__ import annotations
 
@@ -107,4 +107,17 @@ f as (select doc_id, list(distinct label) filter (where met / n::double >= {lice
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(array_to_string(list_sort(bb.labels), ','), '') as base_labels,
     array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(f.labels, [])))), ',') as labels, case when n_base > 0 then 1.0::double else coalesce(score, 0.0::double) end as score from d left join bb using (doc_id) left join f using (doc_id)"""
 
-ORACLES = {"op2_quality": QUALITY, "op3_secrets": SECRETS, "op4_embeddings": EMBEDDINGS, "op5_fmindex": WORD_PASSAGES, "op6_mixing": MIXING, "op7_suffixes": BYTE_PASSAGES, "op9_licenses": LICENSES}
+INTERACTIONS = f"""with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_WORDS} as w from documents),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+f as (select part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic from w left join l using (doc_id)),
+c as (select part, mask, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as x from f group by part, mask),
+k(i, c) as (values (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')),
+o as (select a.c || b.c || d.c || e.c || g.c as filter_order, [a.i, b.i, d.i, e.i, g.i] as ids from k a, k b, k d, k e, k g where len(list_distinct([a.i, b.i, d.i, e.i, g.i])) = 5),
+s as (select filter_order, step::int as step, (1 << ids[step])::int as f, coalesce(list_sum(list_transform(ids[1:step - 1], lambda i: 1 << i)), 0)::int as before from o, unnest(range(1, 6)) as u(step)),
+r as (select part, filter_order, step, f, sum(n) filter ((mask & (before | f)) = 0) as kept, sum(n) filter ((mask & f) > 0 and (mask & before) = 0) as removed, sum(n) filter ((mask & f) > 0 and (mask & before) > 0) as redundant,
+    sum(n) filter (mask = f) as unique_fails, sum(g) filter ((mask & f) > 0 and (mask & before) = 0) as good_lost, sum(x) filter ((mask & f) > 0 and (mask & before) = 0) as toxic_lost from s, c group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+    coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, f), 0)::bigint as shapley from r"""
+
+ORACLES = {"op2_quality": QUALITY, "op3_secrets": SECRETS, "op4_embeddings": EMBEDDINGS, "op5_fmindex": WORD_PASSAGES, "op6_mixing": MIXING, "op7_suffixes": BYTE_PASSAGES, "op9_licenses": LICENSES, "op13_interactions": INTERACTIONS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonolake.llm import bpe, fmindex, licenses, mixing, pieces, quality, secrets, sharding, simhash, suffixes, vectors
+from sonolake.llm import bpe, fmindex, interactions, licenses, mixing, pieces, quality, secrets, sharding, simhash, spelling, suffixes, vectors
 from sonolake.llm.common import table
 from sonolake.llm.oracles import ORACLES
 
@@ -51,9 +51,17 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_embeddings": op4_embeddings, "op5_fmindex": op5_fmindex, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding, "op12_sentencepiece": op12_sentencepiece}
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_embeddings": op4_embeddings, "op5_fmindex": op5_fmindex, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_bpe": op8_bpe, "op9_licenses": op9_licenses, "op10_sharding": op10_sharding, "op11_spelling": op11_spelling, "op12_sentencepiece": op12_sentencepiece, "op13_interactions": op13_interactions}
 ORACLE_SQL: dict[str, str] = dict(ORACLES)
