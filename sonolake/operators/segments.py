@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,30 +38,49 @@ def continuous(ts: Column, seg: Column, size: int, overlap: int, reduction: int)
     return F.transform(ts, lambda t: t + seg * ((size - overlap) // reduction))
 
 
-def merged(segs: DataFrame, overlap: int, reduction: int, look: int = 3) -> DataFrame:
-    """utt, tokens, timestamps: segments (utt, seg, tokens, timestamps) joined without what they share: leading tokens in the
-    overlap go, then of the first look tokens those among the last look tokens of the trimmed segment before."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def trimmed(own: Column, trusted: Column, edge: int, look: int) -> Column:
+    """A segment (array of token y, time t) without what it shares with the one before: leading tokens before the edge go, then of the first
+    look tokens those among the trusted ones, each of which is used up together with those before it."""
+    start = F.array_position(F.transform(own, lambda o: o["t"] >= edge), True).cast("int")
+    rest = F.when(start > 0, F.slice(own, start, F.size(own))).otherwise(F.slice(own, 1, 0))
+
+    def drop(b: Column, o: Column) -> Column:
+        at, used = F.array_position(b["own"]["y"], o["y"]).cast("int"), F.array_position(b["trusted"], o["y"]).cast("int")
+        left = F.concat(F.slice(b["own"], 1, at - 1), F.slice(b["own"], at + 1, F.size(b["own"])))
+        return F.when(used > 0, F.struct(left.alias("own"), F.slice(b["trusted"], used + 1, F.size(b["trusted"])).alias("trusted"))).otherwise(b)
+
+    return _let(rest, lambda r: F.aggregate(F.slice(r, 1, look), F.struct(r.alias("own"), trusted.alias("trusted")), drop)["own"])
+
+
+def merged(segs: DataFrame, overlap: int, reduction: int, look: int = 3, hop: int = 0, end: int | None = None) -> DataFrame:
+    """utt, tokens, timestamps: segments (utt, seg, tokens, timestamps) joined in order without what they share, by a fold in the JVM. A
+    segment trusts the last look tokens of the trimmed one right before it. hop, in units of the timestamps, is added per segment; with end,
+    nothing is taken after the first segment that has this token."""
     edge = math.ceil(overlap / reduction)
+    zipped = F.zip_with("tokens", "timestamps", lambda y, t: F.struct(y.cast("int").alias("y"), t.cast("long").alias("t")))
+    rows = segs.select("utt", F.struct(F.col("seg").cast("long").alias("seg"), zipped.alias("own")).alias("s")).groupBy("utt").agg(F.array_sort(F.collect_list("s")).alias("s"))
+
+    def join(a: Column, s: Column) -> Column:
+        follows, known = a["seg"] + 1 == s["seg"], F.size(a["parts"]) > 0
+        trusted = F.when(follows, a["last"]).otherwise(F.slice(a["last"], 1, 0))
+        own = F.when(known, trimmed(s["own"], trusted, edge, look)).otherwise(s["own"])
+
+        def added(own: Column) -> Column:
+            placed = F.transform(own, lambda o: F.struct(o["y"].alias("y"), (o["t"] + s["seg"] * hop).cast("long").alias("t")))
+            done = F.lit(False) if end is None else F.coalesce(F.array_contains(s["own"]["y"], end), F.lit(False))
+            last = F.slice(own["y"], F.greatest(F.size(own) - look, F.lit(0)) + 1, look)
+            return F.struct(s["seg"].alias("seg"), last.alias("last"), F.array_append(a["parts"], placed).alias("parts"), done.alias("done"))
+
+        return F.when(a["done"], a).otherwise(_let(own, added))
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seg")
-        out: list[tuple[int, int]] = []
-        last: list[tuple[int, int]] | None = None
-        for tokens, stamps in zip(rows["tokens"], rows["timestamps"], strict=True):
-            own = list(zip(tokens, stamps, strict=True))
-            if last is not None:
-                start = next((i for i, (_, t) in enumerate(own) if t >= edge), len(own))
-                own = own[start:]
-                trusted = [y for y, _ in last[-look:]]
-                for y, _ in own[:look]:
-                    if y in trusted:
-                        own.pop([z for z, _ in own].index(y))
-                        trusted = trusted[trusted.index(y) + 1 :]
-            out += own
-            last = own
-        return pd.DataFrame({"utt": [rows["utt"].iloc[0]], "tokens": [[y for y, _ in out]], "timestamps": [[t for _, t in out]]})
-
-    return segs.select("utt", "seg", "tokens", "timestamps").groupBy("utt").applyInPandas(join, "utt long, tokens array<int>, timestamps array<int>")
+    start = F.expr("named_struct('seg', bigint(null), 'last', cast(array() as array<int>), 'parts', cast(array() as array<array<struct<y: int, t: bigint>>>), 'done', false)")
+    folded = rows.select("utt", F.flatten(F.aggregate("s", start, join)["parts"]).alias("o"))
+    return folded.select("utt", F.col("o.y").alias("tokens"), F.col("o.t").alias("timestamps"))
 
 
 def until_end(segs: DataFrame, has_end: Column) -> DataFrame:

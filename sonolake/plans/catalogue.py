@@ -12,8 +12,9 @@ from sonolake.functions import tokens
 from sonolake.operators import curate, errorrate, lm, report, sampling, segments, signal, timing
 from sonolake.plans import views
 from sonolake.sources import readers, writers
-from sonolake.streaming import fusion, windows
-from sonolake.tables import indexed, ranked, seeded, spread, table
+from sonolake.streaming import endings as ends
+from sonolake.streaming import fusion, overlaps, windows
+from sonolake.tables import drained, indexed, ranked, seeded, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -466,6 +467,42 @@ def endpoint_shares(spark: SparkSession, sf: str) -> DataFrame:
     return timing.endpoint_shares(windows.terminations(views.responses(spark, sf), "session", 86400.0))
 
 
+# ends by mark, silence or forced finals: the fold over a table, and the same events as a stream
+
+_DIGITS = "list_filter(string_split(({x})::varchar, ''), lambda c: c <> '')"
+_SHARED = "len(list_filter(range(1, len(a) + 1), lambda i: a[1:i] = {b}[1:i]))"
+_ENDINGS = f"""with recursive k as (select user_id as session, event_id as seq, epoch_us(ts) // 1000 as ms, event_type, coalesce(json_extract_string(props, '$.k')::int, 0) as k from events),
+    h as (select session, seq, ms, case when event_type in ('view', 'click') then 'partial' when event_type = 'purchase' then 'final' when event_type = 'signup' then 'session_start' else 'session_end' end as kind,
+        {_DIGITS.format(x="k")} as a, {_DIGITS.format(x="k - k % 10 + seq % 10")} as b, {_DIGITS.format(x="k * 7 % 100")} as c from k),
+    n as (select *, {_SHARED.format(b="b")} as nb, {_SHARED.format(b="c")} as nc from h),
+    e as (select session, ms, kind, row_number() over (partition by session order by ms, seq) as i, case when nb = 0 then 1 when nc = 0 then 2 else 3 end as n_kept, case when nb = 0 then a when nc = 0 then a[1:nb] else a[1:least(nb, nc)] end as prefix from n),
+    f(session, i, last, since, ended, what, "at", n_kept, prefix) as (select session, 0::bigint, null::bigint, null::bigint, false, null::varchar, null::bigint, null::int, null::varchar[] from e where i = 1
+        union all select session, i, case when what = 'Silence' then last else ms end, case when what = 'Forced' or kind = 'final' then ms else coalesce(since, ms) end, what in ('Silence', 'EOS') and what is not null, what,
+            case when what = 'Silence' then last + 7200000 else ms end, case when what = 'Forced' then n_kept end, case when what = 'Forced' then prefix end
+        from (select f.session, e.i, f.last, f.since, e.ms, e.kind, e.n_kept, e.prefix, case when e.ms - f.last > 7200000 then 'Silence' when e.kind = 'session_end' then 'EOS' when e.kind = 'partial' and e.ms - coalesce(f.since, e.ms) > 1800000 then 'Forced' end as what
+            from f join e on e.session = f.session and e.i = f.i + 1 where not f.ended)),
+    l as (select session, arg_max(last, i) as last, bool_or(ended) as ended from f group by session)
+    select session, what as kind, "at" / 1000.0::double as "at", n_kept, prefix from f where what is not null
+    union all select session, 'Silence', (last + 7200000) / 1000.0::double, null, null from l where not ended and (select max(epoch_us(ts) // 1000) from events) - last > 7200000"""
+
+
+@query(_ENDINGS)
+def endings(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.hypotheses(table(spark, sf, "events"))
+    until = e.agg(F.max("event_time").alias("t"))
+    return ends.endings(e, 7200.0, 1800.0, until.scalar())
+
+
+@query(_ENDINGS)
+def endings_on_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return drained(ends.endings_stream(views.hypotheses(_event_stream(spark, sf)), 7200.0, 1800.0, late="0 seconds", keep=1e9), "endings")
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    # a stream's path is a folder, or a pattern: the table may be one file
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+
+
 # streams, in their batch form
 
 
@@ -535,12 +572,42 @@ def segment_plan(spark: SparkSession, sf: str) -> DataFrame:
     return segments.segments(table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.col("n_chars").alias("n")), 500, 100)
 
 
-@query()
+def _merge_sql(segs: str, edge: int, hop: int, out: str) -> str:
+    """The merge of segs (utt, seg, y, t: lists), a segment after the other, with its three looks written out."""
+    look = "s0"
+    for k in range(1, 4):
+        look = f"""select * exclude (hit, p, q) replace (case when hit then list_concat(own[1:p - 1], own[p + 1:]) else own end as own, case when hit then trusted[q + 1:] else trusted end as trusted)
+            from (select *, len(cut) >= {k} and list_contains(trusted, cut[{k}].y) as hit, list_position(list_transform(own, lambda o: o.y), cut[{k}].y) as p, list_position(trusted, cut[{k}].y) as q from ({look}))"""
+    return f"""with recursive g as (select utt, seg, list_transform(range(1, len(y) + 1), lambda i: {{'y': y[i], 't': t[i]}}) as own, row_number() over (partition by utt order by seg) as i from ({segs})),
+    f(utt, i, seg, own, last) as (select utt, i, seg, own, list_transform(own[greatest(len(own) - 2, 1):], lambda o: o.y) from g where i = 1
+        union all select utt, i, seg, own, list_transform(own[greatest(len(own) - 2, 1):], lambda o: o.y) from (with s0 as (select utt, i, seg, cut, cut as own, trusted from (select g.utt, g.i, g.seg,
+            g.own[coalesce(nullif(list_position(list_transform(g.own, lambda o: o.t >= {edge}), true), 0), len(g.own) + 1):] as cut, case when g.seg = f.seg + 1 then f.last else f.last[1:0] end as trusted from f join g on g.utt = f.utt and g.i = f.i + 1)) {look.replace("(s0)", "s0")})),
+    o as (select utt, seg, u.i, own[u.i].y as y, own[u.i].t + seg * {hop} as t from f, unnest(range(1, len(own) + 1)) as u(i)) {out}"""
+
+
+@query(_merge_sql(f"select utt, seg, w[first + 1:last] as y, range(0, last - first) as t from (select utt, w, k as seg, k * 48 as first, least(k * 48 + 60, n) as last, n from (select doc_id as utt, w, len(w) as n, case when len(w) < 60 then 1 else (len(w) - 12) // 48 + case when (len(w) - 12) % 48 > 0 then 1 else 0 end end as c from (select doc_id, list_transform({WORDS.format(c='text')}, lambda x: length(x)) as w from documents)), unnest(range(0, c)) as u(k)) where n > 0", 12, 48,
+    "select utt, list(y::int order by seg, i) as tokens, list(t::bigint order by seg, i) as timestamps from o group by utt"))
 def overlap_merge(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.transform(views.split_words(F.col("text")), lambda w: F.char_length(w)).alias("w"))
     plan = segments.segments(d.select("utt", F.size("w").alias("n")), 60, 12)
     s = plan.join(d, "utt").select("utt", "seg", F.expr("slice(w, first + 1, last - first)").alias("tokens"), F.expr("transform(sequence(0, greatest(last - first, 1) - 1), i -> i)").alias("timestamps"))
-    return segments.merged(s.where("size(tokens) > 0"), 12, 1).select("utt", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("fingerprint"))
+    return segments.merged(s.where("size(tokens) > 0"), 12, 1, hop=48)
+
+
+_SPOKEN = "select user_id as utt, event_id as seq, epoch_us(ts) // 1000 as ms, (floor(value / 10)::int % 6)::int as token from events"
+_SLID = "select utt, seg, list(token order by ms, seq) as y, list((ms - seg * 28800000) // 60000 order by ms, seq) as t from (select *, ms // 28800000 - k as seg from ({spoken}), unnest(range(0, 2)) as u(k)) where ms < seg * 28800000 + 36000000{closed} group by utt, seg"
+_SLID_OUT = "select utt, t::bigint as t, y::int as token from o"
+
+
+@query(_merge_sql(_SLID.format(spoken=_SPOKEN, closed=""), 120, 480, _SLID_OUT))
+def sliding_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return overlaps.merged(views.spoken(table(spark, sf, "events")), 36000.0, 7200.0, 60.0)
+
+
+@query(_merge_sql(_SLID.format(spoken=_SPOKEN, closed=" and seg * 28800000 + 36000000 <= (select max(epoch_us(ts) // 1000) from events)"), 120, 480, _SLID_OUT))
+def sliding_merge_on_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the segments that the last event's time has closed."""
+    return drained(overlaps.merged(views.spoken(_event_stream(spark, sf)), 36000.0, 7200.0, 60.0, late="0 seconds"), "merged")
 
 
 @query("""with g as (select user_id as utt, ts, event_id, epoch_us(ts) // 1000000 as t, lag(epoch_us(ts) // 1000000) over w as p, row_number() over w - 1 as pos from events window w as (partition by user_id order by event_id)), f as (select utt, min(pos) as first, arg_min(p, pos) as last from g where t - p > 43200 group by utt)

@@ -53,10 +53,27 @@ def hyp_ctm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref_ctm(spark, sf_dir).withColumn("start", F.col("start") + 0.05 + late / 100.0)
 
 
+def _kind() -> Column:
+    return F.when(F.col("event_type").isin("view", "click"), "partial").when(F.col("event_type") == "purchase", "final").when(F.col("event_type") == "signup", "session_start").otherwise("session_end")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, seq, ts (s), kind, text: the events of a user as a recogniser's session."""
-    kind = F.when(F.col("event_type").isin("view", "click"), "partial").when(F.col("event_type") == "purchase", "final").when(F.col("event_type") == "signup", "session_start").otherwise("session_end")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), kind.alias("kind"), F.get_json_object("props", "$.k").alias("text"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), _kind().alias("kind"), F.get_json_object("props", "$.k").alias("text"))
+
+
+def hypotheses(events: DataFrame) -> DataFrame:
+    """session, seq, event_time, kind, hyps of a table or stream of events: three readings of an event's number k, its digits as tokens."""
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
+    digits = lambda x: F.array_remove(F.split(x.cast("string"), ""), "")
+    reading = lambda score, x: F.struct(F.lit(score).alias("score"), digits(x).alias("tokens"))
+    hyps = F.array(reading(3.0, k), reading(2.0, k - k % 10 + F.col("event_id") % 10), reading(1.0, k * 7 % 100))
+    return events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time"), _kind().alias("kind"), hyps.alias("hyps"))
+
+
+def spoken(events: DataFrame) -> DataFrame:
+    """utt, seq, event_time, token of a table or stream of events: a token per event, its value in whole tens."""
+    return events.select(F.col("user_id").alias("utt"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time"), (F.floor(F.col("value") / 10) % 6).cast("int").alias("token"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

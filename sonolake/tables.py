@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has given once all its input of now is processed, through a Parquet table in the shared folder."""
+    path = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def indexed(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
     """df with a gapless bigint from 0 in a total order, without one task for all rows: rows are range-partitioned and numbered
     inside each range; a range starts where the earlier ones (as many as partitions) end."""
