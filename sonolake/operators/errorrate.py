@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonolake.operators.alignment import distance, edit_path, numbered
+
 # The blocks of code points whose names begin with "CJK ", ideographs and their compatibility forms.
 CJK = "⺀-⿟㇀-㇯㐀-䶿一-鿿豈-﫿︰-﹏\U00020000-\U0002FA1F\U00030000-\U000323AF"
 MARKS = (",", ".", "?")
+# Fixed value: what is a token of a punctuated text, a word or one of the marks.
+TOKEN = r"[\w']+|[{}]"
 
 
 def word_list(text: Column) -> Column:
@@ -34,40 +39,6 @@ def mixture_list(text: Column) -> Column:
 TOKENS: dict[str, Callable[[Column], Column]] = {"wer": word_list, "cer": char_list, "mer": mixture_list}
 
 
-#: Rows of the distance table that one pass keeps as bits of a number; longer references take several passes.
-STRIP = 1 << 13
-
-
-def distance(ref: list[int], hyp: list[int]) -> int:
-    """The edit distance of two sequences, by bit-parallel columns: differences of neighbouring cells are bits of whole numbers (Myers;
-    Hyyro for strips of rows, which hand their lower edge's differences on to the next)."""
-    while ref and hyp and ref[-1] == hyp[-1]:
-        ref, hyp = ref[:-1], hyp[:-1]
-    same = next((i for i, (x, y) in enumerate(zip(ref, hyp, strict=False)) if x != y), min(len(ref), len(hyp)))
-    ref, hyp = ref[same:], hyp[same:]
-    if not ref or not hyp:
-        return len(ref) + len(hyp)
-    edge = [1] * len(hyp)  # differences along the row above, from cell to cell
-    for lo in range(0, len(ref), STRIP):
-        strip = ref[lo : lo + STRIP]
-        places: dict[int, int] = {}
-        for i, x in enumerate(strip):
-            places[x] = places.get(x, 0) | 1 << i
-        every, last = (1 << len(strip)) - 1, len(strip) - 1
-        up, down = every, 0  # where a cell is one more, or one less, than the cell above it
-        for j, y in enumerate(hyp):
-            match = places.get(y, 0)
-            above = edge[j]
-            start = match | 1 if above < 0 else match
-            diagonal = (((start & up) + up) ^ up) | start
-            right, left = (down | ~(diagonal | up)) & every, up & diagonal
-            edge[j] = (right >> last & 1) - (left >> last & 1)
-            right, left = right << 1 | (above > 0), left << 1 | (above < 0)
-            match |= down
-            up, down = (left | ~(match | right)) & every, right & match & every
-    return len(ref) + sum(edge)
-
-
 def with_distance(df: DataFrame, ref: str, hyp: str, name: str = "errors") -> DataFrame:
     """df with the edit distance of two array columns (null where one is null). Tokens are numbered inside a batch; a pair's memory is its
     tokens and a strip of bits."""
@@ -141,48 +112,27 @@ def breakdown(pairs: DataFrame, transforms: list[tuple[str, Callable[[Column], C
     return rates.join(F.broadcast(base)).withColumn("improvement", F.round(F.when(F.col("_base") != 0, (F.col("_base") - F.col("rate")) / F.col("_base") * 100).otherwise(F.lit(0.0)), 6)).drop("_base")
 
 
-def edit_path(ref: list[str], hyp: list[str]) -> Iterator[tuple[str, int, int]]:
-    """(op, ref index, hyp index) from the end, with unit costs; ties prefer substitution, then insertion, then deletion."""
-    rows = [list(range(len(hyp) + 1))]
-    for i, r in enumerate(ref, 1):
-        last, row = rows[-1], [i]
-        for j, h in enumerate(hyp, 1):
-            row.append(last[j - 1] if r == h else 1 + min(last[j - 1], row[-1], last[j]))
-        rows.append(row)
-    i, j = len(ref), len(hyp)
-    while i or j:
-        if i and j and ref[i - 1] == hyp[j - 1]:
-            op = "C"
-        elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
-            op = "S"
-        elif j and (not i or rows[i][j] == rows[i][j - 1] + 1):
-            op = "I"
-        else:
-            op = "D"
-        i, j = i - (op != "I"), j - (op != "D")
-        yield op, i, j
-
-
 def mark_operations(pairs: DataFrame, marks: tuple[str, ...] = MARKS) -> DataFrame:
     """utt, mark, hyp_mark, op: an operation on a punctuation mark per row, from the alignment of words and masked marks. A mark
-    against a word counts as a deletion or an insertion. pairs: utt, ref, hyp."""
-    token = re.compile(r"[\w']+|[" + re.escape("".join(marks)) + "]")
+    against a word counts as a deletion or an insertion. pairs: utt, ref, hyp. Texts of any length: a pair's memory is linear in it."""
+    token = re.compile(TOKEN.format(re.escape("".join(marks))))
+
+    def operations(utt: int, ref: str, hyp: str) -> Iterator[tuple]:
+        r, h = token.findall(ref), token.findall(hyp)
+        for op, i, j in edit_path(*numbered(*(["\0" if t in marks else t for t in x] for x in (r, h)))):
+            x, y = r[i] if op != "I" else None, h[j] if op != "D" else None
+            if op == "C" and x in marks:
+                yield utt, x, y, "Correct" if x == y else "Substitutions"
+            elif op in "SD" and x in marks:
+                yield utt, x, None, "Deletions"
+            if op in "SI" and y in marks:
+                yield utt, y, None, "Insertions"
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask = lambda t: "\0" if t in marks else t
         for b in batches:
-            out = []
-            for utt, ref, hyp in zip(b["utt"], b["ref"], b["hyp"], strict=True):
-                r, h = token.findall(ref or ""), token.findall(hyp or "")
-                for op, i, j in edit_path([mask(x) for x in r], [mask(x) for x in h]):
-                    x, y = r[i] if op != "I" else None, h[j] if op != "D" else None
-                    if op == "C" and x in marks:
-                        out.append((utt, x, y, "Correct" if x == y else "Substitutions"))
-                    elif op in "SD" and x in marks:
-                        out.append((utt, x, None, "Deletions"))
-                    if op in "SI" and y in marks:
-                        out.append((utt, y, None, "Insertions"))
-            yield pd.DataFrame(out, columns=["utt", "mark", "hyp_mark", "op"])
+            found = chain.from_iterable(operations(u, r or "", h or "") for u, r, h in zip(b["utt"], b["ref"], b["hyp"], strict=True))
+            while part := list(islice(found, 50_000)):
+                yield pd.DataFrame(part, columns=["utt", "mark", "hyp_mark", "op"])
 
     return pairs.select("utt", "ref", "hyp").mapInPandas(align, "utt long, mark string, hyp_mark string, op string")
 

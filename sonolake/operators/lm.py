@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,20 +25,32 @@ def ngrams(words: DataFrame, n: int, column: str = "words") -> DataFrame:
     return words.select(F.explode(F.expr(f"transform({at}, i -> array_join(slice({column}, i, {n}), ' '))")).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
 
 
-def grams_upto(words: DataFrame, order: int, column: str = "words") -> DataFrame:
-    """n, gram, c for every n-gram from 2 to order words, from one pass over the texts."""
-    at = f"if(size({column}) >= n, sequence(1, size({column}) - n + 1), slice(array(0), 1, 0))"
-    every = F.expr(f"flatten(transform(sequence(2, {order}), n -> transform({at}, i -> struct(n as n, array_join(slice({column}, i, n), ' ') as gram))))")
-    return words.select(F.explode(every).alias("x")).groupBy("x.n", "x.gram").agg(F.count("*").alias("c"))
+def reversed_grams(words: DataFrame, order: int, column: str = "words") -> DataFrame:
+    """r1 to r<order>, c: each word of the texts with the words before it, nearest first (null before a text's start), and how often. Equal
+    ones of a batch are combined before the shuffle, the only one of single grams: r1 and r2 decide where they go."""
+    names = [f"r{k + 1}" for k in range(order)]
 
-
-def counts_of_counts(grams: DataFrame) -> DataFrame:
-    return grams.where("c <= 4").groupBy("c").agg(F.count("*").alias("n"))
-
-
-def discounts(grams: DataFrame, fallback: tuple[float, float, float] = (0.5, 1.0, 1.5)) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from four numbers; the fallback where those do not allow any."""
-    n = {r["c"]: r["n"] for r in counts_of_counts(grams).collect()}
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            coded = lists.flatten().dictionary_encode()
+            ids, lens = np.asarray(coded.indices, np.int64), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
+            back = [np.where(place >= k, np.concatenate((ids[:0], np.zeros(min(k, len(ids)), np.int64), ids[: max(0, len(ids) - k)])), -1) for k in range(order)]
+            number = back[0] + 1
+            for x in back[1:]:  # equal rows so far have equal numbers
+                number = np.unique(number * (len(coded.dictionary) + 1) + x + 1, return_inverse=True)[1]
+            _, first, count = np.unique(number, return_index=True, return_counts=True)
+            cells = [pa.array(x[first], pa.int32(), mask=x[first] < 0) for x in back]
+            yield pa.RecordBatch.from_arrays([*(coded.dictionary.take(x) for x in cells), pa.array(count, pa.int64())], [*names, "c"])
+
+    rows = words.select(F.col(column).cast("array<string>")).mapInArrow(combine, ", ".join(f"{n} string" for n in names) + ", c long")
+    return rows.repartition("r1", "r2").groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def discounts(n: dict[int, int], fallback: tuple[float, float, float] = (0.5, 1.0, 1.5)) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many grams have the counts 1 to 4; the fallback where those do
+    not allow any."""
     if not all(n.get(i) for i in (1, 2, 3, 4)):
         return fallback
     y = n[1] / (n[1] + 2 * n[2])
@@ -43,57 +58,72 @@ def discounts(grams: DataFrame, fallback: tuple[float, float, float] = (0.5, 1.0
     return found if all(0 <= d <= i for i, d in enumerate(found, 1)) else fallback
 
 
-def split_gram(gram: str = "gram") -> tuple[Column, Column]:
-    """The context and the last word of a gram; a single word has no context."""
-    return F.when(F.contains(gram, F.lit(" ")), F.regexp_replace(gram, r" [^ ]*$", "")), F.element_at(F.split(gram, " "), -1)
-
-
-def shorter(gram: str) -> Column:
-    """A gram without its first word."""
-    return F.regexp_replace(gram, r"^[^ ]* ", "")
-
-
 def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple[DataFrame, DataFrame]:
     """n, context, word, p and context, backoff of an interpolated Kneser-Ney model with three discounts per order, as tables.
 
-    The highest order has its counts; a lower order counts in how many different grams of the next order it comes last. Single words
-    (null context) are not discounted. A context's backoff is what its discounts saved."""
-    every_gram = written(grams_upto(words, order, column), "grams")
-    kinds = {n: every_gram.where(F.col("n") == n).select("gram", "c") for n in range(2, order + 1)}
-    counts = {order: kinds[order]} | {n - 1: written(kinds[n].groupBy(shorter("gram").alias("gram")).agg(F.count("*").alias("c")), f"grams-{n - 1}-before") for n in range(2, order + 1)}
-    every = counts[1].agg(F.sum("c").alias("all"))
-    lower = counts[1].join(F.broadcast(every)).select("gram", (F.col("c") / F.col("all")).alias("p"))
-    context, word = split_gram()
-    model, saved = lower.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), F.col("gram").alias("word"), "p"), []
+    The highest order has its counts; a lower order counts in how many different grams of the next order it comes last. With words read
+    backwards those grams are runs that share their first words, so each order's counts are one aggregate of the order above. Single words
+    (null context) are not discounted. A context's backoff is what its discounts saved; the totals of all orders' contexts are one aggregate."""
+    names = [f"r{k + 1}" for k in range(order)]
+    top = written(reversed_grams(words, order, column), "grams")
+    counts, runs = {order: top.where(F.col(names[-1]).isNotNull())}, top
+    for n in range(order - 1, 0, -1):
+        runs = runs.groupBy(*names[:n]).agg(F.count(names[n]).alias("c"))
+        runs = written(runs, f"grams-{n}") if n > 1 else runs
+        counts[n] = runs.where(" and ".join(["c > 0", *(f"{x} is not null" for x in names[:n])]))
+    few = [counts[n].where("c <= 4").groupBy(F.lit(n).alias("n"), "c").agg(F.count("*").alias("many")) for n in range(2, order + 1)]
+    seen: dict[int, dict[int, int]] = {}
+    for r in reduce(DataFrame.unionByName, few).collect() if few else []:  # four numbers per order
+        seen.setdefault(r["n"], {})[r["c"]] = r["many"]
+
+    def off(n: int) -> Column:
+        d1, d2, d3 = discounts(seen.get(n, {}))
+        return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+
+    before = [F.lit(None).cast("string").alias(x) for x in names]
+    parts = [counts[n].select(F.lit(n).alias("n"), *names[1:n], *before[n:], "c", off(n).alias("off")) for n in range(2, order + 1)]
+    one = counts[1].join(F.broadcast(counts[1].agg(F.sum("c").alias("all")))).select("r1", (F.col("c") / F.col("all")).alias("p"))
+    model = one.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), F.col("r1").alias("word"), "p")
+    if order == 1:
+        return model, model.select("context", F.lit(1.0).alias("backoff")).limit(0)
+    totals = written(reduce(DataFrame.unionByName, parts).groupBy("n", *names[1:]).agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("backoff")), "contexts")
+    text = lambda cols: F.concat_ws(" ", *reversed(cols))
+    lower = one
     for n in range(2, order + 1):
-        d1, d2, d3 = discounts(counts[n])
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        g = counts[n].select("gram", "c", context.alias("context"), word.alias("word"), shorter("gram").alias("tail"))
-        totals = written(g.groupBy("context").agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("backoff")), f"contexts-{n}")
-        low = lower.select(F.col("gram").alias("tail"), F.col("p").alias("q"))
-        own = written(g.join(totals, "context").join(low, "tail").select("gram", "context", "word", ((F.col("c") - off) / F.col("total") + F.col("backoff") * F.col("q")).alias("p")), f"model-{n}")
-        model = model.unionByName(own.select(F.lit(n).alias("n"), "context", "word", "p"))
-        saved.append(totals.select("context", "backoff"))
-        lower = own.select("gram", "p")
-    backoff = saved[0]
-    for more in saved[1:]:
-        backoff = backoff.unionByName(more)
-    return model, backoff
+        own = totals.where(F.col("n") == n).select(*names[1:n], "total", "backoff")
+        g = counts[n].join(own, names[1:n]).join(lower.withColumnRenamed("p", "q"), names[: n - 1])
+        lower = g.select(*names[:n], ((F.col("c") - off(n)) / F.col("total") + F.col("backoff") * F.col("q")).alias("p"))
+        lower = written(lower, f"model-{n}")
+        model = model.unionByName(lower.select(F.lit(n).alias("n"), text(names[1:n]).alias("context"), F.col("r1").alias("word"), "p"))
+    return model, totals.select(text(names[1:]).alias("context"), "backoff")
+
+
+def lookup(model: DataFrame, backoff: DataFrame) -> DataFrame:
+    """key, value: probabilities of grams (keys p and the words) and backoffs of contexts (keys b and the words) in one table."""
+    p = model.select(F.concat_ws(" ", F.lit("p"), "context", "word").alias("key"), F.col("p").alias("value"))
+    return p.unionByName(backoff.select(F.concat_ws(" ", F.lit("b"), "context").alias("key"), F.col("backoff").alias("value")))
 
 
 def scored(words: DataFrame, model: DataFrame, backoff: DataFrame, key: str, order: int = 4, column: str = "words", floor: float = 1e-7) -> DataFrame:
     """key, n, log_prob (natural): each word after the longest context that the model has with it; each context that it gives up on the way
-    costs its backoff (1 if it is unknown), a word that the model lacks the floor."""
-    context = lambda n: F.when(F.col("pos") >= n - 1, F.array_join(F.slice(F.col("_w"), F.col("pos") - (n - 2), n - 1), " ")).alias(f"c{n}")
-    d = words.select(key, F.posexplode(column).alias("pos", "word"), F.col(column).alias("_w")).select(key, "word", *[context(n) for n in range(2, order + 1)])
-    grams = d.groupBy(key, "word", *[f"c{n}" for n in range(2, order + 1)]).agg(F.count("*").alias("times"))
-    p = F.coalesce("p1", F.lit(floor))
-    j = grams.join(model.where("n = 1").select(F.col("word").alias("_w1"), F.col("p").alias("p1")), F.expr("word = _w1"), "left")
-    for n in range(2, order + 1):
-        j = j.join(model.where(F.col("n") == n).select(F.col("context").alias(f"_c{n}"), F.col("word").alias(f"_w{n}"), F.col("p").alias(f"p{n}")), F.expr(f"c{n} = _c{n} and word = _w{n}"), "left")
-        j = j.join(backoff.select(F.col("context").alias(f"_b{n}"), F.col("backoff").alias(f"b{n}")), F.expr(f"c{n} = _b{n}"), "left")
-        p = F.coalesce(f"p{n}", F.coalesce(f"b{n}", F.lit(1.0)) * p)
-    return j.groupBy(key).agg(F.sum("times").alias("n"), F.round(F.sum(F.log(p) * F.col("times")), 6).alias("log_prob"))
+    costs its backoff (1 if it is unknown), a word that the model lacks the floor.
+
+    Each distinct gram asks for itself, its endings and its contexts in one join with lookup(), and the answers come together again by
+    the gram: a word costs no join per order."""
+    context = lambda n: F.when(F.col("pos") >= n - 1, F.array_join(F.slice(F.col("_w"), F.col("pos") - (n - 2), n - 1), " "))
+    contexts = F.array_compact(F.array(*[context(n) for n in range(2, order + 1)]))  # shortest first
+    d = words.select(key, F.posexplode(column).alias("pos", "word"), F.col(column).alias("_w")).select(key, "word", contexts.alias("c"))
+    times = d.groupBy(key, "word", "c").agg(F.count("*").alias("times"))
+    grams = times.select("word", "c").distinct()
+    ask = F.concat(F.array(F.concat_ws(" ", F.lit("p"), "word")), F.transform("c", lambda c: F.concat_ws(" ", F.lit("p"), c, "word")), F.transform("c", lambda c: F.concat_ws(" ", F.lit("b"), c)))
+    found = grams.select("word", "c", F.posexplode(ask).alias("i", "key")).join(lookup(model, backoff), "key")
+    answers = found.groupBy("word", "c").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("a"))
+    value = lambda i: F.element_at("a", i)
+    p = F.aggregate(
+        F.sequence(F.lit(0), F.size("c")), F.lit(floor), lambda low, i: F.coalesce(value(i), F.when(i == 0, low).otherwise(low * F.coalesce(value(i + F.size("c")), F.lit(1.0))))
+    )
+    priced = grams.join(answers, ["word", "c"], "left").select("word", "c", F.coalesce(p, F.lit(floor)).alias("p"))
+    return times.join(priced, ["word", "c"]).groupBy(key).agg(F.sum("times").alias("n"), F.round(F.sum(F.log("p") * F.col("times")), 6).alias("log_prob"))
 
 
 def subwords(words: DataFrame, size: int, rounds: int = 3, longest: int = 8, column: str = "words", symbols: tuple[str, ...] = ()) -> DataFrame:

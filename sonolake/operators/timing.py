@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sonolake.functions.text import is_tag
+from sonolake.operators.alignment import matched, numbered
 from sonolake.tables import indexed, running, written
 
 
@@ -83,22 +84,15 @@ def spoken_words(ctm: DataFrame, norm: Callable[[Column], Column]) -> DataFrame:
 
 def aligned_words(ref: DataFrame, hyp: DataFrame, key: str = "file", substitutions: bool = True) -> DataFrame:
     """key, ref_seq, hyp_seq, word: longest matching blocks of a file's two word sequences; with substitutions, replaced stretches of equal
-    length pair up as well (word null). ref, hyp: key, seq, word. A file is one utterance: its words fit a task."""
-
-    def framed(rows: list[tuple]) -> pd.DataFrame:
-        cells = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pd.DataFrame({c: pd.Series(x, dtype=k) for c, x, k in zip((key, "ref_seq", "hyp_seq", "word"), cells, ("int64", "int64", "int64", "str"), strict=True)})
+    length pair up as well (word null). ref, hyp: key, seq, word. A file is one utterance: its words fit a
+    task, and memory is linear in them and in the runs of equal words (see alignment)."""
 
     def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return framed([])
         a, b = a.sort_values("seq"), b.sort_values("seq")
-        x, y, p, q = a["word"].tolist(), b["word"].tolist(), a["seq"].tolist(), b["seq"].tolist()
-        rows = []
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal" or (substitutions and op == "replace" and j - i == m - k):
-                rows += [(a[key].iloc[0], p[i + d], q[k + d], x[i + d] if op == "equal" else None) for d in range(j - i)]
-        return framed(rows)
+        x, y = numbered(a["word"].tolist(), b["word"].tolist())
+        i, j, equal = np.array(list(matched(x, y, substitutions)) if len(x) and len(y) else [], np.int64).reshape(-1, 3).T
+        r, h = a.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True)
+        return pd.DataFrame({key: r[key].astype("int64"), "ref_seq": r["seq"].astype("int64"), "hyp_seq": h["seq"].astype("int64"), "word": r["word"].astype(object).where(pd.Series(equal > 0), None)})
 
     return ref.select(key, "seq", "word").groupBy(key).cogroup(hyp.select(key, "seq", "word").groupBy(key)).applyInPandas(align, f"{key} long, ref_seq long, hyp_seq long, word string")
 

@@ -117,17 +117,32 @@ def _marked(spark: SparkSession, sf: str) -> DataFrame:
     return errorrate.mark_operations(views.turn_pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), norm("ref").alias("ref"), norm("hyp").alias("hyp")))
 
 
-@query()
+_MARK_TOKENS = "regexp_extract_all(translate(replace({c}, '\"', ''), ';:!-', ',.. '), '[\\p{{L}}\\p{{N}}_'']+|[,.?]')"
+_MASKED = "list_transform({c}, lambda x: case when x in (',', '.', '?') then '' else x end)"
+#: The table of distances, all its rows kept, and the path back from its end.
+_MARKED = f"""with recursive p as (select conv_id * 1000 + turn as utt, {_MARK_TOKENS.format(c='ref')} as rt, {_MARK_TOKENS.format(c='hyp')} as ht from ({TURNS})),
+    q as (select utt, rt, ht, {_MASKED.format(c='rt')} as r, {_MASKED.format(c='ht')} as h from p),
+    dp(utt, i, row_, r, h) as (select utt, 0::bigint, range(0, len(h) + 1), r, h from q
+      union all select utt, i + 1, list_reduce(range(1, len(h) + 1), lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, row_[j + 1] + 1, row_[j] + (case when r[i + 1] = h[j] then 0 else 1 end))), [i + 1]), r, h from dp where i < len(r)),
+    tr(utt, i, j, op) as (select utt, len(r)::bigint, len(h)::bigint, '' from q
+      union all select utt, i - (op <> 'I')::int, j - (op <> 'D')::int, op from (select tr.utt, tr.i, tr.j, case when tr.i > 0 and tr.j > 0 and c.r[tr.i] = c.h[tr.j] then 'C' when tr.i > 0 and tr.j > 0 and c.row_[tr.j + 1] = b.row_[tr.j] + 1 then 'S'
+        when tr.j > 0 and (tr.i = 0 or c.row_[tr.j + 1] = c.row_[tr.j] + 1) then 'I' else 'D' end as op from tr join dp c on c.utt = tr.utt and c.i = tr.i left join dp b on b.utt = tr.utt and b.i = tr.i - 1 where tr.i + tr.j > 0)),
+    t as (select tr.utt, tr.op, case when op <> 'I' then rt[i + 1] end as x, case when op <> 'D' then ht[j + 1] end as y from tr join q on q.utt = tr.utt where op <> ''),
+    ops as (select utt, x as mark, y as hyp_mark, case when x = y then 'Correct' else 'Substitutions' end as op from t where op = 'C' and x in (',', '.', '?')
+      union all select utt, x, null, 'Deletions' from t where op in ('S', 'D') and x in (',', '.', '?') union all select utt, y, null, 'Insertions' from t where op in ('S', 'I') and y in (',', '.', '?')) """
+
+
+@query(_MARKED + "select coalesce(sum(n), 0)::bigint as n, coalesce(sum(wrong), 0)::bigint as errors, coalesce(sum(wrong) / sum(n)::double, 0.0::double) as per from (select utt, count(*) as n, count(*) filter (op <> 'Correct') as wrong from ops group by utt)")
 def punct_error_rate(spark: SparkSession, sf: str) -> DataFrame:
     return errorrate.punctuation_error_rate(_marked(spark, sf))
 
 
-@query()
+@query(_MARKED + "select mark, count(*) as n, " + ", ".join(f"round(count(*) filter (op = '{o}') / count(*)::double, 8) as {o.lower()}" for o in ("Correct", "Deletions", "Insertions", "Substitutions")) + ", round(1 - count(*) filter (op = 'Correct') / count(*)::double, 8) as per from ops group by rollup (mark)")
 def punct_mark_rates(spark: SparkSession, sf: str) -> DataFrame:
     return errorrate.mark_rates(_marked(spark, sf))
 
 
-@query()
+@query(_MARKED + "select mark, hyp_mark, count(*) as n from ops where hyp_mark is not null group by mark, hyp_mark")
 def punct_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return _marked(spark, sf).where("hyp_mark is not null").groupBy("mark", "hyp_mark").agg(F.count("*").alias("n"))
 
@@ -398,7 +413,22 @@ def timestamp_shift(spark: SparkSession, sf: str) -> DataFrame:
     return timing.timestamp_shift(d, ["kind"], 0.1, 0.1)
 
 
-@query()
+def _blocks_sql(words: str) -> str:
+    """Longest matching blocks of words (file, a, b: lists): rect holds what is not aligned yet, each round its longest common runs."""
+    return f"""with recursive w as ({words}), m as (select file, u.i, v.j from w, unnest(range(1, len(a) + 1)) as u(i), unnest(range(1, len(b) + 1)) as v(j) where a[u.i] = b[v.j]),
+    d as (select *, i - row_number() over (partition by file, j - i order by i) as run from m), l as (select file, i, j, count(*) over (partition by file, j - i, run order by i desc) as n from d),
+    rect(file, al, ah, bl, bh, i, j, n) as (select file, 1::bigint, len(a)::bigint, 1::bigint, len(b)::bigint, null::bigint, null::bigint, null::bigint from w
+      union all select file, case when side = 2 then i + n else al end, case when side = 1 then i - 1 else ah end, case when side = 2 then j + n else bl end, case when side = 1 then j - 1 else bh end, case when side = 0 then i end, case when side = 0 then j end, case when side = 0 then n end
+        from (select r.file, al, ah, bl, bh, unnest([0, 1, 2]) as side, max((least(l.n, ah - l.i + 1, bh - l.j + 1), -l.i, -l.j)) as best, -best[2] as i, -best[3] as j, best[1] as n from rect r join l on l.file = r.file and l.i between al and ah and l.j between bl and bh where r.n is null group by r.file, al, ah, bl, bh)),
+    k as (select file, i, j, n from rect where n is not null union all select file, len(a) + 1, len(b) + 1, 0 from w),
+    g as (select *, coalesce(lag(i + n) over s, 1) as pi, coalesce(lag(j + n) over s, 1) as pj from k window s as (partition by file order by i, n desc)),
+    e as (select file, i + x as i, j + x as j, true as same from k, unnest(range(0, n)) as u(x) union all select file, pi + x, pj + x, false from g, unnest(range(0, case when i - pi = j - pj then i - pi else 0 end)) as u(x)) """
+
+
+_TURN_WORDS = f"select conv_id * 1000 + turn as file, {_SPLIT.format(c='ref')} as a, {_SPLIT.format(c='hyp')} as b from ({TURNS})"
+
+
+@query(_blocks_sql(_TURN_WORDS) + "select file, i - 1 as ref_seq, j - 1 as hyp_seq, case when same then a[i] end as word from e join w using (file)")
 def word_alignment(spark: SparkSession, sf: str) -> DataFrame:
     pairs = views.turn_pairs(spark, sf)
     side = lambda c: pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("file"), F.posexplode(errorrate.word_list(F.col(c))).alias("seq", "word"))
@@ -416,7 +446,11 @@ def _turn_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return side("ref", 0.0), side("hyp", 0.1)
 
 
-@query()
+_SPOKEN_WORDS = "list_transform(list_filter({c}, lambda x: not regexp_full_match(x, '<[a-zA-Z_]+>')), lambda x: regexp_replace(lower(x), '[^a-z'' ]', '', 'g'))"
+
+
+@query(_blocks_sql(f"select file, {_SPOKEN_WORDS.format(c='a')} as a, {_SPOKEN_WORDS.format(c='b')} as b from ({_TURN_WORDS}) where len(a) > 0 and len(b) > 0")
+    + "select round(case when words > 0 then pairs / words::double else 0.0::double end, 8) as token_usage, round(case when words > 0 then ends / files::double else 0.0::double end, 8) as terminal_usage from (select count(*) as pairs from e where same), (select sum(len(a)) as words, count(*) as files, count(*) filter (coalesce(a[len(a)], '') = coalesce(b[len(b)], '')) as ends from w)")
 def usage_rates(spark: SparkSession, sf: str) -> DataFrame:
     ref, hyp = _turn_words(spark, sf)
     spoken = [timing.spoken_words(x, _basic) for x in (ref, hyp)]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sonolake.functions import numbers
 from sonolake.functions import text as t
 from sonolake.functions import tokens
-from sonolake.operators import audio, curate, errorrate, lm, report, sampling, segments, signal, timing
+from sonolake.operators import alignment, audio, curate, errorrate, lm, report, sampling, segments, signal, timing
 from sonolake.sources import iterated, readers, writers
 from sonolake.tables import running
 
@@ -35,11 +35,11 @@ def plain_distance(a, b):
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.sampled_from([1, 3, 7, 64]))
 @settings(max_examples=400, deadline=None)
 def test_bit_parallel_distance_in_strips(a, b, strip):
-    old, errorrate.STRIP = errorrate.STRIP, strip
+    old, alignment.STRIP = alignment.STRIP, strip
     try:
-        assert errorrate.distance(a, b) == plain_distance(a, b)
+        assert alignment.distance(a, b) == plain_distance(a, b)
     finally:
-        errorrate.STRIP = old
+        alignment.STRIP = old
 
 
 def test_distance_of_long_texts_with_many_tokens(spark):

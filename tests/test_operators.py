@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sonolake.functions import numbers
 from sonolake.functions import text as t
-from sonolake.operators import curate, errorrate, lm, sampling, segments, signal, timing
+from sonolake.operators import alignment, curate, errorrate, lm, sampling, segments, signal, timing
 from sonolake.sources import readers, writers
 from sonolake.streaming import fusion, windows
 
@@ -58,7 +58,7 @@ def test_distance_against_plain_programming(spark):
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_edit_path_is_shortest(a, b):
-    path = list(errorrate.edit_path(a, b))
+    path = list(alignment.edit_path(*alignment.numbered(a, b)))
     assert sum(op != "C" for op, *_ in path) == distance(a, b)
     assert sum(op in "CSD" for op, *_ in path) == len(a) and sum(op in "CSI" for op, *_ in path) == len(b)
 
