@@ -58,44 +58,62 @@ def discounts(n: dict[int, int], fallback: tuple[float, float, float] = (0.5, 1.
     return found if all(0 <= d <= i for i, d in enumerate(found, 1)) else fallback
 
 
-def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple[DataFrame, DataFrame]:
-    """n, context, word, p and context, backoff of an interpolated Kneser-Ney model with three discounts per order, as tables.
+def counted_grams(words: DataFrame, order: int, column: str = "words") -> DataFrame:
+    """r1 to r<order>, c<n> and new<n> for n from 2: each distinct gram of the highest order or of a text's start, with the counts of its endings.
 
     The highest order has its counts; a lower order counts in how many different grams of the next order it comes last. With words read
-    backwards those grams are runs that share their first words, so each order's counts are one aggregate of the order above. Single words
-    (null context) are not discounted. A context's backoff is what its discounts saved; the totals of all orders' contexts are one aggregate."""
+    backwards those are runs of rows that share their first words, so all counts come from one order of rows. new<n> marks the first row
+    of an ending, null where the text has no word so far back."""
     names = [f"r{k + 1}" for k in range(order)]
-    top = written(reversed_grams(words, order, column), "grams")
-    counts, runs = {order: top.where(F.col(names[-1]).isNotNull())}, top
-    for n in range(order - 1, 0, -1):
-        runs = runs.groupBy(*names[:n]).agg(F.count(names[n]).alias("c"))
-        runs = written(runs, f"grams-{n}") if n > 1 else runs
-        counts[n] = runs.where(" and ".join(["c > 0", *(f"{x} is not null" for x in names[:n])]))
-    few = [counts[n].where("c <= 4").groupBy(F.lit(n).alias("n"), "c").agg(F.count("*").alias("many")) for n in range(2, order + 1)]
-    seen: dict[int, dict[int, int]] = {}
-    for r in reduce(DataFrame.unionByName, few).collect() if few else []:  # four numbers per order
-        seen.setdefault(r["n"], {})[r["c"]] = r["many"]
+    d = reversed_grams(words, order, column).where("r2 is not null").withColumnRenamed("c", f"c{order}").withColumn(f"new{order}", F.col(names[-1]).isNotNull())
+    for n in range(order - 1, 1, -1):
+        run = Window.partitionBy(*names[:n])
+        first = F.row_number().over(run.orderBy(*names[n:])) == 1
+        d = d.withColumns({f"c{n}": F.count_if(f"new{n + 1}").over(run), f"new{n}": first & F.col(names[n - 1]).isNotNull()})
+    return d
 
-    def off(n: int) -> Column:
-        d1, d2, d3 = discounts(seen.get(n, {}))
-        return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
 
-    before = [F.lit(None).cast("string").alias(x) for x in names]
-    parts = [counts[n].select(F.lit(n).alias("n"), *names[1:n], *before[n:], "c", off(n).alias("off")) for n in range(2, order + 1)]
-    one = counts[1].join(F.broadcast(counts[1].agg(F.sum("c").alias("all")))).select("r1", (F.col("c") / F.col("all")).alias("p"))
-    model = one.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), F.col("r1").alias("word"), "p")
+def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple[DataFrame, DataFrame]:
+    """n, context, word, p and context, backoff of an interpolated Kneser-Ney model with three discounts per order, as tables.
+
+    Single words (null context) are not discounted. A context's backoff is what its discounts saved. Rows of grams move twice: by their last two words
+    for the counts, and by the two words before the last for the contexts, where a row has all the endings that its probability comes from.
+    A group holds distinct grams only, so a passage repeated a million times weighs as one."""
     if order == 1:
-        return model, model.select("context", F.lit(1.0).alias("backoff")).limit(0)
-    totals = written(reduce(DataFrame.unionByName, parts).groupBy("n", *names[1:]).agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("backoff")), "contexts")
-    text = lambda cols: F.concat_ws(" ", *reversed(cols))
-    lower = one
-    for n in range(2, order + 1):
-        own = totals.where(F.col("n") == n).select(*names[1:n], "total", "backoff")
-        g = counts[n].join(own, names[1:n]).join(lower.withColumnRenamed("p", "q"), names[: n - 1])
-        lower = g.select(*names[:n], ((F.col("c") - off(n)) / F.col("total") + F.col("backoff") * F.col("q")).alias("p"))
-        lower = written(lower, f"model-{n}")
-        model = model.unionByName(lower.select(F.lit(n).alias("n"), text(names[1:n]).alias("context"), F.col("r1").alias("word"), "p"))
-    return model, totals.select(text(names[1:]).alias("context"), "backoff")
+        single = words.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+        one = single.join(F.broadcast(single.agg(F.sum("c").alias("all")))).select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), "word", (F.col("c") / F.col("all")).alias("p"))
+        return one, one.select("context", F.lit(1.0).alias("backoff")).limit(0)
+    names = [f"r{k + 1}" for k in range(order)]
+    grams = written(counted_grams(words, order, column), "grams")
+    seen: dict[int, dict[int, int]] = {n: {} for n in range(2, order + 1)}
+    many = [F.count_if(F.col(f"new{n}") & (F.col(f"c{n}") == c)).alias(f"m{n}{c}") for n in seen for c in (1, 2, 3, 4)]
+    found = grams.agg(*many).first()  # four numbers per order
+    for n in seen:
+        seen[n] = {c: found[f"m{n}{c}"] for c in (1, 2, 3, 4)}
+
+    def off(n: int) -> Column:
+        d1, d2, d3 = discounts(seen[n])
+        c = F.col(f"c{n}")
+        return F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+
+    pairs = grams.where("new2").select("r1", "r2", "c2")
+    last = pairs.groupBy("r1").agg(F.count("*").alias("c1"))
+    one = last.join(F.broadcast(last.agg(F.sum("c1").alias("all")))).select("r1", (F.col("c1") / F.col("all")).alias("p1"))
+    two = pairs.where("c2 > 0").groupBy("r2").agg(F.sum("c2").alias("t2"), (F.sum(off(2)) / F.sum("c2")).alias("b2"))
+    d = grams.join(one, "r1").join(two, "r2", "left").withColumn("p2", (F.col("c2") - off(2)) / F.col("t2") + F.col("b2") * F.col("p1"))
+    d = d.repartition("r2", "r3") if order > 2 else d
+    for n in range(3, order + 1):
+        context, use = Window.partitionBy(*names[1:n]), F.col(f"new{n}") & (F.col(f"c{n}") > 0)
+        d = d.withColumns({f"t{n}": F.sum(F.when(use, F.col(f"c{n}"))).over(context), f"s{n}": F.sum(F.when(use, off(n))).over(context)}).withColumn(f"b{n}", F.col(f"s{n}") / F.col(f"t{n}"))
+        d = d.withColumn(f"p{n}", (F.col(f"c{n}") - off(n)) / F.col(f"t{n}") + F.col(f"b{n}") * F.col(f"p{n - 1}"))
+    some = lambda n: (F.col(f"new{n}") & (F.col(f"c{n}") > 0)).alias(f"new{n}")
+    kept = written(d.select(*names, *[some(n) for n in seen], *[f"p{n}" for n in seen], *[f"b{n}" for n in seen]), "model")
+    text = lambda n: F.concat_ws(" ", *reversed(names[1:n])).alias("context")
+    model = one.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), F.col("r1").alias("word"), F.col("p1").alias("p"))
+    for n in seen:
+        model = model.unionByName(kept.where(f"new{n}").select(F.lit(n).alias("n"), text(n), F.col("r1").alias("word"), F.col(f"p{n}").alias("p")))
+    backoff = reduce(DataFrame.unionByName, [kept.where(f"new{n}").groupBy(*names[1:n]).agg(F.first(f"b{n}").alias("backoff")).select(text(n), "backoff") for n in seen])
+    return model, backoff
 
 
 def lookup(model: DataFrame, backoff: DataFrame) -> DataFrame:
