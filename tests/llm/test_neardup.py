@@ -3,6 +3,9 @@
 import random
 
 import numpy as np
+import pytest
+
+from sonolake.llm import neardup
 
 DOCS = "doc_id long, text string, source string"
 
@@ -97,3 +100,35 @@ def test_rows_stay_by_id_and_text(spark):
     rows = [(1, a, "s"), (2, " ".join(edited(rng, a.split(), 1)), "s"), (2, b, "s"), (2, b, "s"), (None, c, "s"), (None, c, "s"), (None, b, "s")]
     got = neardup.keep_first(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(((r.doc_id or 0), r.text) for r in got) == sorted([(1, a), (2, b), (0, c)])
+
+
+@pytest.mark.parametrize("size", [1_200, 2_000, 4_000, 10_000])
+def test_large_buckets_lose_no_partner(size):
+    """A bucket of unrelated fingerprints, each with one partner 8 bits away."""
+    rng = np.random.default_rng(size)
+    own = rng.integers(0, 2**63, (size // 2, 2), dtype=np.uint64)
+    flip = np.zeros((size // 2, 128), np.uint8)
+    for row in flip:
+        row[rng.choice(128, 8, replace=False)] = 1
+    fps = np.concatenate((own, own ^ np.packbits(flip, axis=1, bitorder="little").view("<u8")))
+    order = rng.permutation(size)
+    i, j, d, lead = neardup.bucket_edges(np.ascontiguousarray(fps[order]), np.zeros(size, np.int64))
+    met = {frozenset((int(order[a]), int(order[b]))) for a, b, x in zip(i, j, lead, strict=True) if not x}
+    assert sum(frozenset((k, k + size // 2)) in met for k in range(size // 2)) >= 0.99 * (size // 2)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_groups_and_pairs_give_the_same_classes(spark, monkeypatch, limit):
+    monkeypatch.setattr(neardup, "GROUP_BYTES", limit)
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for c in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for k in range(6):
+            text = list(base)
+            text[int(rng.integers(0, 120))] = f"own{c}x{k}"
+            rows.append((c * 100 + k, " ".join(text)))
+        rows += [(c * 100 + 50, rows[-1][1]), (None, rows[-2][1])]
+        want.append(c * 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in neardup.keep_first(docs).collect()) == want
