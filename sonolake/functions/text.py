@@ -66,10 +66,6 @@ def remove_tags(text: Column) -> Column:
     return F.regexp_replace(text, r"<[a-zA-Z_]+>", "")
 
 
-def is_tag(text: Column) -> Column:
-    return text.rlike(r"^\s*(<[a-zA-Z_]+>\s*)+$")
-
-
 def scrub(text: Column, charset: str) -> Column:
     allowed = "".join("\\" + c if c in "\\]^-[&" else c for c in charset)
     return F.regexp_replace(text, f"[^{allowed}]", "")

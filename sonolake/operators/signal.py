@@ -147,20 +147,31 @@ def tiled(overlap: int = 3200, growth: float = 0.6):
     the other along quarter cosines over overlap samples, or fewer where a round would then grow the signal by less than growth."""
     fall = np.cos(np.linspace(0, np.pi / 2, overlap))
 
-    def doubled(x: np.ndarray) -> np.ndarray:
-        step = max(len(x) - overlap, int(growth * len(x)), 1) if len(x) - overlap < growth * len(x) else len(x) - overlap
-        seam = len(x) - step
-        faded = x[step:] * fall[:seam] + x[:seam] * fall[::-1][:seam]
-        return np.concatenate([x[:step], faded, x[seam:]])
+    def lengths(size: int, least: int) -> list[int]:
+        """The signal's length before and after each round, the last one above least."""
+        out = [size]
+        while 0 < out[-1] <= least:
+            n = out[-1]
+            gained = n - overlap
+            if gained < growth * n:
+                gained = max(int(growth * n), 1)
+            out.append(n + gained)
+        return out
 
     @F.pandas_udf("array<double>")
     def run(signal: pd.Series, length: pd.Series) -> pd.Series:
         out = []
-        for x, n in zip(signal, length, strict=True):
-            x = np.asarray(x, float)
-            while 0 < len(x) <= n:
-                x = doubled(x)
-            out.append(x)
+        for x, least in zip(signal, length, strict=True):
+            sizes = lengths(len(x), least)
+            whole = np.empty(sizes[-1])
+            whole[: sizes[0]] = x
+            for n, longer in zip(sizes, sizes[1:], strict=False):
+                start = longer - n  # where the second copy begins
+                seam = n - start
+                lead, rest = whole[:seam].copy(), whole[seam:n].copy()
+                whole[start:n] = whole[start:n] * fall[:seam] + lead * fall[::-1][:seam]
+                whole[n:longer] = rest
+            out.append(whole)
         return pd.Series(out)
 
     return run
