@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sonolake.tables import shared_dir
 
+#: Bits a key, bits that name a key, bits of a block and bits at most (32 MB) of a Bloom filter.
+BLOOM_BITS, BLOOM_HASHES, BLOOM_BLOCK, BLOOM_MAX = 16, 4, 1 << 16, 1 << 28
 #: Java's and SQL's class of the white space that splits words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -53,6 +55,33 @@ def spread_salts(values: DataFrame, hot: DataFrame, key: str, salts: int = 64) -
     return values.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(each)).drop("hot")
 
 
+def bloom(keys: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """A Bloom filter of a bigint column: block, bits (array<long>), and the number of blocks. It has BLOOM_MAX bits at most, the bound of its
+    broadcast; beyond BLOOM_MAX / BLOOM_BITS keys it lets more rows through, so whoever asks it must judge those exactly."""
+    blocks = min(BLOOM_MAX, BLOOM_BITS * max(1, keys.count()) + BLOOM_BLOCK - 1) // BLOOM_BLOCK
+    touched = keys.select(bloom_block(key, blocks).alias("block"), F.explode(F.array(*[bloom_bit(key, k) for k in range(BLOOM_HASHES)])).alias("c"))
+    words = touched.groupBy("block", F.expr("cast(c div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
+    zeros = words.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(BLOOM_BLOCK // 64 - 1))).alias("w"), F.lit(0).cast("long").alias("bits"))
+    dense = words.unionByName(zeros).groupBy("block", "w").agg(F.bit_or("bits").alias("bits"))
+    return cut(dense.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("x")).select("block", F.col("x.bits").alias("bits")), name), blocks
+
+
+def bloom_block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(blocks)).cast("int")
+
+
+def bloom_bit(key: str, k: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(4)), 16 * k).bitwiseAND(BLOOM_BLOCK - 1)
+
+
+def maybe_in(rows: DataFrame, key: str, filter_: tuple[DataFrame, int], name: str) -> DataFrame:
+    """rows with a boolean column name: false where the Bloom filter proves that the key is not one of its own."""
+    bits, blocks = filter_
+    near = rows.withColumn("_block", bloom_block(key, blocks)).join(F.broadcast(bits.toDF("_block", "_bits")), "_block", "left")
+    seen = [F.getbit(F.get("_bits", (bloom_bit(key, k) / 64).cast("int")), (bloom_bit(key, k) % 64).cast("int")) == 1 for k in range(BLOOM_HASHES)]
+    return near.withColumn(name, F.coalesce(seen[0] & seen[1] & seen[2] & seen[3], F.lit(False))).drop("_block", "_bits")
+
+
 def words(text: Column) -> Column:
     """The maximal runs without ASCII white space, as an array; null text has none."""
     return F.coalesce(F.array_remove(F.split(text, SPACE), ""), F.array().cast("array<string>"))
