@@ -56,7 +56,7 @@ def spread_salts(values: DataFrame, hot: DataFrame, key: str, salts: int = 64) -
 
 
 def bloom(keys: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-    """A Bloom filter of a bigint column: block, bits (array<long>), and the number of blocks. It has BLOOM_MAX bits at most, the bound of its
+    """A Bloom filter of a column: block, bits (array<long>), and the number of blocks. It has BLOOM_MAX bits at most, the bound of its
     broadcast; beyond BLOOM_MAX / BLOOM_BITS keys it lets more rows through, so whoever asks it must judge those exactly."""
     blocks = min(BLOOM_MAX, BLOOM_BITS * max(1, keys.count()) + BLOOM_BLOCK - 1) // BLOOM_BLOCK
     touched = keys.select(bloom_block(key, blocks).alias("block"), F.explode(F.array(*[bloom_bit(key, k) for k in range(BLOOM_HASHES)])).alias("c"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sonolake.llm.common import cut, hot_keys, sha_hex, spread_salts, whole, with_text
+from sonolake.llm.common import bloom, cut, hot_keys, maybe_in, sha_hex, spread_salts, whole, with_text
 from sonolake.tables import shared_dir
 
 RULE_VERSION = 1
@@ -139,8 +139,10 @@ def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     # spans that overlap become one; then the texts between them and the marks are joined
     merged = """aggregate(spans, cast(array() as array<struct<start: int, end: int>>), (a, s) -> if(size(a) > 0 and s.start < element_at(a, -1).end,
         concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(named_struct('start', s.start, 'end', s.end)))))"""
-    text = f"array_join(transform(sequence(0, size(m)), i -> substring(text, coalesce(get(m, i - 1).end, 0) + 1, coalesce(get(m, i).start, char_length(text)) - coalesce(get(m, i - 1).end, 0))), '{MARK}')"
-    rows = whole(docs, "text").withColumn("blob", blob_id(F.col("text")))
-    d = joined_back(rows, scan_documents(docs, ledger)).withColumn("m", F.expr(merged))
+    text = f"array_join(transform(sequence(0, size(m)), i -> substring(row.text, coalesce(get(m, i - 1).end, 0) + 1, coalesce(get(m, i).start, char_length(row.text)) - coalesce(get(m, i - 1).end, 0))), '{MARK}')"
+    found = scan_documents(docs, ledger)
+    # only documents that may have findings move; a Bloom filter proves that the others have none
+    rows = maybe_in(whole(docs).withColumn("blob", blob_id(F.col("row.text"))), "blob", bloom(found.select("blob"), "blob", "found-blobs"), "doubt")
+    d = joined_back(rows.where("doubt").select("row", "blob"), found).withColumn("m", F.expr(merged))
     row = with_text(F.col("row"), F.expr(text), F.size("m") > 0, dict(docs.dtypes).get("n_chars"))
-    return d.select(row.alias("row")).select("row.*")
+    return rows.where("not doubt").select("row.*").union(d.select(row.alias("row")).select("row.*"))

@@ -132,3 +132,32 @@ def test_groups_and_pairs_give_the_same_classes(spark, monkeypatch, limit):
         want.append(c * 100)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in neardup.keep_first(docs).collect()) == want
+
+
+def test_bloom_filter_misses_no_key(spark):
+    from sonolake.llm.common import bloom, maybe_in
+
+    keys = spark.range(0, 60_000, 3).selectExpr("xxhash64(id) as k").union(spark.sql("select cast(null as bigint)"))
+    filter_ = bloom(keys, "k", "test")
+    assert filter_[1] == 5  # 16 bits for each of 20,001 keys
+    assert maybe_in(keys, "k", filter_, "x").where("not x").count() == 0
+    others = spark.range(1, 60_000, 3).selectExpr("xxhash64(id) as k")
+    assert maybe_in(others, "k", filter_, "x").where("x").count() < 200
+    assert maybe_in(others, "k", bloom(keys.limit(0), "k", "none"), "x").where("x").count() == 0
+
+
+def test_a_full_filter_changes_no_result(spark, monkeypatch):
+    """What holds beyond the bound of the filter: every row is in doubt and is judged by the table."""
+    from pyspark.sql import functions as F
+    from sonolake.llm import neardup, secrets
+
+    texts = planted()[:30] + ["", "", "token = abcdefgh12345678 and more"]
+    docs = spark.createDataFrame([(i % 40, t, "s") for i, t in enumerate(texts + texts[:9])] + [(None, texts[0], "s"), (None, None, "s"), (None, None, "s"), (90, None, "s")], DOCS).repartition(3)
+    rows = lambda d: sorted(map(str, d.collect()))
+    near, clean = rows(neardup.keep_first(docs)), rows(secrets.redact(docs))
+    assert len(clean) == docs.count() and any("[SECRET]" in r for r in clean)
+    full = lambda d, key, filter_, name: d.withColumn(name, F.lit(True))
+    monkeypatch.setattr(neardup, "maybe_in", full)
+    monkeypatch.setattr(secrets, "maybe_in", full)
+    assert rows(neardup.keep_first(docs)) == near
+    assert rows(secrets.redact(docs)) == clean
