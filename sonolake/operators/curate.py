@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -12,7 +12,14 @@ from pyspark.sql.window import Window
 from sonolake.tables import indexed, ranked, seeded
 
 
-def by_length(df: DataFrame, mode: str, max_duration: float, max_chars: int, min_duration: float = 0.05) -> DataFrame:
+def where_counted(df: DataFrame, keep: Column, counts: Observation | None) -> DataFrame:
+    """df where keep is true; counts, if given, has the rows read and dropped once an action on the result has run, in the same pass."""
+    if counts is not None:
+        df = df.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(keep, F.lit(False))).alias("dropped"))
+    return df.where(keep)
+
+
+def by_length(df: DataFrame, mode: str, max_duration: float, max_chars: int, min_duration: float = 0.05, counts: Observation | None = None) -> DataFrame:
     """Utterances within limits; the three kinds of source differ in which bounds are included."""
     dur, n = F.col("duration"), F.char_length("transcript")
     rules = {
@@ -20,7 +27,7 @@ def by_length(df: DataFrame, mode: str, max_duration: float, max_chars: int, min
         "shard": (dur <= max_duration) & (dur >= min_duration) & (n <= max_chars),
         "hub": (dur < max_duration) & (dur > min_duration) & (n < max_chars),
     }
-    return df.where(rules[mode])
+    return where_counted(df, rules[mode], counts)
 
 
 def _lacking(df: DataFrame) -> str:
@@ -33,9 +40,9 @@ def _lacking(df: DataFrame) -> str:
     return " or ".join(parts)
 
 
-def complete(df: DataFrame) -> DataFrame:
+def complete(df: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Rows without nulls, those inside the first of their files included."""
-    return df.where(f"not ({_lacking(df)})")
+    return where_counted(df, F.expr(f"not ({_lacking(df)})"), counts)
 
 
 def incomplete(df: DataFrame) -> DataFrame:

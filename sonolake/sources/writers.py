@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of the benchmark table and their names in the file.
@@ -16,12 +16,15 @@ BENCHMARK = {
 }
 
 
-def write_manifest(df: DataFrame, path: str, arrays: bool = False) -> None:
-    """JSON lines; or, for readers of whole files, each part file as one JSON array."""
+def write_manifest(df: DataFrame, path: str, arrays: bool = False) -> int:
+    """JSON lines; or, for readers of whole files, each part file as one JSON array. Returns the rows written, counted as they pass."""
+    written = Observation()
+    df = df.observe(written, F.count(F.lit(1)).alias("rows"))
     if arrays:
         json_arrays(df).write.mode("overwrite").text(path)
     else:
         df.write.mode("overwrite").json(path)
+    return written.get["rows"]
 
 
 def json_arrays(df: DataFrame) -> DataFrame:

@@ -519,3 +519,20 @@ def test_flac_headers(spark, tmp_path):
     (tmp_path / "b.flac").write_bytes(b"nothing")
     got = {r.fname[-6:]: (r.channels, r.sample_rate, r.bitdepth, r.num_samples, r.duration) for r in readers.audio_metadata(spark, str(tmp_path)).collect()}
     assert got == {"a.flac": (2, 44100, 16, 88200, 2.0), "b.flac": (None,) * 5}
+
+
+def test_dropped_and_written_rows_are_counted_in_the_same_pass(spark, tmp_path):
+    from pyspark.sql import Observation
+    from sonolake.operators import curate
+    from sonolake.sources import writers
+
+    d = spark.createDataFrame([("a", 1.0, "x"), ("b", None, "y"), ("c", 30.0, "z"), ("d", 2.0, None), ("e", 3.0, "w")], "fname string, duration double, transcript string").repartition(3)
+    nulls, lengths = Observation(), Observation()
+    kept = curate.by_length(curate.complete(d, nulls), "manifest", 16.7, 100, counts=lengths)
+    assert writers.write_manifest(kept, str(tmp_path / "lines")) == 2
+    assert nulls.get == {"rows": 5, "dropped": 2} and lengths.get == {"rows": 3, "dropped": 1}
+    assert writers.write_manifest(kept.limit(0), str(tmp_path / "none"), arrays=True) == 0
+    # a null bound drops a row, which counts
+    only = Observation()
+    assert curate.by_length(d, "hub", 16.7, 100, counts=only).count() == 2
+    assert only.get == {"rows": 5, "dropped": 3}
