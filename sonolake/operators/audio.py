@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from sonolake.sources.readers import wav_header
 
 def samples_of(raw: bytes) -> tuple[np.ndarray, int]:
     """The first channel of 16-bit PCM as numbers within 1, and the rate."""
-    channels, rate, bits, n = wav_header(raw) or (1, 0, 16, 0)
+    channels, rate, bits, n = wav_header(io.BytesIO(raw)) or (1, 0, 16, 0)
     if bits != 16 or not n:
         return np.zeros(0), rate
     at = raw.index(b"data") + 8

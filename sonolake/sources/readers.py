@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
 import struct
-import tarfile
-import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolake.sources import archives
+
 MANIFEST = """transcript string,
     files array<struct<fname: string, channels: int, sample_rate: double, bitdepth: int, bitrate: double, duration: double,
         num_samples: bigint, encoding: string, silent: boolean, speed: double>>,
@@ -48,52 +48,17 @@ def directory_pairs(spark: SparkSession, audio: str, text: str, audio_glob: str
     return a.join(t, "stem", "full_outer").withColumn("side", side)
 
 
-#: A binary value of a row holds no more; larger shards must be cut, as one task takes a shard.
-SHARD_BYTES = 2_000_000_000
-
-
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.when(F.col("length") <= SHARD_BYTES, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("a shard over 2 GB: "), F.col("path")))).alias("content"))
-
-
-def archive_members(spark: SparkSession, path: str, only: tuple[str, ...] = ()) -> DataFrame:
-    """shard, pos, key, ext, content of the members of tar and zip shards; a stem's periods become underscores; content of members
-    outside only (extensions, if any are given) is left out. A task holds one shard (over 2 GB is an error) and one member's content."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard, raw in zip(b["path"], b["content"], strict=True):
-                for pos, (name, read) in enumerate(_open(raw)):
-                    head, _, ext = name.rpartition("/")[2].rpartition(".")
-                    yield pd.DataFrame([(shard, pos, head.replace(".", "_"), ext, read() if not only or ext in only else None)], columns=["shard", "pos", "key", "ext", "content"])
-
-    return _shards(spark, path).mapInPandas(members, "shard string, pos int, key string, ext string, content binary")
-
-
-def archive_names(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
-    """shard, pos, name of the members with these extensions, in the order of each shard (pos counts them alone)."""
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard, raw in zip(b["path"], b["content"], strict=True):
-                found = [n for n, _ in _open(raw) if n.rpartition(".")[2] in extensions]
-                yield pd.DataFrame({"shard": pd.Series([shard] * len(found), dtype="str"), "pos": pd.Series(range(len(found)), dtype="int32"), "name": pd.Series(found, dtype="str")})
-
-    return _shards(spark, path).mapInPandas(names, "shard string, pos int, name string")
+def archive_members(spark: SparkSession, path: str, only: tuple[str, ...] = (), opener: archives.Opener = archives.open_path) -> DataFrame:
+    """shard, pos, key, ext, content of the members of tar and zip shards of any size; a stem's periods become underscores; content of
+    members outside only (extensions, if any are given) is left out, and its bytes are not read. archives.listing() and contents() have
+    the parts of this, with filters between them."""
+    wanted = F.col("ext").isin(*only) if only else None
+    return archives.contents(archives.listing(spark, path, opener=opener), wanted, opener=opener).select("shard", "pos", "key", "ext", "content")
 
 
-def _open(raw: bytes) -> Iterator[tuple]:
-    if zipfile.is_zipfile(io.BytesIO(raw)):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            for n in z.namelist():
-                if not n.endswith("/"):
-                    yield n, lambda n=n: z.read(n)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-            for m in t:
-                if m.isfile():
-                    yield m.name, lambda m=m: t.extractfile(m).read()
+def archive_names(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("wav", "flac"), opener: archives.Opener = archives.open_path) -> DataFrame:
+    """shard, pos, name of the members with these extensions, in the order of each shard (pos counts them alone); only headers are read."""
+    return archives.listing(spark, path, extensions, opener).select("shard", "pos", "name")
 
 
 def samples(members: DataFrame, audio: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
@@ -125,42 +90,52 @@ def model_file(spark: SparkSession, folder: str) -> str:
     return found.path
 
 
-def wav_header(raw: bytes) -> tuple[int, int, int, int] | None:
-    """channels, rate, bits, samples of a RIFF file, or None."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+def wav_header(f: BinaryIO) -> tuple[int, int, int, int] | None:
+    """channels, rate, bits, samples of a RIFF file, or None; chunks before the samples are stepped over."""
+    head = f.read(12)
+    if head[:4] != b"RIFF" or head[8:] != b"WAVE":
         return None
-    at, form = 12, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack("<I", raw[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            form = struct.unpack("<HHIIHH", raw[at + 8 : at + 24])
+    form = None
+    while len(head := f.read(8)) == 8:
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
         if name == b"data" and form:
             _, channels, rate, _, align, bits = form
             return channels, rate, bits, size // align
-        at += 8 + size + size % 2
+        after = f.tell() + size + size % 2
+        if name == b"fmt " and len(block := f.read(16)) == 16:
+            form = struct.unpack("<HHIIHH", block)
+        f.seek(after)
     return None
 
 
-def flac_header(raw: bytes) -> tuple[int, int, int, int] | None:
+def flac_header(f: BinaryIO) -> tuple[int, int, int, int] | None:
     """channels, rate, bits, samples of a FLAC file, from the stream information that its first block holds, or None."""
+    raw = f.read(26)
     if raw[:4] != b"fLaC" or len(raw) < 26 or raw[4] & 127:
         return None
     packed = int.from_bytes(raw[18:26], "big")  # 20 bits rate, 3 channels - 1, 5 bits - 1, 36 samples
     return (packed >> 41 & 7) + 1, packed >> 44, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
 
 
-def audio_metadata(spark: SparkSession, path: str, glob: str = "*.{wav,flac}") -> DataFrame:
-    """fname, channels, sample_rate, bitdepth, num_samples, duration of WAV and FLAC files, from their headers; null where there is none."""
+def audio_metadata(spark: SparkSession, path: str, glob: str = "*.{wav,flac}", opener: archives.Opener = archives.open_path) -> DataFrame:
+    """fname, channels, sample_rate, bitdepth, num_samples, duration of WAV and FLAC files; null where there is no header. Only headers
+    are read, whatever the size of a file."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [wav_header(x) or flac_header(x) or (None,) * 4 for x in b["content"]]
+            found = []
+            for name in b["path"]:
+                with opener(name) as f:
+                    got = wav_header(f)
+                    if got is None:
+                        f.seek(0)
+                        got = flac_header(f)
+                    found.append(got or (None,) * 4)
             d = pd.DataFrame(found, columns=["channels", "sample_rate", "bitdepth", "num_samples"]).astype("Int64")
             d.insert(0, "fname", b["path"].to_numpy())
             yield d
 
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
-    d = d.mapInPandas(read, "fname string, channels long, sample_rate long, bitdepth long, num_samples long")
+    d = archives.files(spark, path, glob).mapInPandas(read, "fname string, channels long, sample_rate long, bitdepth long, num_samples long")
     return d.withColumn("duration", F.col("num_samples") / F.col("sample_rate"))
 
 
