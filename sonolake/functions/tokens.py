@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +16,18 @@ from sonolake.operators.lm import best_split
 from sonolake.tables import written
 
 
-def word_ids(words: DataFrame, vocabulary: DataFrame, max_pieces: int = 200_000, longest: int = 32) -> DataFrame:
-    """word, ids (from 1 in order of score; 0 is a character without a piece) for distinct words (word). The vocabulary is broadcast; more
-    than max_pieces are an error."""
+def _numbered(vocabulary: DataFrame, max_pieces: int) -> Broadcast:
+    """Scores and ids of pieces (from 1 in order of score), for tasks; more than max_pieces are an error."""
     rows = vocabulary.orderBy(F.desc("score"), "piece").limit(max_pieces + 1).collect()
     if len(rows) > max_pieces:
         raise ValueError(f"over {max_pieces} pieces")
-    table = words.sparkSession.sparkContext.broadcast(({r.piece: r.score for r in rows}, {r.piece: i for i, r in enumerate(rows, 1)}))
+    return vocabulary.sparkSession.sparkContext.broadcast(({r.piece: r.score for r in rows}, {r.piece: i for i, r in enumerate(rows, 1)}))
+
+
+def word_ids(words: DataFrame, vocabulary: DataFrame, max_pieces: int = 200_000, longest: int = 32) -> DataFrame:
+    """word, ids (from 1 in order of score; 0 is a character without a piece) for distinct words (word). The vocabulary is broadcast; more
+    than max_pieces are an error."""
+    table = _numbered(vocabulary, max_pieces)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score, number = table.value
@@ -36,6 +45,77 @@ def tokenised(texts: DataFrame, vocabulary: DataFrame, key: str, column: str = "
     return rows.select(key, F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"))
 
 
+#: Draws of a word before ids with an unknown token stay as they are (a fixed value).
+DRAWS = 5
+#: Words whose weights a task remembers.
+REMEMBERED = 100_000
+
+
+def piece_weight(piece: str, score: dict[str, float], theta: float) -> float:
+    """The logarithm of a piece's weight; a character without a piece is taken only where nothing else fits."""
+    return theta * score[piece] if piece in score else -1e6 if len(piece) == 1 else -math.inf
+
+
+def forward(word: str, score: dict[str, float], longest: int, theta: float) -> list[float]:
+    """For each length of a prefix, the logarithm of the summed weights of its splits into pieces."""
+    total = [0.0]
+    for i in range(1, len(word) + 1):
+        parts = [total[j] + piece_weight(word[j:i], score, theta) for j in range(max(0, i - longest), i)]
+        top = max(parts)
+        total.append(top + math.log(math.fsum(math.exp(x - top) for x in parts)))
+    return total
+
+
+def drawn_split(word: str, total: list[float], score: dict[str, float], longest: int, theta: float, chance: random.Random) -> list[str]:
+    """A split drawn by its share of all splits' weights, from the last piece back to the first."""
+    out, i = [], len(word)
+    while i:
+        left = chance.random()
+        for j in range(i - 1, max(0, i - longest) - 1, -1):
+            share = math.exp(total[j] + piece_weight(word[j:i], score, theta) - total[i])
+            if share > 0:
+                last, left = j, left - share  # rounding may leave a rest: the last split with a share takes it
+                if left < 0:
+                    break
+        out.append(word[last:i])
+        i = last
+    return out[::-1]
+
+
+def sampled(texts: DataFrame, vocabulary: DataFrame, key: str, column: str = "words", share: float = 1.0, theta: float = 0.1, seed: int = 1, max_pieces: int = 200_000, longest: int = 32) -> DataFrame:
+    """key, ids of an array of words. A word is drawn with probability share from all its splits (a split's weight is e to the theta times
+    its score), up to five times while the ids hold an unknown token (0); other words have their best split, once for each distinct
+    word. Draws come from a hash of seed, key, position and word: a lost task draws the same again. Texts without words have no row, null words give nothing;
+    rows of one key and equal words draw alike."""
+    if not 0 <= share <= 1 or theta < 0:
+        raise ValueError("share lies from 0 to 1, theta is not negative")
+    at = texts.select(key, F.posexplode(column).alias("pos", "word")).where("word is not null").withColumn("_draw", F.xxhash64(F.lit(seed), key, "pos", "word"))
+    chosen = F.shiftrightunsigned("_draw", 11) / F.lit(float(1 << 53)) < share
+    table = _numbered(vocabulary, max_pieces)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, number = table.value
+        weights = lru_cache(REMEMBERED)(lambda word: forward(word, score, longest, theta))
+
+        def ids(word: str, start: int) -> list[int]:
+            chance = random.Random(start)
+            for _ in range(DRAWS):
+                found = [number.get(p, 0) for p in drawn_split(word, weights(word), score, longest, theta, chance)]
+                if 0 not in found:
+                    break
+            return found
+
+        for b in batches:
+            b["ids"] = [ids(w, int(s)) for w, s in zip(b["word"], b["_draw"], strict=True)]
+            yield b[[key, "pos", "ids"]]
+
+    best = at.where(~chosen)
+    plain = best.join(written(word_ids(best.select("word").distinct(), vocabulary, max_pieces, longest), "word-ids"), "word").select(key, "pos", "ids")
+    rows = plain.union(at.where(chosen).mapInPandas(draw, plain.schema)) if share else plain
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("r"))
+    return rows.select(key, F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"))
+
+
 def known(tokens: DataFrame, handling: str = "warn") -> DataFrame:
     """tokens without rows that hold an unknown token (0); with handling "fail" such a row is an error."""
     if handling == "fail":
@@ -43,6 +123,14 @@ def known(tokens: DataFrame, handling: str = "warn") -> DataFrame:
     return tokens.where(~F.array_contains("ids", 0))
 
 
+def decoded(tokens: DataFrame, vocabulary: DataFrame, key: str, between: str = "") -> DataFrame:
+    """key, text: the pieces of ids (from 1 in order of score) in their order; unknown tokens (0) give nothing. The vocabulary's pieces are
+    one row that every row looks into."""
+    rows = vocabulary.agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "piece")).alias("r"))
+    pieces = rows.select(F.transform(F.array_sort("r"), lambda x: x["piece"]).alias("pieces"))
+    return tokens.withColumn("_p", pieces.scalar()).select(key, F.array_join(F.transform("ids", lambda i: F.when(i > 0, F.get("_p", i - 1))), between).alias("text"))
+
+
 def piece_text(pieces: Column) -> Column:
     """The text of pieces with word marks; the unknown piece shows as two question marks."""
     return F.trim(F.replace(F.array_join(F.transform(pieces, lambda p: F.when(p == "<unk>", " ⁇ ").otherwise(p)), ""), F.lit("▁"), F.lit(" ")))
@@ -70,6 +158,4 @@ def lm_lines(texts: DataFrame, vocabulary: DataFrame, key: str, rule: Callable[[
         text = F.replace(text, F.lit(token), F.lit(""))
     words = F.array_remove(F.split(rule(text), r"\s+"), "")
     ids = known(tokenised(texts.select(key, words.alias("words")), vocabulary, key))
-    rows = vocabulary.orderBy(F.desc("score"), "piece").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "piece")).alias("r"))
-    pieces = rows.select(F.transform(F.array_sort("r"), lambda x: x["piece"]).alias("pieces"))
-    return ids.withColumn("_p", pieces.scalar()).select(key, F.array_join(F.transform("ids", lambda i: F.get("_p", i - 1)), " ").alias("line"))
+    return decoded(ids, vocabulary, key, " ").withColumnRenamed("text", "line")

@@ -876,6 +876,15 @@ def subword_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.tokenised(d, subword_vocabulary(spark, sf), "doc_id").select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("fingerprint"))
 
 
+@query(f"""with w as (select doc_id, lower(text) as t from documents) select doc_id, md5(array_to_string({WORDS.format(c='t')}, '')) as decoded from w where len({WORDS.format(c='t')}) > 0""")
+def subword_samples(spark: SparkSession, sf: str) -> DataFrame:
+    # whatever splits are drawn, their pieces give the words again
+    d = spread(table(spark, sf, "documents")).select("doc_id", views.split_words(F.lower("text")).alias("words"))
+    v = subword_vocabulary(spark, sf)
+    ids = tokens.sampled(d, v, "doc_id", share=0.25)
+    return tokens.decoded(ids, v, "doc_id").select("doc_id", F.md5("text").alias("decoded"))
+
+
 @query()
 def oov_audit(spark: SparkSession, sf: str) -> DataFrame:
     # the vocabulary covers documents; conversations may hold characters that it does not
