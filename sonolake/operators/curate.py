@@ -56,6 +56,20 @@ def with_text(df: DataFrame, work: Callable[[DataFrame], DataFrame], column: str
     return done.unionByName(df.where(blank), allowMissingColumns=True)
 
 
+def paired(left: DataFrame, right: DataFrame, key: str, counts: Observation | None = None) -> DataFrame:
+    """Rows of left and right with equal keys. counts, if given, has the rows matched and those of either side without a partner (null keys
+    among them) once an action on the result has run: all come from the pass that does the join. Without counts it is an inner join, which
+    Spark may broadcast; sides may share no column but the key."""
+    if clash := (set(left.columns) & set(right.columns)) - {key}:
+        raise ValueError(f"both sides have {sorted(clash)}")
+    if counts is None:
+        return left.join(right, key)
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), key, "full_outer")
+    matched, alone = F.col("_l") & F.col("_r"), lambda a, b: F.count_if(F.col(a) & F.col(b).isNull())
+    both = both.observe(counts, F.count_if(matched).alias("matched"), alone("_l", "_r").alias("left_only"), alone("_r", "_l").alias("right_only"))
+    return both.where(F.coalesce(matched, F.lit(False))).drop("_l", "_r")
+
+
 def merged(manifests: list[DataFrame], key: str = "fname") -> DataFrame:
     """The union of manifests, in which a file may stand once: rows of repeated files are an error."""
     every = manifests[0]

@@ -79,6 +79,13 @@ def text_error_rate(pairs: DataFrame, by: list[str], kind: str = "wer", standard
     return error_rate(pairs.select(*by, side("ref").alias("ref_words"), side("hyp").alias("hyp_words")), by)
 
 
+def by_checkpoint(pairs: DataFrame, checkpoint: str = "checkpoint", kind: str = "wer", standard: Callable[[Column], Column] | None = None) -> DataFrame:
+    """checkpoint, percent: the error rate of each checkpoint's texts (ref, hyp) as a percentage with three decimals; infinite where there
+    are no reference words but errors."""
+    rates = text_error_rate(pairs, [checkpoint], kind, standard)
+    return rates.select(checkpoint, F.round(100 * F.col("errors") / F.nullif("words", F.lit(0)), 3).alias("_p"), "rate").select(checkpoint, F.coalesce("_p", F.col("rate")).alias("percent"))
+
+
 def worker_mean(losses: DataFrame, worker: str = "worker", loss: str = "loss") -> DataFrame:
     """mean: the mean of the workers' mean losses, each worker counting once however many losses it has."""
     return losses.groupBy(worker).agg(F.avg(loss).alias("m")).agg(F.round(F.avg("m"), 8).alias("mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.functions import text as t
@@ -69,6 +69,12 @@ def wer_by_conversation(spark: SparkSession, sf: str) -> DataFrame:
     return errorrate.error_rate(_turn_tokens(spark, sf, "wer"), ["conv_id"])
 
 
+@query(_distance_sql(_SPLIT).format(cols="turn % 3 as checkpoint, round(100 * sum(e)::double / sum(n), 3) as percent", rest="group by turn % 3"))
+def wer_by_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    # turns stand in for what a checkpoint has transcribed, dealt to three of them
+    return errorrate.by_checkpoint(views.turn_pairs(spark, sf).withColumn("checkpoint", F.expr("turn % 3")))
+
+
 @query()
 def cer_by_conversation(spark: SparkSession, sf: str) -> DataFrame:
     return errorrate.error_rate(_turn_tokens(spark, sf, "cer"), ["conv_id"])
@@ -205,7 +211,8 @@ def label_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select d.doc_id, d.lang, l.quality from documents d join labels l using (doc_id)")
 def pair_inner(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    # counted: unmatched rows of both sides come with the same pass
+    return curate.paired(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", Observation())
 
 
 @query("select doc_id, 'left' as side from (select doc_id from documents except select doc_id from labels) union all select doc_id, 'right' as side from (select doc_id from labels except select doc_id from documents)")

@@ -536,3 +536,25 @@ def test_dropped_and_written_rows_are_counted_in_the_same_pass(spark, tmp_path):
     only = Observation()
     assert curate.by_length(d, "hub", 16.7, 100, counts=only).count() == 2
     assert only.get == {"rows": 5, "dropped": 3}
+
+
+def test_matched_and_unmatched_rows_are_counted_with_the_join(spark):
+    from pyspark.sql import Observation
+    from sonolake.operators import curate
+
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4), ("c", 5)], "utt string, audio int").repartition(3)
+    right = spark.createDataFrame([("b", "x"), ("d", "y"), (None, "z"), ("a", "w"), ("a", "v")], "utt string, text string")
+    counts = Observation()
+    want = [("a", 1, "v"), ("a", 1, "w"), ("b", 2, "x"), ("b", 3, "x")]
+    assert sorted(map(tuple, curate.paired(left, right, "utt", counts).collect())) == want
+    assert counts.get == {"matched": 4, "left_only": 2, "right_only": 2}
+    assert sorted(map(tuple, curate.paired(left, right, "utt").collect())) == want
+    none = Observation()
+    assert curate.paired(left.limit(0), right, "utt", none).count() == 0 and none.get == {"matched": 0, "left_only": 0, "right_only": 5}
+    with pytest.raises(ValueError, match="both sides have"):
+        curate.paired(left, left, "utt")
+
+
+def test_rates_by_checkpoint(spark):
+    d = spark.createDataFrame([("k1", "a b c", "a x c"), ("k1", "d", "d"), ("k2", "a b c", "a b"), ("k3", "", "a"), ("k3", "", "")], "checkpoint string, ref string, hyp string")
+    assert {r.checkpoint: r.percent for r in errorrate.by_checkpoint(d).collect()} == {"k1": 25.0, "k2": 33.333, "k3": float("inf")}
