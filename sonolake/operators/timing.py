@@ -50,7 +50,7 @@ def latency_summary(latencies: DataFrame, by: list[str], frame_width: float = 0.
     """by, n, mean, stdev (population), median, p90, p99 of latency less half a frame. All come from a histogram of distinct values;
     percentiles are single values, picked by place from totals over ranges of values, so that no task holds a group, nor its distinct values."""
     d = latencies.select(*by, F.round(F.col("latency") - 0.5 * frame_width, 6).alias("x"))
-    seen = d.groupBy(*by, "x").agg(F.count("*").alias("c"))
+    seen = written(d.groupBy(*by, "x").agg(F.count("*").alias("c")), "histogram")
     total = seen.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_mean"))
     upto = running(seen, by, ["x"], {"upto": "c"}).withColumn("upto", F.col("upto") + F.col("c")).join(total, by)
     at = lambda place: F.min(F.when(F.expr(f"upto > {place}"), F.col("x")))
@@ -62,7 +62,7 @@ def latency_summary(latencies: DataFrame, by: list[str], frame_width: float = 0.
 def medians(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """by and the median of each column, from histograms of distinct values (rounded to 6 digits), summed in ranges, so that no task holds a group."""
     each = values.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.col(c), 6).alias("x")) for c in columns])).alias("v")).select(*by, "v.*")
-    seen = each.groupBy(*by, "name", "x").agg(F.count("*").alias("c"))
+    seen = written(each.groupBy(*by, "name", "x").agg(F.count("*").alias("c")), "histogram")
     n = seen.groupBy(*by, "name").agg(F.sum("c").alias("n"))
     upto = running(seen, [*by, "name"], ["x"], {"upto": "c"}).withColumn("upto", F.col("upto") + F.col("c")).join(n, [*by, "name"])
     at = lambda place: F.min(F.when(F.expr(f"upto > {place}"), F.col("x")))
