@@ -191,7 +191,7 @@ def _mask(i: int) -> str:
 
 def by_line(text: Column, rule: Callable[[Column], Column] = F.trim) -> Column:
     """The lines, each by a rule of its own, joined by spaces."""
-    return F.array_join(F.transform(F.split(text, "\n"), rule), " ")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: rule(line)), " ")  # a function of two parameters (F.trim) would get the place as its second
 
 
 def merged_splits(parts: Column) -> Column:

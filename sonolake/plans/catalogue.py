@@ -342,7 +342,7 @@ _text("text_tags", t.remove_tags, r"regexp_replace(text, '<[a-zA-Z_]+>', '', 'g'
 _text("text_scrub", lambda c: t.scrub(F.lower(c), CHARSET), r"regexp_replace(lower(text), '[^ ''a-z]', '', 'g')")
 _text("text_abbreviations", t.expand_abbreviations, _fold_sql("text", [(rf"(^|[^\p{{L}}\p{{N}}_]){a}\.", rf"\1{b}") for a, b in t.ABBREVIATIONS], "gi"))
 _text("text_symbols", lambda c: t.collapse(t.expand_symbols(c)), r"regexp_replace(replace(replace(replace(replace(replace(text, '&', ' and '), '+', ' plus '), '%', ' percent '), '@', ' at '), ':', ' '), '[ \t\n\x0B\f\r]+', ' ', 'g')")
-_text("text_by_line", t.by_line, r"array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')")
+_text("text_by_line", t.by_line, r"array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), ' ')")
 _text("text_sentence_ends", lambda c: t.sentence_ends(c)[0], r"regexp_replace(text, '([.?!]+)[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r])', '\1 <EOS> \2', 'g')")
 
 
