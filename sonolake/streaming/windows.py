@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sonolake.tables import running, written
+
 
 def watermarked(df: DataFrame, column: str, late: str) -> DataFrame:
     """df with column as a timestamp (watermarks take no other kind) and, on a stream, a watermark."""
@@ -25,8 +27,21 @@ def sliding(df: DataFrame, length: str, hop: str, column: str = "ts", late: str
 
 
 def latency_windows(df: DataFrame, length: str, column: str = "ts", late: str = "1 hour") -> DataFrame:
-    g = watermarked(df, column, late).groupBy(F.window(column, length).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.percentile_approx("value", 0.9, 10_000).alias("p90"))
-    return g.select(F.col("w.start").alias("start"), "n", "mean", "p90")
+    """start, n, mean, p90 of a window's values. p90 is exact: the smallest value that is not under nine tenths of them. Over a table all
+    come from a histogram of distinct values, summed in ranges, so that no task holds a window; a stream's state holds the histograms of
+    its open windows."""
+    d = watermarked(df, column, late)
+    if df.isStreaming:
+        p90 = F.expr("percentile_disc(0.9) within group (order by value)")
+        g = d.groupBy(F.window(column, length).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), p90.alias("p90"))
+        return g.select(F.col("w.start").alias("start"), "n", "mean", "p90")
+    seen = written(d.groupBy(F.window(column, length).getField("start").alias("start"), "value").agg(F.count("*").alias("c")), "histogram")
+    some = seen.where("value is not null")
+    mean = F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6)
+    total = some.groupBy("start").agg(F.sum("c").alias("_some"), mean.alias("mean"))
+    upto = running(some, ["start"], ["value"], {"upto": "c"}).withColumn("upto", F.col("upto") + F.col("c")).join(total.select("start", "_some"), "start")
+    p90 = upto.where("10 * upto >= 9 * _some").groupBy("start").agg(F.min("value").alias("p90"))
+    return seen.groupBy("start").agg(F.sum("c").alias("n")).join(total.drop("_some"), "start", "left").join(p90, "start", "left")
 
 
 def session_validity(df: DataFrame, key: str, order: str, kinds: tuple[str, ...] = ("partial", "final", "session_start", "session_end")) -> DataFrame:
