@@ -489,9 +489,11 @@ def endpoint_latency(spark: SparkSession, sf: str) -> DataFrame:
     w as (select *, sum(case when piece = ' ' or pos = 0 then 1 else 0 end) over (partition by utt order by pos) - 1 as word_no from p)
     select lang, count(*) as n_words, sum(stop - start)::bigint as span from (select utt, word_no, min(frame) as start, max(frame) as stop from w group by all) join documents on doc_id = utt group by lang""")
 def token_words(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), F.posexplode(F.array_remove(F.split(F.translate("text", "\n", " "), ""), "")).alias("pos", "piece"))
-    w = timing.token_words(d.withColumn("frame", (F.col("pos") + 1) * 3))
-    return w.join(table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), "lang"), "utt").groupBy("lang").agg(F.count("*").alias("n_words"), F.sum(F.col("end") - F.col("start")).cast("long").alias("span"))
+    pieces = F.array_remove(F.split(F.translate("text", "\n", " "), ""), "")
+    d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("utt"), pieces.alias("pieces"))
+    w = timing.token_words(d.withColumn("frames", F.transform("pieces", lambda _, i: (i + 1) * 3)))
+    each = w.groupBy("utt").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("span"))
+    return each.join(table(spark, sf, "documents").select(F.col("doc_id").alias("utt"), "lang"), "utt").groupBy("lang").agg(F.sum("n").alias("n_words"), F.sum("span").cast("long").alias("span"))
 
 
 _TERM = f"""select session, case when e is not null and (s is null or e <= s) then 'EOS' when s is not null then 'Silence' else 'Never' end as kind, round(case when e is not null and (s is null or e <= s) then e else s end, 6) as final_time
