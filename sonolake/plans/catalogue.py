@@ -394,8 +394,9 @@ def ctm_islands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select file, array_to_string({WORDS.format(c='text')}, ' ') as transcript, len({WORDS.format(c='text')}) as n_words from (select doc_id as file, text from documents) where len({WORDS.format(c='text')}) > 0")
 def ctm_transcript(spark: SparkSession, sf: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("seq", "word")))
-    return views.ref_ctm(spark, sf).groupBy("file").agg(F.array_join(F.transform(rows, lambda r: r["word"]), " ").alias("transcript"), F.count("*").alias("n_words"))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "word")))
+    d = timing.runs(views.ref_ctm(spark, sf), "file", "seq", "word", " ").groupBy("file")
+    return d.agg(F.array_join(F.transform(parts, lambda r: r["word"]), " ").alias("transcript"), F.sum("n").alias("n_words"))
 
 
 _DELTAS = f"select file, seq, length(word) % 4 as kind, round(0.05::double + {LATE} / 100.0::double, 6) as x from ({CTM})"
