@@ -39,25 +39,31 @@ def mixture_list(text: Column) -> Column:
 TOKENS: dict[str, Callable[[Column], Column]] = {"wer": word_list, "cer": char_list, "mer": mixture_list}
 
 
+#: Tokens of a batch that are numbered together.
+TOKENS_AT_ONCE = 1 << 18
+
+
 def with_distance(df: DataFrame, ref: str, hyp: str, name: str = "errors") -> DataFrame:
-    """df with the edit distance of two array columns (null where one is null). Tokens are numbered inside a batch; a pair's memory is its
-    tokens and a strip of bits."""
+    """df with the edit distance of two array columns (null where one is null). Tokens are numbered in parts of a batch, of TOKENS_AT_ONCE or of
+    one row; a pair's memory is its tokens and a strip of bits."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = [b.column(b.schema.get_field_index(c)) for c in (ref, hyp)]
-            tokens = [np.asarray(x) for x in (pa.concat_arrays([s.flatten() for s in sides]).dictionary_encode().indices,)][0].tolist()
-            ends, out, base = [], [], 0
-            for s in sides:
-                lens = np.where(np.asarray(s.is_valid()), np.asarray(pc.fill_null(pc.list_value_length(s), 0)), 0)
-                stop = base + np.cumsum(lens)
-                ends.append((stop - lens, stop))
-                base = int(stop[-1]) if len(stop) else base
-            for k in range(b.num_rows):
-                pair = [tokens[x[k] : y[k]] for x, y in ends]
-                out.append(distance(*pair) if all(s[k].is_valid for s in sides) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, name])
+        for whole in batches:
+            sides = [whole.column(whole.schema.get_field_index(c)) for c in (ref, hyp)]
+            sizes = [np.asarray(pc.fill_null(pc.list_value_length(s), 0)).astype(np.int64) for s in sides]
+            upto = np.cumsum(sizes[0] + sizes[1])
+            lo = 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOKENS_AT_ONCE, "right")))
+                part = [s.slice(lo, hi - lo) for s in sides]
+                tokens = np.asarray(pa.concat_arrays([s.flatten() for s in part]).dictionary_encode().indices)
+                ends = [np.cumsum(n[lo:hi]) for n in sizes]
+                ends[1] += ends[0][-1]
+                pair = lambda k: [tokens[e[k] - n[lo + k] : e[k]].tolist() for e, n in zip(ends, sizes, strict=True)]  # noqa: B023, E731
+                out = [distance(*pair(k)) if all(s[k].is_valid for s in part) else None for k in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([*whole.slice(lo, hi - lo).columns, pa.array(out, pa.int64())], names=[*whole.schema.names, name])
+                lo = hi
 
     return df.mapInArrow(run, schema)
 
