@@ -147,13 +147,13 @@ def scored(words: DataFrame, model: DataFrame, backoff: DataFrame, key: str, ord
 def subwords(words: DataFrame, size: int, rounds: int = 3, longest: int = 8, column: str = "words", symbols: tuple[str, ...] = ()) -> DataFrame:
     """piece, score: a unigram vocabulary of size pieces, the characters of the corpus and user symbols (score 0) among them.
 
-    Distinct words are counted once. Expectation runs over them with the current pieces (at most 8 * size, broadcast) and gives each piece
-    its expected count over all ways to split a word; maximisation is a sum per piece. After a round the pieces go whose loss the
+    Distinct words are counted once. Expectation runs over them with the current pieces (at most 8 * size, broadcast), a batch of words at a time,
+    and gives each piece its expected count over all ways to split a word; maximisation is a sum per piece. After a round the pieces go whose loss the
     likelihood feels least: their count by what their own best other split would cost. Single characters stay."""
     distinct = written(words.select(F.explode(column).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c")), "words")
-    seeds = distinct.select("c", F.explode(F.expr(f"flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, least({longest}, length(w) - i + 1)), n -> substring(w, i, n))))")).alias("piece")).groupBy("piece").agg(F.sum("c").alias("c"))
-    alphabet = seeds.where("length(piece) = 1").limit(ALPHABET + 1)
-    top = alphabet.unionByName(seeds.where("length(piece) > 1").orderBy(F.desc(F.col("c") * F.length("piece")), "piece").limit(8 * size))
+    seeds = distinct.where(f"length(w) > 1 and {longest} > 1").select("c", F.explode(F.expr(f"flatten(transform(sequence(1, length(w) - 1), i -> transform(sequence(2, least({longest}, length(w) - i + 1)), n -> substring(w, i, n))))")).alias("piece")).groupBy("piece").agg(F.sum("c").alias("c"))
+    alphabet = distinct.select("c", F.explode(F.split("w", "")).alias("piece")).where("piece <> ''").groupBy("piece").agg(F.sum("c").alias("c")).limit(ALPHABET + 1)
+    top = alphabet.unionByName(seeds.orderBy(F.desc(F.col("c") * F.length("piece")), "piece").limit(8 * size))
     now = {r["piece"]: float(r["c"]) for r in top.collect()}
     chars = {p for p in now if len(p) == 1}
     if len(chars) > ALPHABET:
@@ -163,16 +163,14 @@ def subwords(words: DataFrame, size: int, rounds: int = 3, longest: int = 8, col
         score = {p: math.log(c / total) for p, c in now.items() if c > 0}
         use = distinct.sparkSession.sparkContext.broadcast(score)
 
-        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table = use.value
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = PieceSums(use.value, longest)
             for b in batches:
-                sums: dict[str, float] = {}
-                for w, c in zip(b["w"], b["c"], strict=True):
-                    for p, share in expected_pieces(w, table, longest):
-                        sums[p] = sums.get(p, 0.0) + c * share
-                yield pd.DataFrame({"piece": pd.Series(list(sums), dtype="str"), "c": pd.Series(list(sums.values()), dtype="float64")})
+                sums.add(b.column(0), np.asarray(b.column(1), np.float64))
+            found = sums.found()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["piece", "c"])
 
-        found = distinct.mapInPandas(expect, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("c"))
+        found = distinct.select("w", "c").mapInArrow(expect, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("c"))
         counts = {r["piece"]: r["c"] for r in found.collect()}
         use.unpersist()
         keep = size if step == rounds - 1 else max(size, len(now) // 2)
@@ -218,6 +216,78 @@ def expected_pieces(word: str, score: dict[str, float], longest: int) -> Iterato
                 ahead[i] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
 
 
+class PieceSums:
+    """Expected counts of pieces over words, as expected_pieces() gives them, for a batch of words at a time: pieces are the nodes of a trie,
+    and all words take a step together, from the longest to the shortest."""
+
+    def __init__(self, score: dict[str, float], longest: int) -> None:
+        nodes, steps = {"": 0}, {}
+        for piece in score:
+            for i in range(1, min(len(piece), longest) + 1):
+                if len(piece) <= longest and piece[:i] not in nodes:
+                    nodes[piece[:i]] = len(nodes)
+                    steps[nodes[piece[: i - 1]] << 32 | ord(piece[i - 1])] = nodes[piece[:i]]
+        self.pieces, self.longest = list(nodes), longest
+        self.score = np.array([score.get(p, -np.inf) if p else -np.inf for p in nodes])
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.sums, self.strange = np.zeros(len(nodes)), {}
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to; 0 where there is none."""
+        if not len(self.keys):
+            return np.zeros(len(node), np.int64)
+        key = node << 32 | char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], 0)
+
+    def add(self, words: pa.Array, times: np.ndarray, part: int = 4096) -> None:
+        order = np.argsort(-np.asarray(pc.utf8_length(words)).astype(np.int64), kind="stable")
+        for lo in range(0, len(order), part):
+            self._add(words.take(pa.array(order[lo : lo + part])), times[order[lo : lo + part]])
+
+    def _add(self, words: pa.Array, times: np.ndarray) -> None:
+        size = np.asarray(pc.utf8_length(words)).astype(np.int64)  # falling
+        char = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        start = np.cumsum(size) - size
+        n, ends = len(char), np.repeat(start + size, size)
+        # piece[k], value[k]: of the piece of k + 1 characters from each place on
+        piece, value = np.zeros((self.longest, n), np.int64), np.full((self.longest, n), -np.inf)
+        open_, node = np.arange(n), np.zeros(n, np.int64)
+        for k in range(self.longest):
+            node = self.step(node, char[open_ + k])
+            value[k, open_], piece[k, open_] = self.score[node], node
+            if not k:
+                value[0, ~np.isfinite(value[0])] = -30.0
+            stay = (node > 0) & (open_ + k + 1 < ends[open_])
+            open_, node = open_[stay], node[stay]
+        # a word's places lie one further apart than its characters: it has an end as well
+        room = np.repeat(np.arange(len(size)), size) + np.arange(n)
+        first = start + np.arange(len(size))
+        back, ahead = np.full(n + len(size) + self.longest, -np.inf), np.full(n + len(size) + self.longest, -np.inf)
+        back[first + size] = ahead[first] = 0.0
+        there = np.searchsorted(-size, -np.arange(1, size[0] + 1 if len(size) else 1), "right")  # how many words have so many characters
+        for r, m in enumerate(there.tolist(), 1):  # r characters before the end
+            lengths = np.arange(min(r, self.longest))[:, None]
+            back[first[:m] + size[:m] - r] = np.logaddexp.reduce(value[: len(lengths), start[:m] + size[:m] - r] + back[first[:m] + size[:m] - r + lengths + 1], axis=0)
+        for i, m in enumerate(there.tolist(), 1):
+            lengths = np.arange(min(i, self.longest))[:, None]
+            ahead[first[:m] + i] = np.logaddexp.reduce(value[lengths, start[:m] + i - lengths - 1] + ahead[first[:m] + i - lengths - 1], axis=0)
+        whole, weight = np.repeat(back[first], size), np.repeat(times, size)
+        for k in range(self.longest):
+            on = np.flatnonzero(np.isfinite(value[k]))
+            share = weight[on] * np.exp(ahead[room[on]] + value[k, on] + back[room[on] + k + 1] - whole[on])
+            self.sums += np.bincount(piece[k, on], share, len(self.sums))
+            if not k and (odd := on[~np.isfinite(self.score[piece[0, on]])]).size:
+                found, which = np.unique(char[odd], return_inverse=True)  # characters that are no pieces
+                for c, x in zip(found.tolist(), np.bincount(which, share[np.searchsorted(on, odd)]).tolist(), strict=True):
+                    self.strange[chr(c)] = self.strange.get(chr(c), 0.0) + x
+
+    def found(self) -> dict[str, float]:
+        on = np.flatnonzero(np.isfinite(self.score) & (self.sums > 0))
+        return {self.pieces[i]: float(self.sums[i]) for i in on.tolist()} | self.strange
+
+
 def best_split(word: str, score: dict[str, float], longest: int) -> list[str]:
     """The pieces of a word with the best total score; characters without a piece stand alone."""
     best, back = [0.0], [0]
