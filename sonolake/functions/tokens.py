@@ -7,13 +7,16 @@ import random
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonolake.operators.lm import best_split
-from sonolake.tables import written
 
 
 def _numbered(vocabulary: DataFrame, max_pieces: int) -> Broadcast:
@@ -37,18 +40,27 @@ def word_ids(words: DataFrame, vocabulary: DataFrame, max_pieces: int = 200_000,
     return words.mapInPandas(split, "word string, ids array<int>")
 
 
-def tokenised(texts: DataFrame, vocabulary: DataFrame, key: str, column: str = "words") -> DataFrame:
-    """key, ids of an array of words: each distinct word is split once and joined back by position."""
-    at = texts.select(key, F.posexplode(column).alias("pos", "word"))
-    ids = written(word_ids(at.select("word").distinct(), vocabulary), "word-ids")
-    rows = at.join(ids, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("r"))
-    return rows.select(key, F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"))
+def _joined(cells: DataFrame, key: str) -> DataFrame:
+    """key, ids of rows key, cells (the ids of each word in order, null for a null word); rows of one key are put together by position."""
+    spoken = F.filter("cells", lambda x: x.isNotNull())
+    listed = cells.where(F.size(spoken) > 0).groupBy(key).agg(F.collect_list("cells").alias("r"))
+    placed = F.flatten(F.transform("r", lambda cells: F.transform(cells, lambda x, i: F.struct(i.alias("pos"), x.alias("ids")))))
+    in_order = F.transform(F.array_sort(placed), lambda x: x["ids"])
+    one = F.when(F.size("r") == 1, F.get("r", F.lit(0))).otherwise(in_order)
+    return listed.select(key, F.flatten(F.filter(one, lambda x: x.isNotNull())).alias("ids"))
+
+
+def tokenised(texts: DataFrame, vocabulary: DataFrame, key: str, column: str = "words", max_pieces: int = 200_000, longest: int = 32) -> DataFrame:
+    """key, ids of an array of words. A batch splits each of its distinct words once, and a task remembers SPLITS of them; no word is moved."""
+    return sampled(texts, vocabulary, key, column, share=0.0, max_pieces=max_pieces, longest=longest)
 
 
 #: Draws of a word before ids with an unknown token stay as they are (a fixed value).
 DRAWS = 5
-#: Words whose weights a task remembers.
-REMEMBERED = 100_000
+#: Words whose weights and whose best splits a task remembers.
+REMEMBERED, SPLITS = 100_000, 200_000
+#: Words of a batch that are split together.
+WORDS_AT_ONCE = 1 << 18
 
 
 def piece_weight(piece: str, score: dict[str, float], theta: float) -> float:
@@ -84,36 +96,50 @@ def drawn_split(word: str, total: list[float], score: dict[str, float], longest:
 
 def sampled(texts: DataFrame, vocabulary: DataFrame, key: str, column: str = "words", share: float = 1.0, theta: float = 0.1, seed: int = 1, max_pieces: int = 200_000, longest: int = 32) -> DataFrame:
     """key, ids of an array of words. A word is drawn with probability share from all its splits (a split's weight is e to the theta times
-    its score), up to five times while the ids hold an unknown token (0); other words have their best split, once for each distinct
-    word. Draws come from a hash of seed, key, position and word: a lost task draws the same again. Texts without words have no row, null words give nothing;
+    its score), up to five times while the ids hold an unknown token (0); other words have their best split, which a batch takes once for each
+    distinct word. Draws come from a hash of seed, key, position and word: a lost task draws the same again. Texts without words have no row, null words give nothing;
     rows of one key and equal words draw alike."""
     if not 0 <= share <= 1 or theta < 0:
         raise ValueError("share lies from 0 to 1, theta is not negative")
-    at = texts.select(key, F.posexplode(column).alias("pos", "word")).where("word is not null").withColumn("_draw", F.xxhash64(F.lit(seed), key, "pos", "word"))
-    chosen = F.shiftrightunsigned("_draw", 11) / F.lit(float(1 << 53)) < share
+    draws = F.transform(column, lambda w, i: F.xxhash64(F.lit(seed), F.col(key), i, w)) if share else F.array().cast("array<bigint>")
     table = _numbered(vocabulary, max_pieces)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score, number = table.value
-        weights = lru_cache(REMEMBERED)(lambda word: forward(word, score, longest, theta))
+        reach = min(longest, max(map(len, score), default=1))  # no piece is longer
+        weights = lru_cache(REMEMBERED)(lambda word: forward(word, score, reach, theta))
+        best = lru_cache(SPLITS)(lambda word: [number.get(p, 0) for p in best_split(word, score, reach)])
 
-        def ids(word: str, start: int) -> list[int]:
+        def drawn(word: str, start: int) -> list[int]:
             chance = random.Random(start)
             for _ in range(DRAWS):
-                found = [number.get(p, 0) for p in drawn_split(word, weights(word), score, longest, theta, chance)]
+                found = [number.get(p, 0) for p in drawn_split(word, weights(word), score, reach, theta, chance)]
                 if 0 not in found:
                     break
             return found
 
-        for b in batches:
-            b["ids"] = [ids(w, int(s)) for w, s in zip(b["word"], b["_draw"], strict=True)]
-            yield b[[key, "pos", "ids"]]
-
-    best = at.where(~chosen)
-    plain = best.join(written(word_ids(best.select("word").distinct(), vocabulary, max_pieces, longest), "word-ids"), "word").select(key, "pos", "ids")
-    rows = plain.union(at.where(chosen).mapInPandas(draw, plain.schema)) if share else plain
-    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("r"))
-    return rows.select(key, F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"))
+        for whole in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(whole.column(1)), 0)).astype(np.int64)
+            upto, lo = np.cumsum(sizes), 0
+            while lo < whole.num_rows:  # parts of a batch, of WORDS_AT_ONCE or of one row
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WORDS_AT_ONCE, "right")))
+                b, size = whole.slice(lo, hi - lo), sizes[lo:hi]
+                coded = b.column(1).flatten().dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                ids = pa.array([best(w) for w in words], pa.list_(pa.int32()))
+                place = coded.indices
+                if share:
+                    start = np.asarray(b.column(2).flatten())
+                    chosen = np.flatnonzero(((start.view(np.uint64) >> np.uint64(11)) / float(1 << 53) < share) & np.asarray(pc.is_valid(place)))
+                    at = np.asarray(pc.fill_null(place, 0)).astype(np.int64)
+                    own = pa.array([drawn(words[k], s) for k, s in zip(at[chosen].tolist(), start[chosen].tolist(), strict=True)], ids.type)
+                    at[chosen] = len(ids) + np.arange(len(own))
+                    ids, place = pa.concat_arrays([ids, own]), pa.array(at, mask=~np.asarray(pc.is_valid(place)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), ids.take(place))], [key, "cells"])
+                lo = hi
+
+    kind = T.StructType([texts.select(key).schema.fields[0], T.StructField("cells", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    return _joined(texts.select(key, F.col(column).alias("_w"), draws.alias("_d")).mapInArrow(run, kind), key)
 
 
 def known(tokens: DataFrame, handling: str = "warn") -> DataFrame:
