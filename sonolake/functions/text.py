@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonolake.functions import numbers
+from sonolake.functions.parts import by_parts, only_where
 
 # Abbreviations with a full stop and what they stand for, in the order in which they are tried.
 ABBREVIATIONS = (
@@ -24,6 +24,7 @@ SYMBOLS = (("&", " and "), ("+", " plus "), ("%", " percent "), ("@", " at "), (
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Letters that decomposition leaves whole.
 LETTERS = (("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss"), ("ẞ", "SS"), ("đ", "d"), ("Đ", "D"), ("ð", "d"), ("Ð", "D"), ("þ", "th"), ("Þ", "th"), ("ł", "l"), ("Ł", "L"))
+FOLDS = str.maketrans(dict(LETTERS))
 # Standardisation of English, patterns and replacements in the order in which they apply.
 FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um|mmhmm|uhhuh|huh)\b"
 CONTRACTIONS = (
@@ -81,19 +82,19 @@ def normalise_punctuation(text: Column) -> Column:
     return F.translate(F.replace(text, F.lit('"'), F.lit("")), ";:!-", ",.. ")
 
 
-@F.pandas_udf(T.StringType())
-def _fold(text: pd.Series) -> pd.Series:
-    table = str.maketrans(dict(LETTERS))
-    return text.map(lambda s: unicodedata.normalize("NFKD", s.translate(table)).encode("ascii", "ignore").decode(), na_action="ignore")
+def _folded(s: str) -> str:
+    return unicodedata.normalize("NFKD", s.translate(FOLDS)).encode("ascii", "ignore").decode()
+
+
+_fold = by_parts(lambda: _folded)
 
 
 def ascii_fold(text: Column) -> Column:
     """ASCII letters for accented ones; what has no ASCII form goes. Rows that are ASCII already stay in the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _fold(text)).otherwise(text)
+    return only_where(text.rlike(r"[^\x00-\x7F]"), _fold, text)
 
 
-@F.pandas_udf(T.StringType())
-def _strip_symbols(text: pd.Series) -> pd.Series:
+def _without_symbols() -> Callable[[str], str]:
     table = dict(LETTERS)
 
     def one(s: str) -> str:
@@ -103,13 +104,16 @@ def _strip_symbols(text: pd.Series) -> pd.Series:
             out.append(c if c in ".%$¢€£'" else table.get(c) or ("" if kind == "Mn" else " " if kind[0] in "MSP" else c))
         return "".join(out)
 
-    return text.map(one, na_action="ignore")
+    return one
+
+
+_strip_symbols = by_parts(_without_symbols)
 
 
 def strip_symbols(text: Column) -> Column:
     """Symbols and punctuation but .%$¢€£' become spaces, diacritics go."""
     plain = F.translate(text, "!\"#&()*+,-/:;<=>?@[\\]^_`{|}~", " " * 28)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _strip_symbols(text)).otherwise(plain)
+    return only_where(text.rlike(r"[^\x00-\x7F]"), _strip_symbols, text, plain)
 
 
 def american(text: Column, spelling: dict[str, str]) -> Column:
@@ -148,7 +152,7 @@ def lower_pipeline(text: Column, charset: str, strict: bool = True) -> Column:
     """ASCII, lower case, numbers as words, abbreviations, symbols, single spaces; if strict, punctuation becomes spaces and only the
     charset stays."""
     s = F.lower(ascii_fold(text))
-    s = F.when(s.rlike("[0-9]"), numbers.spoken("-" in charset)(s)).otherwise(s)
+    s = only_where(s.rlike("[0-9]"), numbers.spoken("-" in charset), s)
     s = expand_abbreviations(s)
     s = expand_symbols(drop_punctuation(s, charset) if strict else s)
     s = F.trim(collapse(s))
@@ -166,7 +170,7 @@ def normalise(df: DataFrame, column: str, level: str, charset: str, replacements
     elif level in ("ascii", "digit_to_word"):
         s = ascii_fold(s)
         if level == "digit_to_word":
-            s = F.when(s.rlike("[0-9]"), numbers.spoken("-" in charset)(s)).otherwise(s)
+            s = only_where(s.rlike("[0-9]"), numbers.spoken("-" in charset), s)
     s = replace_all(s, replacements or [])
     s = s if keep_tags else remove_tags(s)
     return df.withColumn(column, s if level == "identity" else scrub(s, allowed))
