@@ -45,10 +45,18 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
 
+def where_found(text: Column, pattern: str, rules: Callable[[Column], Column]) -> Column:
+    """rules(text) where the pattern is found, else the text: one search spares a text all of the rules' own. The text is bound once."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(x.rlike(pattern), rules(x)).otherwise(x)), F.lit(0))
+
+
 def expand_abbreviations(text: Column) -> Column:
-    for short, long in ABBREVIATIONS:
-        text = F.regexp_replace(text, rf"(?iU)\b{short}\.", long)
-    return text
+    def each(text: Column) -> Column:
+        for short, long in ABBREVIATIONS:
+            text = F.regexp_replace(text, rf"(?iU)\b{short}\.", long)
+        return text
+
+    return where_found(text, rf"(?iU)\b(?:{'|'.join(short for short, _ in ABBREVIATIONS)})\.", each)
 
 
 def expand_symbols(text: Column) -> Column:
@@ -116,6 +124,16 @@ def strip_symbols(text: Column) -> Column:
     return only_where(text.rlike(r"[^\x00-\x7F]"), _strip_symbols, text, plain)
 
 
+#: Where any contraction stands: without one, none of the replacements changes a text.
+CONTRACTED = r"(?U)(?:\b(?:{})|{})\b".format(*["|".join(p[2 * led : -2] for p, _ in CONTRACTIONS if p.startswith(r"\b") == led) for led in (True, False)])
+
+
+def contract(text: Column) -> Column:
+    for pattern, new in CONTRACTIONS:
+        text = F.regexp_replace(text, "(?U)" + pattern, new)
+    return text
+
+
 def american(text: Column, spelling: dict[str, str]) -> Column:
     """Words by a user's spelling table."""
     if not spelling:
@@ -133,8 +151,7 @@ def standardise(text: Column, spelling: dict[str, str] | None = None) -> Column:
     s = F.regexp_replace(s, r"[<\[][^>\]]*[>\]]", "")
     s = F.regexp_replace(s, "(?U)" + FILLERS, "")
     s = F.regexp_replace(s, r"\s+'", "'")
-    for pattern, new in CONTRACTIONS:
-        s = F.regexp_replace(s, "(?U)" + pattern, new)
+    s = where_found(s, CONTRACTED, contract)
     s = F.regexp_replace(s, r"(\d),(\d)", "$1$2")
     s = F.regexp_replace(s, r"\.([^0-9]|$)", " $1")
     s = american(strip_symbols(s), spelling or {})

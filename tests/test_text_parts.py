@@ -29,3 +29,17 @@ def test_python_gets_only_the_texts_that_need_it(spark):
     rows = spark.createDataFrame([("Été 12 Œ",), ("plain",), ("7",), (None,)], "s string")
     assert [r.x for r in rows.select(t.lower_pipeline(F.col("s"), " abcdefghijklmnopqrstuvwxyz").alias("x")).collect()] == ["ete twelve oe", "plain", "seven", None]
     assert [r.x for r in rows.select(t.strip_symbols(F.col("s")).alias("x")).collect()] == ["Ete 12 OE", "plain", "7", None]
+
+
+def test_rules_run_only_where_one_is_found(spark):
+    examples = [p.replace(r"\b", "") for p, _ in t.CONTRACTIONS]
+    texts = [*examples, *(f"so {x} x" for x in examples), *(f"q{x}" for x in examples), "none of them", "", None, "l'été n'tis", "cuzco"]
+    texts += [f"{short}. x" for short, _ in t.ABBREVIATIONS] + ["DR. No", "xdr. a", "mr x"]
+    d = spark.createDataFrame([(x,) for x in texts], "s string")
+    plain = F.col("s")
+    for short, long in t.ABBREVIATIONS:
+        plain = F.regexp_replace(plain, rf"(?iU)\b{short}\.", long)
+    rows = d.select(t.where_found(F.col("s"), t.CONTRACTED, t.contract).alias("a"), t.contract(F.col("s")).alias("b"), t.expand_abbreviations(F.col("s")).alias("c"), plain.alias("d")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [r.c for r in rows] == [r.d for r in rows]
+    guarded = t.where_found(F.col("s"), t.CONTRACTED, lambda x: F.raise_error(F.concat(F.lit("rules on: "), x)))
+    assert [r.x for r in d.where("s in ('none of them', 'cuzco', '')").select(guarded.alias("x")).collect()] == ["none of them", "", "cuzco"]
