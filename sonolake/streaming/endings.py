@@ -13,6 +13,7 @@ session ends although no watermark moves; what is known of ended sessions expire
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HYPS = "array<struct<score: double, tokens: array<string>>>"
 OUT = "session long, kind string, at double, n_kept int, prefix array<string>"
-_WAITING = "ms long, seq long, kind string, n_kept int, prefix array<string>"
-_PROGRESS = "last long, since long, ended boolean"
+_STATE = "last long, since long, ended boolean, timer long, waiting binary"
 #: For the state store of every stream with timers or more than one state.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,19 +78,19 @@ def endings(events: DataFrame, threshold: float, limit: float, until: Column | N
 
 
 class Endings(StatefulProcessor):
-    """State of a session: waiting, the events that the watermark has not passed, and progress, one row."""
+    """State of a session, one row that is read and written once each time: progress, its only timer, and the events that the watermark has
+    not passed, packed."""
 
     def __init__(self, gap: int, wait: int, by_clock: bool, keep: int):
         self.gap, self.wait, self.by_clock, self.keep = gap, wait, by_clock, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.progress = handle.getValueState("progress", _PROGRESS, self.keep if self.by_clock else None)
+        self.state = handle.getValueState("session", _STATE, self.keep if self.by_clock else None)
 
-    def take(self, events: list[tuple], now: int) -> list[tuple]:
-        """Moves progress over events in order; what they end or force."""
-        last, since, ended = self.progress.get() or (None, None, False)
+    def take(self, progress: tuple, events: list[tuple], now: int) -> tuple[tuple, list[tuple]]:
+        """Progress moved over events in order, and what they end or force."""
+        last, since, ended = progress
         found = []
         for ms, _, kind, n_kept, prefix in events:
             if ended:
@@ -112,33 +112,35 @@ class Endings(StatefulProcessor):
         if not ended and last is not None and now - last > self.gap:
             ended = True
             found.append(("Silence", last + self.gap, None, None))
-        if last is not None:
-            self.progress.update((last, since, ended))
-        return found
+        return (last, since, ended), found
 
-    def settle(self, key: tuple, rows: list[tuple], now: int) -> pd.DataFrame:
-        waiting = [tuple(r) for r in self.waiting.get()] + rows if self.waiting.exists() else rows
+    def settle(self, key: tuple, rows: list[tuple], now: int, expired: int | None = None) -> Iterator[pd.DataFrame]:
+        last, since, ended, timer, packed = self.state.get() or (None, None, False, None, None)
+        waiting = (pickle.loads(packed) if packed else []) + rows
         ready = sorted((r for r in waiting if self.by_clock or r[0] <= now), key=lambda r: r[:2])
         later = [r for r in waiting if not self.by_clock and r[0] > now]
-        if later:
-            self.waiting.put(later)
-        elif self.waiting.exists():
-            self.waiting.clear()
-        found = self.take(ready, now)
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        last, _, ended = self.progress.get() or (None, None, False)
+        (last, since, ended), found = self.take((last, since, ended), ready, now)
         times = [r[0] for r in later]
         if last is not None and not ended:
             times.append(last + self.gap + 1)
         elif ended and not self.by_clock and now < last + self.gap + self.keep:
             times.append(last + self.gap + self.keep)  # state has no time to live in event time
         elif ended and not self.by_clock:
-            self.progress.clear()
-        if times:
-            self.handle.registerTimer(max(min(times), now + 1))
-        kind, at, n_kept, prefix = zip(*found, strict=True) if found else ((), (), (), ())
-        return pd.DataFrame({"session": pd.Series([key[0]] * len(found), dtype="int64"), "kind": pd.Series(kind, dtype="object"), "at": pd.Series([x / 1000.0 for x in at], dtype="float64"), "n_kept": pd.Series(n_kept, dtype="Int32"), "prefix": pd.Series(prefix, dtype="object")})
+            last, since, ended = None, None, False
+        wanted = max(min(times), now + 1) if times else None
+        timer = None if timer == expired else timer  # Spark removes it
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if last is None and not later:
+            self.state.clear()
+        else:
+            self.state.update((last, since, ended, wanted, pickle.dumps(later, pickle.HIGHEST_PROTOCOL) if later else None))
+        if found:  # a frame costs more than most sessions' events
+            kind, at, n_kept, prefix = zip(*found, strict=True)
+            yield pd.DataFrame({"session": pd.Series([key[0]] * len(found), dtype="int64"), "kind": pd.Series(kind, dtype="object"), "at": pd.Series([x / 1000.0 for x in at], dtype="float64"), "n_kept": pd.Series(n_kept, dtype="Int32"), "prefix": pd.Series(prefix, dtype="object")})
 
     def now(self, timers) -> int:  # noqa: ANN001
         return timers.getCurrentProcessingTimeInMs() if self.by_clock else timers.getCurrentWatermarkInMs()
@@ -149,10 +151,10 @@ class Endings(StatefulProcessor):
             ms = [now] * len(b) if self.by_clock else b["ms"].tolist()
             kept = [None if pd.isna(n) else int(n) for n in b["n_kept"].tolist()]
             new += zip(ms, b["seq"].tolist(), b["kind"].tolist(), kept, [None if p is None else list(p) for p in b["prefix"].tolist()], strict=True)
-        yield self.settle(key, new, now)
+        yield from self.settle(key, new, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield self.settle(key, [], self.now(timerValues))
+        yield from self.settle(key, [], self.now(timerValues), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass

@@ -124,3 +124,46 @@ def test_processing_time_ends_a_session_without_a_watermark(spark, tmp_path):
         assert {(r.session, r.kind) for r in spark.table("clock").collect()} == {(1, "Silence"), (2, "EOS")}
     finally:
         q.stop()
+
+
+def test_a_session_costs_one_read_and_one_write():
+    """All that a session has is one row of state, no frame leaves without rows, and only a timer that has changed is touched."""
+    calls, held = [], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, row):
+            calls.append("update")
+            held.append(row)
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        def registerTimer(self, t):  # noqa: N802
+            calls.append(("register", t))
+
+        def deleteTimer(self, t):  # noqa: N802
+            calls.append(("delete", t))
+
+    own = e.Endings(5000, 1500, False, 10_000)
+    own.init(Handle())
+    assert list(own.settle((7,), [(3000, 1, "partial", 1, ["a"]), (1000, 0, "final", None, None)], 0)) == []
+    assert calls == ["get", ("register", 1000), "update"]
+    calls.clear()
+    assert list(own.settle((7,), [(2000, 2, "partial", 1, ["b"])], 0)) == [] and calls == ["get", "update"], "the timer stays"
+    calls.clear()
+    (found,) = own.settle((7,), [], 4000, expired=1000)
+    assert found[["kind", "at", "n_kept"]].values.tolist() == [["Forced", 3.0, 1]] and calls == ["get", ("register", 8001), "update"]
+    calls.clear()
+    (found,) = own.settle((7,), [], 8001, expired=8001)
+    assert found[["kind", "at"]].values.tolist() == [["Silence", 8.0]] and calls == ["get", ("register", 18_000), "update"]
+    calls.clear()
+    assert list(own.settle((7,), [], 18_000, expired=18_000)) == [] and calls == ["get", "clear"] and not held
