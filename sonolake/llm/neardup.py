@@ -8,7 +8,8 @@ hash), so a pair at 0.8 is 19 bits apart on average. Each of several tables grou
 table follow the number of texts, tables follow from the bits, so that a pair at 0.8 shares a bucket with probability REACH. In a
 bucket, blocks of 64 are compared in vertical bit planes as in op1, then the second half is counted.
 
-A bucket whose pairs are many returns a least spanning forest of them by distance, never all. Buckets over PIECE members are sorted by
+A bucket whose pairs are many returns a least spanning forest of them by distance, not all; what a forest left out between classes that its
+verified edges did not join is compared again and verified pair by pair (left_out). Buckets over PIECE members are sorted by
 several random choices of bits and compared in pieces of each order (as many as let a pair at the radius share a piece with probability REACH),
 and with their medoid as a whole. Candidates that hang together form a group. The texts of a group meet in one task, where each moves once; groups
 with over GROUP_BYTES of text are verified pair by pair, each text's nearest candidate and medoid first, of the others only
@@ -50,6 +51,8 @@ PIECE = 1024
 GROUP_BYTES = 8 << 20
 #: A bucket's pairs leave as they are up to so many per member.
 PAIRS = 8
+#: Marks a pair of a forest: others of its bucket were left out.
+FOREST = 2
 _BLOCK = 64
 _TASKS = 1 << 16
 _SLICE = 8192
@@ -142,9 +145,9 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
     return order[taken]
 
 
-def piece_edges(fps: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, bool]:
-    """i, j, distance, 0 (rows) of the close pairs inside pieces (runs, sorted); of many pairs a least spanning forest, and whether there
-    were so many."""
+def piece_edges(fps: np.ndarray, piece: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """i, j, distance, 0 or FOREST (rows) of the close pairs inside pieces (runs, sorted); of many pairs a least spanning forest, and whether there
+    were so many. With labels all pairs that differ in them, and no forest."""
     out, crowded = [], False
     edges = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
     lo = 0
@@ -153,13 +156,18 @@ def piece_edges(fps: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, bool]:
         hi = int(later[0]) if len(later) else len(piece)
         own = piece[lo:hi] - piece[lo]
         i, j, d = close_pairs(fps[lo:hi], own)
+        if label is not None:
+            apart = label[lo + i] != label[lo + j]
+            out.append(np.stack([i + lo, j + lo, d, np.zeros(len(i), np.int64)])[:, apart])
+            lo = hi
+            continue
         many = np.bincount(own[i], minlength=own[-1] + 1) > PAIRS * np.bincount(own)
         dense = many[own[i]]
         crowded |= bool(many.any())
         least = np.flatnonzero(dense)
         least = least[forest(hi - lo, i[dense], j[dense], d[dense])]
         keep = np.concatenate((np.flatnonzero(~dense), least))
-        out.append(np.stack([i[keep] + lo, j[keep] + lo, d[keep], np.zeros(len(keep), np.int64)]))
+        out.append(np.stack([i[keep] + lo, j[keep] + lo, d[keep], np.where(dense[keep], FOREST, 0)]))
         lo = hi
     return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64), crowded
 
@@ -171,12 +179,14 @@ def orders(size: int) -> int:
     return 1 if not bits else math.ceil(math.log(1 - REACH) / math.log(1 - (1 - RADIUS / 128) ** (bits + 1)))
 
 
-def bucket_edges(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of buckets (runs, sorted): i, j, distance, whether j is the bucket's medoid."""
+def bucket_edges(fps: np.ndarray, run: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of buckets (runs, sorted): i, j, distance, and 1 if j is the bucket's medoid, FOREST if the pair is of a forest. With labels all
+    pairs that differ in them."""
+    of = lambda at: None if label is None else label[at]
     starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     sizes = np.diff(np.append(starts, len(run)))
     usual = np.flatnonzero(np.repeat(sizes <= PIECE, sizes))
-    found, _ = piece_edges(fps[usual], run[usual])
+    found, _ = piece_edges(fps[usual], run[usual], of(usual))
     out = [np.stack([usual[found[0]], usual[found[1]], found[2], found[3]])]
     rng = np.random.default_rng(11)
     for a, size in zip(starts[sizes > PIECE].tolist(), sizes[sizes > PIECE].tolist(), strict=True):
@@ -184,14 +194,16 @@ def bucket_edges(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarr
         met, crowded = [], False
         for _ in range(orders(size)):
             order = np.lexsort(bits[:, rng.permutation(128)[:24]].T[::-1])
-            (i, j, d, _zero), many = piece_edges(fps[a + order], np.arange(size) // PIECE)
+            (i, j, d, _zero), many = piece_edges(fps[a + order], np.arange(size) // PIECE, of(a + order))
             crowded |= many
             i, j = order[i], order[j]
             met.append(np.stack([np.minimum(i, j), np.maximum(i, j), d]))
         i, j, d = np.unique(np.concatenate(met, axis=1), axis=1)
         if crowded:
             i, j, d = (x[forest(size, i, j, d)] for x in (i, j, d))
-        out.append(np.stack([i + a, j + a, d, np.zeros(len(i), np.int64)]))
+        out.append(np.stack([i + a, j + a, d, np.full(len(i), FOREST if crowded else 0)]))
+    if label is not None:
+        return tuple(np.concatenate(out, axis=1))
     for a, size in zip(starts[sizes > PIECE // 2].tolist(), sizes[sizes > PIECE // 2].tolist(), strict=True):
         counts = sum(np.unpackbits(fps[k : min(k + (1 << 14), a + size)].astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(a, a + size, 1 << 14))
         centre = np.packbits(counts * 2 > size, bitorder="little").view("<u8")
@@ -203,10 +215,12 @@ def bucket_edges(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(out, axis=1))
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """a < b (nodes), d, lead for the n rows of nodes (node, f0, f1)."""
+def bucket_pairs(nodes: DataFrame, n: int) -> DataFrame:
+    """a < b (nodes), d, lead of the pairs of all tables for n texts, repeated ones included. nodes: node, f0, f1 and, if only pairs that differ
+    in it are wanted, label."""
     keys = [F.xxhash64(F.lit(c), F.col("f0").bitwiseAND(F.lit(m).cast("long")), F.col("f1").bitwiseAND(F.lit(k).cast("long"))) for c, (m, k) in enumerate(tables(n))]
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "f0", "f1")
+    labels = [c for c in nodes.columns if c == "label"]
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "f0", "f1", *labels)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -218,11 +232,33 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
             if not done:
                 continue
             node, fps = part["node"].to_numpy()[:done], part[["f0", "f1"]].to_numpy()[:done].view(np.uint64)
-            i, j, d, lead = bucket_edges(np.ascontiguousarray(fps), np.cumsum(np.concatenate(([0], key[1:done] != key[: done - 1]))))
+            label = part["label"].to_numpy()[:done] if labels else None
+            i, j, d, lead = bucket_edges(np.ascontiguousarray(fps), np.cumsum(np.concatenate(([0], key[1:done] != key[: done - 1]))), label)
             yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "d": d, "lead": lead})
 
-    found = keyed.repartition("key").sortWithinPartitions("key", "f0").mapInPandas(compare, "a long, b long, d long, lead long")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("lead").alias("lead"))
+    return keyed.repartition("key").sortWithinPartitions("key", "f0").mapInPandas(compare, "a long, b long, d long, lead long")
+
+
+def candidates(nodes: DataFrame, n: int) -> DataFrame:
+    """a < b (nodes), d, lead (1: to a medoid), forest for the n rows of nodes (node, f0, f1). forest: in some bucket the pair stands for others."""
+    found = bucket_pairs(nodes, n)
+    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.max(F.col("lead") % FOREST).alias("lead"), F.max(F.col("lead") == FOREST).alias("forest"))
+
+
+def left_out(nodes: DataFrame, edges: DataFrame, root: DataFrame, n: int) -> DataFrame | None:
+    """a < b: the pairs that forests left out and that join two classes (root: node, root) of verified pairs, or None if there is no such class.
+    Whatever a forest left out lies between two nodes of its edges, so only those come again, and of them only groups of several classes. A piece of
+    at most PIECE members bounds the pairs by half of that per member and table."""
+    ends = edges.where("forest").select("a", "b")
+    ends = ends.withColumn("node", F.explode(F.array("a", "b"))).select("node").distinct()
+    labelled = ends.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+    both = edges.where("forest").join(labelled.toDF("a", "la"), "a").join(labelled.toDF("b", "lb"), "b").where("la <> lb")
+    # classes that forests' edges do not tie together hold nothing back from each other: those that differ across an edge do
+    open_ = cut(both.select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "near-open")
+    if not open_.head(1):
+        return None
+    again = nodes.join(labelled.join(open_, "label"), "node").select("node", "f0", "f1", "label")
+    return bucket_pairs(again, n).select("a", "b").distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -307,7 +343,8 @@ def roots(docs: DataFrame, own: DataFrame) -> DataFrame:
     """node, root of the texts that are near another one. Groups of candidates of up to GROUP_BYTES of text are verified together, larger
     ones pair by pair."""
     nodes = cut(own.groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("size").alias("size"), F.min("doc_id").alias("id")), "near-nodes")
-    edges = cut(candidates(nodes.select("node", "f0", "f1"), nodes.count()), "near-candidates")
+    n = nodes.count()
+    edges = cut(candidates(nodes.select("node", "f0", "f1"), n), "near-candidates")
     group = cut(components(edges.select("a", "b")).toDF("node", "root").join(nodes.select("node", "size", "id"), "node"), "near-groups")
     small = group.groupBy("root").agg(F.sum("size").alias("bytes")).select("root", (F.col("bytes") <= GROUP_BYTES).alias("small"))
     group = cut(group.join(small, "root"), "near-sized")
@@ -318,7 +355,14 @@ def roots(docs: DataFrame, own: DataFrame) -> DataFrame:
     near = maybe_in(rows, "at", bloom(first.select("at"), "at", "near-firsts"), "near").where("near")  # other texts stay where they are
     texts = near.join(first, "at").where("id <=> _id and node = _node").select("root", "node", "text")
     sure = verified_groups(own_edges.where("small").select("root", "a", "b", "d"), texts)
-    return components(sure.unionByName(verified_pairs(docs, own_edges.where("not small").select("a", "b", "d", "lead"))))
+    sure = cut(sure.unionByName(verified_pairs(docs, own_edges.where("not small").select("a", "b", "d", "lead"))), "near-sure")
+    root = components(sure)
+    more = left_out(nodes, edges, root, n)
+    if more is None:
+        return root
+    more = cut(more, "near-left-out")
+    met = distinct_texts(docs, more.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return components(sure.unionByName(verified(more, met)))
 
 
 def verified_pairs(docs: DataFrame, edges: DataFrame) -> DataFrame:
