@@ -161,3 +161,23 @@ def test_a_full_filter_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(secrets, "maybe_in", full)
     assert rows(neardup.keep_first(docs)) == near
     assert rows(secrets.redact(docs)) == clean
+
+
+def test_pairs_between_classes_stay_in_their_piece(spark, monkeypatch):
+    """A group of texts that are all candidates of each other, most of them below 0.8: rows grow with its members, not with its pairs."""
+    monkeypatch.setattr(neardup, "PIECE", 256)
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(300)]
+    cores = [edited(rng, base, 9) for _ in range(150)]  # about 0.74 of each other
+    texts = [" ".join(edited(rng, w, k)) for w in cores for k in (0, 2)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS).repartition(3)
+    own = neardup.scan(docs).select("node", "f0", "f1").distinct()
+    text = docs.join(neardup.scan(docs).select("doc_id", "node"), "doc_id").select("node", "text")
+    again = own.selectExpr("node", "f0", "f1", "node as label")
+    members, pairs = neardup.members_apart(again, 300), neardup.bucket_pairs(again, 300).select("a", "b").distinct()
+    assert members.count() <= 300 * len(neardup.tables(300)) * neardup.orders(300)
+    assert pairs.count() > 3 * members.count() / len(neardup.tables(300)) > 0
+    found = neardup.verified_pieces(members, text)
+    assert found.count() < pairs.count() / 10
+    least = lambda edges: {r.node: r.root for r in neardup.components(edges).collect()}
+    assert least(found) == least(neardup.verified(pairs, text)) != {}, "the same classes as by all pairs"
