@@ -25,14 +25,26 @@ def ngrams(words: DataFrame, n: int, column: str = "words") -> DataFrame:
     return words.select(F.explode(F.expr(f"transform({at}, i -> array_join(slice({column}, i, {n}), ' '))")).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
 
 
+#: Words of a batch that are combined at a time: what a worker holds besides the batch follows from them.
+WORDS_AT_ONCE = 1 << 19
+
+
+def parts_of_lists(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The lists in parts of up to WORDS_AT_ONCE elements or of one list."""
+    upto, lo = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)), 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WORDS_AT_ONCE, "right")))
+        yield lists.slice(lo, hi - lo)
+        lo = hi
+
+
 def reversed_grams(words: DataFrame, order: int, column: str = "words") -> DataFrame:
     """r1 to r<order>, c: each word of the texts with the words before it, nearest first (null before a text's start), and how often. Equal
-    ones of a batch are combined before the shuffle, the only one of single grams: r1 and r2 decide where they go."""
+    ones of a part of a batch are combined before the shuffle, the only one of single grams: r1 and r2 decide where they go."""
     names = [f"r{k + 1}" for k in range(order)]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(0)
+        for lists in (part for b in batches for part in parts_of_lists(b.column(0))):
             coded = lists.flatten().dictionary_encode()
             ids, lens = np.asarray(coded.indices, np.int64), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
             place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
