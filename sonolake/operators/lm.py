@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sonolake.tables import written
+from sonolake.tables import bucketed, written
 
 
 def ngrams(words: DataFrame, n: int, column: str = "words") -> DataFrame:
@@ -89,14 +89,15 @@ def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple
     """n, context, word, p and context, backoff of an interpolated Kneser-Ney model with three discounts per order, as tables.
 
     Single words (null context) are not discounted. A context's backoff is what its discounts saved. Rows of grams move twice: by their last two words
-    for the counts, and by the two words before the last for the contexts, where a row has all the endings that its probability comes from.
+    for the counts, and by the two words before the last for the contexts, where a row has all the endings that its probability comes from. What pairs
+    know is worked out on the pairs alone and joined where the grams lie.
     A group holds distinct grams only, so a passage repeated a million times weighs as one."""
     if order == 1:
         single = words.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
         one = single.join(F.broadcast(single.agg(F.sum("c").alias("all")))).select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), "word", (F.col("c") / F.col("all")).alias("p"))
         return one, one.select("context", F.lit(1.0).alias("backoff")).limit(0)
     names = [f"r{k + 1}" for k in range(order)]
-    grams = written(counted_grams(words, order, column), "grams")
+    grams = bucketed(counted_grams(words, order, column), "grams", ["r1", "r2"])
     seen: dict[int, dict[int, int]] = {n: {} for n in range(2, order + 1)}
     many = [F.count_if(F.col(f"new{n}") & (F.col(f"c{n}") == c)).alias(f"m{n}{c}") for n in seen for c in (1, 2, 3, 4)]
     found = grams.agg(*many).first()  # four numbers per order
@@ -112,19 +113,22 @@ def kneser_ney(words: DataFrame, order: int = 4, column: str = "words") -> tuple
     last = pairs.groupBy("r1").agg(F.count("*").alias("c1"))
     one = last.join(F.broadcast(last.agg(F.sum("c1").alias("all")))).select("r1", (F.col("c1") / F.col("all")).alias("p1"))
     two = pairs.where("c2 > 0").groupBy("r2").agg(F.sum("c2").alias("t2"), (F.sum(off(2)) / F.sum("c2")).alias("b2"))
-    d = grams.join(one, "r1").join(two, "r2", "left").withColumn("p2", (F.col("c2") - off(2)) / F.col("t2") + F.col("b2") * F.col("p1"))
+    two = written(two, "contexts")
+    seconds = pairs.join(one, "r1").join(two, "r2", "left").select("r1", "r2", ((F.col("c2") - off(2)) / F.col("t2") + F.col("b2") * F.col("p1")).alias("p2"))
+    d = grams.join(seconds, ["r1", "r2"]).withColumn("new2", F.col("new2") & (F.col("c2") > 0)).drop("c2")
     d = d.repartition("r2", "r3") if order > 2 else d
     for n in range(3, order + 1):
         context, use = Window.partitionBy(*names[1:n]), F.col(f"new{n}") & (F.col(f"c{n}") > 0)
         d = d.withColumns({f"t{n}": F.sum(F.when(use, F.col(f"c{n}"))).over(context), f"s{n}": F.sum(F.when(use, off(n))).over(context)}).withColumn(f"b{n}", F.col(f"s{n}") / F.col(f"t{n}"))
         d = d.withColumn(f"p{n}", (F.col(f"c{n}") - off(n)) / F.col(f"t{n}") + F.col(f"b{n}") * F.col(f"p{n - 1}"))
-    some = lambda n: (F.col(f"new{n}") & (F.col(f"c{n}") > 0)).alias(f"new{n}")
-    kept = written(d.select(*names, *[some(n) for n in seen], *[f"p{n}" for n in seen], *[f"b{n}" for n in seen]), "model")
+        d = d.withColumn(f"new{n}", use).drop(f"c{n}", f"t{n}", f"s{n}")
+    only = lambda v, n: F.when(F.col(f"new{n}"), F.col(f"{v}{n}")).alias(f"{v}{n}")  # noqa: E731  no number is kept twice
+    kept = written(d.select(*names, *[f"new{n}" for n in seen], *[only("p", n) for n in seen], *[only("b", n) for n in seen if n > 2]), "model")
     text = lambda n: F.concat_ws(" ", *reversed(names[1:n])).alias("context")
     model = one.select(F.lit(1).alias("n"), F.lit(None).cast("string").alias("context"), F.col("r1").alias("word"), F.col("p1").alias("p"))
     for n in seen:
         model = model.unionByName(kept.where(f"new{n}").select(F.lit(n).alias("n"), text(n), F.col("r1").alias("word"), F.col(f"p{n}").alias("p")))
-    backoff = reduce(DataFrame.unionByName, [kept.where(f"new{n}").groupBy(*names[1:n]).agg(F.first(f"b{n}").alias("backoff")).select(text(n), "backoff") for n in seen])
+    backoff = reduce(DataFrame.unionByName, [two.select(F.col("r2").alias("context"), F.col("b2").alias("backoff")), *(kept.where(f"new{n}").groupBy(*names[1:n]).agg(F.first(f"b{n}").alias("backoff")).select(text(n), "backoff") for n in seen if n > 2)])
     return model, backoff
 
 
