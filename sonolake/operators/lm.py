@@ -20,9 +20,12 @@ from sonolake.tables import bucketed, written
 
 
 def ngrams(words: DataFrame, n: int, column: str = "words") -> DataFrame:
-    """gram (space-joined), c for every n-gram; counts combine before the shuffle."""
-    at = f"if(size({column}) >= {n}, sequence(1, size({column}) - {n - 1}), slice(array(0), 1, 0))"
-    return words.select(F.explode(F.expr(f"transform({at}, i -> array_join(slice({column}, i, {n}), ' '))")).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    """gram (space-joined), c for every n-gram; counts combine before the shuffle. A task combines all its grams at once, and most are distinct: deal
+    large texts out finely (spread with times), as grams that outgrow a task's memory are sorted and spilled."""
+    # places are exploded, not the words: of a bare column Spark infers a filter on its size, which would split the texts a second time
+    at = F.expr(f"if(size({column}) >= {n}, sequence(0, size({column}) - {n}), slice(array(0), 1, 0))")
+    grams = words.select(column, F.explode(at).alias("_at")).select(F.concat_ws(" ", *[F.get(column, F.col("_at") + k) for k in range(n)]).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("c"))
 
 
 #: Words of a batch that are combined at a time: what a worker holds besides the batch follows from them.

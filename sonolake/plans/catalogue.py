@@ -667,7 +667,7 @@ def silence_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select gram, count(*) as c from (select array_to_string(w[i:i + 2], ' ') as gram from (select {WORDS.format(c='text')} as w from documents) d, unnest(range(1, len(w) - 1)) as u(i)) group by gram")
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return lm.ngrams(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")), 3)
+    return lm.ngrams(spread(table(spark, sf, "documents"), 16).select(views.split_words(F.col("text")).alias("words")), 3)
 
 
 def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
