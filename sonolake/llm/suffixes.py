@@ -1,9 +1,10 @@
 """Substring dedup over bytes with a hash-compared suffix sort.
 
-In a shard (see passages) the suffixes at the windows of all pieces are sorted by mergesort. Two suffixes are compared through
+In a shard (see passages) the suffixes at the marks of all pieces are sorted by mergesort. Two suffixes are compared through
 prefix polynomial hashes: whole windows first, then binary search over lengths finds their common extension in a few steps and the
-next byte decides. Equal windows agree on their mark and on its place in the window, so suffixes are merged inside buckets of (mark,
-place); two suffixes alone in a bucket need one comparison and no sort.
+next byte decides. Equal windows agree on their mark and on its place in the window, so suffixes are merged inside buckets of a mark;
+two suffixes alone in a bucket need one comparison and no sort. Suffixes at windows that begin before their mark follow by induced
+sorting, a byte further ahead at a time.
 
 Collisions: neighbours of the sorted order are compared byte by byte. Windows count as equal by their bytes only, and where a
 neighbour does not come after the one before it, a hash lied: that bucket is sorted anew by its bytes. Different hashes prove
@@ -17,7 +18,7 @@ kept. Empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,17 @@ class HashedText:
             same[i] = (self._eights(a[i]) == self._eights(b[i])).all(axis=1)
         return same
 
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the windows a and b begin with alike, by their bytes."""
+        out = np.zeros(len(a), np.uint8 if self.window < 256 else np.int64)
+        steps = np.append(np.arange(0, self.window - 8, 8), self.window - 8)
+        for lo in range(0, len(a), 8192):
+            apart = self._eights(a[lo : lo + 8192]) ^ self._eights(b[lo : lo + 8192])
+            step = (apart != 0).argmax(axis=1)
+            bits = np.ascontiguousarray(apart[np.arange(len(apart)), step]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+            out[lo : lo + 8192] = np.where(bits.any(axis=1), steps[step] + bits.argmax(axis=1), self.window)
+        return out
+
     def order(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as window a is less than, equal to or greater than window b, by their bytes."""
         out = np.zeros(len(a), np.int8)
@@ -154,43 +166,83 @@ def sorted_groups(text: HashedText, suffixes: np.ndarray, start: np.ndarray) ->
     return suffixes, new
 
 
+def extensions(least: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """least: what each suffix shares with the one before it in a sorted order. Gives what the suffixes at two places, x before y, share."""
+    levels = [least]
+    while 2 << (len(levels) - 1) <= len(least):
+        step = 1 << (len(levels) - 1)
+        levels.append(np.append(np.minimum(levels[-1][:-step], levels[-1][step:]), levels[-1][len(least) - step :]))
+    table = np.stack(levels)
+    power = np.frexp(np.arange(len(least) + 1))[1] - 1  # of two, at most a distance
+
+    def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        k = power[y - x]
+        return np.minimum(table[k, x + 1], table[k, y + 1 - (1 << k)])
+
+    return shared
+
+
+def flag_equal(text: HashedText, group: np.ndarray, mark: np.ndarray, least: np.ndarray, most: np.ndarray, window: np.ndarray, flags: np.ndarray) -> None:
+    """Flags each window that equals another one. An occurrence of a group's mark, by groups, has the windows whose first mark it is: they begin least to most
+    bytes before it, window is the number of the one that begins with it.
+
+    The suffixes at the marks alone are sorted. The order of those that begin one byte earlier follows from theirs and that byte (induced sorting): suffixes
+    at all windows are placed without being compared. Equal windows have equal bytes before the mark (a class) and are neighbours among those of their class
+    that have a window so far before the mark. An occurrence alone in its class is so at all places further ahead, too, and leaves."""
+    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    kind = (np.cumsum(np.bincount(begin, minlength=len(group))) - 1).astype(np.uint16 if len(begin) < 1 << 16 else np.uint32)
+    by_mark = np.argsort(mark)
+    order = by_mark[np.searchsorted(mark, sorted_groups(text, mark, begin)[0], sorter=by_mark)]
+    shared = extensions(np.append(np.uint8(0), text.shared(mark[order[:-1]], mark[order[1:]])))
+    # from here on, occurrences have the numbers of the sorted order
+    mark, kind, least, most, window = (x[order] for x in (mark, kind, least, most, window))
+    now, before = np.arange(len(order)), kind.astype(np.int64)
+    for place in range(text.window):
+        now = now[most[now] >= place]
+        first = before[now]
+        if place:
+            byte = text.text[mark[now] - place]
+            to = np.argsort(byte, kind="stable")
+            to = to[np.argsort(kind[now[to]], kind="stable")]
+            now, first, byte = now[to], first[to], byte[to]
+            new = np.concatenate(([True], (first[1:] != first[:-1]) | (byte[1:] != byte[:-1])))[: len(now)]
+        else:
+            new = np.concatenate(([True], first[1:] != first[:-1]))[: len(now)]
+        alone = new & np.append(new[1:], True)[: len(now)]
+        before[now] = np.cumsum(new)
+        now = now[~alone]
+        if not len(now):
+            return
+        own = now[least[now] <= place]
+        x, y = own[:-1], own[1:]
+        near = np.flatnonzero(before[x] == before[y])
+        x, y = x[near], y[near]
+        same = shared(x, y) >= text.window - place
+        flags[window[x[same]] - place] = flags[window[y[same]] - place] = True
+
+
 def repeated_windows(texts: list[bytes], mark: np.ndarray, first: np.ndarray, copies: np.ndarray) -> list[np.ndarray | None]:
     """Per piece, its windows that start twice or more as (start, stop, ...); None where there are none."""
     lens = np.array([len(x) for x in texts])
     stop = np.cumsum(lens)
     start = stop - lens
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+    buf = np.frombuffer(b"".join([*texts, bytes(WINDOW)]), np.uint8)  # so that each suffix has a whole window
     windows = lens - WINDOW + 1
-    piece = np.repeat(np.arange(len(texts)), windows)
-    at = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(len(piece))
-    # place of the mark's first gram in each window
-    is_mark = grams(buf.astype(np.uint64), BYTES.gram).view(np.int64) == np.repeat(mark, lens)[: len(buf) - BYTES.gram + 1]
-    here = np.where(is_mark, np.arange(len(is_mark)), len(buf))
-    place = np.minimum.accumulate(here[::-1])[::-1][at] - at
-    again = np.add.reduceat(np.append(is_mark, np.zeros(len(buf) - len(is_mark), bool)).astype(np.int64), start) > 1
-    group = np.concatenate(([0], np.cumsum(mark[1:] != mark[:-1])))
-    many = (np.bincount(group)[group] > 1) | again
-    flags = (copies > 1)[piece]
-    own = np.flatnonzero(many[piece])
-    if len(own):
-        order = own[np.lexsort((place[own], group[piece[own]]))]
-        g, o = group[piece[order]], place[order]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])))
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(order)))
-        order = order[np.repeat(size > 1, size)]
-        size = size[size > 1]
-        begin = np.cumsum(size) - size
-        if len(order):
-            text = HashedText(buf)
-            by_place = np.full(len(buf), -1, np.int64)
-            by_place[at[order]] = order
-            placed, new = sorted_groups(text, at[order], begin)
-            order = by_place[placed]
-            runs = np.flatnonzero(new)
-            times = np.add.reduceat(copies[piece[order]], runs)
-            flags[order] |= np.repeat(times > 1, np.diff(np.append(runs, len(order))))
     ends = np.cumsum(windows)
+    flags = np.repeat(copies > 1, windows)
+    at = np.flatnonzero(grams(buf.astype(np.uint64), BYTES.gram).view(np.int64)[: stop[-1]] == np.repeat(mark, lens))
+    piece = np.searchsorted(stop, at, "right")
+    inside = at + BYTES.gram <= stop[piece]
+    at, piece = at[inside], piece[inside]
+    earlier = np.concatenate(([False], piece[1:] == piece[:-1]))[: len(at)]  # a window's place is that of its first mark
+    most = np.minimum(at - np.where(earlier, np.append(-1, at[:-1])[: len(at)] + 1, start[piece]), WINDOW - BYTES.gram)
+    least = np.maximum(0, at + WINDOW - stop[piece])
+    group = np.concatenate(([0], np.cumsum(mark[1:] != mark[:-1])))[piece]
+    own = least <= most
+    own &= np.bincount(group[own], minlength=len(texts))[group] > 1
+    if own.any():
+        number = (ends - windows - start)[piece] + at
+        flag_equal(HashedText(buf), *(x[own] for x in (group, at, least, most, number)), flags)
     found = flag_runs(np.concatenate(([False], np.insert(flags, ends[:-1], False)))) - 1  # pieces kept apart, so that no run crosses
     owner = np.searchsorted(ends + np.arange(len(ends)), found[:, 0], "right")
     found -= (ends - windows + np.arange(len(ends)))[owner][:, None]
