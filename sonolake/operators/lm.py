@@ -32,11 +32,11 @@ def ngrams(words: DataFrame, n: int, column: str = "words") -> DataFrame:
 WORDS_AT_ONCE = 1 << 19
 
 
-def parts_of_lists(lists: pa.ListArray) -> Iterator[pa.ListArray]:
-    """The lists in parts of up to WORDS_AT_ONCE elements or of one list."""
+def parts_of_lists(lists: pa.ListArray, most: int = 0) -> Iterator[pa.ListArray]:
+    """The lists in parts of up to most (WORDS_AT_ONCE) elements or of one list."""
     upto, lo = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)), 0
     while lo < len(lists):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WORDS_AT_ONCE, "right")))
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (most or WORDS_AT_ONCE), "right")))
         yield lists.slice(lo, hi - lo)
         lo = hi
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sonolake.functions import text as t
 from sonolake.functions import tokens
-from sonolake.operators import curate, errorrate, lm, report, sampling, segments, signal, timing
+from sonolake.operators import curate, errorrate, lm, packed, report, sampling, segments, signal, timing
 from sonolake.plans import views
 from sonolake.sources import readers, writers
 from sonolake.streaming import endings as ends
@@ -670,8 +670,8 @@ def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lm.ngrams(spread(table(spark, sf, "documents"), 16).select(views.split_words(F.col("text")).alias("words")), 3)
 
 
-def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return lm.kneser_ney(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")), 4)
+def _model(spark: SparkSession, sf: str) -> packed.Model:
+    return packed.count_grams(spread(table(spark, sf, "documents")).select(views.split_words(F.col("text")).alias("words")), 4)
 
 
 def _order_sql(n: int, counts: str) -> str:
@@ -695,7 +695,7 @@ _MODEL = f"""w as (select doc_id, i, w[i] as w from (select doc_id, {WORDS.forma
 @query(f"""with {_MODEL}
     select 1 as n, null as context, word, round(p, 8) as p from p1 union all select 2, context, word, round(p, 8) from p2 union all select 3, context, word, round(p, 8) from p3 union all select 4, context, word, round(p, 8) from p4""")
 def ngram_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _model(spark, sf)[0].select("n", "context", "word", F.round("p", 8).alias("p"))
+    return packed.model_rows(_model(spark, sf)).select("n", "context", "word", F.round("p", 8).alias("p"))
 
 
 @query(f"""with {_MODEL}, s as (select utt, w[i] as word, case when i > 1 then w[i - 1] end as c2, case when i > 2 then w[i - 2] || ' ' || w[i - 1] end as c3, case when i > 3 then w[i - 3] || ' ' || w[i - 2] || ' ' || w[i - 1] end as c4
@@ -705,7 +705,7 @@ def ngram_model(spark: SparkSession, sf: str) -> DataFrame:
     select utt, count(*) as n, round(sum(ln(p)), 6) as log_prob from j group by utt""")
 def ngram_score(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), views.split_words(F.col("text")).alias("words"))
-    return lm.scored(words, *_model(spark, sf), "utt")
+    return packed.scored(words, _model(spark, sf), "utt")
 
 
 @query()
