@@ -80,3 +80,17 @@ def test_the_queries_join_no_grams_of_the_model(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalogue.QUERIES["ngram_model"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_scores_join_only_what_partitions_leave_open(spark, tmp_path):
+    """Joins of all grams and their answers made broadcasts that a small driver could not hold."""
+    from sonolake.plans import catalogue
+
+    docs = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(i % 19))) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(i, k, " ".join(f"w{(i * 3 + j * k) % 60}" for j in range(i % 9))) for i in range(20) for k in range(4)]
+    spark.createDataFrame(said, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    scores = catalogue.QUERIES["ngram_score"](spark, str(tmp_path))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Window" not in plan and "Generate" not in plan
+    assert scores.count() == sum(1 for *_, t in said if t)
