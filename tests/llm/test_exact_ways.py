@@ -28,3 +28,18 @@ def test_what_a_forest_left_out_between_classes_is_compared_again(spark):
     found = {(r.a, r.b) for r in neardup.left_out(nodes, edges, root, 40).collect()}
     assert found | met == {(a, b) for a in range(40) for b in range(a + 1, 40) if roots[a] != roots[b]} | met and not found & met
     assert neardup.left_out(nodes, edges, spark.createDataFrame([(k, 0) for k in range(40)], "node long, root long"), 40) is None, "one class has nothing left"
+
+
+def test_licences_without_their_key_phrase_are_not_aligned(spark):
+    """Of common words, nearly every text has enough votes somewhere: looked up exactly, all of those would be verified."""
+    from sonolake.llm import licenses
+    from sonolake.llm.licence_texts import TEMPLATES
+
+    label, phrase, text = TEMPLATES[1]
+    broken = text.replace("hereby", "herewith", 1)
+    assert phrase.split()[2] == "hereby" and broken != text
+    texts = [text, broken, f"{broken} {phrase}", phrase, "plain prose"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).cache()
+    found = {r.row: r for r in licenses.aligned(rows.where("line is not null").select("row", "hits", "line"), licenses.rare_index(rows, True), True).collect()}
+    ids = {r.row: r.doc_id for r in rows.collect()}
+    assert 1 not in {ids[k] for k in found} and {ids[k] for k, r in found.items() if label in r.found} == {0, 2}
